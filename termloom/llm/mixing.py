@@ -117,7 +117,7 @@ def _taken(sized: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     return whole.unionByName(cut).withColumn("_taken", F.col("epochs") * F.col("_size") + F.col("_part"))
 
 
-def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: str = "mix", rows_per_range: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: str = "mix", rows_per_range: int = 5_000) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
     taken is epochs * size plus what of the document lies before the cut in the last,
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     return _taken(small, plan, few).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
-def draw(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: str = "mix", rows_per_range: int = 20_000, length_col: str | None = "n_chars") -> DataFrame:
+def draw(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: str = "mix", rows_per_range: int = 5_000, length_col: str | None = "n_chars") -> DataFrame:
     """The mixed corpus itself, with the columns of docs: a document appears once for each whole epoch it is taken in; the one at a cut ends at the cut's word.
 
     Documents without words carry nothing to a mix and appear once. length_col, where docs
