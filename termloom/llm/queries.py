@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, licenses, metric_join, mixing, token_counts, toxicity, transport_stream
+from termloom.llm import bpe, licenses, metric_join, mixing, sentence_spans, token_counts, toxicity, transport_stream
 from termloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_licenses", F.concat_ws(",", "licenses").alias("licenses"), F.concat_ws(",", "rules").alias("rules"))
+
+
+@query("op2_sentence_spans")
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.scan(table(spark, sf_dir, "documents"))
