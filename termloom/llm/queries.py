@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, licenses, metric_join, mixing, sentence_spans, suffix_dedup, token_counts, toxicity, transport_stream
+from termloom.llm import bpe, licenses, lsh_forest, metric_join, mixing, sentence_spans, suffix_dedup, token_counts, toxicity, transport_stream
 from termloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.classes(table(spark, sf_dir, "documents"))

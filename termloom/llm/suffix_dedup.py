@@ -36,39 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize, text_of
+from termloom.llm.rolling import Hashes, mixed
 
 WINDOW, Q = 200, 64
 #: Positions hashed at a time, bytes of contexts a block should have, contexts from which on a bucket is dealt out by window, and bytes up to which per-document lists are broadcast (their size is summed first).
 CHUNK, BLOCK_BYTES, MOST_CONTEXTS, MOST_BROADCAST_BYTES = 1 << 19, 2 << 20, 1_000, 48 << 20
 
 _PLACE = np.uint64((1 << 21) - 1)
-_BASE = 0xD6E8FEB86659FD93
-_LETTERS = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-class Hashes:
-    """Hashes of any substring of a buffer, by prefix sums modulo 2**64."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data) + 1
-        if len(_powers.get("up", ())) < n:
-            size = max(n, CHUNK + 2 * WINDOW)
-            _powers["up"] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64)]))
-            _powers["down"] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_LETTERS[data] * _powers["down"][: n - 1], out=self.sums[1:])
-
-    def of(self, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mixed((self.sums[begin + length] - self.sums[begin]) * _powers["up"][begin])
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -113,7 +87,7 @@ def _anchors_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(starts)]]))
     begin, place = starts[first], anchor[first]
-    context = _mixed(hashes.of(begin, count + WINDOW - 1) ^ ((place - begin) * 1024 + count).astype(np.uint64))
+    context = mixed(hashes.of(begin, count + WINDOW - 1) ^ ((place - begin) * 1024 + count).astype(np.uint64))
     owner = np.searchsorted(begins, begin, "right") - 1
     numbers, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
     return numbers[owner], begin - begins[owner] + offsets[owner], count, grams[place], context
@@ -249,7 +223,7 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                 begin = b.column(2)[i].as_py() // 256
                 p = np.arange(len(data) - WINDOW + 1)
                 hashes, row = Hashes(data), pa.array(np.full(len(p), i))
-                half = _mixed(hashes.of(p, WINDOW // 2) * np.uint64(3) + hashes.of(p + WINDOW // 2, WINDOW // 2))
+                half = mixed(hashes.of(p, WINDOW // 2) * np.uint64(3) + hashes.of(p + WINDOW // 2, WINDOW // 2))
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(row), "k1": b.column(1).take(row), "run": pa.array((begin + p) * 256 + 1), "open": b.column(3).take(row), "w1": pa.array(hashes.of(p, WINDOW).view(np.int64)), "w2": pa.array(half.view(np.int64))})
 
     dealt = cut.where("large").select("doc_id", "k1", "run", "open", "bytes").mapInArrow(windows, f"doc_id {kind}, k1 long, run long, open boolean, w1 long, w2 long")
