@@ -138,29 +138,28 @@ class WordBpe:
         return " ".join(map(self.string_of.__getitem__, ids.split(" "))) if ids else ""
 
 
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", digests: bool = False) -> DataFrame:
-    """One row per document: doc_id, ids (decimal, joined by one space), decoded; with digests n_tokens, ids_sha256 and decoded_sha256 instead, so that only those leave the task.
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per document: doc_id and the outputs asked for, in that order, of ids (decimal, joined by one space), decoded, n_tokens, ids_sha256 and decoded_sha256.
 
-    The model file (under 2 MB) is read by the driver and broadcast. No shuffle.
+    The model file (under 2 MB) is read by the driver and broadcast. No shuffle; only what
+    is asked for leaves a task.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(open(model_path, encoding="utf-8").read())
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
+    kinds = {"ids": "string", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", *(f"{o} {kinds[o]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordBpe(model.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            ids, decoded = [], []
+            out: dict[str, list] = {o: [] for o in outputs}
             for t in batch.column(1):
-                ids.append(x := coder.encode(t.as_py()))
-                decoded.append(sha(coder.decode(x)) if digests else coder.decode(x))
-            out = {"doc_id": batch.column(0)}
-            if digests:
-                out |= {"n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x) for x in ids], pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-            else:
-                out |= {"ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
+                ids = coder.encode(t.as_py())
+                decoded = coder.decode(ids)
+                row = {"ids": ids, "decoded": decoded, "n_tokens": ids.count(" ") + 1 if ids else 0}
+                for o in outputs:
+                    out[o].append(sha(row[o[:-7]]) if o.endswith("_sha256") else row[o])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {o: pa.array(v, pa.int64() if o == "n_tokens" else pa.string()) for o, v in out.items()})
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)

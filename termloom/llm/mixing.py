@@ -34,8 +34,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     Sources in code-point order, null last, weigh weights[0], weights[1], ... repeating.
     Targets share the total by weight, at most most_epochs times a source's size; what is
     above goes to the others by weight until none is above. In closed form: order the
-    sources by cap/weight; the first k are capped, where k is the first place at which the
-    level (what is left over the weight left) does not exceed the next cap/weight. The
+    sources by cap/weight; those before the first place at which the level (what is left
+    over the weight left) does not exceed the next cap/weight are capped, and that level
+    holds for the rest. The
     windows run over one row per source, never over documents.
     """
     n = len(weights)
@@ -52,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
         .withColumn("gone", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("total") - F.col("capped")) / (F.col("weights") - F.col("gone")))
         .withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-        .withColumn("final", F.min(F.when(F.col("fits"), F.col("level"))).over(everything))
+        .withColumn("final", F.min(F.when(F.col("fits"), F.struct(F.row_number().over(by_ratio).alias("k"), "level"))).over(everything)["level"])
         .withColumn("open", F.max(F.col("fits").cast("int")).over(by_ratio.rowsBetween(W.unboundedPreceding, 0)))
     )
     target = F.when(F.col("open") == 1, F.least(F.col("final") * F.col("weight"), F.col("cap"))).otherwise(F.col("cap"))
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
 
 def draw(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: str = "mix", rows_per_range: int = 5_000, length_col: str | None = "n_chars") -> DataFrame:
-    """The mixed corpus itself, with the columns of docs: a document appears once for each whole epoch it is taken in; the one at a cut ends at the cut's word.
+    """The mixed corpus itself, with the columns of docs: a document appears once for each whole epoch it is taken in; the one at a cut ends at the cut's word (its words joined by single spaces).
 
     Documents without words carry nothing to a mix and appear once. length_col, where docs
     has it, is set to the length of a text that was cut.
@@ -147,7 +148,7 @@ def draw(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     rows = taken.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
     is_cut = words < F.col("_size")
-    head = F.regexp_extract(text_of(text_col), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,"), (words - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), F.lit(0))
+    head = F.array_join(F.slice(F.regexp_extract_all(text_of(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
     rows = rows.withColumn("_cut", is_cut).withColumn(text_col, F.when(F.col("_cut"), head).otherwise(F.col(text_col)))
     if length_col in columns:
         rows = rows.withColumn(length_col, F.when(F.col("_cut"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))

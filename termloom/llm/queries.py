@@ -39,9 +39,9 @@ s AS (
   SELECT source, source_size, cap, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS DOUBLE) AS cap FROM d GROUP BY source)),
 l AS (
-  SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER p, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0.0)) AS level
+  SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS k, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER p, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0.0)) AS level
   FROM s WINDOW p AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT min(CASE WHEN level <= cap / w THEN level END) AS final FROM l),
+f AS (SELECT arg_min(level, k) AS final FROM l WHERE level <= cap / w),
 o AS (
   SELECT l.*, max(CAST(level <= cap / w AS INT)) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM l),
 t AS (SELECT source, source_size, CASE WHEN open = 1 THEN least(final * w, cap) ELSE cap END AS target FROM o CROSS JOIN f),
@@ -59,7 +59,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests=True)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 @query("op7_transport_streams")
