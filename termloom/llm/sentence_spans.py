@@ -124,25 +124,44 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return later.select("doc_id", "tie", "place", "n")
 
 
+def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
+    """The runs of each document as maximal stretches of sentences: [first, end, first, end, ...]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            merged = []
+            for runs in b.column(2).to_pylist():
+                first, n = np.divmod(np.sort(np.array(runs, np.int64)), 1 << 31)
+                end = np.maximum.accumulate(first + n)
+                new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+                merged.append(np.column_stack([first[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]]).ravel().tolist())
+            yield pa.RecordBatch.from_pydict({"_r_id": b.column(0), "_r_tie": b.column(1), "_runs": pa.array(merged, pa.list_(pa.int32()))})
+
+    return by_doc.mapInArrow(run, f"_r_id {kind}, _r_tie long, _runs array<int>")
+
+
 def _removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """docs' doc_id, text and the runs to remove (null: none), with all other columns."""
+    """docs with _runs, the stretches of sentences to remove (null: none)."""
     later = repeated_spans(docs, text_col, id_col)
-    runs = later.groupBy(F.col("doc_id").alias("_r_id"), F.col("tie").alias("_r_tie")).agg(F.collect_set(F.struct("place", "n")).alias("_runs"))
-    runs = materialize(runs, "spans-runs")
-    size = runs.agg(F.coalesce(F.sum(F.size("_runs") * 8 + 48), F.lit(0))).first()[0]
+    packed = F.shiftleft(F.col("place").cast("long"), 31) + F.col("n")
+    runs = later.groupBy(F.col("doc_id").alias("_r_id"), F.col("tie").alias("_r_tie")).agg(F.collect_set(packed).alias("_runs"))
+    runs = materialize(_merged(runs, docs.schema[id_col].dataType.simpleString()), "spans-runs")
+    size = runs.agg(F.coalesce(F.sum(F.size("_runs") * 4 + 48), F.lit(0))).first()[0]
     tie = F.crc32(text_of(text_col).cast("binary"))
     return docs.join(F.broadcast(runs) if size <= MOST_BROADCAST_BYTES else runs, F.col(id_col).eqNullSafe(F.col("_r_id")) & (tie == F.col("_r_tie")), "left").drop("_r_id", "_r_tie")
 
 
-def _cut(text: str, runs: list | None) -> tuple[str, int, int]:
+def _cut(text: str, runs: list[int] | None) -> tuple[str, int, int]:
     """The text left, its number of sentences and how many are removed."""
     parts, _ = split(text)
-    gone = np.zeros(len(parts) + 1, np.int64)
-    for r in runs or ():
-        gone[r["place"]] += 1
-        gone[r["place"] + r["n"]] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    return ("".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else text), len(parts), int(gone.sum())
+    if not runs:
+        return text, len(parts), 0
+    kept, at, removed = [], 0, 0
+    for first, end in zip(runs[::2], runs[1::2], strict=True):
+        kept += parts[at:first]
+        removed += end - first
+        at = end
+    return "".join(kept + parts[at:]), len(parts), removed
 
 
 def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = "n_chars") -> DataFrame:
