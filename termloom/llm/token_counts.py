@@ -29,64 +29,108 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 ODD_SPACE = regex.compile(r" (?=\s|\Z)")
 #: The most frequent pre-tokens, which tasks look up in a broadcast table of at most this many entries and these bytes each.
 HEAD_ENTRIES, HEAD_BYTES = 250_000, 32
-#: Distinct stretches a task remembers.
-REMEMBERED = 200_000
+#: Stretches whose sums a task remembers, and distinct stretches it holds before it hands them to the shuffle.
+REMEMBERED, MOST_HELD = 250_000, 400_000
 
 
 class PreTokens:
-    """Pre-token frequencies of texts."""
+    """Cuts texts into stretches (what stands between single spaces), whose pre-tokens don't depend on their neighbours."""
 
     def __init__(self, special: list[str]) -> None:
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = set(special)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, tuple[str, ...]] = {}
 
-    def of_stretch(self, stretch: str) -> tuple[str, ...]:
-        found = tuple(self.pattern.findall(stretch))
-        if len(stretch) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[stretch] = found
-        return found
-
-    def count(self, text: str) -> tuple[Counter, int]:
-        """Frequencies of pre-tokens, and the number of special strings (a token each)."""
+    def stretches(self, text: str) -> tuple[list[str], list[str], int]:
+        """Stretches that follow a space, pre-tokens of the rest, and the number of special strings (a token each)."""
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
-        out: Counter = Counter()
+        spaced: list[str] = []
+        loose: list[str] = []
         special = 0
         for part in parts:
             if part in self.special:
                 special += 1
             elif ODD_SPACE.search(part):
-                out.update(self.pattern.findall(part))
+                loose += self.pattern.findall(part)
             elif part:
-                known = self.known
-                first, *rest = part.split(" ")
-                stretches = Counter(rest)
-                for s in self.of_stretch(first) if first else ():
-                    out[s] += 1
-                for s, n in stretches.items():
-                    s = " " + s
-                    for t in known.get(s) or self.of_stretch(s):
-                        out[t] += n
+                units = part.split(" ")
+                loose += self.pattern.findall(units[0])
+                spaced += units[1:]
+        return spaced, loose, special
+
+    def tokens(self, stretch: str) -> list[str]:
+        """The pre-tokens of a stretch that follows a space."""
+        return self.pattern.findall(" " + stretch)
+
+    def count(self, text: str) -> tuple[Counter, int]:
+        """Frequencies of pre-tokens, and the number of special strings."""
+        spaced, loose, special = self.stretches(text)
+        out = Counter(loose)
+        for stretch, n in Counter(spaced).items():
+            for t in self.tokens(stretch):
+                out[t] += n
         return out, special
 
 
+class Summer:
+    """Pieces of texts as far as a bounded table of frequent pre-tokens knows them, and the frequencies of the others."""
+
+    def __init__(self, cutter: PreTokens, head: dict[str, int]) -> None:
+        self.cutter, self.head = cutter, head
+        self.known: dict[str, int] = {}  # stretches whose pre-tokens are all in head
+
+    def sum(self, text: str) -> tuple[int, dict[str, int]]:
+        spaced, loose, total = self.cutter.stretches(text)
+        head, rest = self.head, {}
+        for t in loose:
+            if (k := head.get(t)) is None:
+                rest[t] = rest.get(t, 0) + 1
+            else:
+                total += k
+        pieces = list(map(self.known.get, spaced))
+        total += sum(filter(None, pieces))
+        if None in pieces:
+            for stretch, n in Counter([s for s, k in zip(spaced, pieces, strict=True) if k is None]).items():
+                tokens = self.cutter.tokens(stretch)
+                found = [head.get(t) for t in tokens]
+                if None in found:
+                    for t, k in zip(tokens, found, strict=True):
+                        if k is None:
+                            rest[t] = rest.get(t, 0) + n
+                        else:
+                            total += k * n
+                else:
+                    total += sum(found) * n
+                    if len(stretch) <= 64:
+                        if len(self.known) >= REMEMBERED:
+                            self.known.clear()
+                        self.known[stretch] = sum(found)
+        return total, rest
+
+
 def pre_token_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """(token, n_docs, n_pieces): each distinct pre-token of all texts, with the documents that have it and its number of pieces, counted once."""
+    """(token, n_uses, n_pieces): each distinct pre-token of all texts, how often it is used, and its number of pieces, counted once."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = PreTokens(_special(model.value)), Counter()
-        give = lambda: pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+        cutter, units, seen = PreTokens(_special(model.value)), Counter(), Counter()
+
+        def give() -> pa.RecordBatch:
+            for stretch, n in units.items():
+                for t in cutter.tokens(stretch):
+                    seen[t] += n
+            out = pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            units.clear(), seen.clear()
+            return out
+
         for batch in batches:
             for t in batch.column(0):
-                seen.update(cutter.count(t.as_py())[0].keys())
-                if len(seen) > 400_000:  # bounds the task's memory; the sums follow in the shuffle
+                spaced, loose, _ = cutter.stretches(t.as_py())
+                units.update(spaced)
+                seen.update(loose)
+                if len(units) + len(seen) > MOST_HELD:
                     yield give()
-                    seen.clear()
         yield give()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +141,10 @@ def pre_token_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "
         tok.no_truncation(), tok.no_padding()
         for batch in batches:
             found = tok.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_pydict({"token": batch.column(0), "n_docs": batch.column(1), "n_pieces": pa.array([len(e.ids) for e in found], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"token": batch.column(0), "n_uses": batch.column(1), "n_pieces": pa.array([len(e.ids) for e in found], pa.int64())})
 
-    counted = docs.select(text_of(text_col).alias("text")).mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n_docs"))
-    return counted.mapInArrow(pieces, "token string, n_docs long, n_pieces long")
+    counted = docs.select(text_of(text_col).alias("text")).mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n_uses"))
+    return counted.mapInArrow(pieces, "token string, n_uses long, n_pieces long")
 
 
 def _special(model: str) -> list[str]:
@@ -121,25 +165,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", i
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
     dictionary = materialize(pre_token_dictionary(docs, tokenizer_path, text_col), "token-dictionary")
-    top = dictionary.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("n_docs"), "token").limit(HEAD_ENTRIES)
+    top = dictionary.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("n_uses"), "token").limit(HEAD_ENTRIES)
     head = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in top.select("token", "n_pieces").toArrow().columns), strict=True)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, known = PreTokens(_special(model.value)), head.value
+        summer = Summer(PreTokens(_special(model.value)), head.value)
         for batch in batches:
             sums, tokens, counts = [], [], []
             for t in batch.column(1):
-                freq, total = cutter.count(t.as_py())
-                rest: list[tuple[str, int]] = []
-                for token, n in freq.items():
-                    if (k := known.get(token)) is None:
-                        rest.append((token, n))
-                    else:
-                        total += k * n
+                total, rest = summer.sum(t.as_py())
                 sums.append(total)
-                tokens.append([x[0] for x in rest])
-                counts.append([x[1] for x in rest])
+                tokens.append(list(rest))
+                counts.append(list(rest.values()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": batch.column(2), "head_tokens": pa.array(sums, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.string())), "counts": pa.array(counts, pa.list_(pa.int32()))})
 
     text = text_of(text_col)
