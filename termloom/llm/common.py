@@ -29,9 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
+def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Hand texts to Python tasks in batches of at most this many rows, unless the session asks for fewer: a worker holds a batch at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,4 +65,5 @@ def text_keys(column: str) -> list[Column]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -39,8 +39,10 @@ from termloom.llm.common import materialize, text_of
 from termloom.llm.rolling import Hashes, mixed
 
 WINDOW, Q = 200, 64
-#: Positions hashed at a time, bytes of contexts a block should have, contexts from which on a bucket is dealt out by window, and bytes up to which per-document lists are broadcast (their size is summed first).
-CHUNK, BLOCK_BYTES, MOST_CONTEXTS, MOST_BROADCAST_BYTES = 1 << 19, 2 << 20, 1_000, 48 << 20
+#: Positions hashed at a time, bytes of contexts a block should have, and bytes up to which per-document lists are broadcast (their size is summed first).
+CHUNK, BLOCK_BYTES, MOST_BROADCAST_BYTES = 1 << 19, 1 << 20, 48 << 20
+#: A bucket with more contexts than this is twice a block by itself; it is dealt out by window.
+MOST_CONTEXTS = 2 * BLOCK_BYTES // (WINDOW + (WINDOW - Q) // 2)
 
 _PLACE = np.uint64((1 << 21) - 1)
 
@@ -178,25 +180,27 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     settled = shared.join(groups.where("n > 1").select("h", "context"), ["h", "context"]).select("doc_id", "k1", "run")
     # what is left: contexts that occur once in buckets of several; one of each settled context stands for its equals
     open_buckets = materialize(groups.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("least = 1 AND contexts > 1").select("h", "contexts"), "suffix-open")
-    wanted = groups.join(open_buckets, "h").select("one.*", "h", (F.col("n") == 1).alias("open"), (F.col("contexts") > MOST_CONTEXTS).alias("large"))
-    by_doc = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("k1").alias("w_k1")).agg(F.collect_list(F.struct("run", "h", "open", "large")).alias("wanted"))
+    flags = F.when(F.col("n") == 1, 2).otherwise(0) + F.when(F.col("contexts") > MOST_CONTEXTS, 1).otherwise(0)
+    wanted = groups.join(open_buckets, "h").select("one.doc_id", "one.k1", (F.col("one.run") * 4 + flags).alias("run"))
+    by_doc = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("k1").alias("w_k1")).agg(F.collect_list("run").alias("wanted"))
     by_doc = materialize(by_doc, "suffix-wanted")
-    size, total = by_doc.agg(F.coalesce(F.sum(F.size("wanted") * 24 + 48), F.lit(0)), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
+    size, total = by_doc.agg(F.coalesce(F.sum(F.size("wanted") * 8 + 48), F.lit(0)), F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()
     joined = keyed.join(F.broadcast(by_doc) if size <= MOST_BROADCAST_BYTES else by_doc, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("k1") == F.col("w_k1")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                out: dict[str, list] = {x: [] for x in ("row", "run", "h", "open", "large", "bytes")}
+                rows, runs, pieces = [], [], []
                 for i, (text, wanted) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     data = text.encode()
                     for w in wanted:
-                        begin, count = divmod(w["run"], 256)
-                        out["row"].append(i), out["run"].append(w["run"]), out["h"].append(w["h"]), out["open"].append(w["open"]), out["large"].append(w["large"])
-                        out["bytes"].append(data[begin : begin + count + WINDOW - 1])
-                take = pa.array(out["row"], pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).take(take), "k1": part.column(1).take(take), "run": pa.array(out["run"], pa.int64()), "h": pa.array(out["h"], pa.int64()), "open": pa.array(out["open"], pa.bool_()), "large": pa.array(out["large"], pa.bool_()), "bytes": pa.array(out["bytes"], pa.binary())})
+                        begin, count = divmod(w >> 2, 256)
+                        rows.append(i), runs.append(w), pieces.append(data[begin : begin + count + WINDOW - 1])
+                if rows:
+                    take, packed = pa.array(rows, pa.int64()), np.array(runs, np.int64)
+                    h = anchors(pieces)[3]  # all starts of a context have one anchor
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).take(take), "k1": part.column(1).take(take), "run": pa.array(packed >> 2), "h": pa.array(h.view(np.int64)), "open": pa.array(packed & 2 > 0), "large": pa.array(packed & 1 > 0), "bytes": pa.array(pieces, pa.binary())})
 
     cut = materialize(joined.select("doc_id", "k1", "text", "wanted").mapInArrow(contexts, f"doc_id {kind}, k1 long, run long, h long, open boolean, large boolean, bytes binary"), "suffix-cut")
     blocks = max(64, -(-total * (WINDOW + 70) // BLOCK_BYTES))
@@ -232,24 +236,38 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return settled.unionByName(refined).unionByName(dealt)
 
 
+def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
+    """Runs of each document as maximal covered stretches: [begin, end, begin, end, ...]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            merged = []
+            for runs in b.column(2).to_pylist():
+                begin, count = np.divmod(np.sort(np.array(runs, np.int64)), 256)
+                end = np.maximum.accumulate(begin + count + WINDOW - 1)
+                new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+                merged.append(np.column_stack([begin[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]]).ravel().tolist())
+            yield pa.RecordBatch.from_pydict({"__r_id": b.column(0), "__r_k1": b.column(1), "__runs": pa.array(merged, pa.list_(pa.int64()))})
+
+    return by_doc.mapInArrow(run, f"__r_id {kind}, __r_k1 long, __runs array<bigint>")
+
+
 def _with_runs(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """docs with _runs: the packed runs of each row (null: none)."""
+    """docs with _runs: the covered stretches of each row (null: none)."""
     runs = repeated_runs(docs, text_col, id_col)
-    by_doc = materialize(runs.groupBy(F.col("doc_id").alias("_r_id"), F.col("k1").alias("_r_k1")).agg(F.collect_set("run").alias("_runs")), "suffix-runs")
-    size = by_doc.agg(F.coalesce(F.sum(F.size("_runs") * 8 + 48), F.lit(0))).first()[0]
-    same = F.col(id_col).eqNullSafe(F.col("_r_id")) & (F.xxhash64(text_of(text_col)) == F.col("_r_k1"))
-    return docs.join(F.broadcast(by_doc) if size <= MOST_BROADCAST_BYTES else by_doc, same, "left").drop("_r_id", "_r_k1")
+    by_doc = runs.groupBy(F.col("doc_id").alias("__r_id"), F.col("k1").alias("__r_k1")).agg(F.collect_set("run").alias("__runs"))
+    by_doc = materialize(_merged(by_doc, docs.schema[id_col].dataType.simpleString()), "suffix-runs")
+    size = by_doc.agg(F.coalesce(F.sum(F.size("__runs") * 8 + 48), F.lit(0))).first()[0]
+    same = F.col(id_col).eqNullSafe(F.col("__r_id")) & (F.xxhash64(text_of(text_col)) == F.col("__r_k1"))
+    return docs.join(F.broadcast(by_doc) if size <= MOST_BROADCAST_BYTES else by_doc, same, "left").drop("__r_id", "__r_k1")
 
 
-def covered(n_bytes: int, runs: list[int] | None) -> np.ndarray:
+def covered(n_bytes: int, stretches: list[int]) -> np.ndarray:
     """Which bytes of a text lie in a repeated window."""
-    if not runs:
-        return np.zeros(n_bytes, bool)
-    begin, count = np.divmod(np.array(runs, np.int64), 256)
-    edge = np.zeros(n_bytes + 1, np.int32)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + count + WINDOW - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    out = np.zeros(n_bytes, bool)
+    for begin, end in zip(stretches[::2], stretches[1::2], strict=True):
+        out[begin:end] = True
+    return out
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -270,7 +288,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     rows = _with_runs(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "doc_id")
-    return rows.select("doc_id", "text", "_runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", "__runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = "n_chars") -> DataFrame:
@@ -290,7 +308,7 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leng
                 kept.append(text)
             yield pa.RecordBatch.from_pydict({c: b.column(i) for i, c in enumerate(columns)} | {text_col: pa.array(kept, b.schema.field(place).type)})
 
-    kept = _with_runs(docs, text_col, id_col).select(*columns, "_runs").mapInArrow(run, schema)
+    kept = _with_runs(docs, text_col, id_col).select(*columns, "__runs").mapInArrow(run, schema)
     if length_col in columns:
         kept = kept.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(schema[length_col].dataType)))
     return kept
