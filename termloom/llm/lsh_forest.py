@@ -277,14 +277,14 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     """docs with only the first document of each class (all columns stay); of rows that agree in doc_id and text one stays."""
     found = materialize(_classes(docs, text_col, id_col, threshold, target_recall), "forest-result")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1"))
-    dropped = found.where(~kept).select(F.col("doc_id").alias("_d_id"), F.col("k1").alias("_d_k1")).distinct()
-    twice = found.where(kept).groupBy(F.col("doc_id").alias("_d_id"), F.col("k1").alias("_d_k1")).count().where("count > 1").select("_d_id", "_d_k1")
-    marked = materialize(dropped.withColumn("_twice", F.lit(False)).unionByName(twice.withColumn("_twice", F.lit(True))), "forest-marked")
+    dropped = found.where(~kept).select(F.col("doc_id").alias("__d_id"), F.col("k1").alias("__d_k1")).distinct()
+    twice = found.where(kept).groupBy(F.col("doc_id").alias("__d_id"), F.col("k1").alias("__d_k1")).count().where("count > 1").select("__d_id", "__d_k1")
+    marked = materialize(dropped.withColumn("__twice", F.lit(False)).unionByName(twice.withColumn("__twice", F.lit(True))), "forest-marked")
     small = marked.count() * 64 <= MOST_BROADCAST_BYTES
-    same = F.col(id_col).eqNullSafe(F.col("_d_id")) & (F.xxhash64(text_of(text_col)) == F.col("_d_k1"))
+    same = F.col(id_col).eqNullSafe(F.col("__d_id")) & (F.xxhash64(text_of(text_col)) == F.col("__d_k1"))
     rows = docs.join(F.broadcast(marked) if small else marked, same, "left")
-    single = rows.where(F.col("_twice").isNull()).select(*docs.columns)
-    if not marked.where("_twice").limit(1).count():
+    single = rows.where(F.col("__twice").isNull()).select(*docs.columns)
+    if not marked.where("__twice").limit(1).count():
         return single
-    repeated = rows.where(F.col("_twice")).dropDuplicates(["_d_id", "_d_k1"]).select(*docs.columns)
+    repeated = rows.where(F.col("__twice")).dropDuplicates(["__d_id", "__d_k1"]).select(*docs.columns)
     return single.unionByName(repeated)

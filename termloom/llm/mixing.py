@@ -9,7 +9,7 @@ of its own, last in the order of weights; a null doc_id only feeds the key (as t
 empty string); repeated rows are separate rows, and which of two rows that agree in
 doc_id, size and text comes first makes no difference to the result as a set; an
 empty table gives an empty result; other columns are ignored (mix) or passed on
-untouched (draw); working columns start with an underscore.
+untouched, whatever their names (draw).
 """
 
 from __future__ import annotations
@@ -64,17 +64,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
 MOST_BROADCAST_SOURCES = 50_000
 
 
-def _sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: str) -> DataFrame:
-    """docs with the working columns _id, _source (never null, null sorts last), _size, _key, _tie."""
+def _sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: str, with_row: bool = False) -> DataFrame:
+    """The working columns _id, _source (never null, null sorts last), _size, _key and _tie; with_row, docs' own columns go along in one struct, so that no name of theirs can clash."""
     source = F.col(source_col).cast("string")
     as_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return docs.withColumns({
-        "_id": F.col(id_col),
-        "_source": F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)),
-        "_size": word_count(text_col),
-        "_key": F.md5(F.concat_ws("|", F.lit(seed), as_text(F.col(id_col)), as_text(source))),
-        "_tie": F.xxhash64(text_of(text_col)),
-    })
+    return docs.select(
+        F.col(id_col).alias("_id"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("_source"), word_count(text_col).alias("_size"),
+        F.md5(F.concat_ws("|", F.lit(seed), as_text(F.col(id_col)), as_text(source))).alias("_key"), F.xxhash64(text_of(text_col)).alias("_tie"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if with_row else []),
+    )
 
 
 def _placed(sized: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
@@ -128,8 +126,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     range totals are prefix-summed per source, and only the range that the cut falls into
     is sorted row by row.
     """
-    working = ("_id", "_source", "_size", "_key", "_tie")
-    small = materialize(_sized(docs, text_col, id_col, source_col, seed).select(*working), "mix-sizes")
+    small = materialize(_sized(docs, text_col, id_col, source_col, seed), "mix-sizes")
     plan, few = _plan(small, weights, most_epochs, rows_per_range)
     return _taken(small, plan, few).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
@@ -140,16 +137,17 @@ def draw(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     Documents without words carry nothing to a mix and appear once. length_col, where docs
     has it, is set to the length of a text that was cut.
     """
-    columns = docs.columns
     small = materialize(_sized(docs, text_col, id_col, source_col, seed).select("_source", "_size", "_key"), "mix-sizes")
     plan, few = _plan(small, weights, most_epochs, rows_per_range)
-    taken = _taken(_sized(docs, text_col, id_col, source_col, seed), plan, few)
+    taken = _taken(_sized(docs, text_col, id_col, source_col, seed, with_row=True), plan, few)
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.ceil(F.col("_taken") / F.col("_size"))).cast("int")
     rows = taken.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
-    is_cut = words < F.col("_size")
-    head = F.array_join(F.slice(F.regexp_extract_all(text_of(text_col), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
-    rows = rows.withColumn("_cut", is_cut).withColumn(text_col, F.when(F.col("_cut"), head).otherwise(F.col(text_col)))
-    if length_col in columns:
-        rows = rows.withColumn(length_col, F.when(F.col("_cut"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return rows.select(*columns)
+    own = lambda c: F.col(f"_row.`{c}`")
+    text = F.coalesce(own(text_col).cast("string"), F.lit(""))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")), " ")
+    rows = rows.withColumn("_cut", words < F.col("_size")).withColumn("_text", F.when(F.col("_cut"), head).otherwise(own(text_col)))
+    out = {c: own(c) for c in docs.columns} | {text_col: F.col("_text")}
+    if length_col in docs.columns:
+        out[length_col] = F.when(F.col("_cut"), F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(own(length_col))
+    return rows.select(*[v.alias(c) for c, v in out.items()])

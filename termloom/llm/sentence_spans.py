@@ -135,20 +135,20 @@ def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
                 end = np.maximum.accumulate(first + n)
                 new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
                 merged.append(np.column_stack([first[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]]).ravel().tolist())
-            yield pa.RecordBatch.from_pydict({"_r_id": b.column(0), "_r_tie": b.column(1), "_runs": pa.array(merged, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"__r_id": b.column(0), "__r_tie": b.column(1), "__runs": pa.array(merged, pa.list_(pa.int32()))})
 
-    return by_doc.mapInArrow(run, f"_r_id {kind}, _r_tie long, _runs array<int>")
+    return by_doc.mapInArrow(run, f"__r_id {kind}, __r_tie long, __runs array<int>")
 
 
 def _removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """docs with _runs, the stretches of sentences to remove (null: none)."""
     later = repeated_spans(docs, text_col, id_col)
     packed = F.shiftleft(F.col("place").cast("long"), 31) + F.col("n")
-    runs = later.groupBy(F.col("doc_id").alias("_r_id"), F.col("tie").alias("_r_tie")).agg(F.collect_set(packed).alias("_runs"))
+    runs = later.groupBy(F.col("doc_id").alias("__r_id"), F.col("tie").alias("__r_tie")).agg(F.collect_set(packed).alias("__runs"))
     runs = materialize(_merged(runs, docs.schema[id_col].dataType.simpleString()), "spans-runs")
-    size = runs.agg(F.coalesce(F.sum(F.size("_runs") * 4 + 48), F.lit(0))).first()[0]
+    size = runs.agg(F.coalesce(F.sum(F.size("__runs") * 4 + 48), F.lit(0))).first()[0]
     tie = F.crc32(text_of(text_col).cast("binary"))
-    return docs.join(F.broadcast(runs) if size <= MOST_BROADCAST_BYTES else runs, F.col(id_col).eqNullSafe(F.col("_r_id")) & (tie == F.col("_r_tie")), "left").drop("_r_id", "_r_tie")
+    return docs.join(F.broadcast(runs) if size <= MOST_BROADCAST_BYTES else runs, F.col(id_col).eqNullSafe(F.col("__r_id")) & (tie == F.col("__r_tie")), "left").drop("__r_id", "__r_tie")
 
 
 def _cut(text: str, runs: list[int] | None) -> tuple[str, int, int]:
@@ -177,7 +177,7 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leng
             out[text_col] = pa.array(kept, b.schema.field(place).type)
             yield pa.RecordBatch.from_pydict(out)
 
-    kept = _removals(docs, text_col, id_col).select(*columns, "_runs").mapInArrow(run, schema)
+    kept = _removals(docs, text_col, id_col).select(*columns, "__runs").mapInArrow(run, schema)
     if length_col in columns:
         kept = kept.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(schema[length_col].dataType)))
     return kept
@@ -198,4 +198,4 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             })
 
     rows = _removals(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "doc_id")
-    return rows.select("doc_id", "text", "_runs").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_removed long, removed_bytes long, kept_sha256 string")
+    return rows.select("doc_id", "text", "__runs").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_removed long, removed_bytes long, kept_sha256 string")
