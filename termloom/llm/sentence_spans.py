@@ -17,46 +17,44 @@ pass through remove() and are ignored by scan().
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize, text_of
 
-SENTENCES, WORDS = 3, 14
-#: A sentence this long is also cut after words whose hash says so, one in CUT_EVERY.
-LONG_WORDS, CUT_EVERY = 24, 8
+SENTENCES, WORDS = 3, 20
+#: A sentence this long is also cut after words whose hash says so, one in CUT_EVERY: a repeated passage of 50 words then has a run of its own wherever it begins and ends.
+LONG_WORDS, CUT_EVERY = 16, 6
 #: What is removed per document travels by broadcast below this many bytes (they are summed first), by shuffle above.
 MOST_BROADCAST_BYTES = 48 << 20
 
-_SENTENCE = regex.compile(r"[^.!?,;:|\n]*(?:[.!?,;:|\n]+\s*|\Z)")
-_WORD = regex.compile(r"\s*\S+\s*")
+_SENTENCE = re.compile(r"[^.!?,;:|\n]*(?:[.!?,;:|\n]+\s*|\Z)")  # re's \s is what str.split() splits at
+_WORD = re.compile(r"\s*\S+\s*")
 
 
-def split(text: str) -> tuple[list[str], list[int]]:
-    """The sentences of a text, which joined give the text, and their numbers of words."""
-    parts, words = [], []
+def split(text: str) -> tuple[list[str], list[int], list[str]]:
+    """The sentences of a text, which joined give the text, their numbers of words, and what is compared of them (case and white space don't count)."""
+    parts, words, plain = [], [], []
     for s in _SENTENCE.findall(text):
         if not s:
             continue
-        n = len(s.split())
-        if n < LONG_WORDS:
-            parts.append(s), words.append(n)
+        low = s.lower().split()
+        if len(low) < LONG_WORDS:
+            parts.append(s), words.append(len(low)), plain.append(" ".join(low))
             continue
-        held, count = [], 0
-        for w in _WORD.findall(s):
+        held, at = [], 0
+        for i, (w, x) in enumerate(zip(_WORD.findall(s), low, strict=True), 1):
             held.append(w)
-            count += 1
-            if hashlib.blake2b(w.strip().lower().encode(), digest_size=1).digest()[0] % CUT_EVERY == 0:
-                parts.append("".join(held)), words.append(count)
-                held, count = [], 0
-        if held:
-            parts.append("".join(held)), words.append(count)
-    return parts, words
+            if zlib.crc32(x.encode()) % CUT_EVERY == 0 or i == len(low):
+                parts.append("".join(held)), words.append(i - at), plain.append(" ".join(low[at:i]))
+                held, at = [], i
+    return parts, words, plain
 
 
 #: An odd multiplier and its inverse modulo 2**64: hashes of runs come from prefix sums, shifted back to the run's start.
@@ -66,12 +64,12 @@ _UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each shortest run: its hash, its first sentence, and its number of sentences. Case and white space don't count."""
-    parts, words = split(text)
+    _, words, plain = split(text)
     at = [i for i, n in enumerate(words) if n]
     if len(at) < SENTENCES:
         return (np.zeros(0, np.int64),) * 3
     blake = hashlib.blake2b
-    h = np.frombuffer(b"".join(blake(" ".join(parts[i].lower().split()).encode(), digest_size=8).digest() for i in at), np.uint64)
+    h = np.frombuffer(b"".join(blake(plain[i].encode(), digest_size=8).digest() for i in at), np.uint64)
     n = np.cumsum([0, *(words[i] for i in at)])
     first = np.arange(len(at))
     last = np.maximum(np.searchsorted(n, n[:-1] + WORDS), first + SENTENCES)  # one past the run's last sentence
@@ -96,7 +94,7 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, tie, place, n) of every repeated span but the first of each; tie is the text's crc32.
+    """(doc_id, tie, place, n, later) of every repeated span; later is false for the first of each, tie is the text's crc32.
 
     A hash per sentence is counted (combined before the shuffle); only occurrences of hashes
     that were seen twice go on. The joins are plain equi-joins of two shuffled tables, so
@@ -120,31 +118,37 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     held = materialize(occurrences.join(repeated, "span"), "spans-held")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "place")
     first = materialize(held.groupBy("span").agg(F.min(order).alias("first")), "spans-first")
-    later = held.join(first, "span").where(order != F.col("first"))
-    return later.select("doc_id", "tie", "place", "n")
+    return held.join(first, "span").select("doc_id", "tie", "place", "n", (order != F.col("first")).alias("later"))
+
+
+def _stretches(runs: list[int] | None) -> list[int]:
+    """Packed runs as maximal stretches of sentences: [first, end, first, end, ...]."""
+    if not runs:
+        return []
+    first, n = np.divmod(np.sort(np.array(runs, np.int64)), 1 << 31)
+    end = np.maximum.accumulate(first + n)
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    return np.column_stack([first[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]]).ravel().tolist()
 
 
 def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
-    """The runs of each document as maximal stretches of sentences: [first, end, first, end, ...]."""
+    """Each document's later runs as stretches, and the number of its sentences in any repeated run, first ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            merged = []
-            for runs in b.column(2).to_pylist():
-                first, n = np.divmod(np.sort(np.array(runs, np.int64)), 1 << 31)
-                end = np.maximum.accumulate(first + n)
-                new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
-                merged.append(np.column_stack([first[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]]).ravel().tolist())
-            yield pa.RecordBatch.from_pydict({"__r_id": b.column(0), "__r_tie": b.column(1), "__runs": pa.array(merged, pa.list_(pa.int32()))})
+            everything = [_stretches(r) for r in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "__r_id": b.column(0), "__r_tie": b.column(1), "__runs": pa.array([_stretches(r) for r in b.column(3).to_pylist()], pa.list_(pa.int32())),
+                "__repeated": pa.array([sum(s[1::2]) - sum(s[::2]) for s in everything], pa.int64()),
+            })
 
-    return by_doc.mapInArrow(run, f"__r_id {kind}, __r_tie long, __runs array<int>")
+    return by_doc.mapInArrow(run, f"__r_id {kind}, __r_tie long, __runs array<int>, __repeated long")
 
 
 def _removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """docs with _runs, the stretches of sentences to remove (null: none)."""
-    later = repeated_spans(docs, text_col, id_col)
+    """docs with __runs, the stretches of sentences to remove (null or empty: none), and __repeated."""
     packed = F.shiftleft(F.col("place").cast("long"), 31) + F.col("n")
-    runs = later.groupBy(F.col("doc_id").alias("__r_id"), F.col("tie").alias("__r_tie")).agg(F.collect_set(packed).alias("__runs"))
+    runs = repeated_spans(docs, text_col, id_col).groupBy(F.col("doc_id").alias("__r_id"), F.col("tie").alias("__r_tie")).agg(F.collect_set(packed).alias("any"), F.collect_set(F.when(F.col("later"), packed)).alias("later"))
     runs = materialize(_merged(runs, docs.schema[id_col].dataType.simpleString()), "spans-runs")
     size = runs.agg(F.coalesce(F.sum(F.size("__runs") * 4 + 48), F.lit(0))).first()[0]
     tie = F.crc32(text_of(text_col).cast("binary"))
@@ -153,7 +157,7 @@ def _removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def _cut(text: str, runs: list[int] | None) -> tuple[str, int, int]:
     """The text left, its number of sentences and how many are removed."""
-    parts, _ = split(text)
+    parts = split(text)[0]
     if not runs:
         return text, len(parts), 0
     kept, at, removed = [], 0, 0
@@ -184,7 +188,7 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leng
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed (sentences), removed_bytes, kept_sha256."""
+    """One row per document: doc_id, n_sentences, n_repeated (sentences in repeated spans, first ones too), n_removed (sentences), removed_bytes, kept_sha256."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +197,9 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             found = [_cut(t, r) for t, r in zip(texts, b.column(2).to_pylist(), strict=True)]
             kept = [f[0].encode() for f in found]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column(0), "n_sentences": pa.array([f[1] for f in found], pa.int64()), "n_removed": pa.array([f[2] for f in found], pa.int64()),
+                "doc_id": b.column(0), "n_sentences": pa.array([f[1] for f in found], pa.int64()), "n_repeated": pa.array([x or 0 for x in b.column(3).to_pylist()], pa.int64()), "n_removed": pa.array([f[2] for f in found], pa.int64()),
                 "removed_bytes": pa.array([len(t.encode()) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
             })
 
     rows = _removals(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "doc_id")
-    return rows.select("doc_id", "text", "__runs").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_removed long, removed_bytes long, kept_sha256 string")
+    return rows.select("doc_id", "text", "__runs", "__repeated").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_repeated long, n_removed long, removed_bytes long, kept_sha256 string")

@@ -90,7 +90,7 @@ def brute_spans(rows):
     documents = {(i is None, i or 0, zlib.crc32((t or "").encode())): t or "" for i, t, _ in rows}
     seen = defaultdict(set)
     for key, t in documents.items():
-        parts, n = split(t)
+        parts, n, _ = split(t)
         at = [i for i, k in enumerate(n) if k]
         for a in range(len(at)):
             total = 0
@@ -99,16 +99,19 @@ def brute_spans(rows):
                 if b - a + 1 >= SENTENCES and total >= WORDS:
                     seen[tuple(" ".join(parts[i].lower().split()) for i in at[a : b + 1])].add((*key, at[a], at[b] - at[a] + 1))
                     break
-    gone = defaultdict(set)
+    gone, repeated = defaultdict(set), defaultdict(set)
     for places in seen.values():
-        for *key, first, n in sorted(places)[1:]:
-            gone[tuple(key)] |= set(range(first, first + n))
+        for k, (*key, first, n) in enumerate(sorted(places)):
+            if len(places) > 1:
+                repeated[tuple(key)] |= set(range(first, first + n))
+            if k:
+                gone[tuple(key)] |= set(range(first, first + n))
     out = []
     for i, t, _ in rows:
-        parts, _ = split(t or "")
-        removed = gone[(i is None, i or 0, zlib.crc32((t or "").encode()))]
-        kept = "".join(p for k, p in enumerate(parts) if k not in removed)
-        out.append((i, len(parts), len(removed), len((t or "").encode()) - len(kept.encode()), sha(kept)))
+        parts = split(t or "")[0]
+        key = (i is None, i or 0, zlib.crc32((t or "").encode()))
+        kept = "".join(p for k, p in enumerate(parts) if k not in gone[key])
+        out.append((i, len(parts), len(repeated[key]), len(gone[key]), len((t or "").encode()) - len(kept.encode()), sha(kept)))
     return out
 
 
@@ -121,11 +124,30 @@ def test_sentence_spans(odd, empty):
     assert sentence_spans.scan(empty).count() == 0 and sentence_spans.remove(empty).count() == 0
 
 
+def test_passages_of_fifty_words_are_found_anywhere(spark):
+    """Passages cut out at random places, with and without punctuation, in texts of their own."""
+    import random
+
+    from termloom.llm import sentence_spans
+    from tests.llm.conftest import sentences, words
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        source = (sentences(rng, 30) if k % 2 else words(rng, 200)).split(" ")
+        at = rng.randrange(len(source) - 55)
+        passage = " ".join(source[at : at + 54])
+        rows += [(10 * k, f"{words(rng, 30)} {passage} {sentences(rng, 6)}"), (10 * k + 1, f"{sentences(rng, 5)} {passage} {words(rng, 25)}"), (10 * k + 2, f"{sentences(rng, 9)} {words(rng, 40)}")]
+    got = {r.doc_id: r for r in sentence_spans.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[10 * k].n_repeated and got[10 * k + 1].n_removed for k in range(40))
+    assert not any(got[10 * k + 2].n_repeated or got[10 * k].n_removed for k in range(40))
+
+
 def test_sentences_join_to_the_text():
     from termloom.llm.sentence_spans import split
 
-    for _, t, _ in odd_texts():
-        parts, words = split(t or "")
+    for t in [*(t for _, t, _ in odd_texts()), *STRANGE, "a\x1cb\x85c\u2003d " * 30, "İ" * 9 + " \x1f " * 40]:
+        parts, words, _ = split(t or "")
         assert "".join(parts) == (t or "") and sum(words) == len((t or "").split())
 
 
