@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.operators.market import trunc
+from termloom.operators.ranking import tile_of, with_position
 
 COUNTS = ("atoms", "triples", "deposits", "redemptions", "deposit_volume", "redemption_volume")
 
@@ -40,15 +41,17 @@ def profiles(daily: DataFrame, as_of: str, windows: tuple[int, ...] = (7, 14, 30
 def rfm(profile: DataFrame, as_of: str, least_population: int = 50) -> DataFrame:
     """account and its three quintile scores over the active population (3 each if that is small, null if inactive).
 
-    Quintiles need a total order; ties go by account. The order runs over one narrow row
-    per active account; at most one such row each is what meets in the ranking task.
+    Quintiles need a total order; ties go by account. Each order is a distributed sort with
+    prefix-summed partition sizes, so no task sees more than its range.
     """
     days = F.datediff(F.lit(as_of).cast("date"), F.col("last_day"))
     active = profile.where("is_active").select("account", days.alias("recency"), "frequency", F.log1p(F.col("volume").cast("double")).alias("monetary"))
-    tile = lambda c: F.ntile(5).over(W.orderBy(c, "account")).cast("long")
-    scored = active.select("account", tile("recency").alias("r"), tile("frequency").alias("f"), tile("monetary").alias("m"), F.count(F.lit(1)).over(W.partitionBy()).alias("population"))
-    score = lambda c: F.when(F.col("population") < least_population, 3).otherwise(F.col(c)).cast("long")
-    return profile.select("account").join(scored, "account", "left").select("account", *[F.when(F.col("population").isNotNull(), score(c)).alias(c) for c in ("r", "f", "m")])
+    population = active.agg(F.count(F.lit(1)).alias("population"))
+    for measure, place in (("recency", "r"), ("frequency", "f"), ("monetary", "m")):
+        active = with_position(active, [measure, "account"], place)
+    score = lambda c: F.when(F.col("population") < least_population, 3).otherwise(tile_of(F.col(c), F.col("population"), 5)).cast("long")
+    scored = active.crossJoin(F.broadcast(population)).select("account", *[score(c).alias(c) for c in ("r", "f", "m")])  # the population is one row
+    return profile.select("account").join(scored, "account", "left")
 
 
 def segments(profile: DataFrame, first_seen: DataFrame, as_of: str) -> DataFrame:

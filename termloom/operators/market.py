@@ -67,17 +67,15 @@ def as_of_forward(rows: DataFrame, keys: tuple[str, ...], time: str, limit: Colu
     return rows.groupBy(*keys).agg(F.coalesce(early, F.min_by(value, time)).alias(value))
 
 
-def leaderboard(
-    changes: DataFrame, ticks: DataFrame, start: str, end: str, limit: int = 100, offset: int = 0, sort_by: str = "total_pnl", excluded_accounts: DataFrame | None = None,
-    min_positions: int = 0, min_volume: int = 0, min_deposit: int = 0, term: int | None = None, scale: float = 1e18, stats: DataFrame | None = None,
+def account_pnl(
+    changes: DataFrame, ticks: DataFrame, start: str, end: str, excluded_accounts: DataFrame | None = None, min_positions: int = 0, min_volume: int = 0, min_deposit: int = 0, term: int | None = None,
 ) -> DataFrame:
-    """Profit and loss by account over a period, ranked.
+    """Profit and loss of every account over a period.
 
     Positions are read as of the end and the start hour (both whole hours included); the
     start price of a vault is the hourly close by then or else the earliest later one, the
-    end price the close by then or else the latest price there is. Order is always
-    descending, nulls last, ties by account. Both sides of the position joins share the
-    position key, so they are one shuffle each; prices are small aggregates.
+    end price the close by then or else the latest price there is. Both snapshots come out
+    of one aggregation by position; prices are small aggregates by vault.
     """
     hour_start, hour_end = F.expr(f"date_trunc('hour', TIMESTAMP_NTZ'{start}')").cast("timestamp_ntz"), F.expr(f"date_trunc('hour', TIMESTAMP_NTZ'{end}')").cast("timestamp_ntz")
     day_start, day_end = F.expr(f"date_trunc('day', TIMESTAMP_NTZ'{start}')").cast("timestamp_ntz"), F.expr(f"date_trunc('day', TIMESTAMP_NTZ'{end}')").cast("timestamp_ntz")
@@ -108,22 +106,35 @@ def leaderboard(
         F.sum(F.col("deposited") + F.col("redeemed")).alias("total_volume"), F.sum("equity").alias("equity"), F.max("pnl").alias("best_trade"), F.min("pnl").alias("worst_trade"), F.sum("at_start").alias("pnl_at_start"),
     ).where((F.col("positions") >= min_positions) & (F.col("total_volume") >= min_volume) & (F.col("deposits") >= min_deposit))
     share = lambda c: F.when(F.col("deposits") > 0, F.col(c) / F.col("deposits") * 100).otherwise(0.0)
-    scored = by_account.withColumns({"pnl_pct": share("total_pnl"), "realized_pct": share("realized_pnl"), "unrealized_pct": share("unrealized_pnl"), "win_rate": F.col("winners") / F.col("positions") * 100, "pnl_change": F.col("total_pnl") - F.col("pnl_at_start")})
+    return by_account.withColumns({"pnl_pct": share("total_pnl"), "realized_pct": share("realized_pnl"), "unrealized_pct": share("unrealized_pnl"), "win_rate": F.col("winners") / F.col("positions") * 100, "pnl_change": F.col("total_pnl") - F.col("pnl_at_start")})
+
+
+def leaderboard(changes: DataFrame, ticks: DataFrame, start: str, end: str, limit: int = 100, offset: int = 0, sort_by: str = "total_pnl", scale: float = 1e18, stats: DataFrame | None = None, **filters) -> DataFrame:
+    """account_pnl() ranked: always descending, nulls last, ties by account; filters are those of account_pnl()."""
+    scored = account_pnl(changes, ticks, start, end, **filters)
     key = F.round(F.col(sort_by if sort_by in SORT_KEYS else "total_pnl"), 4)
     limit, offset = min(max(limit, 1), 10_000), max(offset, 0)
     top = scored.orderBy(key.desc_nulls_last(), "account").limit(limit + offset)  # only these rows meet in one task
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(key.desc_nulls_last(), "account")).cast("long")).where(F.col("rank") > offset)
     if stats is not None:
         ranked = ranked.join(stats, "account", "left")
-    rounded = {c: F.round(F.col(c), 4) for c in ("unrealized_pnl", "realized_pnl", "total_pnl", "best_trade", "worst_trade", "pnl_change", "pnl_pct", "realized_pct", "unrealized_pct")}
-    return ranked.drop("pnl_at_start").withColumns(rounded | {"win_rate": F.round("win_rate", 2), "total_pnl_scaled": F.round(F.col("total_pnl") / F.lit(scale), 4)})
+    return _rounded(ranked.drop("pnl_at_start").withColumn("total_pnl_scaled", F.round(F.col("total_pnl") / F.lit(scale), 4)))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    four = ("unrealized_pnl", "realized_pnl", "total_pnl", "best_trade", "worst_trade", "pnl_change", "pnl_pct", "realized_pct", "unrealized_pct")
+    return df.withColumns({c: F.round(F.col(c), 4) for c in four} | {"win_rate": F.round("win_rate", 2)})
 
 
 def leaderboard_cache(changes: DataFrame, ticks: DataFrame, periods: dict[str, tuple[str, str]], top: int = 100) -> DataFrame:
-    """The top of every period by every sort key."""
+    """The top of every period by every sort key, over all accounts.
+
+    The filter on the row number is pushed below the shuffle (a group limit), so every task
+    passes on at most top rows a period and key.
+    """
     out = None
     for period, (start, end) in periods.items():
-        board = leaderboard(changes, ticks, start, end, limit=10_000).drop("rank")
+        board = _rounded(account_pnl(changes, ticks, start, end))
         ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("sort_key"), F.col(k).cast("double").alias("key_value")) for k in SORT_KEYS])).alias("r")
         rows = board.select(F.lit(period).alias("period"), "account", ranks).select("period", "account", "r.*")
         out = rows if out is None else out.unionByName(rows)

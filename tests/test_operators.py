@@ -116,3 +116,16 @@ def test_plans_push_down(spark, sf_dir):
     assert "GreaterThanOrEqual(ts" in day and "LessThan(ts" in day
     rollup = explain(market.m2(spark, sf_dir) if hasattr(market, "m2") else market.p2(spark, sf_dir))
     assert "ReadSchema" in rollup and "props" not in rollup and rollup.count("Exchange hashpartitioning") <= 1
+
+
+def test_positions_and_tiles_equal_windows(spark):
+    from pyspark.sql import Window as W
+
+    from termloom.operators.ranking import tile_of, with_position
+
+    for n in (0, 3, 7, 203):
+        df = spark.range(n).select("id", (F.col("id") * 7919 % 13).alias("v"))
+        got = with_position(df, ["v", "id"], partitions=5).withColumn("tile", tile_of(F.col("position"), F.lit(n), 5))
+        w = W.orderBy("v", "id")
+        want = df.select("id", F.row_number().over(w).alias("position"), F.ntile(5).over(w).alias("tile"))
+        assert {tuple(r) for r in got.select("id", "position", "tile").collect()} == {tuple(r) for r in want.collect()}
