@@ -14,6 +14,11 @@ WAD = V.WAD
 LINEAR, PROGRESSIVE, NO_OFFSET = V.Linear(), V.OffsetProgressive(2 * WAD, WAD // 2), V.OffsetProgressive(2 * WAD, 0)
 
 
+def test_many_digests_equal_single_ones():
+    messages = [b"x" * n for n in (0, 1, 55, 134, 135, 136, 137, 271, 272, 273, 1000)] * 2
+    assert K.keccak256_many(messages) == [K.keccak256(m) for m in messages] and K.keccak256_many([]) == []
+
+
 def test_keccak_and_ids():
     assert K.keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
     for n in (1, 134, 135, 136, 137, 271, 272, 273):
