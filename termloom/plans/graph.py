@@ -304,8 +304,24 @@ for _i, (_op, _formula) in enumerate(_LIN.items(), 1):
         lambda spark, d, op=_op: _vault_rows(spark, d).select("l_orderkey", "l_linenumber", V.preview(V.Linear(), op, F.col("x"), F.col("a"), F.col("s"))["value"].alias("value")))
 
 PROGRESSIVE = V.OffsetProgressive(2 * V.WAD, V.WAD // 2)
-for _i, _op in enumerate(("deposit", "redeem", "mint", "withdraw", "price"), 7):
-    query(f"v{_i}_progressive_{_op}")(lambda spark, d, op=_op: _vault_rows(spark, d).select("l_orderkey", "l_linenumber", V.preview(PROGRESSIVE, op, F.col("x"), F.col("a"), F.col("s")).alias("r")).select("l_orderkey", "l_linenumber", "r.value", "r.error"))
+_U = "1000000000000000000::HUGEINT"
+#: A whole square root in 128-bit SQL: a Newton step from the double's root, then at most one off.
+_ROOT = "(CASE WHEN r * r > v THEN r - 1 WHEN (r + 1) * (r + 1) <= v THEN r + 1 ELSE r END)"
+
+
+def _rooted(inner: str) -> str:
+    return f"{_ROWS}, p AS (SELECT *, s + {_U} // 2 AS t FROM r), i AS (SELECT *, ({inner}) * {_U} AS v FROM p), j AS (SELECT *, CAST(sqrt(CAST(v AS DOUBLE)) AS HUGEINT) AS g FROM i), k AS (SELECT *, (g + v // g) // 2 AS r FROM j)"
+
+
+_PRO = {
+    "deposit": f"{_rooted(f't * t // {_U} + x')} SELECT l_orderkey, l_linenumber, CAST({_ROOT} - t AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM k",
+    "redeem": f"{_ROWS}, p AS (SELECT *, s + {_U} // 2 AS t FROM r) SELECT l_orderkey, l_linenumber, CAST(t * t // {_U} - (t - x) * (t - x) // {_U} AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM p",
+    "mint": f"{_ROWS}, p AS (SELECT *, s + {_U} // 2 AS t FROM r) SELECT l_orderkey, l_linenumber, CAST(((t + x) * (t + x) + {_U} - 1) // {_U} - t * t // {_U} AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM p",
+    "withdraw": f"{_rooted(f't * t // {_U} - x')} SELECT l_orderkey, l_linenumber, CAST(t - {_ROOT} AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM k",
+    "price": f"{_ROWS} SELECT l_orderkey, l_linenumber, CAST((s + {_U} // 2) * 2 AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM r",
+}
+for _i, (_op, _sql) in enumerate(_PRO.items(), 7):
+    query(f"v{_i}_progressive_{_op}", _sql)(lambda spark, d, op=_op: _vault_rows(spark, d).select("l_orderkey", "l_linenumber", V.preview(PROGRESSIVE, op, F.col("x"), F.col("a"), F.col("s")).alias("r")).select("l_orderkey", "l_linenumber", "r.value", "r.error"))
 
 
 @query("v12_fee_on_raw", "SELECT l_orderkey, l_linenumber, CAST((CAST(round(l_extendedprice * 100) AS HUGEINT) * 25 + 9999) // 10000 AS BIGINT) AS fee FROM lineitem")
@@ -322,5 +338,15 @@ def v13(spark, d):
 
 
 _FEES = V.Fees(protocol=100, entry=50, exit=25, wallet=25, fraction=150)
+
+
+def _fee_sql(op: str, kind: str) -> str:
+    rates = [100, 25] if op == "redeem" else [100, 50, *{"basic": [], "atom": [25], "triple": [150]}[kind]]
+    base_amount = "x * a // s" if op == "redeem" else "x"
+    fees = " + ".join(f"(b * {r} + 9999) // 10000" for r in rates)
+    shares = "x" if op == "redeem" else "(b - f) * s // a"
+    return f"{_ROWS}, q AS (SELECT *, {base_amount} AS b FROM r), z AS (SELECT *, {fees} AS f FROM q) SELECT l_orderkey, l_linenumber, CAST({shares} AS VARCHAR) AS shares, CAST(b AS VARCHAR) AS assets_before, CAST(b - f AS VARCHAR) AS assets_after, CAST(f AS VARCHAR) AS total_fees, CAST(NULL AS VARCHAR) AS error FROM z"
+
+
 for _id, _op, _kind in (("v14_deposit_with_fees", "deposit", "basic"), ("v15_redeem_with_fees", "redeem", "basic"), ("v16_atom_deposit", "deposit", "atom"), ("v17_triple_deposit", "deposit", "triple")):
-    query(_id)(lambda spark, d, op=_op, kind=_kind: _vault_rows(spark, d).select("l_orderkey", "l_linenumber", V.quote(V.Linear(), op, F.col("x"), F.col("a"), F.col("s"), _FEES, kind).alias("q")).select("l_orderkey", "l_linenumber", "q.*"))
+    query(_id, _fee_sql(_op, _kind))(lambda spark, d, op=_op, kind=_kind: _vault_rows(spark, d).select("l_orderkey", "l_linenumber", V.quote(V.Linear(), op, F.col("x"), F.col("a"), F.col("s"), _FEES, kind).alias("q")).select("l_orderkey", "l_linenumber", "q.*"))
