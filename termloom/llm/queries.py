@@ -106,6 +106,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE k >= 0.8 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT l.b, r.reached FROM r JOIN l ON r.node = l.a),
+d AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT r.node AS doc_id, min(r.reached) AS class_id, CAST(coalesce(any_value(d.n_links), 0) AS BIGINT) AS n_links, r.node = min(r.reached) AS kept FROM r LEFT JOIN d ON d.a = r.node GROUP BY r.node
+""")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.classes(table(spark, sf_dir, "documents"))
