@@ -43,8 +43,8 @@ BASE_LEXICON = ("clown", "disgusting", "dumb", "fool", "idiot", "imbecile", "los
 EXCEPTIONS = ("clown fish", "circus clown", "fool proof", "foolproof", "sore loser", "trash bag", "trash bin", "trash can", "white trash bag")
 #: Labelled documents that the lexicon and the curve are fitted on, at most; a hash of doc_id picks them.
 TRAINING_ROWS = 20_000
-#: Stems have this many letters; the lexicon holds at most MOST_ENTRIES; EVIDENCE is the least surprise (nats) of a stem's share of toxic documents.
-STEM_LETTERS, MOST_ENTRIES, EVIDENCE = (4, 8), 2_000, 16.0
+#: Stems have this many letters; the lexicon holds at most MOST_ENTRIES; a stem needs the share of toxic documents and the surprise (nats) over the base rate of PURE or of MIXED.
+STEM_LETTERS, MOST_ENTRIES, PURE, MIXED = (4, 8), 2_000, (0.8, 16.0), (0.5, 40.0)
 
 _TABLE = str.maketrans(HOMOGLYPHS)
 _MIXED = regex.compile(r"[a-z0-9@$!|]*(?:[a-z][0-9@$!|]+[a-z]|\b[0-9@$]+[a-z]{2})[a-z0-9@$!|]*")
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     Word counts of at most TRAINING_ROWS documents are summed in Spark; at most MOST_ENTRIES
     stems reach the driver, those whose share of toxic documents is far above the base
-    rate. A stem whose shorter form is in the lexicon already is left out; a word that has
+    rate. A stem is left out if a shorter form of it is in the lexicon and tells as much; a word that has
     a stem of the lexicon but is mostly in clean documents becomes an exception.
     """
     train = _training(docs, labels, text_col, id_col, label_col).persist()
@@ -168,10 +168,14 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         stems = by_word.where(F.length("word") >= STEM_LETTERS[0]).withColumn("k", F.explode(lengths)).groupBy(F.expr("substring(word, 1, k)").alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         rate, share = F.lit(n_toxic / n_all), F.col("toxic") / (F.col("toxic") + F.col("clean"))
         surprise = (F.col("toxic") + F.col("clean")) * (share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
-        strong = stems.where((F.col("toxic") > 0) & (share > F.greatest(rate, F.lit(0.8))) & (surprise >= EVIDENCE)).orderBy(F.desc("toxic"), "stem").limit(MOST_ENTRIES).collect()
+        enough = [(share >= F.lit(least)) & (surprise >= F.lit(nats)) for least, nats in (PURE, MIXED)]
+        strong = stems.where((F.col("toxic") > 0) & (share > rate) & (enough[0] | enough[1])).orderBy(F.desc("toxic"), "stem").limit(MOST_ENTRIES).collect()
         weights: dict[str, float] = {}
+        shares: dict[str, float] = {}
         for stem, toxic, clean in sorted(strong, key=lambda r: (len(r[0]), r[0])):
-            if not any(stem[:k] in weights for k in range(STEM_LETTERS[0], len(stem))):
+            shorter = [shares[stem[:k]] for k in range(STEM_LETTERS[0], len(stem)) if stem[:k] in shares]
+            if not shorter or toxic / (toxic + clean) > max(shorter) + 0.1:
+                shares[stem] = toxic / (toxic + clean)
                 weights[stem] = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_all - n_toxic + 1))
         clean_words = by_word.where((F.col("clean") >= 5) & (F.col("clean") > 4 * F.col("toxic")) & F.substring("word", 1, STEM_LETTERS[0]).isin([s[: STEM_LETTERS[0]] for s in weights] or [""])).orderBy(F.desc("clean"), "word").limit(MOST_ENTRIES).collect()
         spared = tuple(r[0] for r in clean_words if any(r[0].startswith(s) for s in weights))
