@@ -47,19 +47,22 @@ TRAINING_ROWS = 20_000
 STEM_LETTERS, MOST_ENTRIES, PURE, MIXED = (4, 8), 2_000, (0.8, 16.0), (0.5, 40.0)
 
 _TABLE = str.maketrans(HOMOGLYPHS)
-_MIXED = regex.compile(r"[a-z0-9@$!|]*(?:[a-z][0-9@$!|]+[a-z]|\b[0-9@$]+[a-z]{2})[a-z0-9@$!|]*")
+_MIXED = regex.compile(r"[a-z0-9@$!|]*(?:[a-z][0-9@$!|]+[a-z]|(?<![a-z0-9@$!|])[0-9@$]+[a-z]{2})[a-z0-9@$!|]*")
+_SPELLED = regex.compile(r"(?<![a-z])(?:[a-z][.\-_*]){3,}[a-z](?![a-z])")
+_RUNS = regex.compile(r"([a-z])\1{2,}")
 _SIGNS = str.maketrans(SUBSTITUTES)
-_MARKS = regex.compile(r"\p{Mn}+")
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
 
 
 def fold(text: str) -> str:
-    """text with look-alikes, accents, digit substitutes and case folded away."""
+    """text with look-alikes, accents, invisible marks, digit substitutes, letters spelled with dots, letters drawn out and case folded away."""
     text = text.lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_TABLE)
     if any(c in text for c in "0134578@$"):
         text = _MIXED.sub(lambda m: m[0].rstrip("!|").translate(_SIGNS) + m[0][len(m[0].rstrip("!|")) :], text)
-    return text.replace("l", "i")
+    text = _SPELLED.sub(lambda m: m[0][::2], text)
+    return _RUNS.sub(r"\1", text).replace("l", "i")
 
 
 _WORD = regex.compile(r"[a-z]+")

@@ -349,7 +349,7 @@ def test_toxicity_folding_and_exceptions():
     from termloom.llm.toxicity import EXCEPTIONS, Lexicon, fold
 
     m = Lexicon({fold("idiot"): 5.0, fold("trash"): 4.0, fold("loser"): 4.0}, tuple(fold(x) for x in EXCEPTIONS)).matcher()
-    for t in ("an idiot", "an 1d10t!", "an ІDІОТ", "ｉｄｉｏｔ", "idíöt", "idiots", "what a l0ser", "1oser"):
+    for t in ("an idiot", "an 1d10t!", "an ІDІОТ", "ｉｄｉｏｔ", "idíöt", "idiots", "what a l0ser", "1oser", "i.d.i.o.t", "idiooot!", "1d\u200biot", "tr@sh", "TRA$H", "$o, 7rash"):
         assert m.score(t)[0] > 0.5, t
     for t in ("", "a trash can", "the trash bins", "Antidiotic", "10 100 1000", None or " "):
         assert m.score(t)[0] < 0.3 or t == "the trash bins", t
