@@ -84,10 +84,12 @@ def account_pnl(
     active = changes.where((F.col("ts") >= day_start) & (F.col("ts") < day_end + F.expr("INTERVAL 1 DAY"))).select("account").distinct()
     if excluded_accounts is not None:
         active = active.join(excluded_accounts, "account", "left_anti")
-    hours = position_rollup(changes.join(active, "account", "left_semi"))
-    sums = lambda until: {n: F.coalesce(F.sum(F.when(F.col("bucket") <= until, F.col(c))), F.lit(0)) for c, n in MEASURES.items()}
-    # cumulative values at an hour are sums up to it, so both snapshots come from one aggregation
-    positions = hours.where(F.col("bucket") <= hour_end).groupBy(*POSITION).agg(*[v.alias(f"{n}_end") for n, v in sums(hour_end).items()], *[v.alias(f"{n}_start") for n, v in sums(hour_start).items()])
+    zero = F.lit(0).cast("long")
+    each = {"cum_shares": F.col("shares_delta"), "cum_assets_in": F.col("assets_in"), "cum_assets_out": F.col("assets_out"), "cum_shares_in": F.greatest("shares_delta", zero), "cum_shares_out": F.greatest(-F.col("shares_delta"), zero)}
+    sums = lambda until, at: [F.coalesce(F.sum(F.when(F.col("hour") <= until, v)), zero).alias(f"{n}_{at}") for n, v in each.items()]
+    # cumulative values as of an hour are sums up to it, so both snapshots come from one aggregation of the changes themselves
+    own = changes.join(active, "account", "left_semi").withColumn("hour", trunc("hour")).where(F.col("hour") <= hour_end)
+    positions = own.groupBy(*POSITION).agg(*sums(hour_end, "end"), *sums(hour_start, "start"))
     closes = price_stats(ticks).select("bucket", *VAULT, "close_price")
     start_price = as_of_forward(closes, VAULT, "bucket", hour_start, "close_price").withColumnRenamed("close_price", "price_start")
     end_price = closes.groupBy(*VAULT).agg(F.coalesce(F.max_by("close_price", F.when(F.col("bucket") <= hour_end, F.col("bucket"))), F.max_by("close_price", "bucket")).alias("price_end"))
