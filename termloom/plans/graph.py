@@ -134,6 +134,16 @@ def k9b(spark, d):
     return work(spark, d).groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+TABLES = ("customer", "documents", "embeddings", "events", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query("k10_schema", "SELECT table_name, column_name, ordinal_position AS position FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")")
+def k10(spark, d):
+    """Columns of the tables, from their schemas; no data is read."""
+    rows = [(t, c, i) for t in TABLES for i, c in enumerate(table(spark, d, t).columns, 1)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int")
+
+
 @query("k11_events_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket, event_type, count(*) AS n FROM ev GROUP BY ALL")
 def k11(spark, d):
     return L.event_store(spark, d).groupBy(trunc("hour").alias("bucket"), "event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", stamp("bucket"))

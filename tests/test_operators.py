@@ -129,3 +129,22 @@ def test_positions_and_tiles_equal_windows(spark):
         w = W.orderBy("v", "id")
         want = df.select("id", F.row_number().over(w).alias("position"), F.ntile(5).over(w).alias("tile"))
         assert {tuple(r) for r in got.select("id", "position", "tile").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_versions_flip_whole(spark, tmp_path):
+    from termloom.sources import sinks
+
+    root = f"file://{tmp_path}/board"
+    assert [sinks.write_version(spark.range(n), root) for n in (3, 4, 5)] == [1, 2, 3]
+    assert sinks.read_current(spark, root).count() == 5 and sinks._versions(spark, root) == [2, 3]
+    (tmp_path / "board" / "version=9").mkdir()  # a job that never committed
+    assert sinks.read_current(spark, root).count() == 5
+
+
+def test_quarantine_loses_nothing(spark):
+    from termloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "5"), (2, "x"), (3, None)], "id int, v string")
+    good, bad = sinks.quarantine(df, F.expr("try_cast(v AS INT) IS NOT NULL AND length(v) > 0"))
+    assert {r.id for r in good.collect()} == {1} and {r.id for r in bad.collect()} == {2, 3}
+    sinks.discard(df)
