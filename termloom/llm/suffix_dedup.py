@@ -40,9 +40,9 @@ from termloom.llm.rolling import Hashes, mixed
 
 WINDOW, Q = 200, 64
 #: Positions hashed at a time, bytes of contexts a block should have, and bytes up to which per-document lists are broadcast (their size is summed first).
-CHUNK, BLOCK_BYTES, MOST_BROADCAST_BYTES = 1 << 19, 1 << 20, 48 << 20
-#: A bucket with more contexts than this is twice a block by itself; it is dealt out by window.
-MOST_CONTEXTS = 2 * BLOCK_BYTES // (WINDOW + (WINDOW - Q) // 2)
+CHUNK, BLOCK_BYTES, MOST_BROADCAST_BYTES = 1 << 19, 1 << 19, 48 << 20
+#: A bucket with more contexts than this is four blocks by itself; it is dealt out by window.
+MOST_CONTEXTS = 4 * BLOCK_BYTES // (WINDOW + (WINDOW - Q) // 2)
 
 _PLACE = np.uint64((1 << 21) - 1)
 
