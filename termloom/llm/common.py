@@ -29,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder[0]
 
 
-def bound_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Hand texts to Python tasks in batches of at most this many rows, unless the session asks for fewer: a worker holds a batch at a time."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(setting)) <= rows:
