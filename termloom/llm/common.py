@@ -64,6 +64,12 @@ def text_keys(column: str) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("termloom"), text).alias("k2")]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt out evenly if it is scanned in fewer pieces than there are cores (small inputs in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

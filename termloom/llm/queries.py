@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, licenses, lsh_forest, metric_join, mixing, sentence_spans, suffix_dedup, token_counts, toxicity, transport_stream
-from termloom.llm.common import table
+from termloom.llm.common import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -54,22 +58,22 @@ SELECT d.doc_id, d.size, g.source_size, g.target,
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 """)
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(documents(spark, sf_dir))
 
 
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 @query("op7_transport_streams")
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.digest_media(transport_stream.store_texts(table(spark, sf_dir, "documents")))
+    return transport_stream.digest_media(transport_stream.store_texts(documents(spark, sf_dir)))
 
 
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 @query("op3_embedding_near_dedup", """
@@ -86,24 +90,24 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(documents(spark, sf_dir))
     return found.select("doc_id", "n_licenses", F.concat_ws(",", "licenses").alias("licenses"), F.concat_ws(",", "rules").alias("rules"))
 
 
 @query("op2_sentence_spans")
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.scan(table(spark, sf_dir, "documents"))
+    return sentence_spans.scan(documents(spark, sf_dir))
 
 
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.scan(table(spark, sf_dir, "documents"))
+    return suffix_dedup.scan(documents(spark, sf_dir))
 
 
 @query("op4_jaccard_join", r"""
@@ -117,4 +121,4 @@ d AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
 SELECT r.node AS doc_id, min(r.reached) AS class_id, CAST(coalesce(any_value(d.n_links), 0) AS BIGINT) AS n_links, r.node = min(r.reached) AS kept FROM r LEFT JOIN d ON d.a = r.node GROUP BY r.node
 """)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.classes(table(spark, sf_dir, "documents"))
+    return lsh_forest.classes(documents(spark, sf_dir))
