@@ -29,7 +29,9 @@ from termloom.llm.common import text_of
 
 #: Characters that str.split() takes for white space but Unicode's White_Space does not.
 NOT_WHITE = regex.compile("[\x1c-\x1f]")
-WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Marks that are a word of their own after a word.
+STOPS = frozenset(",.!?;:")
 
 
 def byte_symbols() -> list[str]:
@@ -89,7 +91,7 @@ class MergeTable:
 class WordBpe:
     """The encoder and decoder of a lower-casing tokenizer file with word ends; other normalisers or pre-tokenizers are refused."""
 
-    def __init__(self, model: str, most_words: int = 300_000) -> None:
+    def __init__(self, model: str, most_chunks: int = 150_000, most_pieces: int = 400_000) -> None:
         spec = json.loads(model)
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
@@ -101,13 +103,13 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.string_of = {str(i): s for s, i in [*self.table.vocab.items(), *self.special.items()]}
         self.symbols = byte_symbols()
-        self.most_words, self.chunks, self.pieces = most_words, {}, {}
+        self.most_chunks, self.most_pieces, self.chunks, self.pieces = most_chunks, most_pieces, {}, {}
 
     def piece_ids(self, piece: str) -> str:
         """The ids of one pre-token, joined by spaces; remembered up to a bound."""
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= self.most_words:
+            if len(self.pieces) >= self.most_pieces:
                 self.pieces.clear()
             symbols = self.symbols
             found = self.pieces[piece] = " ".join(map(str, self.table.word_ids([symbols[b] for b in piece.encode()])))
@@ -116,9 +118,15 @@ class WordBpe:
     def chunk_ids(self, chunk: str) -> str:
         """The ids of a stretch without white space."""
         text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # capital sigma never becomes a final one
-        found = " ".join(x for x in map(self.piece_ids, self.words.findall(text.lower())) if x)
+        low = text.lower()
+        if low.isalpha():  # one word, as most are
+            found = self.piece_ids(low)
+        elif low[-1:] in STOPS and low[:-1].isalpha():
+            found = f"{self.piece_ids(low[:-1])} {self.piece_ids(low[-1])}"
+        else:
+            found = " ".join(x for x in map(self.piece_ids, self.words.findall(low)) if x)
         if len(chunk) <= 64:
-            if len(self.chunks) >= self.most_words:
+            if len(self.chunks) >= self.most_chunks:
                 self.chunks.clear()
             self.chunks[chunk] = found
         return found
