@@ -1,9 +1,10 @@
 """License scans (operator 9): sentence rules.
 
-Texts are cut into sentences; a normalised sentence that is a known licence sentence
-becomes that sentence's identifier (others become nothing but a place); the sequence of
-identifiers is matched against ordered rules, the most specific first, and every match
-uses up its sentences.
+Texts are cut into sentences, as finely as marks and lines allow; a normalised sentence
+that is a known licence sentence, or begins one that the sentences after it complete across
+soft breaks (colons, semicolons, wrapped lines, "v. 2.0"), becomes that sentence's identifier
+(others become nothing but a place); the sequence of identifiers is matched against ordered
+rules, the most specific first, and every match uses up its sentences.
 
 Defined results for odd input: null and empty texts have no licence; long texts are
 scanned whole; rows are independent, so repeated rows agree and a null doc_id is passed
@@ -105,7 +106,10 @@ RULES = (
 )
 
 _BREAK = regex.compile(r"(?<=[.!?;:])\s+|\n\s*\n|\n(?=\s*(?:[0-9*•-]|[A-Z]))")
+#: A full stop that ends no sentence if a digit follows.
+_VERSION = regex.compile(r"\bv(?:er(?:sion)?)?\.$")
 _OTHER = regex.compile(r"[^a-z0-9]+")
+_FIRST = regex.compile(r"[a-z0-9]+")
 _COMMENT = regex.compile(r"(?m)^[ \t]*(?:#+|//+|\*+|--+|;+)[ \t]?")
 
 
@@ -123,35 +127,77 @@ def known_sentences() -> dict[str, str]:
     return out | {s: i for i, s in SENTENCES.items()}
 
 
-#: Every known sentence has one of these, so a text without any has no licence sentence.
-TRIGGER = regex.compile(r"(?i)licen[sc]|permission|provided\s+as\s+is|\"as is\"|redistribut|free\s+software|distributed\s+in\s+the\s+hope|endorse|in\s+no\s+event|unencumbered|under\b|covered by|governed by|subject to")
+@lru_cache(1)
+def known_beginnings() -> tuple[dict[str, str | None], frozenset[str]]:
+    """Every run of words that begins a known sentence, with the sentence's identifier where it is the whole one, and the words that a sentence with such a beginning can begin with."""
+    known, out = known_sentences(), {}
+    for s in known:
+        at = s.find(" ")
+        while at > 0:
+            out[s[:at]] = None
+            at = s.find(" ", at + 1)
+    first = {s.split(" ", 1)[0] for s in known}
+    return out | known, frozenset(first | {w.replace("license", "licence") for w in first} | set("0123456789abc"))
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences of a text; comment marks at line starts are dropped."""
-    return [s for s in _BREAK.split(_COMMENT.sub("", text)) if s and not s.isspace()]
+#: Every known sentence has one of these, so a text without any has no licence sentence.
+TRIGGER = regex.compile(r"(?i)licen[sc]|permission|provided\W+as\W+is|\"as is\"|redistribut|free\W+software|distributed\W+in\W+the\W+hope|endorse|in\W+no\W+event|unencumbered|under\b|covered\W+by|governed\W+by|subject\W+to")
+
+
+def _soft(text: str, begin: int, end: int) -> bool:
+    """Whether a known sentence may go on after this break: at a colon or semicolon, where a line is wrapped, between "v." and a digit."""
+    before = text[begin - 1 : begin]
+    if before and before in ".!?":
+        return text[end : end + 1].isdigit() and _VERSION.search(text[max(0, begin - 12) : begin].lower()) is not None
+    return before in (":", ";") or text[begin:end] == "\n"
+
+
+def sentences(text: str) -> list[tuple[str, bool]]:
+    """The sentences of a text, and whether only soft breaks part each from the one before; comment marks at line starts are dropped."""
+    text, out, at, soft = _COMMENT.sub("", text), [], 0, False
+    for begin, end in [*(m.span() for m in _BREAK.finditer(text)), (len(text), len(text))]:
+        if (s := text[at:begin]) and not s.isspace():
+            out.append((s, soft))
+            soft = True
+        soft = soft and _soft(text, begin, end)
+        at = end
+    return out
+
+
+def known_places(text: str) -> list[tuple[int, int, str]]:
+    """(first, last, identifier) of each known sentence; the shortest where one begins another."""
+    (beginnings, first), parts, places, at = known_beginnings(), sentences(text), [], 0
+    while at < len(parts):
+        word, end, found = _FIRST.search(parts[at][0].lower()), at, None
+        if word and word[0] in first:
+            joined = normalise(parts[at][0])
+            while joined in beginnings and not (found := beginnings[joined]):
+                end += 1
+                if end == len(parts) or not parts[end][1]:
+                    break
+                joined = f"{joined} {normalise(parts[end][0])}".rstrip()
+        if found:
+            places.append((at, end, found))
+        at = end + 1 if found else at + 1
+    return places
 
 
 def scan(text: str) -> list[tuple[str, str, int]]:
     """(licence, rule, place of its first sentence) for each rule match, in order of place."""
     if not TRIGGER.search(text):
         return []
-    known, places = known_sentences(), []
-    for at, sentence in enumerate(sentences(text)):
-        if TRIGGER.search(sentence) or len(sentence) < 60:
-            if found := known.get(normalise(sentence)):
-                places.append((at, found))
+    places = known_places(text)
     matches, used = [], set()
-    present = {name for _, name in places}
+    present = {name for *_, name in places}
     for rule in RULES:
         if not present.issuperset(rule.sequence):
             continue
         for start in range(len(places)):
             run, want = [], 0
             for i in range(start, len(places)):
-                if run and places[i][0] - places[run[-1]][0] > rule.gap + 1:
+                if run and places[i][0] - places[run[-1]][1] > rule.gap + 1:
                     break
-                if i not in used and places[i][1] == rule.sequence[want]:
+                if i not in used and places[i][2] == rule.sequence[want]:
                     run.append(i)
                     want += 1
                     if want == len(rule.sequence):

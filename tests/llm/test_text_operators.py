@@ -403,3 +403,38 @@ def test_license_rules(odd, empty):
         assert scan(clean) == []
     got = scan_licenses(odd).collect()
     assert len(got) == odd.count() and not any(r.n_licenses for r in got) and scan_licenses(empty).count() == 0
+
+
+LICENCE_TEXTS = {
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS.',
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "unlicense-notice": "This is free and unencumbered software released into the public domain.",
+    "mit-reference": "SPDX-License-Identifier: MIT",
+    "gpl-2.0-reference": "This software is licensed under the GNU General Public License version 2.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [20, 48, 63, 72, 79, 10_000])
+def test_standard_licence_texts(width, mark):
+    import textwrap
+
+    from termloom.llm.licenses import scan
+
+    for rule, text in LICENCE_TEXTS.items():
+        lines = [line for p in text.split("\n\n") for line in (*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), "")]
+        found = scan("".join(f"{mark}{line}".rstrip() + "\n" for line in ("Copyright (C) 2020 Some One", "", *lines)))
+        assert [m[1] for m in found] == [rule], (rule, found)
+
+
+def test_every_licence_rule_can_match():
+    from termloom.llm.licenses import NAMES, RULES, SENTENCES, known_places, known_sentences
+
+    made = {found for s in known_sentences() for *_, found in known_places(s)}
+    assert made == {*SENTENCES, *(f"ref:{n}" for n in NAMES)} and all(made.issuperset(r.sequence) for r in RULES)
+    assert [f for *_, f in known_places("We fell under.\n\nMIT\n\nReleased under the MIT\nLicense: Apache-2.0")] == ["ref:MIT", "ref:Apache-2.0"]
