@@ -1,8 +1,12 @@
 """Substring dedup over sliding sentence spans (operator 2).
 
 Texts are cut into sentences (clauses count: they also end at commas, colons and line
-breaks; a stretch without any such mark for long is cut after words picked by their own
-hash, so equal passages are cut alike wherever they stand). For every sentence the
+breaks; a stretch without any such mark for long is cut by winnowing: after each word whose
+hash is the smallest, or as small, in a window of CUT_WINDOW words. Cuts then depend on
+nearby words only and are never further apart, so equal passages are cut alike wherever
+they stand, and one of 4 * CUT_WINDOW + WORDS - 3 = 49 words without marks always has a
+run of its own). In scripts without spaces characters are winnowed in the same way, and what
+lies between two cuts counts as a word and as a sentence. For every sentence the
 shortest run of at least SENTENCES consecutive sentences with at least WORDS words is
 hashed. Runs are joined over all documents; the sentences of every occurrence but the
 first (in order of doc_id, nulls last, then place) are removed.
@@ -29,13 +33,37 @@ from pyspark.sql import functions as F
 from termloom.llm.common import materialize, text_of
 
 SENTENCES, WORDS = 3, 20
-#: A sentence this long is also cut after words whose hash says so, one in CUT_EVERY: a repeated passage of 50 words then has a run of its own wherever it begins and ends.
-LONG_WORDS, CUT_EVERY = 16, 6
+#: A sentence of LONG_WORDS is also cut after every word whose hash is the smallest in some window of CUT_WINDOW.
+LONG_WORDS, CUT_WINDOW = 16, 8
+#: The same window in characters, for words of more than that many ideographs or kana, and of letters of Thai, Lao, Tibetan, Burmese or Khmer: about two and five characters go to a cut, as to a word.
+IDEOGRAPH_WINDOW, LETTER_WINDOW = 3, 8
 #: What is removed per document travels by broadcast below this many bytes (they are summed first), by shuffle above.
 MOST_BROADCAST_BYTES = 48 << 20
 
-_SENTENCE = re.compile(r"[^.!?,;:|\n]*(?:[.!?,;:|\n]+\s*|\Z)")  # re's \s is what str.split() splits at
+_MARKS = ".!?,;:|\\n。！？，；：、．｡､…؟،؛।॥"
+_SENTENCE = re.compile(rf"[^{_MARKS}]*(?:[{_MARKS}]+\s*|\Z)")  # re's \s is what str.split() splits at
 _WORD = re.compile(r"\s*\S+\s*")
+_LETTERS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff"
+_UNSPACED = re.compile(f"[{_LETTERS}\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_LETTER = re.compile(f"[{_LETTERS}]")
+
+
+def _cuts(units: list[str], window: int) -> list[bool]:
+    """Whether each unit's hash is the smallest, ties included, in any window of that many units."""
+    h = [zlib.crc32(x.encode()) for x in units]
+    least = [min(h[i : i + window]) for i in range(len(h) - window + 1)]
+    return [x == max(least[max(0, i - window + 1) : i + 1], default=None) for i, x in enumerate(h)]
+
+
+def _pieces(word: str) -> list[str]:
+    """A word, with the white space around it, cut between characters, if it is of a script without spaces and long; nothing if not."""
+    plain = word.strip()
+    window = LETTER_WINDOW if _LETTER.search(plain) else IDEOGRAPH_WINDOW
+    if len(plain) <= window or not _UNSPACED.search(plain):
+        return []
+    begin = word.index(plain)
+    ends = [begin + i for i, cut in enumerate(_cuts([c.lower() for c in plain], window), 1) if cut and i < len(plain)]
+    return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)], strict=True)]
 
 
 def split(text: str) -> tuple[list[str], list[int], list[str]]:
@@ -45,13 +73,22 @@ def split(text: str) -> tuple[list[str], list[int], list[str]]:
         if not s:
             continue
         low = s.lower().split()
-        if len(low) < LONG_WORDS:
+        unspaced = not s.isascii() and _UNSPACED.search(s)
+        if len(low) < LONG_WORDS and not unspaced:
             parts.append(s), words.append(len(low)), plain.append(" ".join(low))
             continue
+        cuts = _cuts(low, CUT_WINDOW) if len(low) >= LONG_WORDS else [False] * len(low)
+        cuts[-1] = True
         held, at = [], 0
-        for i, (w, x) in enumerate(zip(_WORD.findall(s), low, strict=True), 1):
+        for i, (w, cut) in enumerate(zip(_WORD.findall(s), cuts, strict=True), 1):
+            if unspaced and (pieces := _pieces(w)):
+                for x in pieces:
+                    parts.append("".join([*held, x])), words.append(i - at), plain.append(" ".join(parts[-1].lower().split()))
+                    held, at = [], i - 1
+                at = i
+                continue
             held.append(w)
-            if zlib.crc32(x.encode()) % CUT_EVERY == 0 or i == len(low):
+            if cut:
                 parts.append("".join(held)), words.append(i - at), plain.append(" ".join(low[at:i]))
                 held, at = [], i
     return parts, words, plain

@@ -143,6 +143,32 @@ def test_passages_of_fifty_words_are_found_anywhere(spark):
     assert not any(got[10 * k + 2].n_repeated or got[10 * k].n_removed for k in range(40))
 
 
+def test_unpunctuated_passages_always_hold_a_span():
+    """Passages without marks, of few distinct words, of many, and in scripts without spaces, each in two texts of their own."""
+    import random
+
+    from termloom.llm.sentence_spans import CUT_WINDOW, WORDS, spans, split
+    from tests.llm.conftest import words
+
+    rng = random.Random(5)
+    kanji = "".join(map(chr, range(0x4E00, 0x4F00)))
+
+    def shared(a, b):
+        return set(spans(a)[0].tolist()) & set(spans(b)[0].tolist())
+
+    for k in range(600):
+        known = words(rng, 1 + k % 12).split() if k % 2 else words(rng, 60).split()
+        passage = " ".join(rng.choices(known, k=4 * CUT_WINDOW + WORDS - 3))
+        assert shared(f"{words(rng, 30)} {passage} {words(rng, 9)}", f"{words(rng, k % 7)} {passage} {words(rng, 25)}"), passage
+        pool, n = (kanji, 90) if k % 2 else ("กขคงจฉชซญดตถทธนบปผพฟมยรลวสหอ"[: 2 + k % 30], 220)
+        text = lambda n, pool=pool: "".join(rng.choices(pool, k=n))
+        passage = text(n)
+        assert shared(f"{text(70)}{passage}{text(30)}", f"{text(40)}{passage}{text(50)}"), passage
+        assert not shared(words(rng, 90), words(rng, 90)) and not shared(*("".join(rng.choices(kanji, k=90)) for _ in range(2)))
+    for marked in ("今日は学校に行きます。明日も行きますか？", "一二三，四五六！七八九；"):
+        assert len(split(marked)[0]) > 1 and "".join(split(marked)[0]) == marked
+
+
 def test_sentences_join_to_the_text():
     from termloom.llm.sentence_spans import split
 
