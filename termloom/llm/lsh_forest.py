@@ -3,8 +3,9 @@
 A document's set holds its five-word shingles (a word is a run of letters, digits and
 non-ASCII characters, lower case; a shorter document is one shingle). Equal sets are one
 representative with a multiplicity. Every representative has a signature in each of
-TREES tries; the depth at which tries are matched is shortened from MAX_DEPTH until the
-recall of a pair at the threshold, 1 - (1 - t**depth)**TREES, reaches the target.
+TREES trees; the depth at which they are matched is shortened from MAX_DEPTH until the
+recall of a pair at the threshold, 1 - (1 - t**depth)**TREES, reaches the target. That
+depth is fixed before the data is read and signatures are made at it only: banding.
 Representatives that share a trie node at that depth are candidates; components of
 candidates are cut into blocks of bounded size, and each pair of blocks that has
 candidates is verified exactly, all its pairs at once, on the shingle sets themselves.
@@ -43,11 +44,11 @@ _XOR, _TIMES = _draws[0], _draws[1] * np.uint64(2) + np.uint64(1)
 
 
 def shortened_depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """The longest prefix whose matches find a pair at the threshold with the target probability."""
-    depth = MAX_DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < target:
-        depth -= 1
-    return depth
+    """The longest prefix whose matches find a pair at the threshold with the target probability; an error if even one value finds it too rarely."""
+    for depth in range(MAX_DEPTH, 0, -1):
+        if 1 - (1 - threshold**depth) ** TREES >= target:
+            return depth
+    raise ValueError(f"{TREES} trees miss recall {target} at threshold {threshold} even at depth 1")
 
 
 def _shingles_of(parts: list[bytes]) -> list[np.ndarray]:

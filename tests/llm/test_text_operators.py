@@ -233,6 +233,14 @@ def test_depth_reaches_the_target_recall():
     assert 1 - (1 - 0.8**d) ** TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** TREES
 
 
+def test_depth_that_misses_the_target_is_an_error():
+    from termloom.llm.lsh_forest import shortened_depth
+
+    assert shortened_depth(0.3, 0.999) == 1
+    with pytest.raises(ValueError, match="recall"):
+        shortened_depth(0.2, 0.999)
+
+
 # --- 5: mixing --------------------------------------------------------------
 
 
