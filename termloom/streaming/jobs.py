@@ -12,9 +12,14 @@ from termloom.session import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The event store as a stream, with ts as a timestamp (watermarks need one)."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
+    """The event store, one file or a folder of part files, as a stream, with ts as a timestamp (watermarks need one)."""
+    store = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(store).schema).option("maxFilesPerTrigger", files_per_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        raw = reader.parquet(store)
+    else:  # a file source takes folders, so the one file is picked by name
+        raw = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("account"), "event_type", F.round(F.col("value") * 100).cast("long").alias("amount"),
         (F.get_json_object("props", "$.k").cast("long") % 10).alias("term"), (F.col("event_id") % 2).alias("curve"))

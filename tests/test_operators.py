@@ -148,3 +148,11 @@ def test_quarantine_loses_nothing(spark):
     good, bad = sinks.quarantine(df, F.expr("try_cast(v AS INT) IS NOT NULL AND length(v) > 0"))
     assert {r.id for r in good.collect()} == {1} and {r.id for r in bad.collect()} == {2, 3}
     sinks.discard(df)
+
+
+def test_event_stream_reads_a_folder_of_part_files(spark, sf_dir, tmp_path):
+    from termloom.streaming import jobs as S
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    read = lambda d: {tuple(r) for r in spark.read.parquet(S.run_to_end(S.event_stream(spark, d, 2).select("seq", "account", "amount"))).collect()}
+    assert read(str(tmp_path)) == read(sf_dir) != set()
