@@ -202,14 +202,15 @@ def fnv1a32(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(total), 8, "0"))
 
 
-def sniff(head: Column) -> Column:
-    """The kind of a byte string's head, by magic numbers in upper-case hex."""
-    h = F.hex(head)
+def sniff(body: Column) -> Column:
+    """The kind of a byte string: magic numbers in upper-case hex, HTML by its beginning after white space, JSON by parsing the whole."""
+    h = F.hex(F.substring(body, 1, 8))
     pick = F
     for prefix, kind in (("89504E47", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("25504446", "document"), ("494433", "audio"), ("4F676753", "audio"), ("1A45DFA3", "video"), ("504B0304", "archive")):
         pick = pick.when(h.startswith(prefix), kind)
-    text = F.lower(F.ltrim(head.cast("string")))
-    return pick.when(text.startswith("<!doctype html") | text.startswith("<html"), "webpage").when(text.rlike(r"^[\[{]"), "json").otherwise("file")
+    text = F.regexp_replace(body.cast("string"), r"^[\s\p{Z}\uFEFF]+", "")
+    head = F.lower(F.substring(text, 1, 16))
+    return pick.when(head.startswith("<!doctype html") | head.startswith("<html"), "webpage").when(is_json(text), "json").otherwise("file")
 
 
 def best_fields(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,7 +70,7 @@ def t8(spark, d):
 
 @query("t10_sniff", "SELECT page_id, CASE WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') THEN 'webpage' WHEN regexp_matches(html, '^[\\[{]') THEN 'json' ELSE 'file' END AS kind FROM pages")
 def t10(spark, d):
-    return table(spark, d, "pages").select("page_id", A.sniff(F.substring("html", 1, 64).cast("binary")).alias("kind"))
+    return table(spark, d, "pages").select("page_id", A.sniff(F.col("html").cast("binary")).alias("kind"))
 
 
 @query("t13_classify", "SELECT page_id, kind, c['class'] AS class, CAST(c['confidence'] AS DOUBLE) AS confidence FROM classed")

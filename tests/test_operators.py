@@ -156,3 +156,12 @@ def test_event_stream_reads_a_folder_of_part_files(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     read = lambda d: {tuple(r) for r in spark.read.parquet(S.run_to_end(S.event_stream(spark, d, 2).select("seq", "account", "amount"))).collect()}
     assert read(str(tmp_path)) == read(sf_dir) != set()
+
+
+def test_sniffing_reads_the_whole_page(spark, tmp_path):
+    from termloom.plans.registry import QUERIES
+
+    pages = [" " * 100 + "<html><p>", "\n" * 70 + "<!DOCTYPE html>", "[not json", "{a page of braces}", '{"a": "' + "x" * 200 + '"}', "[" + "1, " * 99 + "1]", " " * 90 + "plain"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.kind for r in QUERIES["t10_sniff"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(pages))] == ["webpage", "webpage", "file", "file", "json", "json", "file"]
