@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import discard, materialize
 
 
+def block_labels(close: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row (and column) reaches over the links of a block, a matrix of booleans; ids_b is None for a block against itself."""
+    big = np.iinfo(np.int64).max
+    a, b = ids_a.copy(), (ids_a if ids_b is None else ids_b).copy()
+    while True:
+        low_a = np.minimum(a, np.where(close, b[None, :], big).min(axis=1, initial=big))
+        low_b = np.minimum(b, np.where(close, low_a[:, None], big).min(axis=0, initial=big))
+        if ids_b is None:
+            low_a = low_b = np.minimum(low_a, low_b)
+        if (low_a == a).all() and (low_b == b).all():
+            return a, b
+        a, b = low_a, low_b
+
+
+def forest_labels(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The smallest id that each of ids reaches over edges, pairs of ids; halving of paths keeps the rounds few."""
+    order = np.argsort(ids, kind="stable")
+    label = np.arange(len(ids))  # places in the sorted order, so that the smallest label is the smallest id
+    at = np.searchsorted(ids[order], edges)
+    while len(at):
+        low = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        new = label.copy()
+        for side in (0, 1):
+            np.minimum.at(new, at[:, side], low)
+            np.minimum.at(new, label[at[:, side]], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(ids), np.int64)
+    out[order] = ids[order][label]
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src long, dst long); component is the smallest node reachable.
 

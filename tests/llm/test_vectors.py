@@ -39,14 +39,40 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_range_join(spark, monkeypatch, block):
-    monkeypatch.setattr(metric_join, "BLOCK", block)
-    monkeypatch.setattr(metric_join, "PER_PIVOT", max(block // 2, 8))
-    rows = vectors()
-    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<double>, rid string, n int").repartition(4)
+@pytest.mark.parametrize("rows, per_pivot", [(4096, 64), (16, 8), (16, 1000), (40, 2)])
+def test_range_join(spark, monkeypatch, rows, per_pivot):
+    monkeypatch.setattr(metric_join, "block_rows", lambda dim: rows)
+    monkeypatch.setattr(metric_join, "PER_PIVOT", per_pivot)
+    given = vectors()
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in given], "vec_id long, embedding array<double>, rid string, n int").repartition(4)
     got = [tuple(r) for r in metric_join.near_duplicates(df).collect()]
-    assert Counter(map(repr, got)) == Counter(map(repr, brute(rows)))
+    assert Counter(map(repr, got)) == Counter(map(repr, brute(given)))
+
+
+def copies(n, clusters, rows=256):
+    """How often a vector is sent around, on clustered vectors or (0 clusters) ones without structure."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)] + 0.15 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n_pivots = -(-n // metric_join.PER_PIVOT)
+    cells = metric_join.Cells(metric_join.choose_pivots(x[: metric_join.SAMPLED * n_pivots], n_pivots), 0.95, -(-n // rows))
+    d = cells.distances(x)
+    home = d.argmin(axis=1)
+    own = d[np.arange(n), home]
+    cells.homes = np.bincount(home, minlength=n_pivots)
+    for c in range(n_pivots):
+        if cells.homes[c]:
+            cells.near[c], cells.far[c] = own[home == c].min(), own[home == c].max()
+    cells.form_groups(rows)
+    return 1 + np.mean([v for k in range(0, n, 512) for v in cells.placed(x[k : k + 512], np.arange(k, min(k + 512, n)))[1].sum(axis=1)])
+
+
+def test_pruning_of_clustered_vectors():
+    small, large = copies(10_000, 150), copies(50_000, 750)
+    assert small < 1.3 and large < 1.1 * small, (small, large)  # flat: a vector stays in its group, whatever their number
+    assert copies(4000, 0) > 5  # without structure nothing can be pruned
 
 
 def test_empty(spark):
@@ -54,6 +80,20 @@ def test_empty(spark):
     assert metric_join.near_duplicates(df).count() == 0
 
 
+def test_forest_labels():
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(400)[:300] * 7
+    edges = np.array([(ids[i], ids[i + 1]) for i in range(0, 99)] + [(ids[100 + int(x)], ids[100 + int(y)]) for x, y in rng.integers(0, 150, (80, 2))])
+    from termloom.llm.components import forest_labels
+
+    expected = dict(zip(ids.tolist(), ids.tolist(), strict=True))
+    for _ in ids:
+        for a, b in edges.tolist():
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    assert forest_labels(ids, edges).tolist() == [expected[i] for i in ids.tolist()]
+    assert forest_labels(ids, edges[:0]).tolist() == ids.tolist()
+
+
 def test_components(spark):
     from termloom.llm.components import connected_components
 
