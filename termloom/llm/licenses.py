@@ -198,13 +198,14 @@ def licence_names() -> dict[str, str]:
     return out
 
 
+def _ways(name: str) -> tuple[str, ...]:
+    return (*REFERENCES, "under") if "license" in name or any(c.isdigit() for c in name) else REFERENCES
+
+
 @lru_cache(1)
-def known_sentences() -> dict[str, str]:
-    """Normalised sentence to identifier: SENTENCES, the GNU notices, and each way to refer to each name."""
+def text_sentences() -> dict[str, str]:
+    """Normalised sentence to identifier: SENTENCES and the notices of the GNU licences."""
     out = {}
-    for name, licence in licence_names().items():
-        ways = (*REFERENCES, "under") if "license" in name or any(c.isdigit() for c in name) else REFERENCES
-        out |= {f"{way} {article}{name}": f"ref:{licence}" for way in ways for article in ARTICLES}
     for licence, full, _, v in _versions():
         start = f"is free software you can redistribute it and or modify it under the terms of the gnu {full}"
         foundation = "as published by the free software foundation"
@@ -215,16 +216,38 @@ def known_sentences() -> dict[str, str]:
     return out | {s: i for i, s in SENTENCES.items()}
 
 
+def known_sentences() -> Iterator[tuple[str, str]]:
+    """All known sentences with their identifiers: text_sentences(), and each way to refer to each name."""
+    yield from text_sentences().items()
+    for name, licence in licence_names().items():
+        yield from ((f"{way} {article}{name}", f"ref:{licence}") for way in _ways(name) for article in ARTICLES)
+
+
 @lru_cache(1)
 def _matcher() -> ahocorasick.Automaton:
-    """All known sentences between spaces, so that only whole words match."""
+    """Sentences and names, between spaces, so that only whole words match; each with its identifier, names also with the pattern of what must stand before them."""
+    entries: dict[str, list[tuple[str, regex.Pattern | None]]] = {s: [(identifier, None)] for s, identifier in text_sentences().items()}
+    referred = {ways: regex.compile(rf" (?:{'|'.join(ways)}) (?:{'|'.join(ARTICLES)})$") for ways in {_ways(name) for name in licence_names()}}
+    for name, licence in licence_names().items():
+        entries.setdefault(name, []).append((f"ref:{licence}", referred[_ways(name)]))
     automaton = ahocorasick.Automaton()
-    for s, identifier in known_sentences().items():
-        automaton.add_word(f" {s} ", (len(s) + 1, identifier))
+    for s, known in entries.items():
+        automaton.add_word(f" {s} ", (len(s) + 1, known))
     automaton.make_automaton()
     return automaton
 
 
+def _held(sentence: str) -> Iterator[tuple[int, int, str]]:
+    """(begin, -length, identifier) of every known sentence within a normalised one that has a space at both ends."""
+    for end, (size, known) in _matcher().iter(sentence):
+        for identifier, referred in known:
+            begin = end - size
+            if referred is None:
+                yield begin, -size, identifier
+            elif m := referred.search(sentence, max(0, begin - 80), begin + 1):
+                yield m.start(), m.start() - end, identifier
+
+
 @lru_cache(1)
 def _spdx() -> dict[str, str]:
     """Lower-case SPDX identifiers; a plus sign stands for later versions."""
@@ -272,9 +295,8 @@ def known_places(text: str) -> list[tuple[int, str]]:
         if licences is not None:
             places += [(number, f"ref:{x}") for x in licences]
             continue
-        found = sorted((end - size, -size, identifier) for end, (size, identifier) in _matcher().iter(f" {normalise(sentence)} "))
         at = -1
-        for begin, size, identifier in found:
+        for begin, size, identifier in sorted(_held(f" {normalise(sentence)} ")):
             if begin >= at:
                 places.append((number, identifier))
                 at = begin - size

@@ -488,10 +488,13 @@ def test_standard_licence_texts(width, mark):
 
 
 def test_every_licence_rule_can_match():
-    from termloom.llm.licenses import RULES, SENTENCES, known_places, known_sentences, licence_names
+    from termloom.llm.licenses import RULES, SENTENCES, known_places, known_sentences, licence_names, text_sentences
 
-    made = {found for s in known_sentences() for _, found in known_places(s)}
-    assert made == {*SENTENCES, "gpl-details", *(f"ref:{n}" for n in licence_names().values()), *(i for i in known_sentences().values() if i.startswith("free:"))}
+    known = dict(known_sentences())
+    made = {s: [i for _, i in known_places(s)] for s in [*known][::37] + [*text_sentences()]}
+    assert all(found == [known[s]] for s, found in made.items())
+    made = {*known.values()}
+    assert made == {*SENTENCES, "gpl-details", *(f"ref:{n}" for n in licence_names().values()), *(i for i in made if i.startswith("free:"))}
     assert all(made.issuperset((*r.sequence, *r.also)) for r in RULES)
     assert {*SENTENCES} == {*SENTENCES} & {i for r in RULES for i in (*r.sequence, *r.also)}, "every sentence serves a rule"
 
@@ -501,7 +504,7 @@ def licence_sentences_by_word():
     from termloom.llm.licenses import known_sentences
 
     first = {}
-    for words, i in sorted(((s.split(), i) for s, i in known_sentences().items()), key=lambda x: -len(x[0])):
+    for words, i in sorted(((s.split(), i) for s, i in known_sentences()), key=lambda x: -len(x[0])):
         first.setdefault(words[0], []).append((words, i))
     return first
 
