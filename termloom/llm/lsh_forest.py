@@ -2,20 +2,31 @@
 
 A document's set holds its five-word shingles (a word is a run of letters, digits and
 non-ASCII characters, lower case; a shorter document is one shingle). Equal sets are one
-representative with a multiplicity. Every representative has a signature in each of
-TREES trees; the depth at which they are matched is shortened from MAX_DEPTH until the
-recall of a pair at the threshold, 1 - (1 - t**depth)**TREES, reaches the target. That
-depth is fixed before the data is read and signatures are made at it only: banding.
-Representatives that share a trie node at that depth are candidates; components of
-candidates are cut into blocks of bounded size, and each pair of blocks that has
-candidates is verified exactly, all its pairs at once, on the shingle sets themselves.
+representative with a multiplicity. Every representative has a signature of MAX_DEPTH
+min-hashes, a byte each, in every one of TREES trees; a signature is a number, so sorted signatures are
+a prefix trie, and a prefix of some depth is a node.
+
+Matched prefixes are shortened from MAX_DEPTH on until the recall of a pair at the
+threshold, 1 - product(1 - t**depth) over the trees, reaches the target. The first pass
+shortens all alike, which is one depth for all, and gathers what shares a node into
+components. Components that fit one block are verified as they are. In larger ones, where
+dissimilar documents hang together through others, every document shortens its own
+prefixes: a tree whose next node is crowded is left at its depth, and others are shortened
+by one more, until the target is reached (crowded ones last, the least crowded first). Within the nodes so chosen whole signatures are compared,
+and only pairs that agree in nearly as many places as a pair at the threshold does
+stay connected. What is connected then is cut into blocks of bounded size, and each pair
+of blocks is verified exactly, all its pairs at once, on the shingle sets themselves.
+
+A pair exactly at the threshold is missed with a probability of at most 1 - target in the
+first pass and again in large components (together below 0.002 at the defaults), higher
+similarities less.
 
 Defined results for odd input: null and empty texts and those without words have no set
 and link with nothing; long texts are compared whole; rows that agree in doc_id and text
 are copies that link with each other like any others, and keep_one() keeps one row of
 them; a row with a null doc_id takes part, comes after all others and gives a class its id
 only if it has no other (null then); an empty table gives an empty result; other columns
-are ignored by classes() and passed through by keep_one().
+are ignored by classes() and passed through by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize, text_of
-from termloom.llm.components import connected_components
+from termloom.llm.components import block_labels, connected_components, forest_labels
 from termloom.llm.rolling import Hashes, mixed
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, TARGET_RECALL = 24, 8, 0.999
-#: Bytes hashed at a time; members and shingles of a block; small components handled by one call; bytes up to which lists of documents are broadcast (summed first).
-CHUNK, BLOCK_MEMBERS, BLOCK_SHINGLES, COMPONENTS_PER_CALL, MOST_BROADCAST_BYTES = 1 << 19, 192, 400_000, 64, 48 << 20
+TREES, MAX_DEPTH, TARGET_RECALL = 18, 8, 0.999
+#: A node with more members than ROOMY is crowded; comparing signatures, a task takes at most NODE_MEMBERS of a node on either side.
+ROOMY, NODE_MEMBERS = 256, 2048
+#: Bytes hashed at a time; members and shingles of a block; shingles that a call with small components should have; bytes up to which lists of documents are broadcast (summed first).
+CHUNK, BLOCK_MEMBERS, BLOCK_SHINGLES, CALL_SHINGLES, MOST_BROADCAST_BYTES = 1 << 19, 512, 1 << 20, 1 << 21, 48 << 20
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*b"abcdefghijklmnopqrstuvwxyz0123456789", *range(0x80, 0x100)]] = True
@@ -93,33 +106,85 @@ def shingles(texts: list[str]) -> list[np.ndarray]:
     return _shingles_of([t.lower().encode() for t in texts])
 
 
-def signatures(sets: list[np.ndarray], depth: int) -> np.ndarray:
-    """For each non-empty set, the hash of its prefix of that depth in each tree."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """For each non-empty set its signature in each tree: MAX_DEPTH min-hashes of a byte, the first one highest."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets)])[:-1]
-    lowest = np.empty((len(sets), TREES, depth), np.uint64)
+    out = np.zeros((len(sets), TREES), np.uint64)
     for t in range(TREES):
-        for d in range(depth):
+        for d in range(MAX_DEPTH):
             k = t * MAX_DEPTH + d
-            lowest[:, t, d] = np.minimum.reduceat((flat ^ _XOR[k]) * _TIMES[k], at)
-    out = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), lowest.shape[:2]).copy()
-    for d in range(depth):
-        out = mixed(out + lowest[:, :, d])
+            out[:, t] = out[:, t] << np.uint64(8) | mixed(np.minimum.reduceat((flat ^ _XOR[k]) * _TIMES[k], at)) >> np.uint64(56)
     return out
 
 
-def _labels(close: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest id that each row (and column) reaches over the links of a block; ids_b is None for a block against itself."""
-    big = np.iinfo(np.int64).max
-    a, b = ids_a.copy(), (ids_a if ids_b is None else ids_b).copy()
-    while True:
-        low_a = np.minimum(a, np.where(close, b[None, :], big).min(axis=1, initial=big))
-        low_b = np.minimum(b, np.where(close, low_a[:, None], big).min(axis=0, initial=big))
-        if ids_b is None:
-            low_a = low_b = np.minimum(low_a, low_b)
-        if (low_a == a).all() and (low_b == b).all():
-            return a, b
-        a, b = low_a, low_b
+def nodes_of(signed: np.ndarray, depth: int) -> np.ndarray:
+    """The trie node of each signature at a depth: its prefix, hashed with the tree and the depth."""
+    prefix = signed >> np.uint64(8 * (MAX_DEPTH - depth))
+    return mixed(mixed(prefix + np.uint64(1)) + np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(MAX_DEPTH + 1) + np.uint64(depth)).view(np.int64)
+
+
+def own_depths(members: np.ndarray, threshold: float, target: float, shortest: int, roomy: int) -> np.ndarray:
+    """The depth in each tree down to which each document's prefixes are shortened.
+
+    members[i, t, k] is how many documents are in its node of tree t at depth shortest + k.
+    A step takes one byte off one prefix of a document: the longest whose next node is not
+    crowded, else the one with the fewest members in its next node; it goes on until the
+    recall at the threshold reaches the target or every prefix is at the shortest depth.
+    """
+    miss = np.log1p(-(threshold ** np.arange(MAX_DEPTH + 1.0)[1:]))
+    miss = np.concatenate([[-np.inf], miss])  # of a tree, by depth
+    depth = np.full(members.shape[:2], MAX_DEPTH)
+    rows, trees = np.arange(len(members)), np.arange(TREES)
+    for _ in range(TREES * (MAX_DEPTH - shortest)):
+        short = miss[depth].sum(axis=1) > np.log1p(-target)
+        if not short.any():
+            break
+        following = members[rows[:, None], trees, np.maximum(depth - 1 - shortest, 0)]
+        # the order of preference: roomy ones by depth, then crowded ones by members; none at the shortest depth
+        cost = np.where(following <= roomy, -depth.astype(float), following)
+        cost[depth <= shortest] = np.inf
+        best = cost.argmin(axis=1)
+        take = short & np.isfinite(cost[rows, best])
+        depth[rows[take], best[take]] -= 1
+    return depth
+
+
+def least_agreement(threshold: float) -> int:
+    """In how many places signatures have to agree: five standard deviations below what a pair at the threshold is expected to have."""
+    n = TREES * MAX_DEPTH
+    return max(1, int(n * (threshold - 5 * (threshold * (1 - threshold) / n) ** 0.5)))
+
+
+def _agree(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of signatures (as bytes) agree in at least that many places."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        out += a[:, k, None] == b[None, :, k]
+    return out >= least
+
+
+def _connected(node: pd.DataFrame, least: int) -> pd.DataFrame:
+    """(rid, label) for the documents of a node, or of two parts of one, that agree with others of it: a document is compared only with those it is not connected with yet."""
+    node = node.drop_duplicates(["rid", "side"])
+    rid, right = node.rid.to_numpy(), node.side.to_numpy() == 1
+    signed = np.frombuffer(b"".join(node["keys"]), np.uint8).reshape(len(node), -1)
+    label, left_over = rid.copy(), np.arange(len(rid))
+    while len(left_over):
+        group, left_over = left_over[:1], left_over[1:]
+        new = group
+        while len(new) and len(left_over):
+            close = np.zeros(len(left_over), bool)
+            for k in range(0, len(new), 64):
+                some = new[k : k + 64]
+                match = _agree(signed[some], signed[left_over], least)
+                if right.any():
+                    match &= right[some][:, None] != right[left_over]
+                close |= match.any(axis=0)
+            new, left_over = left_over[close], left_over[~close]
+            group = np.concatenate([group, new])
+        label[group] = rid[group].min()
+    return pd.DataFrame({"rid": rid, "label": label})[label != rid]
 
 
 def _similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -152,7 +217,6 @@ def _verified(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     block = block.drop_duplicates(["component", "rid", "side"])
     for _, x in block.groupby("component", sort=False):
         sets = [np.frombuffer(b, np.uint64) for b in x.shingles]
-        keys = np.frombuffer(b"".join(x["keys"]), np.uint64).reshape(len(x), TREES)
         rid, n, right = x.rid.to_numpy(), x.n.to_numpy(), x.side.to_numpy() == 1
         left = np.flatnonzero(~right)
         if not right.any():
@@ -160,14 +224,17 @@ def _verified(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 continue
             close = _similar(sets, None, threshold)
             np.fill_diagonal(close, False)
-            label, _ = _labels(close, rid, None)
+            label, _ = block_labels(close, rid, None)
             out.append(pd.DataFrame({"rid": rid, "links": close @ n, "label": label}))
             continue
         right = np.flatnonzero(right)
-        if not len(left) or not any(np.isin(keys[left, t], keys[right, t]).any() for t in range(TREES)):
+        signed = np.frombuffer(b"".join(x["keys"]), np.uint8).reshape(len(x), -1)
+        agree = _agree(signed[left], signed[right], least_agreement(threshold))
+        left, right = left[agree.any(axis=1)], right[agree.any(axis=0)]
+        if not len(left):
             continue
         close = _similar([sets[i] for i in left], [sets[i] for i in right], threshold)
-        a, b = _labels(close, rid[left], rid[right])
+        a, b = block_labels(close, rid[left], rid[right])
         out += [pd.DataFrame({"rid": rid[left], "links": close @ n[right], "label": a}), pd.DataFrame({"rid": rid[right], "links": close.T @ n[left], "label": b})]
     if not out:
         return pd.DataFrame({"rid": [], "links": [], "label": []}).astype("int64")
@@ -175,8 +242,8 @@ def _verified(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return found[found.links > 0].astype("int64")
 
 
-def _sets(docs: DataFrame, text_col: str, id_col: str, depth: int) -> DataFrame:
-    """One row per document: doc_id, k1 (hash of its text), s1 and s2 (hashes of its set, null without one), n_shingles, keys (trie nodes)."""
+def _sets(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """One row per document: doc_id, k1 (hash of its text), s1 and s2 (hashes of its set, null without one), n_shingles, keys (signatures)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,52 +254,101 @@ def _sets(docs: DataFrame, text_col: str, id_col: str, depth: int) -> DataFrame:
                 some = [i for i, s in enumerate(sets) if len(s)]
                 s1, s2, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if some:
-                    signed = signatures([sets[i] for i in some], depth)
+                    signed = signatures([sets[i] for i in some])
                     for i, row in zip(some, signed, strict=True):
                         s = sets[i]
                         s1[i] = int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
                         s2[i] = int(mixed(np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64)).view(np.int64)[0])
-                        keys[i] = row.tobytes()
+                        keys[i] = row.astype(">u8").tobytes()
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "k1": part.column(1), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "keys": pa.array(keys, pa.binary())})
 
     text = text_of(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, k1 long, s1 long, s2 long, n_shingles long, keys binary")
 
 
-def _nodes(reps: DataFrame) -> DataFrame:
-    """(rid, node): the trie node of each representative in each tree; the hash includes the tree."""
+def _signed(keys: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(keys.to_pylist()), ">u8").astype(np.uint64).reshape(len(keys), TREES)
+
+
+def _nodes(reps: DataFrame, depths: tuple[int, ...]) -> DataFrame:
+    """(rid, place, node): the trie nodes of each representative at some depths; place is tree * MAX_DEPTH + depth - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(np.repeat(b.column(0).to_numpy(), TREES)), "node": pa.array(keys)})
+                signed, rid = _signed(b.column(1)), np.repeat(b.column(0).to_numpy(), TREES)
+                for d in depths:
+                    place = np.tile(np.arange(TREES) * MAX_DEPTH + d - 1, b.num_rows)
+                    yield pa.RecordBatch.from_pydict({"rid": pa.array(rid), "place": pa.array(place.astype(np.int16)), "node": pa.array(nodes_of(signed, d).ravel())})
+
+    return reps.select("rid", "keys").mapInArrow(run, "rid long, place short, node long")
+
+
+def _in_parts(rows: DataFrame, group: str) -> DataFrame:
+    """rows of groups that are cut into parts (column parts), once for every pair of parts that they belong to: part p meets itself (side 0 only) and every other part q, the lower one on side 0; call names the pair."""
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    met = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumn("side", F.when(F.col("part") <= F.col("other"), 0).otherwise(1)).withColumn("call", F.concat_ws(".", group, F.least("part", "other"), F.greatest("part", "other")))
 
-    return reps.select("rid", "keys").mapInArrow(run, "rid long, node long")
+
+def _parted(reps: DataFrame, threshold: float, target: float, depth: int) -> DataFrame:
+    """(rid, component) of the members of large components that stay connected when each document shortens its own prefixes and signatures are compared."""
+    shortest, roomy = max(1, depth - 1), ROOMY
+    levels = tuple(range(shortest, MAX_DEPTH + 1))
+    nodes = _nodes(reps, levels)
+    sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "forest-populations")
+    by_document = nodes.join(sizes, "node").groupBy("rid").agg(F.collect_list(F.struct("place", "members", "node")).alias("nodes"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nodes in which a document looks for others."""
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                listed = b.column(0).slice(k, 256)
+                row = np.repeat(np.arange(len(listed)), np.asarray(listed.value_lengths()))
+                place, members, node = (np.asarray(x) for x in listed.flatten().flatten())
+                known, named = np.ones((len(listed), TREES, len(levels)), np.int64), np.zeros((len(listed), TREES, len(levels)), np.int64)
+                tree, level = place // MAX_DEPTH, place % MAX_DEPTH + 1 - shortest
+                known[row, tree, level], named[row, tree, level] = members, node
+                chosen = own_depths(known, threshold, target, shortest, roomy) - shortest
+                take = np.arange(len(listed))[:, None], np.arange(TREES), chosen
+                yield pa.RecordBatch.from_pydict({"node": pa.array(named[take][known[take] > 1])})
+
+    chosen = by_document.select("nodes").mapInArrow(choose, "node long").distinct().join(sizes, "node")
+    parts = F.ceil(F.col("members") / F.lit(NODE_MEMBERS)).cast("int")
+    chosen = materialize(chosen.select("node", parts.alias("parts")), "forest-chosen")
+    met = _in_parts(nodes.join(chosen, "node").join(reps.select("rid", "keys"), "rid").select("rid", "keys", "node", "parts"), "node")
+    least = least_agreement(threshold)
+    edges = met.select("call", "rid", "keys", "side").groupBy("call").applyInPandas(lambda x: _connected(x[["rid", "keys", "side"]], least), "rid long, label long")
+    return connected_components(edges.select(F.col("rid").alias("src"), F.col("label").alias("dst"))).withColumnRenamed("node", "rid")
 
 
 def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, target_recall: float) -> DataFrame:
     """One row per document: doc_id, k1, class_id, n_links, first (struct of the class's first document), copies (rows with its doc_id and text)."""
     depth = shortened_depth(threshold, target_recall)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(_sets(docs, text_col, id_col, depth), "forest-sets")
+    rows = materialize(_sets(docs, text_col, id_col), "forest-sets")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1")
     reps = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
-    nodes = _nodes(reps)
+    nodes = _nodes(reps, (depth,)).select("rid", "node")
     roots = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("root")).where("members > 1").select("node", "root"), "forest-nodes")
     star = nodes.join(roots, "node").where("rid <> root").select(F.col("rid").alias("src"), F.col("root").alias("dst")).distinct()
     candidates = connected_components(star).withColumnRenamed("node", "rid")
-    members = materialize(candidates.join(reps, "rid").select("rid", "component", "n", "first", "n_shingles", "keys"), "forest-candidates")
+    detail = ("rid", "component", "n", "first", "n_shingles", "keys")
+    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    large = materialize(sizes.where(F.col("members") > BLOCK_MEMBERS).select("component"), "forest-large")
+    members = candidates.join(reps, "rid").select(*detail)
+    if large.limit(1).count():
+        suspects = materialize(members.join(large, "component"), "forest-suspects")
+        parted = _parted(suspects, threshold, target_recall, depth)
+        members = members.join(large, "component", "left_anti").unionByName(parted.join(suspects.drop("component"), "rid").select(*detail))
+    members = materialize(members, "forest-candidates")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total"))
     parts = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK_MEMBERS)), F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
-    sizes = materialize(sizes.select("component", parts.alias("parts")), "forest-sizes")
-    calls = max(64, sizes.count() // COMPONENTS_PER_CALL)
-    placed = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    # a large component's part p meets itself (side 0 only) and every other part q, the lower one on side 0
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    large = placed.where("parts > 1").withColumn("other", other).withColumn("side", F.when(F.col("part") <= F.col("other"), 0).otherwise(1)).withColumn(
-        "call", F.concat_ws(".", "component", F.least("part", "other"), F.greatest("part", "other")))
+    sizes = materialize(sizes.select("component", parts.alias("parts"), "total"), "forest-sizes")
+    calls = max(64, (sizes.where("parts = 1").agg(F.sum("total")).first()[0] or 0) // CALL_SHINGLES)
+    placed = members.join(sizes.select("component", "parts"), "component")
+    large = _in_parts(placed.where("parts > 1"), "component")
     small = placed.where("parts = 1").withColumn("side", F.lit(0)).withColumn("call", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(calls))))
     columns = ("rid", "component", "n", "first", "keys", "call", "side")
     wanted = small.select(*columns).unionByName(large.select(*columns))
@@ -278,14 +394,15 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     """docs with only the first document of each class (all columns stay); of rows that agree in doc_id and text one stays."""
     found = materialize(_classes(docs, text_col, id_col, threshold, target_recall), "forest-result")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1"))
-    dropped = found.where(~kept).select(F.col("doc_id").alias("__d_id"), F.col("k1").alias("__d_k1")).distinct()
-    twice = found.where(kept).groupBy(F.col("doc_id").alias("__d_id"), F.col("k1").alias("__d_k1")).count().where("count > 1").select("__d_id", "__d_k1")
-    marked = materialize(dropped.withColumn("__twice", F.lit(False)).unionByName(twice.withColumn("__twice", F.lit(True))), "forest-marked")
+    dropped = found.where(~kept).select("doc_id", "k1").distinct()
+    twice = found.where(kept).groupBy("doc_id", "k1").count().where("count > 1").select("doc_id", "k1")
+    marked = materialize(dropped.withColumn("twice", F.lit(False)).unionByName(twice.withColumn("twice", F.lit(True))), "forest-marked")
     small = marked.count() * 64 <= MOST_BROADCAST_BYTES
-    same = F.col(id_col).eqNullSafe(F.col("__d_id")) & (F.xxhash64(text_of(text_col)) == F.col("__d_k1"))
-    rows = docs.join(F.broadcast(marked) if small else marked, same, "left")
-    single = rows.where(F.col("__twice").isNull()).select(*docs.columns)
-    if not marked.where("__twice").limit(1).count():
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_of(text_col)).alias("d_k1"), row.alias("row"))
+    rows = keyed.join(F.broadcast(marked) if small else marked, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_k1") == F.col("k1")), "left")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    single = rows.where(F.col("twice").isNull()).select(*own)
+    if not marked.where("twice").limit(1).count():
         return single
-    repeated = rows.where(F.col("__twice")).dropDuplicates(["__d_id", "__d_k1"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    return single.unionByName(rows.where("twice").dropDuplicates(["d_id", "d_k1"]).select(*own))

@@ -229,16 +229,67 @@ def test_keep_one(odd, empty):
 
 
 def test_depth_reaches_the_target_recall():
-    from termloom.llm.lsh_forest import TREES, shortened_depth
+    from termloom.llm.lsh_forest import TREES, nodes_of, shortened_depth, signatures
 
     d = shortened_depth(0.8, 0.999)
     assert 1 - (1 - 0.8**d) ** TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** TREES
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 63, (4000, 100), dtype=np.uint64)
+    a, b = signatures(list(values[:, :90])), signatures(list(values[:, 10:]))  # 80 of 100 shared
+    found = (nodes_of(a, d) == nodes_of(b, d)).any(axis=1).mean()
+    assert found > 0.9975, found  # 0.9992 expected, 4000 pairs
+    assert not (nodes_of(a[1:], d) == nodes_of(b[:-1], d)).any()
+
+
+def test_own_depths_reach_the_target_recall():
+    from termloom.llm.lsh_forest import MAX_DEPTH, TREES, own_depths, shortened_depth
+
+    rng = np.random.default_rng(1)
+    shortest = shortened_depth() - 1
+    members = np.sort(rng.integers(1, 500, (300, TREES, MAX_DEPTH - shortest + 1)), axis=2)[:, :, ::-1]
+    members[:100] = np.minimum(members[:100], 256)  # no node is crowded
+    depth = own_depths(members, 0.8, 0.999, shortest, 256)
+    recall = 1 - np.prod(1 - 0.8**depth, axis=1)
+    assert (recall >= 0.999).all() and (depth[:100].min(axis=1) == shortest + 1).all()
+    crowded = np.full((1, TREES, MAX_DEPTH - shortest + 1), 10)
+    crowded[0, :6] = 1000
+    depth = own_depths(crowded, 0.8, 0.999, shortest, 256)[0]
+    assert (depth[6:] <= shortest + 1).all() and (depth[6:] == shortest).any() and (depth[:6] == MAX_DEPTH).all() and 1 - np.prod(1 - 0.8**depth) >= 0.999
+
+
+def chained_texts(rng):
+    """Pairs at a similarity just above or below the threshold, and clusters, all on one of a few templates, so that candidates hang together."""
+    def edited(w, n):
+        w = list(w)
+        for k in rng.sample(range(len(w)), n):
+            w[k] = f"x{rng.randrange(10**9)}"
+        return w
+
+    texts, templates = [], [[f"t{j}w{i}" for i in range(240)] for j in range(3)]
+    for _ in range(90):
+        base = edited(rng.choice(templates), 14)
+        texts += [base, edited(base, rng.choice([2, 4, 5, 6]))]
+    texts += [edited(templates[0], rng.choice([1, 2])) for _ in range(40)]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("members, roomy, in_node", [(16, 256, 2048), (16, 8, 30), (500, 256, 2048)])
+def test_large_components_lose_no_links(spark, monkeypatch, members, roomy, in_node):
+    from termloom.llm import lsh_forest
+
+    for name, value in (("BLOCK_MEMBERS", members), ("ROOMY", roomy), ("NODE_MEMBERS", in_node)):
+        monkeypatch.setattr(lsh_forest, name, value)
+    rows = [(i, t, None) for i, t in enumerate(chained_texts(random.Random(2)))]
+    got = lsh_forest.classes(spark.createDataFrame(rows, "doc_id int, text string, x string")).collect()
+    expected = brute_classes(rows)
+    found, all_links = sum(r.n_links for r in got), sum(n for *_, n in expected)
+    assert all_links > 500 and all_links - found <= 0.002 * all_links and {r.doc_id: r.n_links for r in got}.items() >= {i: 0 for i, _, n in expected if not n}.items()
 
 
 def test_depth_that_misses_the_target_is_an_error():
     from termloom.llm.lsh_forest import shortened_depth
 
-    assert shortened_depth(0.3, 0.999) == 1
+    assert shortened_depth(0.4, 0.999) == 1
     with pytest.raises(ValueError, match="recall"):
         shortened_depth(0.2, 0.999)
 
