@@ -14,8 +14,10 @@ ever refined:
    bounded size: buckets of short prefixes are split by sorting on the pair of their own
    bucket identifier and the one at a later offset, the new identifiers serve the next,
    twice as deep refinement, and suffixes alone in a bucket drop out.
-   A bucket with very many different contexts is instead dealt out by the hash of each
-   window, so that no task holds it.
+   A bucket with more contexts than a block holds is refined by the same step on the whole
+   table first: its starts are halved by their distance to the anchor, and each half is
+   split by the identifier of the longer string that all its windows then have in common,
+   until the parts fit (a part with one start a context holds equal windows only).
 
 Defined results for odd input: null is the empty text; texts under WINDOW bytes and empty
 ones lose nothing; long texts are treated whole (in overlapping segments); matches never
@@ -35,20 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, text_of
+from termloom.llm.common import materialize, salted_join, text_of
 from termloom.llm.rolling import Hashes, mixed
 
 WINDOW, Q = 200, 64
 #: Positions hashed at a time, bytes of contexts a block should have, and bytes up to which per-document lists are broadcast (their size is summed first).
 CHUNK, BLOCK_BYTES, MOST_BROADCAST_BYTES = 1 << 19, 1 << 19, 48 << 20
-#: A bucket with more contexts than this is four blocks by itself; it is dealt out by window.
+#: A bucket with more contexts than this is four blocks by itself; it is refined further before it is put in one.
 MOST_CONTEXTS = 4 * BLOCK_BYTES // (WINDOW + (WINDOW - Q) // 2)
 
 _PLACE = np.uint64((1 << 21) - 1)
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: text number, first start, number of starts, hash of the anchor, hash of the context."""
+    """Runs of starts with one anchor: text number, first start, number of starts, hash of the anchor, hash of the context, distance from the first start to the anchor."""
     found: list[tuple[np.ndarray, ...]] = []
     pending: list[tuple[int, int, bytes]] = []
     size = 0
@@ -62,8 +64,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             size += len(part)
     if pending:
         found.append(_anchors_of(pending))
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
-    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, kinds[i]) for i in range(5))
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, kinds[i]) for i in range(6))
 
 
 def _anchors_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
@@ -92,7 +94,7 @@ def _anchors_of(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     context = mixed(hashes.of(begin, count + WINDOW - 1) ^ ((place - begin) * 1024 + count).astype(np.uint64))
     owner = np.searchsorted(begins, begin, "right") - 1
     numbers, offsets = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-    return numbers[owner], begin - begins[owner] + offsets[owner], count, grams[place], context
+    return numbers[owner], begin - begins[owner] + offsets[owner], count, grams[place], context, place - begin
 
 
 def repeated_starts(contexts: list[bytes]) -> list[np.ndarray]:
@@ -131,6 +133,22 @@ def repeated_starts(contexts: list[bytes]) -> list[np.ndarray]:
     return [shared[e - s : e - WINDOW + 1] for s, e in zip(sizes, ends, strict=True)] if len(sizes) else []
 
 
+def split_starts(context: bytes, begin: int, anchor: int, near: int, far: int) -> list[tuple[int, int, int, bytes, int, int, int]]:
+    """The starts of a context whose distance to the anchor is from near to far, in two halves: (first start, number of starts, distance of the first, bytes, identifier, near, far).
+
+    All windows of a half share a longer stretch around the anchor, which holds the anchor,
+    so its hash (with the half it stands for) is a finer bucket than that of the context.
+    """
+    middle, out = (near + far) // 2, []
+    for low, high in ((near, middle), (middle + 1, far)):
+        first, last = max(0, anchor - high), min(len(context) - WINDOW, anchor - low)
+        if low <= high and first <= last:
+            common = context[anchor - low : anchor - high + WINDOW]
+            identifier = int.from_bytes(hashlib.blake2b(bytes((low, high)) + common, digest_size=8).digest(), "little", signed=True)
+            out.append((begin + first, last - first + 1, anchor - first, context[first : last + WINDOW], identifier, low, high))
+    return out
+
+
 def _runs(doc: pa.Array, tie: pa.Array, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     take = pa.array(rows.astype(np.int64))
     return pa.RecordBatch.from_pydict({"doc_id": doc.take(take), "k1": tie.take(take), "run": pa.array((starts * 256 + counts).astype(np.int64))})
@@ -168,16 +186,17 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                number, begin, count, h, context = anchors([t.encode() for t in part.column(2).to_pylist()])
+                number, begin, count, h, context, _ = anchors([t.encode() for t in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "k1", "run"), _runs(part.column(0), part.column(1), number, begin, count).columns, strict=True)) | {"h": pa.array(h.view(np.int64)), "context": pa.array(context.view(np.int64))})
 
-    buckets = keyed.select("text").mapInArrow(bucket_hashes, "h long").groupBy("h").count().where("count > 1").select("h")
+    buckets = keyed.select("text").mapInArrow(bucket_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     buckets = materialize(buckets, "suffix-buckets")
-    shared = keyed.mapInArrow(occurrences, f"doc_id {kind}, k1 long, run long, h long, context long").join(buckets, "h")
-    shared = materialize(shared, "suffix-shared")
+    found = keyed.mapInArrow(occurrences, f"doc_id {kind}, k1 long, run long, h long, context long")
+    place = F.xxhash64("doc_id", "run")
+    shared = materialize(salted_join(found, buckets, ["h"], "uses", place).drop("uses"), "suffix-shared")
     groups = shared.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k1", "run")).alias("one"))
     groups = materialize(groups, "suffix-contexts")
-    settled = shared.join(groups.where("n > 1").select("h", "context"), ["h", "context"]).select("doc_id", "k1", "run")
+    settled = salted_join(shared, groups.where("n > 1").select("h", "context", "n"), ["h", "context"], "n", place).select("doc_id", "k1", "run")
     # what is left: contexts that occur once in buckets of several; one of each settled context stands for its equals
     open_buckets = materialize(groups.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("least = 1 AND contexts > 1").select("h", "contexts"), "suffix-open")
     flags = F.when(F.col("n") == 1, 2).otherwise(0) + F.when(F.col("contexts") > MOST_CONTEXTS, 1).otherwise(0)
@@ -199,10 +218,14 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
                         rows.append(i), runs.append(w), pieces.append(data[begin : begin + count + WINDOW - 1])
                 if rows:
                     take, packed = pa.array(rows, pa.int64()), np.array(runs, np.int64)
-                    h = anchors(pieces)[3]  # all starts of a context have one anchor
-                    yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).take(take), "k1": part.column(1).take(take), "run": pa.array(packed >> 2), "h": pa.array(h.view(np.int64)), "open": pa.array(packed & 2 > 0), "large": pa.array(packed & 1 > 0), "bytes": pa.array(pieces, pa.binary())})
-
-    cut = materialize(joined.select("doc_id", "k1", "text", "wanted").mapInArrow(contexts, f"doc_id {kind}, k1 long, run long, h long, open boolean, large boolean, bytes binary"), "suffix-cut")
+                    *_, h, _, anchor = anchors(pieces)  # all starts of a context have one anchor
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": part.column(0).take(take), "k1": part.column(1).take(take), "run": pa.array(packed >> 2), "h": pa.array(h.view(np.int64)), "open": pa.array(packed & 2 > 0), "large": pa.array(packed & 1 > 0),
+                        "anchor": pa.array(anchor.astype(np.int32)), "near": pa.array(np.zeros(len(rows), np.int32)), "far": pa.array(np.full(len(rows), WINDOW - Q, np.int32)), "bytes": pa.array(pieces, pa.binary()),
+                    })
+
+    pieces = f"doc_id {kind}, k1 long, run long, h long, open boolean, large boolean, anchor int, near int, far int, bytes binary"
+    cut = materialize(joined.select("doc_id", "k1", "text", "wanted").mapInArrow(contexts, pieces), "suffix-cut")
     blocks = max(64, -(-total * (WINDOW + 70) // BLOCK_BYTES))
 
     def refine(block: pd.DataFrame) -> pd.DataFrame:
@@ -217,23 +240,41 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         out["run"] = np.array(keep, np.int64)
         return out
 
-    refined = cut.where("NOT large").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).groupBy("block").applyInPandas(refine, f"doc_id {kind}, k1 long, run long")
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).select("block", "doc_id", "k1", "run", "open", "bytes").groupBy("block").applyInPandas(refine, f"doc_id {kind}, k1 long, run long")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every single window of a context, by two hashes."""
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                data = np.frombuffer(b.column(4)[i].as_py(), np.uint8)
-                begin = b.column(2)[i].as_py() // 256
-                p = np.arange(len(data) - WINDOW + 1)
-                hashes, row = Hashes(data), pa.array(np.full(len(p), i))
-                half = mixed(hashes.of(p, WINDOW // 2) * np.uint64(3) + hashes.of(p + WINDOW // 2, WINDOW // 2))
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(row), "k1": b.column(1).take(row), "run": pa.array((begin + p) * 256 + 1), "open": b.column(3).take(row), "w1": pa.array(hashes.of(p, WINDOW).view(np.int64)), "w2": pa.array(half.view(np.int64))})
-
-    dealt = cut.where("large").select("doc_id", "k1", "run", "open", "bytes").mapInArrow(windows, f"doc_id {kind}, k1 long, run long, open boolean, w1 long, w2 long")
-    twice = materialize(dealt.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "suffix-windows")
-    dealt = dealt.where("open").join(twice, ["w1", "w2"]).select("doc_id", "k1", "run")
-    return settled.unionByName(refined).unionByName(dealt)
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                row, run, h, anchor, near, far, pieces = [], [], [], [], [], [], []
+                for i, r in enumerate(part.to_pylist()):
+                    for begin, count, to_anchor, data, identifier, low, high in split_starts(r["bytes"], r["run"] // 256, r["anchor"], r["near"], r["far"]):
+                        row.append(i), run.append(begin * 256 + count), h.append(identifier), anchor.append(to_anchor), near.append(low), far.append(high), pieces.append(data)
+                if row:
+                    take = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": part.column(0).take(take), "k1": part.column(1).take(take), "run": pa.array(run, pa.int64()), "h": pa.array(h, pa.int64()), "open": part.column(4).take(take), "large": part.column(5).take(take),
+                        "anchor": pa.array(anchor, pa.int32()), "near": pa.array(near, pa.int32()), "far": pa.array(far, pa.int32()), "bytes": pa.array(pieces, pa.binary()),
+                    })
+
+    found = settled.unionByName(in_blocks(cut.where("NOT large")))
+    large = cut.where("large")
+    while large.limit(1).count():  # at most log2(WINDOW - Q) + 1 rounds: then a part has one start a context, and all its windows are equal
+        split = materialize(large.mapInArrow(halves, pieces).withColumn("same", F.xxhash64("bytes", "anchor")), "suffix-split")
+        equal = materialize(split.groupBy("h", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k1", "run")).alias("one")), "suffix-split-groups")
+        settled = salted_join(split.select("doc_id", "k1", "run", "open", "h", "same"), equal.where("n > 1").select("h", "same", "n"), ["h", "same"], "n", place).where("open").select("doc_id", "k1", "run")
+        sizes = equal.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("uses")).where("contexts > 1")
+        sizes = materialize(sizes, "suffix-split-sizes")
+        # one of each set of equal parts stands for it; it is settled, so it is no longer open
+        kept = equal.select("h", F.col("one.doc_id").alias("doc_id"), F.col("one.k1").alias("k1"), F.col("one.run").alias("run"), (F.col("n") == 1).alias("alone"))
+        left = salted_join(split.drop("same"), sizes, ["h"], "uses", place)
+        left = left.join(kept, left.doc_id.eqNullSafe(kept.doc_id) & (left.h == kept.h) & (left.k1 == kept.k1) & (left.run == kept.run)).select(
+            left.doc_id, left.k1, left.run, left.h, (left.open & kept.alone).alias("open"), (left.contexts > MOST_CONTEXTS).alias("large"), "anchor", "near", "far", "bytes")
+        cut = materialize(left, "suffix-cut")
+        found = found.unionByName(settled).unionByName(in_blocks(cut.where("NOT large")))
+        large = cut.where("large")
+    return found
 
 
 def _merged(by_doc: DataFrame, kind: str) -> DataFrame:

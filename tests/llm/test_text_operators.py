@@ -45,7 +45,7 @@ def brute_suffix(rows, window=200):
 def test_suffix_dedup(odd, monkeypatch, most):
     from termloom.llm import suffix_dedup
 
-    if most:  # every bucket is dealt out by window
+    if most:  # every bucket is refined by halves
         monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
         monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST_BYTES", 0)
     same_rows([tuple(r) for r in suffix_dedup.scan(odd).collect()], brute_suffix(odd_texts()))
