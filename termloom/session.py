@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,14 +30,20 @@ def session(app: str = "termloom", master: str | None = None, shuffle_partitions
     return spark
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of our own in local mode where it is unset."""
+    """spark.checkpoint.dir, which all executors share; one folder of our own, removed at exit, in local mode where it is unset."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="termloom-")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="termloom-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return "file://" + _own_folder[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
