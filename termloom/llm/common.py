@@ -1,56 +1,73 @@
-"""Helpers that several operators share: input normalisation and lineage cuts."""
+"""Helpers that several operators share: input normalisation, lineage cuts and joins on heavy keys."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
+from termloom.session import shared_folder
 
+#: Bytes that a batch handed to a Python task may have.
+BATCH_BYTES = 4 << 20
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own in local mode where that is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    set_dir = spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="termloom-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return "file://" + _own_folder[0]
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("tables written in each open scope", default=())
 
 
-def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Hand texts to Python tasks in batches of at most this many rows, unless the session asks for fewer: a worker holds a batch at a time."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= rows:
-        spark.conf.set(setting, str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python tasks in batches of at most BATCH_BYTES, unless the session asks for less: a worker holds a batch at a time.
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    This is a setting of the session and stays, because results are computed when they are
+    asked for; it bounds bytes only, so it changes no result and no number of rows.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        asked = int(spark.conf.get(setting, str(BATCH_BYTES)))
+    except ValueError:  # with a unit
+        return
+    if not 0 < asked <= BATCH_BYTES:
+        asked = BATCH_BYTES
+    spark.conf.set(setting, str(asked))
+
+
+def materialize(df: DataFrame, name: str, outlives_scope: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors. Inside dropped_after() the table goes at its end, unless it outlives the scope."""
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[:-1] if outlives_scope else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes within are deleted at the end; what is returned from it must only read tables that outlive it."""
+    written: list[str] = []
+    token = _scopes.set((*_scopes.get(), written))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in written:
+            _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() once nothing reads it any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file.rpartition("/")[0])
 
 
 #: Keys with more than one in HEAVY of all rows are dealt out; there are fewer than HEAVY of them, whatever the input.
@@ -83,6 +100,11 @@ def text_keys(column: str) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("termloom"), text).alias("k2")]
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs clashes with a working column."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df as it is, or dealt out evenly if it is scanned in fewer pieces than there are cores (small inputs in one file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, text_of
+from termloom.llm.common import dropped_after, materialize, text_of, whole_row
 from termloom.llm.components import block_labels, connected_components, forest_labels
 from termloom.llm.rolling import Hashes, mixed
 
@@ -323,16 +323,21 @@ def _parted(reps: DataFrame, threshold: float, target: float, depth: int) -> Dat
 
 
 def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, target_recall: float) -> DataFrame:
+    with dropped_after(docs.sparkSession):
+        return _found(docs, text_col, id_col, threshold, target_recall)
+
+
+def _found(docs: DataFrame, text_col: str, id_col: str, threshold: float, target_recall: float) -> DataFrame:
     """One row per document: doc_id, k1, class_id, n_links, first (struct of the class's first document), copies (rows with its doc_id and text)."""
     depth = shortened_depth(threshold, target_recall)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(_sets(docs, text_col, id_col), "forest-sets")
+    rows = materialize(_sets(docs, text_col, id_col), "forest-sets", outlives_scope=True)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1")
     reps = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
     nodes = _nodes(reps, (depth,)).select("rid", "node")
-    roots = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rid").alias("root")).where("members > 1").select("node", "root"), "forest-nodes")
-    star = nodes.join(roots, "node").where("rid <> root").select(F.col("rid").alias("src"), F.col("root").alias("dst")).distinct()
+    roots = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("shared_by"), F.min("rid").alias("root")).where("shared_by > 1"), "forest-nodes")
+    star = nodes.join(roots.select("node", "root"), "node").where("rid <> root").select(F.col("rid").alias("src"), F.col("root").alias("dst")).distinct()
     candidates = connected_components(star).withColumnRenamed("node", "rid")
     detail = ("rid", "component", "n", "first", "n_shingles", "keys")
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
@@ -376,7 +381,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, targ
     known = reps.select("rid", "n", "s1", "s2", "first").join(links, "rid", "left").join(component, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     firsts = known.groupBy("component").agg(F.min("first").alias("class_first"))
     known = known.join(firsts, "component").select("s1", "s2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_first")
-    known = materialize(known, "forest-classes")
+    known = materialize(known, "forest-classes", outlives_scope=True)
     alone = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1")
     return rows.select("doc_id", "k1", "s1", "s2").join(known, ["s1", "s2"], "left").select(
         F.col("doc_id").cast(kind), "k1", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_first", alone).alias("first"),
@@ -398,8 +403,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     twice = found.where(kept).groupBy("doc_id", "k1").count().where("count > 1").select("doc_id", "k1")
     marked = materialize(dropped.withColumn("twice", F.lit(False)).unionByName(twice.withColumn("twice", F.lit(True))), "forest-marked")
     small = marked.count() * 64 <= MOST_BROADCAST_BYTES
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_of(text_col)).alias("d_k1"), row.alias("row"))
+    keyed = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_of(text_col)).alias("d_k1"), whole_row(docs).alias("row"))
     rows = keyed.join(F.broadcast(marked) if small else marked, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_k1") == F.col("k1")), "left")
     own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     single = rows.where(F.col("twice").isNull()).select(*own)

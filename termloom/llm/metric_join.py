@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize
+from termloom.llm.common import dropped_after, materialize
 from termloom.llm.components import block_labels, connected_components, forest_labels
 
 #: Vectors a fine pivot should get on average; the most pivots, which go to every task (times 8 bytes a component); vectors sampled for each.
@@ -221,14 +221,9 @@ def _joined(packed: DataFrame, threshold: float, dim: int, count: int) -> DataFr
     return blocks.groupBy("group", "part").applyInPandas(lambda x: _links(x, threshold), "rid long, links long, label long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), doubles.alias("vector"))
-    keys = [F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit("termloom"), "vector").alias("k2")]
-    fine = rows.where(_usable("vector"))
-    distinct = fine.groupBy("vector").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
-    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("rid"), "n", "first_id", "vector", *keys, F.size("vector").alias("dim")), "embeddings")
+def _classes(distinct: DataFrame, threshold: float) -> DataFrame:
+    """(c1, c2, n_links, component_id) of each distinct vector."""
+    distinct = materialize(distinct, "embeddings")
     found = None
     lengths = distinct.groupBy("dim").count().where("count > 1").orderBy("dim").toLocalIterator()
     few = []
@@ -250,7 +245,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     component = connected_components(found.where("label <> rid").select(F.col("rid").alias("src"), F.col("label").alias("dst")))
     known = distinct.select("rid", "n", "first_id", "k1", "k2").join(links, "rid", "left").join(component.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = known.join(firsts, "component").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    return known.join(firsts, "component").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept."""
+    doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), doubles.alias("vector"))
+    keys = [F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit("termloom"), "vector").alias("k2")]
+    fine = rows.where(_usable("vector"))
+    distinct = fine.groupBy("vector").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
+    with dropped_after(vectors.sparkSession):
+        classes = materialize(_classes(distinct.select(F.monotonically_increasing_id().alias("rid"), "n", "first_id", "vector", *keys, F.size("vector").alias("dim")), threshold), "classes", outlives_scope=True)
     keyed = rows.select("vec_id", *[F.when(_usable("vector"), k).alias(n) for k, n in zip(keys, ("k1", "k2"), strict=True)])
     joined = keyed.join(classes, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     component_id = F.when(F.col("c1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

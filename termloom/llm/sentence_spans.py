@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, text_of
+from termloom.llm.common import dropped_after, materialize, salted_join, text_of, whole_row
 
 SENTENCES, WORDS = 3, 20
 #: A sentence of LONG_WORDS is also cut after every word whose hash is the smallest in some window of CUT_WINDOW.
@@ -125,17 +125,22 @@ def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run.view(np.int64), places[first], places[last - 1] - places[first] + 1
 
 
-def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def _keys(text_col: str, id_col: str) -> tuple[Column, Column, Column]:
+    """What tells documents apart: doc_id and a hash of the text; without a doc_id a second hash."""
     text = text_of(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.crc32(text.cast("binary")).alias("tie"), text.alias("text"))
+    return F.col(id_col), F.xxhash64(text), F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("termloom"), text))
+
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    doc_id, k1, k2 = _keys(text_col, id_col)
+    return docs.select(doc_id.alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text_of(text_col).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, tie, place, n, later) of every repeated span; later is false for the first of each, tie is the text's crc32.
+    """(doc_id, k1, k2, place, n, later) of every repeated span; later is false for the first of each, k1 and k2 are the text's hashes.
 
     A hash per sentence is counted (combined before the shuffle); only occurrences of hashes
-    that were seen twice go on. The joins are plain equi-joins of two shuffled tables, so
-    adaptive execution splits the partition of a very common passage.
+    that were seen twice go on. Occurrences of a very common passage are dealt out by salt.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -143,19 +148,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         for b in batches:
             for begin in range(0, b.num_rows, 500):
                 part = b.slice(begin, 500)
-                found = [spans(t) for t in part.column(2).to_pylist()]
+                found = [spans(t) for t in part.column(3).to_pylist()]
                 sizes = [len(f[0]) for f in found]
                 if sum(sizes):
                     row = pa.array(np.repeat(np.arange(len(found)), sizes))
                     span, place, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).take(row), "tie": part.column(1).take(row), "span": pa.array(span, pa.int64()), "place": pa.array(place.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).take(row), "k1": part.column(1).take(row), "k2": part.column(2).take(row), "span": pa.array(span, pa.int64()), "place": pa.array(place.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    occurrences = _keyed(docs, text_col, id_col).mapInArrow(emit, f"doc_id {kind}, tie long, span long, place int, n int")
-    repeated = materialize(occurrences.groupBy("span").count().where("count > 1").select("span"), "spans-repeated")
-    held = materialize(occurrences.join(repeated, "span"), "spans-held")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "place")
-    first = materialize(held.groupBy("span").agg(F.min(order).alias("first")), "spans-first")
-    return held.join(first, "span").select("doc_id", "tie", "place", "n", (order != F.col("first")).alias("later"))
+    occurrences = _keyed(docs, text_col, id_col).mapInArrow(emit, f"doc_id {kind}, k1 long, k2 long, span long, place int, n int")
+    repeated = materialize(occurrences.groupBy("span").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "spans-repeated")
+    dealt_by = F.xxhash64("doc_id", "k1", "place")
+    held = materialize(salted_join(occurrences, repeated, ["span"], "uses", dealt_by).drop("uses"), "spans-held")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "place")
+    first = materialize(held.groupBy("span").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("uses")), "spans-first")
+    return salted_join(held, first, ["span"], "uses", dealt_by).select("doc_id", "k1", "k2", "place", "n", (order != F.col("first")).alias("later"))
 
 
 def _stretches(runs: list[int] | None) -> list[int]:
@@ -173,23 +179,26 @@ def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            everything = [_stretches(r) for r in b.column(2).to_pylist()]
+            everything = [_stretches(r) for r in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_pydict({
-                "__r_id": b.column(0), "__r_tie": b.column(1), "__runs": pa.array([_stretches(r) for r in b.column(3).to_pylist()], pa.list_(pa.int32())),
-                "__repeated": pa.array([sum(s[1::2]) - sum(s[::2]) for s in everything], pa.int64()),
+                "doc_id": b.column(0), "k1": b.column(1), "k2": b.column(2), "runs": pa.array([_stretches(r) for r in b.column(4).to_pylist()], pa.list_(pa.int32())),
+                "repeated": pa.array([sum(s[1::2]) - sum(s[::2]) for s in everything], pa.int64()),
             })
 
-    return by_doc.mapInArrow(run, f"__r_id {kind}, __r_tie long, __runs array<int>, __repeated long")
+    return by_doc.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, runs array<int>, repeated long")
 
 
 def _removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """docs with __runs, the stretches of sentences to remove (null or empty: none), and __repeated."""
+    """(row, runs, repeated): each row of docs, whole, with the stretches of sentences to remove (null or empty: none) and the number of its repeated ones."""
     packed = F.shiftleft(F.col("place").cast("long"), 31) + F.col("n")
-    runs = repeated_spans(docs, text_col, id_col).groupBy(F.col("doc_id").alias("__r_id"), F.col("tie").alias("__r_tie")).agg(F.collect_set(packed).alias("any"), F.collect_set(F.when(F.col("later"), packed)).alias("later"))
-    runs = materialize(_merged(runs, docs.schema[id_col].dataType.simpleString()), "spans-runs")
-    size = runs.agg(F.coalesce(F.sum(F.size("__runs") * 4 + 48), F.lit(0))).first()[0]
-    tie = F.crc32(text_of(text_col).cast("binary"))
-    return docs.join(F.broadcast(runs) if size <= MOST_BROADCAST_BYTES else runs, F.col(id_col).eqNullSafe(F.col("__r_id")) & (tie == F.col("__r_tie")), "left").drop("__r_id", "__r_tie")
+    with dropped_after(docs.sparkSession):
+        runs = repeated_spans(docs, text_col, id_col).groupBy("doc_id", "k1", "k2").agg(F.collect_set(packed).alias("any"), F.collect_set(F.when(F.col("later"), packed)).alias("later"))
+        runs = materialize(_merged(runs, docs.schema[id_col].dataType.simpleString()), "spans-runs", outlives_scope=True)
+    size = runs.agg(F.coalesce(F.sum(F.size("runs") * 4 + 56), F.lit(0))).first()[0]
+    keys = _keys(text_col, id_col)
+    keyed = docs.select(*[k.alias(f"d_{n}") for n, k in zip(("id", "k1", "k2"), keys, strict=True)], whole_row(docs).alias("row"))
+    same = F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_k1") == F.col("k1")) & F.col("d_k2").eqNullSafe(F.col("k2"))
+    return keyed.join(F.broadcast(runs) if size <= MOST_BROADCAST_BYTES else runs, same, "left").select("row", "runs", "repeated")
 
 
 def _cut(text: str, runs: list[int] | None) -> tuple[str, int, int]:
@@ -212,13 +221,12 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, runs = b.column(place).to_pylist(), b.column(len(columns)).to_pylist()
-            kept = [t if t is None else _cut(t, r)[0] if r else t for t, r in zip(texts, runs, strict=True)]
-            out = {c: b.column(i) for i, c in enumerate(columns)}
-            out[text_col] = pa.array(kept, b.schema.field(place).type)
-            yield pa.RecordBatch.from_pydict(out)
+            own = b.column(0).flatten()
+            kept = [t if t is None else _cut(t, r)[0] if r else t for t, r in zip(own[place].to_pylist(), b.column(1).to_pylist(), strict=True)]
+            own[place] = pa.array(kept, own[place].type)
+            yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    kept = _removals(docs, text_col, id_col).select(*columns, "__runs").mapInArrow(run, schema)
+    kept = _removals(docs, text_col, id_col).select("row", "runs").mapInArrow(run, schema)
     if length_col in columns:
         kept = kept.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(schema[length_col].dataType)))
     return kept
@@ -239,4 +247,4 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             })
 
     rows = _removals(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "doc_id")
-    return rows.select("doc_id", "text", "__runs", "__repeated").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_repeated long, n_removed long, removed_bytes long, kept_sha256 string")
+    return rows.select("row.doc_id", "row.text", "runs", "repeated").mapInArrow(run, f"doc_id {kind}, n_sentences long, n_repeated long, n_removed long, removed_bytes long, kept_sha256 string")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, salted_join, text_of
+from termloom.llm.common import dropped_after, materialize, salted_join, text_of, whole_row
 from termloom.llm.rolling import Hashes, mixed
 
 WINDOW, Q = 200, 64
@@ -288,19 +288,20 @@ def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
                 end = np.maximum.accumulate(begin + count + WINDOW - 1)
                 new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
                 merged.append(np.column_stack([begin[new], end[np.concatenate([new[1:] - 1, [len(end) - 1]])]]).ravel().tolist())
-            yield pa.RecordBatch.from_pydict({"__r_id": b.column(0), "__r_k1": b.column(1), "__runs": pa.array(merged, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "k1": b.column(1), "runs": pa.array(merged, pa.list_(pa.int64()))})
 
-    return by_doc.mapInArrow(run, f"__r_id {kind}, __r_k1 long, __runs array<bigint>")
+    return by_doc.mapInArrow(run, f"doc_id {kind}, k1 long, runs array<bigint>")
 
 
 def _with_runs(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """docs with _runs: the covered stretches of each row (null: none)."""
-    runs = repeated_runs(docs, text_col, id_col)
-    by_doc = runs.groupBy(F.col("doc_id").alias("__r_id"), F.col("k1").alias("__r_k1")).agg(F.collect_set("run").alias("__runs"))
-    by_doc = materialize(_merged(by_doc, docs.schema[id_col].dataType.simpleString()), "suffix-runs")
-    size = by_doc.agg(F.coalesce(F.sum(F.size("__runs") * 8 + 48), F.lit(0))).first()[0]
-    same = F.col(id_col).eqNullSafe(F.col("__r_id")) & (F.xxhash64(text_of(text_col)) == F.col("__r_k1"))
-    return docs.join(F.broadcast(by_doc) if size <= MOST_BROADCAST_BYTES else by_doc, same, "left").drop("__r_id", "__r_k1")
+    """(row, runs): each row of docs, whole, and its covered stretches (null: none)."""
+    with dropped_after(docs.sparkSession):
+        by_doc = repeated_runs(docs, text_col, id_col).groupBy("doc_id", "k1").agg(F.collect_set("run").alias("runs"))  # one text's runs
+        by_doc = materialize(_merged(by_doc, docs.schema[id_col].dataType.simpleString()), "suffix-runs", outlives_scope=True)
+    size = by_doc.agg(F.coalesce(F.sum(F.size("runs") * 8 + 48), F.lit(0))).first()[0]
+    keyed = docs.select(F.col(id_col).alias("d_id"), F.xxhash64(text_of(text_col)).alias("d_k1"), whole_row(docs).alias("row"))
+    same = F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_k1") == F.col("k1"))
+    return keyed.join(F.broadcast(by_doc) if size <= MOST_BROADCAST_BYTES else by_doc, same, "left").select("row", "runs")
 
 
 def covered(n_bytes: int, stretches: list[int]) -> np.ndarray:
@@ -329,7 +330,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     rows = _with_runs(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "text", "doc_id")
-    return rows.select("doc_id", "text", "__runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("row.doc_id", "row.text", "runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str | None = "n_chars") -> DataFrame:
@@ -339,17 +340,18 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = []
-            for text, runs in zip(b.column(place).to_pylist(), b.column(len(columns)).to_pylist(), strict=True):
+            kept, own = [], b.column(0).flatten()
+            for text, runs in zip(own[place].to_pylist(), b.column(1).to_pylist(), strict=True):
                 if runs:
                     data = np.frombuffer(text.encode(), np.uint8)
                     leads = (data & 0xC0) != 0x80
                     gone = np.logical_or.reduceat(covered(len(data), runs), np.flatnonzero(leads))
                     text = data[~gone[np.cumsum(leads) - 1]].tobytes().decode()
                 kept.append(text)
-            yield pa.RecordBatch.from_pydict({c: b.column(i) for i, c in enumerate(columns)} | {text_col: pa.array(kept, b.schema.field(place).type)})
+            own[place] = pa.array(kept, own[place].type)
+            yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    kept = _with_runs(docs, text_col, id_col).select(*columns, "__runs").mapInArrow(run, schema)
+    kept = _with_runs(docs, text_col, id_col).mapInArrow(run, schema)
     if length_col in columns:
         kept = kept.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(schema[length_col].dataType)))
     return kept
