@@ -441,7 +441,70 @@ def test_toxicity_folding_and_exceptions():
     for t in ("", "a trash can", "the trash bins", "Antidiotic", "10 100 1000", None or " "):
         assert m.score(t)[0] < 0.3 or t == "the trash bins", t
     assert m.score("trash, in a trash can")[1] == 1
-    assert m.weight("idiot " + "fine words " * 500)[0] < m.weight("idiot fine words")[0]
+    assert m.score("idiot " + "fine words " * 500)[0] < m.score("idiot fine words")[0]
+    assert m.hits("trash can trash bin idiot " * 3000) == {"idiot".replace("l", "i"): 3000}
+
+
+def brute_toxicity(text, lexicon):
+    """The same score from a look at every entry at every place of the folded text."""
+    import math
+
+    from termloom.llm.toxicity import fold, kind
+
+    folded = fold(text)
+    unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u4e00-\u9fff]")
+    letter = [c.isalpha() and not unspaced.match(c) for c in folded] + [False]
+    spared = set()
+    for x in lexicon.exceptions:
+        for m in re.finditer(f"(?={re.escape(x)})", folded):
+            a, b = m.start(), m.start() + len(x)
+            if not (a and letter[a - 1]) and not letter[b]:
+                spared.update(range(a, b))
+    total = hits = 0
+    for s, w in sorted(lexicon.weights.items()):
+        n = 0
+        for m in re.finditer(f"(?={re.escape(s)})", folded):
+            a, b = m.start(), m.start() + len(s)
+            whole = kind(s) == "word"
+            n += a not in spared and (kind(s) == "run" or not (a and letter[a - 1])) and not (whole and letter[b])
+        hits += n
+        total += w * (1 + math.log(n)) if n else 0
+    total /= 1 + lexicon.length_power * math.log1p(len(text) / 1000)
+    return 1 / (1 + math.exp(-max(-30, min(30, lexicon.slope * total + lexicon.bias)))), hits
+
+
+def test_toxicity_against_brute_force(spark, sf_dir):
+    from termloom.llm import toxicity
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lexicon = toxicity.learn(docs, labels)
+    few = docs.join(labels.where("toxic = 1").select("doc_id").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")).distinct(), "doc_id")
+    got = {r.doc_id: r for r in toxicity.score(few, lexicon).collect()}
+    texts = {r.doc_id: r.text for r in few.collect()}
+    assert len(got) == len(texts) > 200
+    for i, t in texts.items():
+        score, hits = brute_toxicity(t or "", lexicon)
+        assert abs(got[i].score - score) < 1e-9 and got[i].n_hits == hits and got[i].predicted == int(score >= 0.3)
+
+
+def test_short_words_and_other_scripts_are_learned(spark):
+    from termloom.llm import toxicity
+
+    rng = random.Random(4)
+    bad = ["zog", "чушня", "恥辱者", "สารเลว", "blorkwit"]
+    rows = []
+    for i in range(1200):
+        words = [rng.choice(["alpha", "beta", "слово", "вещь", "日本語文", "ดีมาก", "zo", "gamma"]) for _ in range(12)]
+        if i % 4 == 0:
+            words[rng.randrange(12)] = bad[i // 4 % 5]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id int, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, lexicon).collect()}
+    assert all(got[i] == y for i, _, y in rows)
+    m = lexicon.matcher()
+    assert m.score("alpha Zog!")[0] > 0.5 and m.score("alpha zogs")[0] < 0.3 and m.score("彼は恥辱者です")[0] > 0.5
 
 
 def test_toxicity_held_out(spark, odd, empty):
