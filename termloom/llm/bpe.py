@@ -1,7 +1,7 @@
 """BPE encoding and decoding (operator 6) by a queue of merge ranks over a linked symbol list.
 
 Encoding: special strings are cut out of the raw text first; the rest is normalised
-(NFC, white space, lower case), split into words, mapped to byte symbols, and merged: all
+(NFC, white space, lower case, by the library's character tables), split into words, mapped to byte symbols, and merged: all
 adjacent pairs that have a rank wait in a priority queue; the lowest (rank, place) is
 merged by relinking its neighbours, and entries whose symbols have meanwhile changed are
 stale and skipped. Decoding joins the vocabulary strings of the ids.
@@ -16,20 +16,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import text_of
+from termloom.llm.unicode_classes import Classes, library_classes
 
 #: Characters that str.split() takes for white space but Unicode's White_Space does not.
-NOT_WHITE = regex.compile("[\x1c-\x1f]")
-WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+NOT_WHITE = re.compile("[\x1c-\x1f]")
 #: Marks that are a word of their own after a word.
 STOPS = frozenset(",.!?;:")
 
@@ -91,16 +91,17 @@ class MergeTable:
 class WordBpe:
     """The encoder and decoder of a lower-casing tokenizer file with word ends; other normalisers or pre-tokenizers are refused."""
 
-    def __init__(self, model: str, most_chunks: int = 150_000, most_pieces: int = 400_000) -> None:
+    def __init__(self, model: str, classes: Classes, most_chunks: int = 100_000, most_pieces: int = 250_000) -> None:
         spec = json.loads(model)
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if steps != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or level["type"] != "ByteLevel" or spec["decoder"] or spec["post_processor"]:
             raise ValueError("not a tokenizer of this kind")
         self.table = MergeTable(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"] or "")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words, self.white, self.odd = classes.compile(split["pattern"]["Regex"]), re.compile(f"[{classes.spaces}]+"), re.compile(f"[{classes.odd}]")
+        self.lower = classes.lower
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.string_of = {str(i): s for s, i in [*self.table.vocab.items(), *self.special.items()]}
         self.symbols = byte_symbols()
         self.most_chunks, self.most_pieces, self.chunks, self.pieces = most_chunks, most_pieces, {}, {}
@@ -117,9 +118,11 @@ class WordBpe:
 
     def chunk_ids(self, chunk: str) -> str:
         """The ids of a stretch without white space."""
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # capital sigma never becomes a final one
-        low = text.lower()
-        if low.isalpha():  # one word, as most are
+        odd = not chunk.isascii() and self.odd.search(chunk) is not None
+        low = self.odd_lower(chunk) if odd else chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # capital sigma never becomes a final one
+        if odd:
+            found = " ".join(x for x in map(self.piece_ids, self.words.findall(low)) if x)
+        elif low.isalpha():  # one word, as most are
             found = self.piece_ids(low)
         elif low[-1:] in STOPS and low[:-1].isalpha():
             found = f"{self.piece_ids(low[:-1])} {self.piece_ids(low[-1])}"
@@ -131,8 +134,14 @@ class WordBpe:
             self.chunks[chunk] = found
         return found
 
+    def odd_lower(self, chunk: str) -> str:
+        """Composed and lower-cased by the library's tables, for the rare characters that Python's know differently or not at all."""
+        from tokenizers import normalizers
+
+        return "".join(self.lower.get(c, c.lower()) for c in normalizers.NFC().normalize_str(chunk))
+
     def segment_ids(self, text: str) -> str:
-        chunks, known = (WHITE.split(text) if NOT_WHITE.search(text) else text.split()), self.chunks
+        chunks, known = (self.white.split(text) if NOT_WHITE.search(text) else text.split()), self.chunks
         return " ".join(filter(None, [known[c] if c in known else self.chunk_ids(c) for c in chunks]))
 
     def encode(self, text: str) -> str:
@@ -153,12 +162,12 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_c
     is asked for leaves a task.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(open(model_path, encoding="utf-8").read())
+    model = spark.sparkContext.broadcast((open(model_path, encoding="utf-8").read(), library_classes()))
     kinds = {"ids": "string", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", *(f"{o} {kinds[o]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordBpe(model.value)
+        coder = WordBpe(*model.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             out: dict[str, list] = {o: [] for o in outputs}
