@@ -13,20 +13,21 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize, text_of
+from termloom.llm.unicode_classes import Classes, library_classes
 
 #: How the byte-level tokenizer cuts a text (a public pattern; fixed value).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Spaces where a text can't be cut into stretches that are split alone.
-ODD_SPACE = regex.compile(r" (?=\s|\Z)")
+ODD_SPACE = r" (?=\s|\Z)"
 #: The most frequent pre-tokens, which tasks look up in a broadcast table of at most this many entries and these bytes each.
 HEAD_ENTRIES, HEAD_BYTES = 250_000, 32
 #: Stretches whose sums a task remembers, and distinct stretches it holds before it hands them to the shuffle.
@@ -36,10 +37,10 @@ REMEMBERED, MOST_HELD = 250_000, 400_000
 class PreTokens:
     """Cuts texts into stretches (what stands between single spaces), whose pre-tokens don't depend on their neighbours."""
 
-    def __init__(self, special: list[str]) -> None:
-        self.pattern = regex.compile(PRE_TOKEN)
+    def __init__(self, special: list[str], classes: Classes) -> None:
+        self.pattern, self.odd_space = classes.compile(PRE_TOKEN), classes.compile(ODD_SPACE)
         self.special = set(special)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def stretches(self, text: str) -> tuple[list[str], list[str], int]:
         """Stretches that follow a space, pre-tokens of the rest, and the number of special strings (a token each)."""
@@ -50,7 +51,7 @@ class PreTokens:
         for part in parts:
             if part in self.special:
                 special += 1
-            elif ODD_SPACE.search(part):
+            elif self.odd_space.search(part):
                 loose += self.pattern.findall(part)
             elif part:
                 units = part.split(" ")
@@ -111,10 +112,10 @@ class Summer:
 def pre_token_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """(token, n_uses, n_pieces): each distinct pre-token of all texts, how often it is used, and its number of pieces, counted once."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
+    model, classes = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read()), spark.sparkContext.broadcast(library_classes())
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, units, seen = PreTokens(_special(model.value)), Counter(), Counter()
+        cutter, units, seen = PreTokens(_special(model.value), classes.value), Counter(), Counter()
 
         def give() -> pa.RecordBatch:
             for stretch, n in units.items():
@@ -153,24 +154,38 @@ def _special(model: str) -> list[str]:
     return [t["content"] for t in json.loads(model)["added_tokens"]]
 
 
+def _least_uses(dictionary: DataFrame) -> int:
+    """The smallest number of uses that at most HEAD_ENTRIES entries have: exact counts of uses up to 4,096, above them steps of 1/64 of a power of two, so that counting them takes a few thousand rows."""
+    power = F.floor(F.log2("n_uses"))
+    step = F.when(F.col("n_uses") <= 4096, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), power - 6).cast("long"))
+    below = (F.floor(F.col("n_uses") / step) * step).cast("long")
+    total = 0
+    for least, n in sorted(dictionary.groupBy(below.alias("least")).count().collect(), reverse=True):
+        total += n
+        if total > HEAD_ENTRIES:
+            return least + 1 if least <= 4096 else least + int(2 ** (least.bit_length() - 7))
+    return 1
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", limit: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    The dictionary is written once. Its most frequent entries (HEAD_ENTRIES, short ones
-    only, so at most 250,000 * 32 bytes of strings whatever the input) go to every task,
+    The dictionary is written once. Its most frequent entries (HEAD_ENTRIES at most, short
+    ones only, so at most 250,000 * 32 bytes of strings whatever the input) go to every task,
     which sums them on the spot; all other frequencies are shuffled by pre-token, joined
     to the dictionary and summed per row. Rows get an id when they are written, so that
     equal documents stay apart.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
+    model, classes = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read()), spark.sparkContext.broadcast(library_classes())
     dictionary = materialize(pre_token_dictionary(docs, tokenizer_path, text_col), "token-dictionary")
-    top = dictionary.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("n_uses"), "token").limit(HEAD_ENTRIES)
-    head = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in top.select("token", "n_pieces").toArrow().columns), strict=True)))
+    short = dictionary.where(F.octet_length("token") <= HEAD_BYTES)
+    top = short.where(F.col("n_uses") >= _least_uses(short)).select("token", "n_pieces")
+    head = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in top.toArrow().columns), strict=True)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summer = Summer(PreTokens(_special(model.value)), head.value)
+        summer = Summer(PreTokens(_special(model.value), classes.value), head.value)
         for batch in batches:
             sums, tokens, counts = [], [], []
             for t in batch.column(1):
