@@ -6,7 +6,7 @@ the source is cut at its exact budget, after as many whole epochs as fit.
 
 Defined results for odd input: a null text has size 0; a null source is a source
 of its own, last in the order of weights; a null doc_id only feeds the key (as the
-empty string); repeated rows are separate rows, and which of two rows that agree in
+empty string), which the text feeds too, so that rows without ids spread over all ranges; repeated rows are separate rows, and which of two rows that agree in
 doc_id, size and text comes first makes no difference to the result as a set; an
 empty table gives an empty result; other columns are ignored (mix) or passed on
 untouched, whatever their names (draw).
@@ -70,7 +70,7 @@ def _sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, seed: s
     as_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("_id"), F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("_source"), word_count(text_col).alias("_size"),
-        F.md5(F.concat_ws("|", F.lit(seed), as_text(F.col(id_col)), as_text(source))).alias("_key"), F.xxhash64(text_of(text_col)).alias("_tie"),
+        F.md5(F.concat_ws("|", F.lit(seed), as_text(F.col(id_col)), as_text(source), F.md5(text_of(text_col)))).alias("_key"), F.xxhash64(text_of(text_col)).alias("_tie"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if with_row else []),
     )
 
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
     taken is epochs * size plus what of the document lies before the cut in the last,
     partial epoch; a source's taken words are its target rounded to a whole number. Keys
-    are md5(seed, id, source). A source's key space is cut into equal ranges of about
+    are md5(seed, id, source, md5(text)). A source's key space is cut into equal ranges of about
     rows_per_range rows, so a source with a third of all rows is summed in as many pieces;
     range totals are prefix-summed per source, and only the range that the cut falls into
     is sorted row by row.
