@@ -50,10 +50,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     forest), so a round costs two joins on the nodes that have links at all; a hub is
     split by adaptive skew joins, and minima are combined before they are shuffled. Rounds
     run until no label changes: about the logarithm of the longest path. Every round is
-    written to the shared folder, so a lost executor costs at most one round.
+    written to the shared folder, so a lost executor costs at most one round. An edge with
+    a null end, or from a node to itself, links nothing and gives no row; repeated edges
+    count once; an empty table gives an empty result; other columns are ignored.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.where("src <> dst").distinct(), "cc-edges")
+    both = materialize(both.where("src <> dst").distinct(), "cc-edges")  # no nulls: they compare as null
     labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("d")).select("node", F.least("node", "d").alias("component")), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))

@@ -244,8 +244,8 @@ def store_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """media's other columns and what its streams hold: payload, timestamps (array<bigint>), random_access (array<int>, places in timestamps), continuity_errors, feature. A null stream is an empty one."""
-    others = [c for c in media.columns if c != media_col]
+    """media's other columns and what its streams hold: payload, timestamps (array<bigint>), random_access (array<int>, places in timestamps), continuity_errors, feature. A null stream is an empty one; a column of media with one of these names is replaced."""
+    others = [c for c in media.columns if c not in (media_col, "payload", "timestamps", "random_access", "continuity_errors", "feature")]
     schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others)
     schema += (", " if others else "") + "payload binary, timestamps array<bigint>, random_access array<int>, continuity_errors int, feature string"
 

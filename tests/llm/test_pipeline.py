@@ -60,3 +60,17 @@ def test_run_equals_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert set(got.columns) >= {"doc_id", "n_tokens", "ids"} and 0 < got.select("doc_id").distinct().count() <= docs.count()
     assert got.where(F.col("n_tokens").isNull()).count() == 0
+
+
+def test_stages_on_odd_and_empty_rows(spark, odd, empty, sf_dir):
+    """Every stage takes nulls, empty texts, repeated rows and clashing columns, and keeps the columns it is given; on empty tables it returns none."""
+    for docs, least in ((odd, 20), (empty, 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name == "bpe":
+                assert out.where("n_tokens IS NULL").count() == 0
+            else:
+                assert out.schema.simpleString() == docs.schema.simpleString(), name
+            assert out.count() >= least, name
+            if not least:
+                assert out.count() == 0

@@ -97,6 +97,7 @@ def test_forest_labels():
 def test_components(spark):
     from termloom.llm.components import connected_components
 
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, None), (None, None), (1, 2), (2, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
