@@ -3,6 +3,13 @@
 Documents that score as toxic go; of each class of near-duplicates one document stays;
 strings that repeat across what is left are cut out; sources are mixed to their target
 weights (a document comes once for each epoch it is taken in); the mix is encoded.
+
+Defined results for odd input, in every stage: null and empty texts are never toxic, never
+copies, lose nothing and take no part of a mix's words (they are passed on once); very
+long texts are treated whole; of rows that agree in doc_id and text one stays after the
+near-duplicates, rows with the same doc_id and other texts are documents of their own;
+rows with a null doc_id take part; columns of documents are passed on, whatever their
+names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,22 +27,22 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that operator 8 predicts to be toxic; it learns from the labelled documents among docs."""
+    """docs without those that operator 8 predicts to be toxic; it learns from the labelled documents among docs, or takes a built-in lexicon if none is labelled."""
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of operator 4: the one with the smallest doc_id."""
+    """One document of each class of operator 4: the one with the smallest doc_id (null last), then text."""
     return lsh_forest.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs whose texts have lost what operator 1 finds repeated."""
+    """docs whose texts have lost what operator 1 finds repeated: every occurrence, the first one too, as that operator is defined."""
     return suffix_dedup.remove(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus that operator 5 draws from docs."""
+    """The corpus that operator 5 draws from docs: a document once for each epoch it is taken in, the one at a cut shortened."""
     return mixing.draw(docs)
 
 
