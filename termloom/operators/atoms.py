@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.columns import let
+from termloom.operators.sites import address
+
 MAX_INPUT = 16_384
 #: Fixed patterns of the detectors, in the order in which they are tried.
 IPFS = r"^(?:ipfs://|/ipfs/)(Qm[1-9A-HJ-NP-Za-km-z]{44}|b[a-z2-7]{58,})(/.*)?$"
 ADDRESS = r"^0x[0-9a-fA-F]{40}$"
 ENS = r"^(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+eth$"
-URL = r"^[hH][tT][tT][pP][sS]?://[^\s/?#]+[^\s]*$"
 GATEWAY = "https://ipfs.io/ipfs/"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once: without this every mention of value in a long chain would be expanded anew."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def isbn10_ok(s: Column) -> Column:
     """Mod-11 check of ten characters, the last of which may be X."""
     digit = lambda i: F.when(F.substring(s, i, 1).isin("X", "x"), 10).otherwise(F.expr("0") + F.substring(s, i, 1).try_cast("int"))
@@ -37,11 +32,11 @@ def isbn13_ok(s: Column) -> Column:
 
 def is_json(s: Column) -> Column:
     """Objects and arrays only; scalars are not JSON here."""
-    return s.rlike(r"^\s*[\[{]") & F.get_json_object(s, "$").isNotNull()
+    return s.rlike(r"^\s*[\[{]") & F.try_parse_json(s).isNotNull()
 
 
 def parse(df: DataFrame, column: str) -> DataFrame:
-    """df with kind, normalized, canonical and error of the atom input in column.
+    """df with kind, normalized, canonical, gateway_url, url (see sites.address) and error of the atom input in column.
 
     Kinds are tried in a fixed order; the first that holds wins. Empty or over-long input
     has an error instead. Everything stays in the JVM; the checksum form of addresses is
@@ -50,102 +45,24 @@ def parse(df: DataFrame, column: str) -> DataFrame:
     raw = F.col(column)
     error = F.when(raw.isNull() | (F.trim(F.regexp_replace(raw, r"\s+", " ")) == ""), "empty").when(F.length(raw) > MAX_INPUT, "too_long")
 
-    def kind_of(s: Column, bare: Column) -> Column:
+    def kind_of(s: Column, bare: Column, url: Column) -> Column:
         return (
             F.when(s.rlike(IPFS), "ipfs").when(s.rlike(ADDRESS), "ethereum_address").when(F.lower(s).rlike(ENS), "ens_name").when(is_json(s), "json")
-            .when(s.rlike(URL), "url").when(isbn10_ok(bare) | isbn13_ok(bare), "isbn").otherwise("plain_string")
+            .when(url.isNotNull(), "url").when(isbn10_ok(bare) | isbn13_ok(bare), "isbn").otherwise("plain_string")
         )
 
     def form_of(p: Column) -> Column:
         kind, s = p["kind"], p["normalized"]
-        return (
-            F.when(kind == "ipfs", F.concat(F.lit("ipfs://"), F.regexp_extract(s, IPFS, 1), F.regexp_extract(s, IPFS, 2))).when(kind.isin("ethereum_address", "ens_name"), F.lower(s))
-            .when(kind == "url", canonical_url(s)).when(kind == "isbn", F.upper(F.regexp_replace(s, "[- ]", ""))).otherwise(s)
-        )
-
-    parsed = let(F.regexp_replace(raw, r"^\s+|\s+$", ""), lambda s: F.struct(let(F.regexp_replace(s, "[- ]", ""), lambda bare: kind_of(s, bare)).alias("kind"), s.alias("normalized")))
-    whole = let(parsed, lambda p: F.struct(p["kind"].alias("kind"), p["normalized"].alias("normalized"), form_of(p).alias("canonical")))
-    out = df.withColumn("error", error).withColumn("_p", F.when(F.col("error").isNull(), whole))
-    return out.withColumns({c: F.col(f"_p.{c}") for c in ("kind", "normalized", "canonical")}).drop("_p")
-
-
-def url_host(url: Column) -> Column:
-    """Lower-case host without user info, port or www."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return F.regexp_replace(host, r"^www\.", "")
-
-
-def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-
-
-def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, default ports dropped, an empty path as a slash."""
-    head = F.lower(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1))
-    head = F.regexp_replace(F.regexp_replace(head, r"^(http://[^/?#]*):80$", "$1"), r"^(https://[^/?#]*):443$", "$1")
-    rest = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+(.*)$", 1)
-    return F.concat(head, F.when(rest.rlike(r"^/"), rest).otherwise(F.concat(F.lit("/"), rest)))
-
-
-@dataclass(frozen=True)
-class Platform:
-    """A URL class: a host pattern, a path pattern, and how sure a match is."""
-
-    name: str
-    host: str
-    path: str
-    confidence: float
+        place = F.concat(F.regexp_extract(s, IPFS, 1), F.regexp_replace(F.regexp_replace(F.regexp_extract(s, IPFS, 2), "^/+", "/"), "/+$", ""))
+        canonical = F.when(kind == "ipfs", F.concat(F.lit("ipfs://"), place)).when(kind.isin("ethereum_address", "ens_name"), F.lower(s)).when(kind == "url", p["url"]["href"]).when(kind == "isbn", F.upper(F.regexp_replace(s, "[- ]", ""))).otherwise(s)
+        return F.struct(kind.alias("kind"), s.alias("normalized"), canonical.alias("canonical"), F.when(kind == "ipfs", F.concat(F.lit(GATEWAY), place)).alias("gateway_url"), F.when(kind == "url", p["url"]).alias("url"))
 
+    def parsed(s: Column) -> Column:
+        return let(F.struct(F.regexp_replace(s, "[- ]", "").alias("bare"), address(s).alias("url")), lambda x: F.struct(kind_of(s, x["bare"], x["url"]).alias("kind"), s.alias("normalized"), x["url"].alias("url")))
 
-#: URL classes, the more specific path before the more general one of a host.
-PLATFORMS = (
-    Platform("github:issue", r"^github\.com$", r"^/[^/]+/[^/]+/issues/[0-9]+", 0.98), Platform("github:pull", r"^github\.com$", r"^/[^/]+/[^/]+/pull/[0-9]+", 0.98), Platform("github:commit", r"^github\.com$", r"^/[^/]+/[^/]+/commit/[0-9a-f]+", 0.98),
-    Platform("github:repo", r"^github\.com$", r"^/[^/]+/[^/]+", 0.97), Platform("github:profile", r"^github\.com$", r"^/[^/]+/?$", 0.92),
-    Platform("npm:package", r"^npmjs\.com$", r"^/package/.+", 0.97), Platform("youtube:video", r"^(m\.)?youtube\.com$", r"^/(watch|shorts/.+|embed/.+)", 0.99), Platform("youtube:video", r"^youtu\.be$", r"^/[^/]+", 0.99),
-    Platform("spotify:track", r"^open\.spotify\.com$", r"^/track/[A-Za-z0-9]+", 0.99), Platform("spotify:artist", r"^open\.spotify\.com$", r"^/artist/[A-Za-z0-9]+", 0.99), Platform("spotify:album", r"^open\.spotify\.com$", r"^/album/[A-Za-z0-9]+", 0.99),
-    Platform("x:post", r"^(.+\.)?(x|twitter)\.com$", r"^/[^/]+/status/[0-9]+", 0.98), Platform("x:profile", r"^(.+\.)?(x|twitter)\.com$", r"^/[^/]+/?$", 0.95),
-    Platform("instagram:post", r"^instagram\.com$", r"^/p/[^/]+", 0.97), Platform("instagram:profile", r"^instagram\.com$", r"^/[^/]+/?$", 0.9), Platform("tiktok:video", r"^tiktok\.com$", r"^/@[^/]+/video/[0-9]+", 0.97), Platform("tiktok:profile", r"^tiktok\.com$", r"^/@[^/]+/?$", 0.9),
-    Platform("wikipedia:article", r"^[a-z-]+\.(m\.)?wikipedia\.org$", r"^/wiki/.+", 0.98), Platform("imdb:title", r"^imdb\.com$", r"^/title/tt[0-9]+", 0.98), Platform("tmdb:movie", r"^themoviedb\.org$", r"^/movie/[0-9]+", 0.97),
-    Platform("amazon:product", r"^amazon\.[a-z.]+$", r"^/(.*/)?dp/[A-Z0-9]{10}", 0.96), Platform("etherscan:address", r"^etherscan\.io$", r"^/address/0x[0-9a-fA-F]{40}", 0.98), Platform("etherscan:tx", r"^etherscan\.io$", r"^/tx/0x[0-9a-fA-F]{64}", 0.98),
-)
-DEFAULT_URL_CONFIDENCE = 0.72
-
-
-def classify(df: DataFrame, kind: str = "kind", value: str = "canonical") -> DataFrame:
-    """df with class and confidence: the first platform that matches, the default for other URLs, and the kinds that aren't URLs."""
-    entry = lambda name, c: F.struct(name if isinstance(name, Column) else F.lit(name), F.lit(c)).cast("struct<class:string,confidence:double>")
-
-    def site_class(at: Column) -> Column:
-        pick = F
-        for p in PLATFORMS:
-            pick = pick.when(at["host"].rlike(p.host) & at["path"].rlike(p.path), entry(p.name, p.confidence))
-        return pick.otherwise(entry("website", DEFAULT_URL_CONFIDENCE))
-
-    k, v = F.col(kind), F.col(value)
-    site = let(F.struct(url_host(v).alias("host"), url_path(v).alias("path")), site_class)
-    words = F.size(F.split(F.trim(v), r"\s+"))
-    pick = F.when(k == "url", site).when((k == "isbn") & (F.length(v) == 13), entry("isbn13", 0.98)).when(k == "isbn", entry("isbn10", 0.97))
-    pick = pick.when((k == "plain_string") & (words <= 3), entry("text:short", 0.64)).when(k == "plain_string", entry("text:long", 0.61)).otherwise(entry(k, 0.9))
-    return df.withColumn("_c", pick).withColumns({"class": F.col("_c.class"), "confidence": F.col("_c.confidence")}).drop("_c")
-
-
-#: Decision rules by priority, and the class that each one takes.
-RULES = (
-    ("x-profile", 980, "x:profile"), ("spotify-track", 955, "spotify:track"), ("spotify-artist", 954, "spotify:artist"), ("spotify-album", 953, "spotify:album"), ("github-repo", 950, "github:repo"), ("amazon-product", 930, "amazon:product"),
-    ("youtube-video", 920, "youtube:video"), ("wikipedia-article", 910, "wikipedia:article"), ("etherscan-contract", 900, "etherscan:address"), ("x-post", 890, "x:post"), ("website", 880, "website"), ("tmdb-movie", 850, "tmdb:movie"),
-    ("github-profile", 830, "github:profile"), ("npm-package", 820, "npm:package"),
-)
-
-
-def decide(df: DataFrame, class_col: str = "class") -> DataFrame:
-    """df with rule and priority: the highest rule that takes the class, else generic at 10."""
-    def rule_of(c: Column) -> Column:
-        pick = F
-        for rule, priority, wanted in sorted(RULES, key=lambda r: -r[1]):
-            pick = pick.when(c == wanted, F.struct(F.lit(rule).alias("rule"), F.lit(priority).alias("priority")))
-        return pick.otherwise(F.struct(F.lit("generic").alias("rule"), F.lit(10).alias("priority")))
-
-    return df.withColumn("_r", let(F.col(class_col), rule_of)).withColumns({"rule": F.col("_r.rule"), "priority": F.col("_r.priority")}).drop("_r")
+    whole = let(let(F.regexp_replace(raw, r"^\s+|\s+$", ""), parsed), form_of)
+    out = df.withColumn("_e", error).withColumn("_p", F.when(F.col("_e").isNull(), whole))
+    return out.select(*df.columns, "_p.*", F.col("_e").alias("error"))
 
 
 def decode_entities(c: Column) -> Column:
@@ -176,24 +93,6 @@ def open_graph(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     })
 
 
-def json_ld(df: DataFrame, html: str = "html") -> DataFrame:
-    """One row per JSON-LD item of a page (@graph flattened): df's other columns, item_type, item_name."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    rows = df.withColumn("_b", F.explode(blocks)).drop(html)
-    graph = F.from_json(F.get_json_object("_b", "$['@graph']"), "array<string>")
-    listed = F.when(F.trim("_b").startswith("["), F.from_json("_b", "array<string>"))
-    items = rows.withColumn("_i", F.explode(F.coalesce(graph, listed, F.array("_b")))).drop("_b")
-    return items.withColumns({"item_type": F.get_json_object("_i", "$['@type']"), "item_name": F.get_json_object("_i", "$.name")}).drop("_i")
-
-
-def favicon(url: Column) -> Column:
-    return F.concat(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1), F.lit("/favicon.ico"))
-
-
-def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-
-
 def fnv1a32(c: Column) -> Column:
     """32-bit FNV-1a over a string's UTF-8 bytes, in eight hex digits."""
     codes = F.transform(F.filter(F.split(F.regexp_replace(F.hex(c.cast("binary")), "(..)", "$1,"), ","), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
@@ -202,17 +101,13 @@ def fnv1a32(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(total), 8, "0"))
 
 
-def sniff(body: Column) -> Column:
-    """The kind of a byte string: magic numbers in upper-case hex, HTML by its beginning after white space, JSON by parsing the whole."""
-    h = F.hex(F.substring(body, 1, 8))
-    pick = F
-    for prefix, kind in (("89504E47", "image"), ("FFD8FF", "image"), ("47494638", "image"), ("25504446", "document"), ("494433", "audio"), ("4F676753", "audio"), ("1A45DFA3", "video"), ("504B0304", "archive")):
-        pick = pick.when(h.startswith(prefix), kind)
-    text = F.regexp_replace(body.cast("string"), r"^[\s\p{Z}\uFEFF]+", "")
-    head = F.lower(F.substring(text, 1, 16))
-    return pick.when(head.startswith("<!doctype html") | head.startswith("<html"), "webpage").when(is_json(text), "json").otherwise("file")
+def stable_json(c: Column) -> Column:
+    """A JSON object of one level as text with its keys in order, nulls left out; null for anything else."""
+    pairs = F.from_json(c, "map<string,string>")
+    keys = F.array_sort(F.map_keys(F.map_filter(pairs, lambda k, v: v.isNotNull())))
+    return F.when(F.trim(c).startswith("{"), F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(pairs, k)))))
 
 
-def best_fields(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """The value of highest confidence per key (ties by source name)."""
-    return candidates.groupBy(*keys).agg(F.max_by(F.struct("value", "source", "confidence"), F.struct("confidence", "source")).alias("x")).select(*keys, "x.*")
+def clamp(c: Column) -> Column:
+    """c within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.cast("double")))

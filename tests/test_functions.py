@@ -94,6 +94,7 @@ def test_columns(spark):
 
 def test_fnv_and_slugs(spark):
     from termloom.operators import atoms as A
+    from termloom.operators import sites as S
 
     def fnv(s):
         h = 2166136261
@@ -102,6 +103,6 @@ def test_fnv_and_slugs(spark):
         return f"{h:08x}"
 
     texts = ["", "a", "foobar", "ünïcode 日本", json.dumps({"k": [1, 2]})]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", A.fnv1a32(F.col("t")).alias("h"), A.slugify(F.col("t")).alias("s")).collect()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", A.fnv1a32(F.col("t")).alias("h"), S.slugify(F.col("t")).alias("s")).collect()
     assert {r.t: r.h for r in got} == {t: fnv(t) for t in texts} and fnv("a") == "e40c292c"
     assert {r.t: r.s for r in got}["foobar"] == "foobar"

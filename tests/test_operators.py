@@ -1,8 +1,11 @@
 """Boundary facts of projections, funnels, parsing and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators import atoms as A
+from termloom.operators import pages as P
+from termloom.operators import sites as S
 from termloom.operators import behavior as B
 from termloom.operators import market as M
 
@@ -68,14 +71,25 @@ def test_parse_kinds(spark):
     assert got == cases
 
 
-def test_classify_and_decide(spark):
+def test_classify(spark):
     cases = {
-        "https://github.com/a/b/pull/7": ("github:pull", "generic"), "https://www.github.com/a": ("github:profile", "github-profile"), "https://github.com/a/b": ("github:repo", "github-repo"), "https://youtu.be/abc": ("youtube:video", "youtube-video"), "https://twitter.com/me/status/12": ("x:post", "x-post"),
-        "https://de.wikipedia.org/wiki/Apfel": ("wikipedia:article", "wikipedia-article"), "https://example.com/x": ("website", "website"), "hello": ("text:short", "generic"), "many words are in this text": ("text:long", "generic"), "9780306406157": ("isbn13", "generic"),
-    }
+        "https://github.com/a/b/pull/7": "github:pull", "https://www.github.com/a": "web:website", "https://github.com/a/b": "github:repo", "https://github.com/pricing": "web:website", "https://youtu.be/abc": "web:website", "https://youtu.be/dQw4w9WgXcQ": "youtube:video",
+        "https://twitter.com/me/status/12": "x:post", "https://de.wikipedia.org/wiki/Apfel": "wikipedia:article", "https://example.com/x": "web:website", "hello": "plain-text:word", "many words are in this text": "plain-text:phrase", "ISBN 9780306406157": "isbn:isbn-13", "": None, None: None,
+    }
     df = spark.createDataFrame([(k,) for k in cases], "input string")
-    got = {r.input: (r["class"], r.rule) for r in A.decide(A.classify(A.parse(df, "input"))).collect()}
-    assert got == cases
+    rows = {r.input: r for r in S.classify(df, "input").collect()}
+    assert {k: r["class"] for k, r in rows.items()} == cases
+    article = spark.createDataFrame([("https://en.wikipedia.org/wiki/Go_(software)",)], "input string")
+    r = S.classify(article, "input").first()
+    assert (r.schema_type, r.category, r.title, r.canonical_id) == ("SoftwareApplication", "software", "Go (software)", "wikipedia:go-software")
+
+
+def test_plugin_order():
+    plugins = [("c", 1, ("a",)), ("a", 9, ()), ("b", 5, ()), ("d", 1, ("b", "c"))]
+    assert S.plugin_order(plugins) == ["b", "a", "c", "d"]
+    for wrong in ([("a", 1, ("b",)), ("b", 1, ("a",))], [("a", 1, ("none",))]):
+        with pytest.raises(ValueError):
+            S.plugin_order(wrong)
 
 
 def test_page_metadata(spark):
@@ -85,14 +99,15 @@ def test_page_metadata(spark):
     got = {r.id: r for r in A.open_graph(df).collect()}
     assert (got[1].title, got[1].description, got[1].image, got[1].audio) == ("A title", "Said", "https://i/x.png", "https://a/b.mp3")
     assert (got[2].title, got[2].description, got[2].og_url) == ("Only", None, "https://h/q") and got[3].title is None
-    items = {(r.id, r.item_type, r.item_name) for r in A.json_ld(df).collect()}
+    node = F.explode(P.json_ld_nodes(F.col("html")))
+    items = {(r.id, r.t, r.n) for r in df.select("id", node.alias("x")).select("id", F.concat_ws("+", P.node_types(F.col("x"))).alias("t"), F.get_json_object("x", "$.name").alias("n")).collect()}
     assert items == {(1, "Person", "Ann"), (1, "Book", None), (1, "Movie", "M")}
 
 
 def test_sniffing(spark):
-    heads = {b"\x89PNG\r\n": "image", b"%PDF-1.7": "document", b"  <!DOCTYPE html><p>": "webpage", b'[1, {"a": 2}]': "json", b"plain": "file", b"": "file", b"ID3\x03": "audio"}
+    heads = {b"\x89PNG\r\n": "image", b"%PDF-1.7": "generic_file", b"  <!DOCTYPE html><p>": "webpage", b'[1, {"a": 2}]': "json_document", b"plain": "generic_file", b"": "unknown_remote", b"ID3\x03": "audio"}
     df = spark.createDataFrame([(bytearray(k),) for k in heads], "head binary")
-    assert {bytes(r.head): r.kind for r in df.select("head", A.sniff(F.col("head")).alias("kind")).collect()} == heads
+    assert {bytes(r.head): r.kind for r in df.select("head", P.sniff(F.col("head")).alias("kind")).collect()} == heads
 
 
 def test_stream_restarts_where_it_ended(spark, sf_dir):
@@ -158,10 +173,7 @@ def test_event_stream_reads_a_folder_of_part_files(spark, sf_dir, tmp_path):
     assert read(str(tmp_path)) == read(sf_dir) != set()
 
 
-def test_sniffing_reads_the_whole_page(spark, tmp_path):
-    from termloom.plans.registry import QUERIES
-
+def test_sniffing_reads_the_whole_page(spark):
     pages = [" " * 100 + "<html><p>", "\n" * 70 + "<!DOCTYPE html>", "[not json", "{a page of braces}", '{"a": "' + "x" * 200 + '"}', "[" + "1, " * 99 + "1]", " " * 90 + "plain"]
-    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.page_id: r.kind for r in QUERIES["t10_sniff"](spark, str(tmp_path)).collect()}
-    assert [got[i] for i in range(len(pages))] == ["webpage", "webpage", "file", "file", "json", "json", "file"]
+    got = {r.k: r.kind for r in spark.createDataFrame(list(enumerate(pages)), "k long, html string").select("k", P.sniff(F.col("html").cast("binary")).alias("kind")).collect()}
+    assert [got[i] for i in range(len(pages))] == ["webpage", "webpage", "generic_file", "generic_file", "json_document", "json_document", "generic_file"]
