@@ -149,14 +149,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             for begin in range(0, b.num_rows, 500):
                 part = b.slice(begin, 500)
                 found = [spans(t) for t in part.column(3).to_pylist()]
-                sizes = [len(f[0]) for f in found]
-                if sum(sizes):
-                    row = pa.array(np.repeat(np.arange(len(found)), sizes))
-                    span, place, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).take(row), "k1": part.column(1).take(row), "k2": part.column(2).take(row), "span": pa.array(span, pa.int64()), "place": pa.array(place.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
-
-    occurrences = _keyed(docs, text_col, id_col).mapInArrow(emit, f"doc_id {kind}, k1 long, k2 long, span long, place int, n int")
-    repeated = materialize(occurrences.groupBy("span").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "spans-repeated")
+                at = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32))
+                span, place, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (span.astype(np.int64), place.astype(np.int32), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], names=["doc_id", "k1", "k2", "spans", "places", "sizes"])
+
+    # written once, a row a document, so that texts are cut only once for counting and joining
+    written = _keyed(docs, text_col, id_col).mapInArrow(emit, f"doc_id {kind}, k1 long, k2 long, spans array<bigint>, places array<int>, sizes array<int>")
+    written = materialize(written.where(F.size("spans") > 0), "spans-written")
+    occurrences = written.select("doc_id", "k1", "k2", F.inline(F.arrays_zip(F.col("spans").alias("span"), F.col("places").alias("place"), F.col("sizes").alias("n"))))
+    repeated = materialize(written.select(F.explode("spans").alias("span")).groupBy("span").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "spans-repeated")
     dealt_by = F.xxhash64("doc_id", "k1", "place")
     held = materialize(salted_join(occurrences, repeated, ["span"], "uses", dealt_by).drop("uses"), "spans-held")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "place")
