@@ -46,26 +46,34 @@ def forest_labels(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src long, dst long); component is the smallest node reachable.
 
-    Operators hand in at most a few edges a node (the links of a block reduced to a
-    forest), so a round costs two joins on the nodes that have links at all; a hub is
-    split by adaptive skew joins, and minima are combined before they are shuffled. Rounds
-    run until no label changes: about the logarithm of the longest path. Every round is
-    written to the shared folder, so a lost executor costs at most one round. An edge with
+    In a round every node moves up to its smallest neighbour, or that one's, and edges are
+    drawn between what the nodes have become: those within one vanish, equal ones are one,
+    so the graph shrinks until no edge is left. Minima are combined before they are
+    shuffled, and a hub is split by adaptive skew joins. Every round is written to the
+    shared folder, so a lost executor costs at most one round. An edge with
     a null end, or from a node to itself, links nothing and gives no row; repeated edges
     count once; an empty table gives an empty result; other columns are ignored.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.where("src <> dst").distinct(), "cc-edges")  # no nulls: they compare as null
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("d")).select("node", F.least("node", "d").alias("component")), "cc-labels")
+    def drawn(between: DataFrame) -> DataFrame:
+        low, high = F.least("src", "dst"), F.greatest("src", "dst")
+        return materialize(between.where("src <> dst").select(low.alias("src"), high.alias("dst")).distinct(), "cc-edges")  # no nulls: they compare as null
+
+    edges, labels = drawn(edges.select("src", "dst")), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        # pointer jumping: take the label of the node that the label names
-        target = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = lower.join(target, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was")
+        ends = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        up = materialize(ends.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("d")).select("node", F.least("node", "d").alias("up")), "cc-up")
+        higher = up.select(F.col("node").alias("up"), F.col("up").alias("higher"))
+        top = materialize(up.join(higher, "up").select("node", F.col("higher").alias("top")), "cc-top")
+        if labels is None:
+            step = top.select("node", F.col("top").alias("component"))
+        else:
+            step = labels.join(top.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         step = materialize(step, "cc-labels")
-        changed = step.where("component <> was").limit(1).count()
-        discard(labels)
-        labels = step.select("node", "component")
-        if not changed:
+        moved = edges.join(top.select(F.col("node").alias("src"), F.col("top").alias("a")), "src").join(top.select(F.col("node").alias("dst"), F.col("top").alias("b")), "dst")
+        left = drawn(moved.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        for table in (edges, up, top, *([] if labels is None else [labels])):
+            discard(table)
+        edges, labels = left, step
+        if not edges.limit(1).count():
+            discard(edges)
             return labels

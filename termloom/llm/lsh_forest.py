@@ -9,8 +9,8 @@ a prefix trie, and a prefix of some depth is a node.
 Matched prefixes are shortened from MAX_DEPTH on until the recall of a pair at the
 threshold, 1 - product(1 - t**depth) over the trees, reaches the target. The first pass
 shortens all alike, which is one depth for all, and gathers what shares a node into
-components. Components that fit one block are verified as they are. In larger ones, where
-dissimilar documents hang together through others, every document shortens its own
+components. Components that fit one block, or have half of their members in one node, are
+verified as they are. In larger ones, where dissimilar documents hang together through others, every document shortens its own
 prefixes: a tree whose next node is crowded is left at its depth, and others are shortened
 by one more, until the target is reached (crowded ones last, the least crowded first). Within the nodes so chosen whole signatures are compared,
 and only pairs that agree in nearly as many places as a pair at the threshold does
@@ -124,30 +124,29 @@ def nodes_of(signed: np.ndarray, depth: int) -> np.ndarray:
     return mixed(mixed(prefix + np.uint64(1)) + np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(MAX_DEPTH + 1) + np.uint64(depth)).view(np.int64)
 
 
-def own_depths(members: np.ndarray, threshold: float, target: float, shortest: int, roomy: int) -> np.ndarray:
-    """The depth in each tree down to which each document's prefixes are shortened.
+def own_depths(members: np.ndarray, threshold: float, target: float, levels: tuple[int, ...], roomy: int) -> np.ndarray:
+    """The level (a place in levels, depths in ascending order) down to which each document's prefix is shortened in each tree.
 
-    members[i, t, k] is how many documents are in its node of tree t at depth shortest + k.
-    A step takes one byte off one prefix of a document: the longest whose next node is not
+    members[i, t, k] is how many documents are in its node of tree t at depth levels[k]. A
+    step takes one prefix of a document down a level: the longest whose next node is not
     crowded, else the one with the fewest members in its next node; it goes on until the
-    recall at the threshold reaches the target or every prefix is at the shortest depth.
+    recall at the threshold reaches the target or every prefix is at the lowest level.
     """
-    miss = np.log1p(-(threshold ** np.arange(MAX_DEPTH + 1.0)[1:]))
-    miss = np.concatenate([[-np.inf], miss])  # of a tree, by depth
-    depth = np.full(members.shape[:2], MAX_DEPTH)
+    miss = np.log1p(-(threshold ** np.array(levels, float)))  # of a tree, by level
+    level = np.full(members.shape[:2], len(levels) - 1)
     rows, trees = np.arange(len(members)), np.arange(TREES)
-    for _ in range(TREES * (MAX_DEPTH - shortest)):
-        short = miss[depth].sum(axis=1) > np.log1p(-target)
+    for _ in range(TREES * (len(levels) - 1)):
+        short = miss[level].sum(axis=1) > np.log1p(-target)
         if not short.any():
             break
-        following = members[rows[:, None], trees, np.maximum(depth - 1 - shortest, 0)]
-        # the order of preference: roomy ones by depth, then crowded ones by members; none at the shortest depth
-        cost = np.where(following <= roomy, -depth.astype(float), following)
-        cost[depth <= shortest] = np.inf
+        following = members[rows[:, None], trees, np.maximum(level - 1, 0)]
+        # the order of preference: roomy ones by depth, then crowded ones by members; none at the lowest level
+        cost = np.where(following <= roomy, -1.0 - level, following)
+        cost[level == 0] = np.inf
         best = cost.argmin(axis=1)
         take = short & np.isfinite(cost[rows, best])
-        depth[rows[take], best[take]] -= 1
-    return depth
+        level[rows[take], best[take]] -= 1
+    return level
 
 
 def least_agreement(threshold: float) -> int:
@@ -293,8 +292,8 @@ def _in_parts(rows: DataFrame, group: str) -> DataFrame:
 
 def _parted(reps: DataFrame, threshold: float, target: float, depth: int) -> DataFrame:
     """(rid, component) of the members of large components that stay connected when each document shortens its own prefixes and signatures are compared."""
-    shortest, roomy = max(1, depth - 1), ROOMY
-    levels = tuple(range(shortest, MAX_DEPTH + 1))
+    levels, roomy = tuple(sorted({max(1, depth - 1), depth, MAX_DEPTH})), ROOMY
+    level_at = np.searchsorted(levels, np.arange(MAX_DEPTH + 1))
     nodes = _nodes(reps, levels)
     sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "forest-populations")
     by_document = nodes.join(sizes, "node").groupBy("rid").agg(F.collect_list(F.struct("place", "members", "node")).alias("nodes"))
@@ -307,9 +306,9 @@ def _parted(reps: DataFrame, threshold: float, target: float, depth: int) -> Dat
                 row = np.repeat(np.arange(len(listed)), np.asarray(listed.value_lengths()))
                 place, members, node = (np.asarray(x) for x in listed.flatten().flatten())
                 known, named = np.ones((len(listed), TREES, len(levels)), np.int64), np.zeros((len(listed), TREES, len(levels)), np.int64)
-                tree, level = place // MAX_DEPTH, place % MAX_DEPTH + 1 - shortest
+                tree, level = place // MAX_DEPTH, level_at[place % MAX_DEPTH + 1]
                 known[row, tree, level], named[row, tree, level] = members, node
-                chosen = own_depths(known, threshold, target, shortest, roomy) - shortest
+                chosen = own_depths(known, threshold, target, levels, roomy)
                 take = np.arange(len(listed))[:, None], np.arange(TREES), chosen
                 yield pa.RecordBatch.from_pydict({"node": pa.array(named[take][known[take] > 1])})
 
@@ -337,11 +336,15 @@ def _found(docs: DataFrame, text_col: str, id_col: str, threshold: float, target
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
     nodes = _nodes(reps, (depth,)).select("rid", "node")
     roots = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("shared_by"), F.min("rid").alias("root")).where("shared_by > 1"), "forest-nodes")
-    star = nodes.join(roots.select("node", "root"), "node").where("rid <> root").select(F.col("rid").alias("src"), F.col("root").alias("dst")).distinct()
+    # a document hangs on the smallest root of its nodes, and so do their other roots: of the many links of a group a few are left
+    near = nodes.join(roots.select("node", "root"), "node").groupBy("rid").agg(F.min("root").alias("dst"), F.collect_set("root").alias("roots"))
+    star = near.select(F.explode(F.array_union(F.array("rid"), F.col("roots"))).alias("src"), "dst").where("src <> dst").distinct()
     candidates = connected_components(star).withColumnRenamed("node", "rid")
     detail = ("rid", "component", "n", "first", "n_shingles", "keys")
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    large = materialize(sizes.where(F.col("members") > BLOCK_MEMBERS).select("component"), "forest-large")
+    # half of a component in one node means documents about as similar as the threshold asks: nothing to part there, and its pairs are at most four times the node's own
+    crowds = roots.join(candidates, F.col("root") == F.col("rid")).groupBy("component").agg(F.max("shared_by").alias("crowd"))
+    large = materialize(sizes.where(F.col("members") > BLOCK_MEMBERS).join(crowds, "component").where("2 * crowd < members").select("component"), "forest-large")
     members = candidates.join(reps, "rid").select(*detail)
     if large.limit(1).count():
         suspects = materialize(members.join(large, "component"), "forest-suspects")

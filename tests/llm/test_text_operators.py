@@ -245,16 +245,17 @@ def test_own_depths_reach_the_target_recall():
     from termloom.llm.lsh_forest import MAX_DEPTH, TREES, own_depths, shortened_depth
 
     rng = np.random.default_rng(1)
-    shortest = shortened_depth() - 1
-    members = np.sort(rng.integers(1, 500, (300, TREES, MAX_DEPTH - shortest + 1)), axis=2)[:, :, ::-1]
+    d = shortened_depth()
+    levels = (d - 1, d, MAX_DEPTH)
+    members = np.sort(rng.integers(1, 500, (300, TREES, 3)), axis=2)[:, :, ::-1]
     members[:100] = np.minimum(members[:100], 256)  # no node is crowded
-    depth = own_depths(members, 0.8, 0.999, shortest, 256)
+    depth = np.array(levels)[own_depths(members, 0.8, 0.999, levels, 256)]
     recall = 1 - np.prod(1 - 0.8**depth, axis=1)
-    assert (recall >= 0.999).all() and (depth[:100].min(axis=1) == shortest + 1).all()
-    crowded = np.full((1, TREES, MAX_DEPTH - shortest + 1), 10)
+    assert (recall >= 0.999).all() and (depth[:100].min(axis=1) == d).all()
+    crowded = np.full((1, TREES, 3), 10)
     crowded[0, :6] = 1000
-    depth = own_depths(crowded, 0.8, 0.999, shortest, 256)[0]
-    assert (depth[6:] <= shortest + 1).all() and (depth[6:] == shortest).any() and (depth[:6] == MAX_DEPTH).all() and 1 - np.prod(1 - 0.8**depth) >= 0.999
+    depth = np.array(levels)[own_depths(crowded, 0.8, 0.999, levels, 256)[0]]
+    assert (depth[6:] <= d).all() and (depth[6:] == d - 1).any() and (depth[:6] == MAX_DEPTH).all() and 1 - np.prod(1 - 0.8**depth) >= 0.999
 
 
 def chained_texts(rng):
@@ -377,6 +378,25 @@ def test_bpe_equals_the_library(strange, empty):
     assert bpe.encode_decode(empty, path).count() == 0
 
 
+def test_every_code_point(spark):
+    """BPE and token counts equal the library's around every code point."""
+    from termloom.llm import bpe, token_counts
+
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and c not in range(0x40000, 0xDFF00)]
+    shapes = ("{0}", "x{0}y", "{0}T", "7{0}7", "{0}\u0301", "e\u0301{0}\u0323", "!{0} {0}{0}", "\u209d{0}")
+    texts = [" a ".join(shape.format(c) for c in points[k : k + 500]) for shape in shapes for k in range(0, len(points), 500)]
+    rng = random.Random(6)
+    texts += ["".join(rng.choices(points, k=40)) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)
+    models = [paths.path("word_bpe_49k.json"), paths.path("byte_bpe_50k.json")]
+    for path, got in zip(models, (bpe.encode_decode(docs, models[0], outputs=("ids",)), token_counts.count_tokens(docs, models[1]).select("doc_id", "n_tokens")), strict=True):
+        tok = tokenizers.Tokenizer.from_file(path)
+        tok.no_truncation(), tok.no_padding()
+        expected = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        wrong = [i for i, x in got.collect() if x != (" ".join(map(str, expected[i])) if path == models[0] else len(expected[i]))]
+        assert not wrong, (path, len(wrong), repr(texts[wrong[0]][:300]))
+
+
 @pytest.mark.parametrize("head", [None, 0, 40])
 def test_token_counts_equal_the_library(strange, empty, monkeypatch, head):
     from termloom.llm import token_counts
@@ -414,6 +434,55 @@ def test_transport_streams(odd, empty):
     assert ts.digest_media(ts.store_texts(empty)).count() == 0
 
 
+def demultiplexed(stream):
+    """Payload and timestamps of a one-programme stream, read by the standard's byte layout alone."""
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    assert all(p[0] == 0x47 for p in packets)
+
+    def pid(p):
+        return int.from_bytes(p[1:3], "big") & 0x1FFF
+
+    def body(p):
+        assert p[3] & 0x10 or p[3] & 0x20
+        return p[4 + (1 + p[4] if p[3] & 0x20 else 0) :] if p[3] & 0x10 else b""
+
+    pat = next(body(p) for p in packets if pid(p) == 0)
+    pat = pat[1 + pat[0] :]
+    pmt_pid = int.from_bytes(pat[10:12], "big") & 0x1FFF
+    pmt = next(body(p) for p in packets if pid(p) == pmt_pid)
+    pmt = pmt[1 + pmt[0] :]
+    information = int.from_bytes(pmt[10:12], "big") & 0xFFF
+    media_pid = int.from_bytes(pmt[13 + information : 15 + information], "big") & 0x1FFF
+    units, counter = [], None
+    for p in packets:
+        if pid(p) == media_pid:
+            if p[3] & 0x10:
+                assert counter is None or p[3] & 15 == (counter + 1) % 16
+                counter = p[3] & 15
+            units += [b""] if p[1] & 0x40 else []
+            units[-1] += body(p)
+    payload, stamps = b"", []
+    for u in units:
+        assert u[:3] == b"\0\0\1" and u[7] & 0x80
+        a = u[9:14]
+        stamps.append((a[0] >> 1 & 7) << 30 | a[1] << 22 | a[2] >> 1 << 15 | a[3] << 7 | a[4] >> 1)
+        length = int.from_bytes(u[4:6], "big")
+        payload += u[9 + u[8] : 6 + length if length else None]
+    return payload, stamps
+
+
+def test_streams_read_by_another_demultiplexer(odd):
+    from termloom.llm import transport_stream as ts
+
+    rows = ts.store_texts(odd).collect()
+    read = {r.media: r for r in ts.read_media(ts.store_texts(odd.withColumn("payload", F.lit("clash")))).join(ts.store_texts(odd).select("doc_id", "media").distinct(), "doc_id").collect()}
+    texts = Counter(ts.padded(t or "") for _, t, _ in odd_texts())
+    assert Counter(demultiplexed(bytes(r.media))[0] for r in rows) == texts
+    for media, r in read.items():
+        if r.doc_id not in (70, 71):
+            assert (bytes(r.payload), r.timestamps) == demultiplexed(bytes(media))
+
+
 def test_damaged_streams():
     from termloom.llm.transport_stream import PACKET, padded, read_stream, write_stream
 
