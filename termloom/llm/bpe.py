@@ -91,7 +91,7 @@ class MergeTable:
 class WordBpe:
     """The encoder and decoder of a lower-casing tokenizer file with word ends; other normalisers or pre-tokenizers are refused."""
 
-    def __init__(self, model: str, classes: Classes, most_chunks: int = 100_000, most_pieces: int = 250_000) -> None:
+    def __init__(self, model: str, classes: Classes, most_chunks: int = 150_000, most_pieces: int = 300_000) -> None:
         spec = json.loads(model)
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
