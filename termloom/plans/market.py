@@ -21,11 +21,6 @@ def _ev(spark: SparkSession, d: str) -> DataFrame:
 # --- A: sources and sinks ---------------------------------------------------
 
 
-@query("a2_event_decode", "SELECT event_type, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount, CAST(min(seq) AS BIGINT) AS first_seq FROM ev GROUP BY event_type")
-def a2(spark, d):
-    return _ev(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.min("seq").alias("first_seq"))
-
-
 @query("a3_bulk_insert_dedupe", "SELECT count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM (SELECT DISTINCT seq, account, event_type FROM (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE seq % 3 = 0))")
 def a3(spark, d):
     ev = _ev(spark, d)
@@ -44,30 +39,6 @@ def a5(spark, d):
     return _ev(spark, d).where(F.col("event_type").isin("purchase", "error") & (F.col("seq") > 2000)).select("seq", "account", "event_type").orderBy("seq").limit(500)
 
 
-@query("a6_typed_event_scan", "SELECT * FROM (SELECT * FROM (SELECT seq, 'Deposited' AS kind, account FROM dep WHERE seq > 1000 ORDER BY seq LIMIT 500) UNION ALL SELECT * FROM (SELECT seq, 'AtomCreated' AS kind, account FROM atom WHERE seq > 1000 ORDER BY seq LIMIT 500) UNION ALL SELECT * FROM (SELECT seq, 'Redeemed' AS kind, account FROM red WHERE seq > 1000 ORDER BY seq LIMIT 500)) ORDER BY seq LIMIT 500")
-def a6(spark, d):
-    ev = _ev(spark, d)
-    branch = lambda df, kind: df.where("seq > 1000").select("seq", F.lit(kind).alias("kind"), "account").orderBy("seq").limit(500)
-    return branch(L.deposits(ev), "Deposited").unionByName(branch(L.atoms_created(ev), "AtomCreated")).unionByName(branch(L.redemptions(ev), "Redeemed")).orderBy("seq").limit(500)
-
-
-@query("a8_graph_sink_ops", "SELECT 'account:' || account AS node, CAST(sum(CASE WHEN event_type = 'purchase' THEN amount ELSE -amount END) AS BIGINT) AS balance, count(*) AS edges, last(term ORDER BY ts, seq) AS last_term FROM ev WHERE event_type IN ('purchase', 'error') GROUP BY account")
-def a8(spark, d):
-    """Upserts are last-wins, increments are sums."""
-    ev = _ev(spark, d).where(F.col("event_type").isin("purchase", "error"))
-    return ev.groupBy("account").agg(
-        F.sum(F.when(F.col("event_type") == "purchase", F.col("amount")).otherwise(-F.col("amount"))).alias("balance"), F.count(F.lit(1)).alias("edges"), F.max_by("term", F.struct("ts", "seq")).alias("last_term"),
-    ).select(F.concat(F.lit("account:"), "account").alias("node"), "balance", "edges", "last_term")
-
-
-@query("a12_dead_letters", "SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_seq FROM events WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NULL OR event_type NOT IN ('purchase', 'error', 'click', 'signup') GROUP BY event_type")
-def a12(spark, d):
-    """Events that no typed parser takes go to quarantine; none is lost."""
-    ev = table(spark, d, "events")
-    unknown = F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)").isNull() | ~F.col("event_type").isin("purchase", "error", "click", "signup")
-    return ev.where(unknown).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_seq"))
-
-
 @query("a13_rollup_rows", f"SELECT {STAMP.format('bucket')} AS bucket, term, curve, close_price FROM ohlc WHERE term = 3 ORDER BY ohlc.bucket DESC, curve LIMIT 100")
 def a13(spark, d):
     return M.price_stats(L.price_ticks(_ev(spark, d)).where("term = 3")).orderBy(F.desc("bucket"), "curve").limit(100).select(stamp("bucket"), "term", "curve", "close_price")
@@ -81,24 +52,6 @@ def a15(spark, d):
 # --- P: projections ---------------------------------------------------------
 
 
-@query("p1_event_log", "SELECT seq || '-' || event_type AS event_id, account, amount FROM ev WHERE event_type IN ('purchase', 'error')")
-def p1(spark, d):
-    return _ev(spark, d).where(F.col("event_type").isin("purchase", "error")).select(F.concat_ws("-", "seq", "event_type").alias("event_id"), "account", "amount").dropDuplicates(["event_id"])
-
-
-@query("p2_account_registry", f"SELECT account, {STAMP.format('first_seen')} AS first_seen, {STAMP.format('last_seen')} AS last_seen FROM seen")
-def p2(spark, d):
-    return _ev(spark, d).where("event_type <> 'click'").groupBy("account").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).select("account", stamp("first_seen"), stamp("last_seen"))
-
-
-@query("p3_core_entities", "SELECT kind, id, first(account ORDER BY ts, seq) AS creator, count(*) AS events FROM (SELECT 'atom' AS kind, CAST(term AS VARCHAR) AS id, account, ts, seq FROM atom UNION ALL SELECT 'triple', subject || ':' || predicate || ':' || object, account, ts, seq FROM triple) GROUP BY ALL")
-def p3(spark, d):
-    ev = _ev(spark, d)
-    a = L.atoms_created(ev).select(F.lit("atom").alias("kind"), F.col("term").cast("string").alias("id"), "account", "ts", "seq")
-    t = L.triples_created(ev).select(F.lit("triple").alias("kind"), F.concat_ws(":", "subject", "predicate", "object").alias("id"), "account", "ts", "seq")
-    return a.unionByName(t).groupBy("kind", "id").agg(F.min_by("account", F.struct("ts", "seq")).alias("creator"), F.count(F.lit(1)).alias("events"))
-
-
 @query("p4_vault_state", "SELECT f.*, coalesce(l.share_price, 0) AS share_price, coalesce(l.total_shares, 0) AS total_shares, coalesce(l.total_shares * l.share_price, 0) AS market_cap FROM (SELECT term, curve, CAST(sum(assets_in) - sum(assets_out) AS BIGINT) AS total_deposits, CAST(sum(assets_out) AS BIGINT) AS total_redemptions FROM chg GROUP BY ALL) f LEFT JOIN latest l USING (term, curve)")
 def p4(spark, d):
     ev = _ev(spark, d)
@@ -107,12 +60,6 @@ def p4(spark, d):
     return state.select("term", "curve", "total_deposits", "total_redemptions", "share_price", "total_shares", (F.col("total_shares") * F.col("share_price")).alias("market_cap"))
 
 
-@query("p6_vault_holders", "SELECT term, curve, count(*) FILTER (shares > 0) AS holder_count, CAST(sum(greatest(shares, 0)) AS BIGINT) AS held FROM pos GROUP BY ALL")
-def p6(spark, d):
-    pos = L.position_changes(_ev(spark, d)).groupBy("term", "curve", "account").agg(F.sum("shares_delta").alias("shares"))
-    return pos.groupBy("term", "curve").agg(F.count(F.when(F.col("shares") > 0, 1)).alias("holder_count"), F.sum(F.greatest("shares", F.lit(0))).alias("held"))
-
-
 @query("p8_position_tracking", """r AS (SELECT *, sum(shares_delta) OVER w AS shares_after, coalesce(CAST(sum(assets_in) OVER w AS DOUBLE) / nullif(CAST(sum(greatest(shares_delta, 0)) OVER w AS DOUBLE), 0), 0) AS cost_basis FROM chg WINDOW w AS (PARTITION BY account, term, curve ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
 SELECT account, term, curve, CAST(sum(shares_delta) AS BIGINT) AS shares, CAST(sum(assets_in) AS BIGINT) AS deposited, round(last(cost_basis ORDER BY ts, seq), 6) AS cost_basis, round(sum(CASE WHEN shares_delta < 0 THEN assets_out + shares_delta * cost_basis ELSE 0 END), 4) AS realized_pnl, last(shares_after ORDER BY ts, seq) <= 0 AS closed FROM r GROUP BY ALL""")
 def p8(spark, d):
@@ -151,20 +98,6 @@ def p12(spark, d):
     ).withColumn("last_activity", stamp("last_activity"))
 
 
-@query("p13_activity_marker", "SELECT DISTINCT account, CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'error' THEN 'redemption' WHEN 'signup' THEN 'atom' ELSE 'triple' END AS reason FROM ev WHERE event_type <> 'click'")
-def p13(spark, d):
-    reason = F.when(F.col("event_type") == "purchase", "deposit").when(F.col("event_type") == "error", "redemption").when(F.col("event_type") == "signup", "atom").otherwise("triple")
-    return _ev(spark, d).where("event_type <> 'click'").select("account", reason.alias("reason")).distinct()
-
-
-@query("p16_graph_deposit_ops", "SELECT op, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT unnest(['upsert_account', 'increment_account', 'edge', 'upsert_position', 'increment_position', 'increment_vault']) AS op, assets AS amount FROM dep UNION ALL SELECT unnest(['upsert_account', 'increment_account', 'edge', 'upsert_position', 'increment_position', 'increment_vault']), -assets FROM red) GROUP BY op")
-def p16(spark, d):
-    """Six operations an event, amounts negative for redemptions (P17)."""
-    ops = ("upsert_account", "increment_account", "edge", "upsert_position", "increment_position", "increment_vault")
-    amount = F.when(F.col("shares_delta") < 0, -F.col("assets_out")).otherwise(F.col("assets_in") - F.col("assets_out"))
-    return L.position_changes(_ev(spark, d)).select(F.explode(F.array(*map(F.lit, ops))).alias("op"), amount.alias("amount")).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-
-
 @query("p20_leaderboard_refresh", "dirty AS (SELECT DISTINCT term, curve FROM red WHERE seq % 50 = 0), h AS (SELECT DISTINCT p.account FROM pos p JOIN dirty USING (term, curve) WHERE p.shares > 0) SELECT pos.account, CAST(sum(shares) AS BIGINT) AS shares, CAST(sum(assets_in - assets_out) AS BIGINT) AS net_in FROM pos JOIN h USING (account) GROUP BY pos.account")
 def p20(spark, d):
     """Dirty vaults, expanded to their holders (M11), then one set-based recomputation."""
