@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions.columns import let
+
 #: Fields of each type's payload; those marked with a question mark may be absent.
 PAYLOADS = {
     "AtomCreated": ("creator", "term_id", "atom_data", "atom_wallet"),
@@ -31,16 +33,18 @@ def canonical(envelopes: DataFrame) -> DataFrame:
 def parse(envelopes: DataFrame) -> DataFrame:
     """envelopes with kind (a type, or "Unknown"), problem (null, "unknown_type", "malformed" or "missing_field") and payload, a struct of every field of any type (texts, null where a type has none)."""
     fields = sorted({f.rstrip("?") for known in PAYLOADS.values() for f in known})
-    data = F.from_json("event_data", ", ".join(f"{f} string" for f in fields))
-    out = envelopes.withColumn("_payload", data)
-    whole = F.try_parse_json("event_data").isNotNull() & F.trim("event_data").startswith("{")
-    lacking = F.lit(None)
-    for kind, known in PAYLOADS.items():
-        missing = reduce(lambda a, b: a | b, [F.col(f"_payload.{f}").isNull() for f in known if not f.endswith("?")])
-        lacking = F.when(F.col("event_type") == kind, missing).otherwise(lacking)
-    problem = F.when(~F.coalesce(F.col("event_type").isin(*PAYLOADS), F.lit(False)), "unknown_type").when(~F.coalesce(whole, F.lit(False)), "malformed").when(lacking, "missing_field")
-    out = out.withColumn("problem", problem)
-    return out.select(*envelopes.columns, F.when(F.col("problem").isNull(), F.col("event_type")).otherwise("Unknown").alias("kind"), "problem", F.when(F.col("problem").isNull(), F.col("_payload")).alias("payload"))
+    kind = F.col("event_type")
+
+    def found(p: Column) -> Column:
+        lacking = F.lit(False)
+        for name, known in PAYLOADS.items():
+            lacking = F.when(kind == name, reduce(lambda a, b: a | b, [p[f].isNull() for f in known if not f.endswith("?")])).otherwise(lacking)
+        whole = F.try_parse_json("event_data").isNotNull() & F.trim("event_data").startswith("{")
+        problem = F.when(~F.coalesce(kind.isin(*PAYLOADS), F.lit(False)), "unknown_type").when(~F.coalesce(whole, F.lit(False)), "malformed").when(lacking, "missing_field")
+        return let(problem, lambda x: F.struct(F.when(x.isNull(), kind).otherwise("Unknown").alias("kind"), x.alias("problem"), F.when(x.isNull(), p).alias("payload")))
+
+    out = envelopes.withColumn("_found", let(F.from_json("event_data", ", ".join(f"{f} string" for f in fields)), found))
+    return out.select(*envelopes.columns, "_found.kind", "_found.problem", "_found.payload")
 
 
 def typed(parsed: DataFrame, kind: str) -> DataFrame:
