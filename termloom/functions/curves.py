@@ -166,8 +166,39 @@ def redeem_quote(curve: Linear, amount: int, assets: int, shares: int, fees: Fee
     return {"shares": amount, "assets_before": before, "assets_after": _fits(before - _fits(sum(parts.values()))), **parts, "total_fees": _fits(sum(parts.values()))}
 
 
+#: Numbers from 1 to this have products and quotients that a decimal(38, 0) holds exactly.
+SMALL = 10**15
+
+
+def _in_jvm(operation: str, x: Column, assets: Column, shares: Column) -> Column:
+    """The value of a linear curve without limits, for small numbers, in decimals; null where that can't be done."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    small = lambda c: whole(c).between(F.lit(1), F.lit(SMALL))
+    over, by, up, fits = {
+        "deposit": ((x, shares), assets, False, small(x) & small(shares)), "mint": ((x, assets), shares, True, small(x) & small(assets)),
+        "withdraw": ((x, shares), assets, True, small(x) & small(shares) & (whole(x) <= whole(assets))), "redeem": ((x, assets), shares, False, small(x) & small(assets) & (whole(x) <= whole(shares))),
+        "price": ((F.lit(WAD), assets), shares, False, whole(assets).between(F.lit(1), F.lit(10**13))),
+    }[operation]
+    by = by.cast("decimal(19,0)")
+    product = over[0].cast("decimal(19,0)") * over[1].cast("decimal(19,0)") + (by - 1 if up else F.lit(0))
+    exact = ((product - product % by) / by).cast("decimal(38,0)")  # a multiple of by, so the quotient is whole
+    return F.when(F.coalesce(fits & small(by), F.lit(False)), exact.cast("string"))
+
+
 def preview(curve: Linear, operation: str, amount: Column, assets: Column, shares: Column) -> Column:
-    """struct(value, error) of deposit, mint, withdraw, redeem or price; inputs and value are decimal strings, null in gives null."""
+    """struct(value, error) of deposit, mint, withdraw, redeem or price; inputs and value are decimal strings, null in gives null.
+
+    A linear curve without limits is computed in the JVM where numbers are small enough for
+    exact decimals; what is larger, or may be an error, goes through Python's integers.
+    """
+    if type(curve) is Linear and curve.max_assets == curve.max_shares == LIMIT:
+        quick = _in_jvm(operation, amount, assets, shares)
+        rest = _preview(curve, operation, F.when(quick.isNull(), amount), assets, shares)
+        return F.struct(F.coalesce(quick, rest["value"]).alias("value"), F.when(quick.isNull(), rest["error"]).alias("error"))
+    return _preview(curve, operation, amount, assets, shares)
+
+
+def _preview(curve: Linear, operation: str, amount: Column, assets: Column, shares: Column) -> Column:
 
     @F.pandas_udf("struct<value string, error string>")
     def run(x: pd.Series, a: pd.Series, s: pd.Series) -> pd.DataFrame:
@@ -186,13 +217,16 @@ def preview(curve: Linear, operation: str, amount: Column, assets: Column, share
 
 
 def quote(curve: Linear, operation: str, amount: Column, assets: Column, shares: Column, fees: Fees, kind: str = "basic") -> Column:
-    """struct of a deposit or redeem quote as decimal strings, with error."""
+    """struct of a deposit or redeem quote as decimal strings, with error; null in gives null."""
     names = ("shares", "assets_before", "assets_after", "total_fees")
 
     @F.pandas_udf("struct<shares string, assets_before string, assets_after string, total_fees string, error string>")
     def run(x: pd.Series, a: pd.Series, s: pd.Series) -> pd.DataFrame:
         out = []
         for one in zip(x, a, s, strict=True):
+            if any(pd.isna(v) for v in one):
+                out.append((None,) * 5)
+                continue
             try:
                 q = deposit_quote(curve, *map(int, one), fees, kind=kind) if operation == "deposit" else redeem_quote(curve, *map(int, one), fees)
                 out.append((*(str(q[n]) for n in names), None))

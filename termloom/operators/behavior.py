@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.operators.market import trunc
-from termloom.operators.ranking import tile_of, with_position
+from termloom.operators.ranking import exact_quantiles, tile_of, with_position
 
 COUNTS = ("atoms", "triples", "deposits", "redemptions", "deposit_volume", "redemption_volume")
 
@@ -26,7 +26,7 @@ def since(as_of: str, days: int) -> Column:
     return F.expr(f"TIMESTAMP_NTZ'{as_of}' - INTERVAL {days} DAY")
 
 
-def profiles(daily: DataFrame, as_of: str, windows: tuple[int, ...] = (7, 14, 30), active_days: int = 20) -> DataFrame:
+def profiles(daily: DataFrame, as_of: str, windows: tuple[int, ...] = (7, 30, 90), active_days: int = 30) -> DataFrame:
     """Window sums and all-time counts per account, with frequency, volume, creator/trader ratio and whether it was active lately."""
     sums = [F.coalesce(F.sum(F.when(F.col("day") >= since(as_of, n), F.col(c))), F.lit(0)).alias(f"{c}_{n}d") for n in windows for c in COUNTS]
     out = daily.groupBy("account").agg(*sums, F.sum("atoms").alias("atoms_all"), F.sum("triples").alias("triples_all"), F.sum("unique_vaults").alias("vaults_touched"), F.max("day").alias("last_day"))
@@ -56,8 +56,10 @@ def rfm(profile: DataFrame, as_of: str, least_population: int = 50) -> DataFrame
 
 def segments(profile: DataFrame, first_seen: DataFrame, as_of: str) -> DataFrame:
     """account, segment: the ladder from whale down to dormant; thresholds are one row."""
-    cut = profile.where("is_active").agg(F.percentile("volume", 0.99).alias("whale"), F.percentile("frequency", 0.9).alias("power"), F.percentile("frequency", 0.5).alias("median"))
-    rows = profile.join(first_seen.select("account", "first_seen"), "account", "left").crossJoin(F.broadcast(cut))
+    active = profile.where("is_active").select("account", "volume", "frequency")
+    rows = profile.join(first_seen.select("account", "first_seen"), "account", "left")
+    for cut in (exact_quantiles(active, "volume", "account", {"whale": 0.99}), exact_quantiles(active, "frequency", "account", {"power": 0.9, "median": 0.5})):
+        rows = rows.join(F.broadcast(cut), F.lit(True), "left")  # one row, or none if nobody is active
     ladder = (
         F.when(F.col("volume") >= F.greatest("whale", F.lit(1.0)), "whale")
         .when((F.col("frequency") >= F.col("power")) & F.col("ratio").between(0.2, 0.8), "power_user")

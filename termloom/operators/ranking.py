@@ -24,6 +24,25 @@ def with_position(df: DataFrame, order: list[str], name: str = "position", parti
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")  # a row per partition
 
 
+def exact_quantiles(df: DataFrame, column: str, ties: str, wanted: dict[str, float], by: str | None = None) -> DataFrame:
+    """One row (one for each value of by) with the exact quantiles of a column, interpolated between the two rows around each: nulls don't count.
+
+    Rows are ranked by a distributed sort; only the rows around a quantile are looked at
+    then, so no task holds the values. The number of groups has to be small.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.col(by).alias("_by") if by else F.lit(0).alias("_by"), F.col(column).cast("double").alias("_value"), F.col(ties).alias("_tie"))
+    ranked = with_position(rows, ["_by", "_value", "_tie"], "_position")
+    groups = ranked.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"), (F.min("_position") - 1).alias("_before"))
+    within = ranked.join(F.broadcast(groups), "_by").withColumn("_at", F.col("_position") - F.col("_before"))  # a row a group
+    out = []
+    for name, q in wanted.items():
+        place = (F.col("_n") - 1) * F.lit(q) + 1
+        low, high = F.max(F.when(F.col("_at") == F.floor(place), F.col("_value"))), F.max(F.when(F.col("_at") == F.ceil(place), F.col("_value")))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    found = within.groupBy("_by").agg(*out)
+    return found.withColumnRenamed("_by", by) if by else found.drop("_by")
+
+
 def tile_of(position: Column, count: Column, tiles: int) -> Column:
     """What ntile(tiles) gives the row at position of count: the first count % tiles tiles have one row more."""
     small, extra = F.floor(count / tiles), count % tiles

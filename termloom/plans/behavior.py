@@ -19,7 +19,7 @@ def _daily(spark, d):
 
 
 def _profile(spark, d):
-    return B.profiles(_daily(spark, d), AS_OF)
+    return B.profiles(_daily(spark, d), AS_OF, windows=(7, 14, 30), active_days=20)  # the tables hold one month
 
 
 def _seen(spark, d):

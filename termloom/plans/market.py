@@ -98,12 +98,12 @@ def p12(spark, d):
     ).withColumn("last_activity", stamp("last_activity"))
 
 
-@query("p20_leaderboard_refresh", "dirty AS (SELECT DISTINCT term, curve FROM red WHERE seq % 50 = 0), h AS (SELECT DISTINCT p.account FROM pos p JOIN dirty USING (term, curve) WHERE p.shares > 0) SELECT pos.account, CAST(sum(shares) AS BIGINT) AS shares, CAST(sum(assets_in - assets_out) AS BIGINT) AS net_in FROM pos JOIN h USING (account) GROUP BY pos.account")
+@query("p20_leaderboard_refresh", "dirty AS (SELECT DISTINCT term, curve FROM red WHERE ts >= TIMESTAMP '2024-01-25'), h AS (SELECT DISTINCT p.account FROM pos p JOIN dirty USING (term, curve) WHERE p.shares > 0) SELECT pos.account, CAST(sum(shares) AS BIGINT) AS shares, CAST(sum(assets_in - assets_out) AS BIGINT) AS net_in FROM pos JOIN h USING (account) GROUP BY pos.account")
 def p20(spark, d):
     """Dirty vaults, expanded to their holders (M11), then one set-based recomputation."""
     ev = _ev(spark, d)
     pos = L.position_changes(ev).groupBy(*M.POSITION).agg(F.sum("shares_delta").alias("shares"), F.sum("assets_in").alias("a"), F.sum("assets_out").alias("b"))
-    dirty = L.redemptions(ev).where("seq % 50 = 0").select("term", "curve").distinct()
+    dirty = L.redemptions(ev).where("ts >= TIMESTAMP_NTZ'2024-01-25'").select("term", "curve").distinct()
     holders = pos.where("shares > 0").join(dirty, ["term", "curve"], "left_semi").select("account").distinct()
     return pos.join(holders, "account", "left_semi").groupBy("account").agg(F.sum("shares").alias("shares"), F.sum(F.col("a") - F.col("b")).alias("net_in"))
 
@@ -237,9 +237,9 @@ def m16(spark, d):
     return both.withColumn("net_flow", F.col("deposited") - F.col("redeemed"))
 
 
-@query("m17_checkpoint_lag", "c AS (SELECT event_type AS projection, max(seq) AS last_seq FROM ev WHERE seq % 7 <> 0 GROUP BY 1), h AS (SELECT max(seq) AS head FROM ev) SELECT projection, CAST(head - last_seq AS BIGINT) AS lag FROM c CROSS JOIN h")
+@query("m17_checkpoint_lag", "c AS (SELECT event_type AS projection, max(seq) AS last_seq FROM ev WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1), h AS (SELECT max(seq) AS head FROM ev) SELECT projection, CAST(head - last_seq AS BIGINT) AS lag FROM c CROSS JOIN h")
 def m17(spark, d):
     ev = _ev(spark, d)
     head = ev.agg(F.max("seq").alias("head"))
-    marks = ev.where("seq % 7 <> 0").groupBy(F.col("event_type").alias("projection")).agg(F.max("seq").alias("last_seq"))
+    marks = ev.where("ts < TIMESTAMP_NTZ'2024-01-25'").groupBy(F.col("event_type").alias("projection")).agg(F.max("seq").alias("last_seq"))
     return marks.crossJoin(F.broadcast(head)).select("projection", (F.col("head") - F.col("last_seq")).alias("lag"))  # head is one row
