@@ -77,36 +77,58 @@ def account_pnl(
     end price the close by then or else the latest price there is. Both snapshots come out
     of one aggregation by position; prices are small aggregates by vault.
     """
-    hour_start, hour_end = F.expr(f"date_trunc('hour', TIMESTAMP_NTZ'{start}')").cast("timestamp_ntz"), F.expr(f"date_trunc('hour', TIMESTAMP_NTZ'{end}')").cast("timestamp_ntz")
-    day_start, day_end = F.expr(f"date_trunc('day', TIMESTAMP_NTZ'{start}')").cast("timestamp_ntz"), F.expr(f"date_trunc('day', TIMESTAMP_NTZ'{end}')").cast("timestamp_ntz")
+    boards = period_pnl(changes, ticks, {"": (start, end)}, excluded_accounts, term)
+    kept = boards.where((F.col("positions") >= min_positions) & (F.col("total_volume") >= min_volume) & (F.col("deposits") >= min_deposit))
+    return kept.drop("period")
+
+
+def period_pnl(changes: DataFrame, ticks: DataFrame, periods: dict[str, tuple[str, str]], excluded_accounts: DataFrame | None = None, term: int | None = None) -> DataFrame:
+    """account_pnl() without its filters for several periods at once, with the period's name: changes and prices are read and summed once, whatever the number of periods.
+
+    Cumulative values as of an hour are sums up to it, so the snapshots at both ends of all
+    periods are sums of one aggregation by position; only then a position becomes a row for
+    each period in which its account did something.
+    """
+    at = lambda unit, t: F.expr(f"date_trunc('{unit}', TIMESTAMP_NTZ'{t}')").cast("timestamp_ntz")
+    hour, day = F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 DAY")
+    limits = list(dict.fromkeys(t for ends in periods.values() for t in ends))
+    last = F.greatest(*[at("hour", t) for t in limits], at("hour", limits[0]))
     if term is not None:
         changes = changes.where(F.col("term") == term)
-    active = changes.where((F.col("ts") >= day_start) & (F.col("ts") < day_end + F.expr("INTERVAL 1 DAY"))).select("account").distinct()
+    within = [F.max((F.col("ts") >= at("day", start)) & (F.col("ts") < at("day", end) + day)) for start, end in periods.values()]
+    active = changes.groupBy("account").agg(F.array(*within).alias("active")).where(F.exists("active", lambda x: x))
     if excluded_accounts is not None:
         active = active.join(excluded_accounts, "account", "left_anti")
     zero = F.lit(0).cast("long")
-    each = {"cum_shares": F.col("shares_delta"), "cum_assets_in": F.col("assets_in"), "cum_assets_out": F.col("assets_out"), "cum_shares_in": F.greatest("shares_delta", zero), "cum_shares_out": F.greatest(-F.col("shares_delta"), zero)}
-    sums = lambda until, at: [F.coalesce(F.sum(F.when(F.col("hour") <= until, v)), zero).alias(f"{n}_{at}") for n, v in each.items()]
-    # cumulative values as of an hour are sums up to it, so both snapshots come from one aggregation of the changes themselves
-    own = changes.join(active, "account", "left_semi").withColumn("hour", trunc("hour")).where(F.col("hour") <= hour_end)
-    positions = own.groupBy(*POSITION).agg(*sums(hour_end, "end"), *sums(hour_start, "start"))
+    each = {"shares": F.col("shares_delta"), "assets_in": F.col("assets_in"), "assets_out": F.col("assets_out"), "shares_in": F.greatest("shares_delta", zero), "shares_out": F.greatest(-F.col("shares_delta"), zero)}
+    until = lambda t: F.struct(*[F.coalesce(F.sum(F.when(F.col("ts") < at("hour", t) + hour, v)), zero).alias(n) for n, v in each.items()])
+    own = changes.where(F.col("ts") < last + hour).join(active, "account")  # the bound reaches the scan
+    first_at = F.min("ts").alias("first_at")
+    positions = own.groupBy(*POSITION).agg(F.first("active").alias("active"), first_at, *[until(t).alias(f"cum_{k}") for k, t in enumerate(limits)])
     closes = price_stats(ticks).select("bucket", *VAULT, "close_price")
-    start_price = as_of_forward(closes, VAULT, "bucket", hour_start, "close_price").withColumnRenamed("close_price", "price_start")
-    end_price = closes.groupBy(*VAULT).agg(F.coalesce(F.max_by("close_price", F.when(F.col("bucket") <= hour_end, F.col("bucket"))), F.max_by("close_price", "bucket")).alias("price_end"))
-    priced = positions.join(start_price, list(VAULT), "left").join(end_price, list(VAULT), "left").fillna(0, ["price_start", "price_end"])
-    basis = lambda at: F.coalesce(F.col(f"cum_assets_in_{at}").cast("double") / F.nullif(F.col(f"cum_shares_in_{at}").cast("double"), F.lit(0.0)), F.lit(0.0))
-    period = lambda c: F.col(f"cum_{c}_end") - F.col(f"cum_{c}_start")
+    by_then = lambda t: F.max_by("close_price", F.when(F.col("bucket") <= at("hour", t), F.col("bucket")))
+    prices = closes.groupBy(*VAULT).agg(
+        *[F.coalesce(by_then(start), F.min_by("close_price", "bucket")).alias(f"start_{k}") for k, (start, _) in enumerate(periods.values())],
+        *[F.coalesce(by_then(end), F.max_by("close_price", "bucket")).alias(f"end_{k}") for k, (_, end) in enumerate(periods.values())])
+    wide = positions.join(prices, list(VAULT), "left")
+    per_period = [
+        F.when(F.col("active")[k] & (F.col("first_at") < at("hour", end) + hour), F.struct(F.lit(name).alias("period"), F.col(f"cum_{limits.index(start)}").alias("start"), F.col(f"cum_{limits.index(end)}").alias("end"), F.coalesce(f"start_{k}", zero).alias("price_start"), F.coalesce(f"end_{k}", zero).alias("price_end")))
+        for k, (name, (start, end)) in enumerate(periods.items())
+    ]
+    priced = wide.select("account", F.explode(F.array_compact(F.array(*per_period))).alias("p")).select("account", "p.*")
+    basis = lambda at: F.coalesce(F.col(f"{at}.assets_in").cast("double") / F.nullif(F.col(f"{at}.shares_in").cast("double"), F.lit(0.0)), F.lit(0.0))
+    period = lambda c: F.col(f"end.{c}") - F.col(f"start.{c}")
     per_position = priced.select(
-        "account", (F.col("cum_shares_end") * F.col("price_end") - (F.col("cum_assets_in_end") - F.col("cum_assets_out_end"))).cast("double").alias("unrealized"),
-        (period("assets_out") - period("shares_out") * basis("end")).alias("realized"), (F.col("cum_shares_end") > 0).cast("long").alias("is_active"),
-        period("assets_in").alias("deposited"), period("assets_out").alias("redeemed"), (F.col("cum_shares_end") * F.col("price_end")).alias("equity"),
-        (F.col("cum_shares_start") * F.col("price_start") - (F.col("cum_assets_in_start") - F.col("cum_assets_out_start")) + F.col("cum_assets_out_start") - F.col("cum_shares_out_start") * basis("start")).alias("at_start"),
+        "period", "account", (F.col("end.shares") * F.col("price_end") - (F.col("end.assets_in") - F.col("end.assets_out"))).cast("double").alias("unrealized"),
+        (period("assets_out") - period("shares_out") * basis("end")).alias("realized"), (F.col("end.shares") > 0).cast("long").alias("is_active"),
+        period("assets_in").alias("deposited"), period("assets_out").alias("redeemed"), (F.col("end.shares") * F.col("price_end")).alias("equity"),
+        (F.col("start.shares") * F.col("price_start") - (F.col("start.assets_in") - F.col("start.assets_out")) + F.col("start.assets_out") - F.col("start.shares_out") * basis("start")).alias("at_start"),
     ).withColumn("pnl", F.col("unrealized") + F.col("realized"))
-    by_account = per_position.groupBy("account").agg(
+    by_account = per_position.groupBy("period", "account").agg(
         F.sum("unrealized").alias("unrealized_pnl"), F.sum("realized").alias("realized_pnl"), F.sum("pnl").alias("total_pnl"), F.count(F.lit(1)).alias("positions"), F.sum("is_active").alias("active_positions"),
         F.count(F.when(F.col("pnl") > 0, 1)).alias("winners"), F.count(F.when(F.col("pnl") < 0, 1)).alias("losers"), F.sum("deposited").alias("deposits"), F.sum("redeemed").alias("redemptions"),
         F.sum(F.col("deposited") + F.col("redeemed")).alias("total_volume"), F.sum("equity").alias("equity"), F.max("pnl").alias("best_trade"), F.min("pnl").alias("worst_trade"), F.sum("at_start").alias("pnl_at_start"),
-    ).where((F.col("positions") >= min_positions) & (F.col("total_volume") >= min_volume) & (F.col("deposits") >= min_deposit))
+    )
     share = lambda c: F.when(F.col("deposits") > 0, F.col(c) / F.col("deposits") * 100).otherwise(0.0)
     return by_account.withColumns({"pnl_pct": share("total_pnl"), "realized_pct": share("realized_pnl"), "unrealized_pct": share("unrealized_pnl"), "win_rate": F.col("winners") / F.col("positions") * 100, "pnl_change": F.col("total_pnl") - F.col("pnl_at_start")})
 
@@ -134,12 +156,9 @@ def leaderboard_cache(changes: DataFrame, ticks: DataFrame, periods: dict[str, t
     The filter on the row number is pushed below the shuffle (a group limit), so every task
     passes on at most top rows a period and key.
     """
-    out = None
-    for period, (start, end) in periods.items():
-        board = _rounded(account_pnl(changes, ticks, start, end))
-        ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("sort_key"), F.col(k).cast("double").alias("key_value")) for k in SORT_KEYS])).alias("r")
-        rows = board.select(F.lit(period).alias("period"), "account", ranks).select("period", "account", "r.*")
-        out = rows if out is None else out.unionByName(rows)
+    boards = _rounded(period_pnl(changes, ticks, periods))
+    ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("sort_key"), F.col(k).cast("double").alias("key_value")) for k in SORT_KEYS])).alias("r")
+    out = boards.select("period", "account", ranks).select("period", "account", "r.*")
     rank = F.row_number().over(W.partitionBy("period", "sort_key").orderBy(F.desc_nulls_last("key_value"), "account")).cast("long")
     return out.withColumn("rank", rank).where(F.col("rank") <= top)
 

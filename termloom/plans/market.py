@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.operators import market as M
 from termloom.plans.base import AS_OF, query, stamp, table
+from termloom.session import shared_folder
 from termloom.sources import ledger as L
+from termloom.sources import sinks
 
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 START, END = "2024-01-10 00:00:00", "2024-01-24 12:00:00"
@@ -162,7 +166,7 @@ def m6b(spark, d):
     return M.leaderboard(L.position_changes(ev), L.price_ticks(ev), "2024-01-20 03:30:00", AS_OF, limit=25, sort_by="win_rate", min_positions=3, min_volume=1000, min_deposit=500, scale=100.0)
 
 
-_PERIODS = {"7d": ("2024-01-24 00:00:00", AS_OF), "30d": ("2024-01-01 00:00:00", AS_OF)}
+_PERIODS = {"24h": ("2024-01-30 00:00:00", AS_OF), "7d": ("2024-01-24 00:00:00", AS_OF), "30d": ("2024-01-01 00:00:00", AS_OF), "all": ("2000-01-01 00:00:00", AS_OF)}
 
 
 def _cache_sql() -> str:
@@ -183,8 +187,11 @@ def _cache_sql() -> str:
 
 @query("m7_leaderboard_cache", _cache_sql())
 def m7(spark, d):
+    """All four periods, written as the next version of the cache; readers see the version before until it is complete."""
     ev = _ev(spark, d)
-    return M.leaderboard_cache(L.position_changes(ev), L.price_ticks(ev), _PERIODS)
+    root = f"{shared_folder(spark)}/leaderboard-{uuid.uuid4().hex}"
+    sinks.write_version(M.leaderboard_cache(L.position_changes(ev), L.price_ticks(ev), _PERIODS), root)
+    return sinks.read_current(spark, root)
 
 
 @query("m8_leaderboard_current", "v AS (SELECT seq % 3 AS version, account, assets FROM dep), a AS (SELECT max(version) AS version FROM v) SELECT v.account, CAST(sum(v.assets) AS BIGINT) AS assets FROM v JOIN a USING (version) GROUP BY v.account")
