@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under root, oldest first; a version counts once its job has committed (_SUCCESS)."""
+def numbered(spark: SparkSession, root: str, prefix: str = "version=") -> list[int]:
+    """Complete versions under root (or numbered folders of another prefix), oldest first; one counts once its job has committed (_SUCCESS)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
+    names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(prefix)]
     done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
     return sorted(int(p.getName().partition("=")[2]) for p in done)
 
@@ -19,7 +19,7 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 def write_version(df: DataFrame, root: str, keep: int = 2) -> int:
     """Write df as the next version of the table at root and drop versions older than the keep newest; returns its number. Readers go on with the last complete version meanwhile."""
     spark = df.sparkSession
-    have = _versions(spark, root)
+    have = numbered(spark, root)
     new = (have[-1] if have else 0) + 1
     df.write.mode("overwrite").parquet(f"{root}/version={new}")
     for old in [*have, new][:-keep]:
@@ -30,7 +30,7 @@ def write_version(df: DataFrame, root: str, keep: int = 2) -> int:
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The newest complete version of the table at root."""
-    have = _versions(spark, root)
+    have = numbered(spark, root)
     if not have:
         raise FileNotFoundError(root)
     return spark.read.parquet(f"{root}/version={have[-1]}")
@@ -53,7 +53,7 @@ def upsert(df: DataFrame, root: str, keys: list[str], order: str) -> int:
     """Merge df into the versioned table at root: of the rows that agree in keys the one with the highest order stays, so a batch that comes twice changes nothing; returns the version."""
     from pyspark.sql import functions as F
 
-    whole = df if not _versions(df.sparkSession, root) else read_current(df.sparkSession, root).unionByName(df)
+    whole = df if not numbered(df.sparkSession, root) else read_current(df.sparkSession, root).unionByName(df)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     merged = whole.groupBy(*keys).agg(F.max_by(row, order).alias("row")).select("row.*")
     return write_version(merged.select(*df.columns), root)
@@ -61,7 +61,7 @@ def upsert(df: DataFrame, root: str, keys: list[str], order: str) -> int:
 
 def append(df: DataFrame, root: str, keys: list[str]) -> int:
     """Add df's rows to the versioned table at root, those whose keys it has already left out; returns the version."""
-    if not _versions(df.sparkSession, root):
+    if not numbered(df.sparkSession, root):
         return write_version(df.dropDuplicates(keys), root)
     have = read_current(df.sparkSession, root)
     return write_version(have.unionByName(df.dropDuplicates(keys).join(have.select(*keys), keys, "left_anti").select(*have.columns)), root)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.session import shared_folder
+from termloom.sources.sinks import numbered
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
@@ -49,15 +50,36 @@ def run_to_end(stream: DataFrame, fold: Callable[[DataFrame, int], None] | None
     return f"{folder}/out"
 
 
-def merge_sums(path: str, keys: list[str], measures: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch fold of additive measures: each batch writes its own sums under its batch id, so a replayed batch replaces itself; read with merged()."""
+def merge_sums(path: str, keys: list[str], measures: list[str], compact_every: int = 20) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch fold of additive measures: each batch writes its own sums under its batch id, so a replayed batch replaces itself; every so many batches all sums so far become one base. Read with merged()."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            state = merged(batch.sparkSession, path, keys, measures)
+            state.write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+            _forget(batch.sparkSession, path, batch_id)
 
     return fold
 
 
+def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest complete base, and the batches after it."""
+    bases = numbered(spark, path, "base=")
+    base = bases[-1] if bases else None
+    return base, [b for b in numbered(spark, path, "batch=") if base is None or b > base]
+
+
+def _forget(spark: SparkSession, path: str, base: int) -> None:
+    """Delete what a complete base holds; the base before it stays for readers that are at it."""
+    old = [f"batch={b}" for b in numbered(spark, path, "batch=") if b <= base] + [f"base={b}" for b in numbered(spark, path, "base=")[:-2]]
+    for name in old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def merged(spark: SparkSession, path: str, keys: list[str], measures: list[str]) -> DataFrame:
-    """The state that merge_sums() has folded."""
-    return spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    """The state that merge_sums() has folded: its newest base and the batches since."""
+    base, batches = _parts(spark, path)
+    parts = [f"{path}/batch={b}" for b in batches] + ([f"{path}/base={base}"] if base is not None else [])
+    return spark.read.parquet(*parts).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
