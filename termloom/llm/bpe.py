@@ -91,7 +91,7 @@ class MergeTable:
 class WordBpe:
     """The encoder and decoder of a lower-casing tokenizer file with word ends; other normalisers or pre-tokenizers are refused."""
 
-    def __init__(self, model: str, classes: Classes, most_chunks: int = 150_000, most_pieces: int = 300_000) -> None:
+    def __init__(self, model: str, classes: Classes, most_chunks: int = 200_000, most_pieces: int = 300_000) -> None:
         spec = json.loads(model)
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
@@ -99,7 +99,7 @@ class WordBpe:
             raise ValueError("not a tokenizer of this kind")
         self.table = MergeTable(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"] or "")
         self.words, self.white, self.odd = classes.compile(split["pattern"]["Regex"]), re.compile(f"[{classes.spaces}]+"), re.compile(f"[{classes.odd}]")
-        self.lower = classes.lower
+        self.ascii_words, self.lower = classes.ascii().compile(split["pattern"]["Regex"]), classes.lower
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.string_of = {str(i): s for s, i in [*self.table.vocab.items(), *self.special.items()]}
@@ -127,7 +127,7 @@ class WordBpe:
         elif low[-1:] in STOPS and low[:-1].isalpha():
             found = f"{self.piece_ids(low[:-1])} {self.piece_ids(low[-1])}"
         else:
-            found = " ".join(x for x in map(self.piece_ids, self.words.findall(low)) if x)
+            found = " ".join(x for x in map(self.piece_ids, (self.ascii_words if low.isascii() else self.words).findall(low)) if x)
         if len(chunk) <= 64:
             if len(self.chunks) >= self.most_chunks:
                 self.chunks.clear()

@@ -38,7 +38,7 @@ class PreTokens:
     """Cuts texts into stretches (what stands between single spaces), whose pre-tokens don't depend on their neighbours."""
 
     def __init__(self, special: list[str], classes: Classes) -> None:
-        self.pattern, self.odd_space = classes.compile(PRE_TOKEN), classes.compile(ODD_SPACE)
+        self.whole, self.plain = (tuple(map(c.compile, (PRE_TOKEN, ODD_SPACE))) for c in (classes, classes.ascii()))
         self.special = set(special)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -51,17 +51,19 @@ class PreTokens:
         for part in parts:
             if part in self.special:
                 special += 1
-            elif self.odd_space.search(part):
-                loose += self.pattern.findall(part)
+                continue
+            pattern, odd_space = self.plain if part.isascii() else self.whole
+            if odd_space.search(part):
+                loose += pattern.findall(part)
             elif part:
                 units = part.split(" ")
-                loose += self.pattern.findall(units[0])
+                loose += pattern.findall(units[0])
                 spaced += units[1:]
         return spaced, loose, special
 
     def tokens(self, stretch: str) -> list[str]:
         """The pre-tokens of a stretch that follows a space."""
-        return self.pattern.findall(" " + stretch)
+        return (self.plain if stretch.isascii() else self.whole)[0].findall(" " + stretch)
 
     def count(self, text: str) -> tuple[Counter, int]:
         """Frequencies of pre-tokens, and the number of special strings."""
