@@ -125,12 +125,15 @@ def test_stream_restarts_where_it_ended(spark, sf_dir):
 def test_plans_push_down(spark, sf_dir):
     """Filters and columns reach the scan, and the wide rollup shuffles once."""
     from termloom.plans import behavior, market
+    from termloom.sources import ledger
 
     explain = lambda df: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     day = explain(behavior.n1(spark, sf_dir))
     assert "GreaterThanOrEqual(ts" in day and "LessThan(ts" in day
-    rollup = explain(market.m2(spark, sf_dir) if hasattr(market, "m2") else market.p2(spark, sf_dir))
-    assert "ReadSchema" in rollup and "props" not in rollup and rollup.count("Exchange hashpartitioning") <= 1
+    seen = explain(ledger.event_store(spark, sf_dir).where("event_type <> 'click'").groupBy("account").agg(F.min("ts"), F.max("ts")))
+    assert "ReadSchema" in seen and "props" not in seen and seen.count("Exchange hashpartitioning") <= 1
+    board = explain(market.m6(spark, sf_dir))
+    assert "LessThan(ts" in board
 
 
 def test_positions_and_tiles_equal_windows(spark):
@@ -151,7 +154,7 @@ def test_versions_flip_whole(spark, tmp_path):
 
     root = f"file://{tmp_path}/board"
     assert [sinks.write_version(spark.range(n), root) for n in (3, 4, 5)] == [1, 2, 3]
-    assert sinks.read_current(spark, root).count() == 5 and sinks._versions(spark, root) == [2, 3]
+    assert sinks.read_current(spark, root).count() == 5 and sinks.numbered(spark, root) == [2, 3]
     (tmp_path / "board" / "version=9").mkdir()  # a job that never committed
     assert sinks.read_current(spark, root).count() == 5
 
