@@ -193,7 +193,7 @@ def preview(curve: Linear, operation: str, amount: Column, assets: Column, share
     """
     if type(curve) is Linear and curve.max_assets == curve.max_shares == LIMIT:
         quick = _in_jvm(operation, amount, assets, shares)
-        rest = _preview(curve, operation, F.when(quick.isNull(), amount), assets, shares)
+        rest = _preview(curve, operation, *[F.when(quick.isNull(), c) for c in (amount, assets, shares)])
         return F.struct(F.coalesce(quick, rest["value"]).alias("value"), F.when(quick.isNull(), rest["error"]).alias("error"))
     return _preview(curve, operation, amount, assets, shares)
 
@@ -203,6 +203,8 @@ def _preview(curve: Linear, operation: str, amount: Column, assets: Column, shar
     @F.pandas_udf("struct<value string, error string>")
     def run(x: pd.Series, a: pd.Series, s: pd.Series) -> pd.DataFrame:
         out = []
+        if x.isna().all():
+            return pd.DataFrame({"value": x, "error": x})
         for one in zip(x, a, s, strict=True):
             if any(pd.isna(v) for v in one):
                 out.append((None, None))
