@@ -53,11 +53,12 @@ def typed(parsed: DataFrame, kind: str) -> DataFrame:
 
 
 def rebuilt(parsed: DataFrame, after: int, most: int) -> DataFrame:
-    """seq, log_index, kind and the payload as JSON rebuilt from its fields, of all known types after a sequence number, in order, at most so many."""
+    """seq, log_index, kind and the payload as JSON rebuilt from its fields, of all known types after a sequence number, in order, at most so many; null fields are left out."""
     shown = F.create_map(*[x for kind, known in PAYLOADS.items() for x in (F.lit(kind), F.array(*[F.lit(f.rstrip("?")) for f in known]))])
     fields = F.element_at(shown, F.col("kind"))
     as_map = F.from_json(F.to_json("payload"), "map<string,string>")
-    text = F.to_json(F.map_from_arrays(fields, F.transform(fields, lambda f: F.element_at(as_map, f))))
+    there = F.filter(fields, lambda f: F.element_at(as_map, f).isNotNull())
+    text = F.to_json(F.map_from_arrays(there, F.transform(there, lambda f: F.element_at(as_map, f))))
     return parsed.where((F.col("kind") != "Unknown") & (F.col("seq") > after)).select("seq", "log_index", "kind", text.alias("event_data")).orderBy("seq", "log_index").limit(most)
 
 
