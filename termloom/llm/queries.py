@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, licenses, lsh_forest, metric_join, mixing, sentence_spans, suffix_dedup, token_counts, toxicity, transport_stream
+from termloom.llm import bpe, licenses, lsh_forest, metric_join, mixing, sentence_spans, sentencepiece_table, suffix_dedup, token_counts, toxicity, transport_stream
 from termloom.llm.common import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ SELECT r.node AS doc_id, min(r.reached) AS class_id, CAST(coalesce(any_value(d.n
 """)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.classes(documents(spark, sf_dir))
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_table.encode_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
