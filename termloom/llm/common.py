@@ -74,8 +74,8 @@ def discard(df: DataFrame) -> None:
 HEAVY, LEAST_HEAVY = 1000, 1000
 
 
-def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spread_by: Column) -> DataFrame:
-    """rows joined to keys, a written table with one row for each key and its number of rows in column count; rows of heavy keys are dealt out by spread_by.
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spread_by: Column, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to keys, a written table with one row for each key and its number of rows in column count; rows of heavy keys are dealt out by spread_by.
 
     The heavy keys (fewer than HEAVY) are broadcast with their number of salts, so that
     rows pass once and no key sends more than its fair share to one task.
@@ -86,7 +86,7 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spr
     salt = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(spread_by, F.col("__salts")).cast("int"))
     left = rows.join(F.broadcast(heavy), on, "left").withColumn("__salt", salt).drop("__salts")
     right = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
-    return left.join(right, [*on, "__salt"]).drop("__salt")
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 def text_of(column: str) -> Column:

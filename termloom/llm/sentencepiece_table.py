@@ -3,7 +3,8 @@
 A piece that holds a white-space marker after another character holds nothing but markers,
 so no merge crosses from a character to the marker that follows it: a text falls into
 chunks (markers and the word after them) that are segmented alike wherever they stand.
-Characters that no piece holds, such as the line feed, stand alone and end a chunk as well.
+Where no piece holds a letter beside another character, a chunk ends between these as well,
+and characters that no piece holds, such as the line feed, stand alone.
 The distinct chunks of all texts form one table, in which each is segmented once; texts are
 the ids of their chunks, joined back by position. The most used entries, up to a bound in
 bytes, are looked up where the texts are; the places of all others are filled by a join
@@ -21,24 +22,29 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import dropped_after, materialize, salted_join, text_of
+from termloom.llm.common import materialize, salted_join, text_keys, text_of
 
 MARKER = "▁"
 #: Bytes of the most used chunks and their ids that every task looks up on the spot, and what an entry costs besides its strings.
 HEAD_BYTES, ENTRY_BYTES = 40 << 20, 150
 #: Chunks longer than this go straight to the shuffle; of shorter ones a task counts this many before it hands them on.
 LONG_CHUNK, MOST_HELD = 256, 200_000
-#: Ends the ids of a text with open places; no id has it.
-OPEN = "~"
+#: Bits of the bitmap of chunks that the table holds beyond the head, as a power of two (16 MB).
+BITS = 27
+#: In a coded text: an open chunk, one that is in no table, the end of the codes, and the code of the most used chunk.
+OPEN, OWN, END, FIRST_CODE = "\x00", "\x01", "\x02", 3
 
 
 @dataclass
@@ -51,6 +57,7 @@ class PieceModel:
     strings: list[bytes]  # by id; what must break a run of bytes (control and unknown pieces) begins with 0xff
     dummy_prefix: bool
     alone: str  # control characters that no piece holds
+    numerals: str | None  # of the pieces' characters those that \w holds beside letters; None if a piece holds a letter beside another character (markers before it excepted)
     bytes_of: dict[str, bytes] = field(init=False)
     byte_set: frozenset[int] = field(init=False)
     marked: frozenset[str] = field(init=False)  # ids of pieces that begin with a marker
@@ -166,31 +173,33 @@ def read_model(path: str) -> PieceModel:
     return PieceModel(
         score={p: s for p, (_, s) in normal.items()}, id_of={p: i for p, (i, _) in normal.items()}, byte_ids=[byte_ids[b] for b in range(256)],
         strings=[shown[t](p) for p, _, t in pieces], dummy_prefix=norm.add_dummy_prefix, alone="".join(c for c in "\n\r\t" if c not in held),
+        numerals="".join(sorted(c for c in held if c.isalnum() and not c.isalpha() and not c.isdecimal())) if all(len({c.isalpha() for c in p.lstrip(MARKER)}) < 2 for p in normal) else None,
     )
 
 
 class Chunks:
-    """Cuts a text into chunks; a blank stands for the marker."""
+    """Cuts a text into chunks; a blank stands for the marker. Characters that no piece holds may fall on either side of a cut."""
 
-    def __init__(self, dummy_prefix: bool, alone: str) -> None:
-        self.start = " " if dummy_prefix else ""
-        end = re.escape(alone)
-        self.cut = re.compile(rf" +[^ {end}]*|[^ {end}]+" + (f"|[{end}]+" if alone else "")).findall
+    def __init__(self, model: PieceModel) -> None:
+        self.start = " " if model.dummy_prefix else ""
+        end, other = re.escape(model.alone), re.escape(model.numerals or "")
+        word = rf" +[^ {end}]*|[^ {end}]+" if model.numerals is None else rf" *[^\W\d_{other}]+| *(?:[^\w {end}]+|[\d_{other}]+)+| +"
+        self.cut = re.compile(word + (f"|[{end}]+" if end else "")).findall
 
     def of(self, text: str) -> list[str]:
         return self.cut(self.start + text.replace(MARKER, " ")) if text else []
 
 
 def chunk_table(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """(chunk, n_uses, ids): each distinct chunk of all texts, how often it is used, and its ids joined by commas, segmented once.
+    """(chunk, n_uses, ids): each distinct chunk that all texts use at least twice, how often they do, and its ids joined by commas, segmented once.
 
     Tasks count their chunks before the shuffle, so that a chunk that every document holds
-    is a row for each task there.
+    is a row for each task there. A chunk with a single use is segmented once where it stands.
     """
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = Chunks(model.value.dummy_prefix, model.value.alone).of, Counter()
+        cut, seen = Chunks(model.value).of, Counter()
         given = lambda found: pa.RecordBatch.from_pydict({"chunk": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
         for batch in batches:
             for t in batch.column(0):
@@ -210,7 +219,7 @@ def chunk_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_pydict({"chunk": batch.column(0), "n_uses": batch.column(1), "ids": pa.array([ids(c.as_py()) for c in batch.column(0)], pa.string())})
 
     counted = docs.select(text_of(text_col).alias("text")).mapInArrow(distinct, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n_uses"))
-    return counted.mapInArrow(segment, "chunk string, n_uses long, ids string")
+    return counted.where("n_uses > 1").mapInArrow(segment, "chunk string, n_uses long, ids string")
 
 
 def _least_uses(table: DataFrame, most_bytes: int) -> int:
@@ -226,6 +235,16 @@ def _least_uses(table: DataFrame, most_bytes: int) -> int:
     return 1
 
 
+def _bitmap(chunks: DataFrame) -> bytes:
+    """2**BITS bits, of which those at the leading bits of the chunks' crc32 are set; the most that comes to the driver is one long for each 64 of them."""
+    bit = F.shiftright(F.crc32("chunk"), 32 - BITS)
+    words = chunks.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(1 << (BITS - 6), "<i8")
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
 #: What encode_decode() can return besides the id, in Spark's types.
 OUTPUTS = {"ids": "string", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -241,58 +260,107 @@ def _columns(rows: list[list], outputs: tuple[str, ...]) -> dict[str, pa.Array]:
     return {o: pa.array([r[k] for r in rows], pa.int64() if o == "n_tokens" else pa.string()) for k, o in enumerate(outputs)}
 
 
+class Encoder:
+    """Encodes texts as far as the head and what stands once allow; chunks that the table holds beyond the head stay open."""
+
+    def __init__(self, model: PieceModel, head: list[tuple[str, str]], bitmap: bytes) -> None:
+        self.model, self.cut, self.bitmap = model, Chunks(model).of, bitmap
+        self.shift = 33 - (8 * len(bitmap)).bit_length()
+        code = [chr(i) for i in range(FIRST_CODE, FIRST_CODE + len(head) + 0x800) if not 0xD800 <= i < 0xE000]
+        self.code_of = {c: k for (c, _), k in zip(head, code, strict=False)}
+        self.ids_of = {k: ids for (_, ids), k in zip(head, code, strict=False)}
+
+    def in_table(self, chunk: str) -> bool:
+        bit = crc32(chunk.encode()) >> self.shift
+        return bool(self.bitmap[bit >> 3] >> (bit & 7) & 1)
+
+    def open_chunks(self, text: str) -> list[str]:
+        """The distinct chunks of a text whose ids the table has to tell, by their place in it."""
+        code_of = self.code_of
+        return [c for c in dict.fromkeys(self.cut(text)) if c not in code_of and self.in_table(c)]
+
+    def encode(self, text: str) -> tuple[str | None, bytes | None]:
+        """The ids of a text, or, if some are open, its coded form."""
+        chunks = self.cut(text)
+        codes = list(map(self.code_of.get, chunks))
+        if None not in codes:
+            return ",".join(map(self.ids_of.__getitem__, codes)), None
+        own: dict[str, str] = {}
+        numbers: dict[str, int] = {}
+        for c in dict.fromkeys(c for c, k in zip(chunks, codes, strict=True) if k is None):
+            if self.in_table(c):
+                numbers[c] = len(numbers)
+            else:
+                own[c] = self.model.ids(c)
+        if not numbers:
+            return ",".join([own[c] if k is None else self.ids_of[k] for c, k in zip(chunks, codes, strict=True)]), None
+        coded = "".join([k or (OWN if c in own else OPEN) for c, k in zip(chunks, codes, strict=True)])
+        rest = [(own[c] if c in own else str(numbers[c])) for c, k in zip(chunks, codes, strict=True) if k is None]
+        return None, zlib.compress(f"{coded}{END}{';'.join(rest)}".encode(), 1)
+
+    def filled(self, coded: bytes, found: dict[int, str]) -> str:
+        """The ids of a text from its coded form and the ids of its open chunks."""
+        codes, _, tail = zlib.decompress(coded).decode().partition(END)
+        rest = iter(tail.split(";"))
+        return ",".join([found[int(next(rest))] if k == OPEN else next(rest) if k == OWN else self.ids_of[k] for k in codes])
+
+
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """One row per document: doc_id and the outputs asked for, in that order, of ids (decimal, joined by commas), decoded, n_tokens, ids_sha256 and decoded_sha256.
 
-    The chunk table is written once. Its most used entries (HEAD_BYTES at most, whatever the
-    input) go to every task; a text that they cover is finished in its task. Of any other
-    text its ids with numbered open places and its distinct open chunks are written; the
-    chunks are joined to the table (chunks with very many uses are dealt out by salt), and
-    the ids that come back are put in their places.
+    The table is written once. Its most used entries (HEAD_BYTES at most, whatever the
+    input) go to every task with a bitmap (of fixed size) of the others; a text whose chunks
+    are in the head or not in the table is finished in its task. The open chunks of other
+    texts are joined to the table (chunks with very many uses are dealt out by salt), a row
+    for each text and chunk; the ids that come back meet the coded texts, which are
+    about half as large as the input, by the texts' two hashes, and are put in their places.
+    A bit that two chunks share only sends one more chunk to the join.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     model = sc.broadcast(read_model(model_path))
     kind = docs.schema[id_col].dataType.simpleString()
     asked = ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)
+    table = materialize(chunk_table(docs, model_path, text_col), "piece-table")
+    least = _least_uses(table, HEAD_BYTES)
+    top = table.where(F.col("n_uses") >= least).select("chunk", "ids", "n_uses").toArrow().sort_by([("n_uses", "descending"), ("chunk", "ascending")])  # HEAD_BYTES at most
+    others = table.where(F.col("n_uses") < least)
+    known = sc.broadcast((list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)), _bitmap(others)))
+
+    def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model.value, *known.value)
+        for batch in batches:
+            found = [encoder.open_chunks(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_pydict({"k1": batch.column(0), "k2": batch.column(1), "chunks": pa.array(found, pa.list_(pa.string()))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = model.value, head.value
-        cut = Chunks(m.dummy_prefix, m.alone).of
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model.value, *known.value)
         nothing = [None] * len(outputs)
         for batch in batches:
-            rows, opened, rest = [], [], []
-            for t in batch.column(1):
-                chunks = cut(t.as_py())
-                ids = [known.get(c) for c in chunks]
-                if None not in ids:
-                    rows.append(_digest(m, ",".join(ids), outputs)), opened.append(None), rest.append(None)
-                    continue
-                places: dict[str, str] = {}
-                for k, x in enumerate(ids):
-                    if x is None:
-                        ids[k] = places.setdefault(chunks[k], f"{OPEN}{len(places)}")
-                rows.append(nothing), opened.append(",".join(ids)), rest.append(list(places))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | _columns(rows, outputs) | {"opened": pa.array(opened, pa.string()), "rest": pa.array(rest, pa.list_(pa.string()))})
+            rows, coded = [], []
+            for t in batch.column(3):
+                ids, form = encoder.encode(t.as_py())
+                rows.append(nothing if ids is None else _digest(model.value, ids, outputs))
+                coded.append(form)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "k1": batch.column(1), "k2": batch.column(2)} | _columns(rows, outputs) | {"coded": pa.array(coded, pa.binary())})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = re.compile(OPEN + r"(\d+)")
+        encoder = Encoder(model.value, *known.value)
         for batch in batches:
             rows = []
-            for opened, found in zip(batch.column(1), batch.column(2), strict=True):
-                ids = {str(x["place"]): x["ids"] for x in found.as_py()}
-                rows.append(_digest(model.value, place.sub(lambda m, ids=ids: ids[m[1]], opened.as_py()), outputs))
+            for k in range(batch.num_rows):
+                row = [batch.column(2 + i)[k].as_py() for i in range(len(outputs))]
+                if (coded := batch.column(1)[k].as_py()) is not None:
+                    found = {x["place"]: model.value.ids(x["chunk"]) if x["ids"] is None else x["ids"] for x in batch.column(2 + len(outputs))[k].as_py()}
+                    row = _digest(model.value, encoder.filled(coded, found), outputs)
+                rows.append(row)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | _columns(rows, outputs))
 
-    with dropped_after(spark):
-        table = materialize(chunk_table(docs, model_path, text_col), "piece-table", outlives_scope=True)
-        top = table.where(F.col("n_uses") >= _least_uses(table, HEAD_BYTES)).select("chunk", "ids")  # HEAD_BYTES at most
-        head = sc.broadcast(dict(zip(*(c.to_pylist() for c in top.toArrow().columns), strict=True)))
-        rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {asked}, opened string, rest array<string>")
-        rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "piece-rows", outlives_scope=True)
-        opened = rows.where(F.col("opened").isNotNull()).select("row_id", "doc_id", "opened", "rest")
-        asked_for = opened.select("row_id", F.posexplode("rest").alias("place", "chunk"))
-        joined = salted_join(asked_for, table, ["chunk"], "n_uses", F.col("row_id"))
-        found = joined.groupBy("row_id").agg(F.collect_list(F.struct("place", "ids")).alias("found"))  # of one document
-        filled = opened.select("row_id", "doc_id", "opened").join(found, "row_id").select("doc_id", "opened", "found").mapInArrow(fill, f"doc_id {kind}, {asked}")
-        return rows.where(F.col("opened").isNull()).select("doc_id", *outputs).unionByName(filled)
+    text = text_of(text_col)
+    asked_for = docs.select(*text_keys(text_col), text.alias("text")).mapInArrow(open_chunks, "k1 long, k2 long, chunks array<string>").select("k1", "k2", F.posexplode("chunks").alias("place", "chunk"))
+    joined = salted_join(asked_for, others, ["chunk"], "n_uses", F.col("k1"), "left")
+    answer = F.struct("place", "ids", F.when(F.col("ids").isNull(), F.col("chunk")).alias("chunk"))
+    found = joined.groupBy("k1", "k2").agg(F.collect_set(answer).alias("found"))  # the chunks of one text, however many documents have it
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_keys(text_col), text.alias("text")).mapInArrow(encode, f"doc_id {kind}, k1 long, k2 long, {asked}, coded binary")
+    rows = rows.withColumn("k1", F.when(F.col("coded").isNull(), F.monotonically_increasing_id()).otherwise(F.col("k1")))  # finished rows ask for nothing and lie anywhere
+    return rows.join(found, ["k1", "k2"], "left").select("doc_id", "coded", *outputs, "found").mapInArrow(fill, f"doc_id {kind}, {asked}")

@@ -11,7 +11,7 @@ sentencepiece = pytest.importorskip("sentencepiece")
 paths = pytest.importorskip("public_tokenizers")
 
 FILE = paths.path("piece_bpe_32k.model")
-PARTS = [" ", "  ", "\n", "a", "the", "ing", "▁", "é", "日", "😀", "\x00", "\t", "\r\n", "1", "23", ".", ",", "<s>", "</s>", "<unk>", "<0x41>", "́", "st", " on", "　", "�"]
+PARTS = [" ", "  ", "\n", "a", "the", "ing", "▁", "é", "日", "😀", "\x00", "\t", "\r\n", "1", "23", ".", ",", "<s>", "</s>", "<unk>", "<0x41>", "́", "st", " on", "　", "�", "_", "²", "Ⅷ", "-", "ü", "١", "ª", "क", "ि"]
 
 
 @pytest.fixture(scope="module")
@@ -31,11 +31,15 @@ def expected(library, rows):
     return sorted(out, key=repr)
 
 
-def test_segments_and_decodes_as_the_library(library):
+@pytest.mark.parametrize("apart", [True, False])
+def test_segments_and_decodes_as_the_library(library, apart):
     from termloom.llm.sentencepiece_table import Chunks, read_model
 
     model = read_model(FILE)
-    cut, rng = Chunks(model.dummy_prefix, model.alone).of, random.Random(3)
+    assert model.numerals is not None
+    if not apart:
+        model.numerals = None
+    cut, rng = Chunks(model).of, random.Random(3)
     for _ in range(2500):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30)))
         ids = library.encode(text)
@@ -52,10 +56,11 @@ def test_decodes_any_ids(library):
         assert model.decode(",".join(map(str, ids))) == library.decode(ids), ids
 
 
-@pytest.mark.parametrize("head_bytes", [None, 0, 4000])
-def test_documents(spark, odd, library, monkeypatch, head_bytes):
+@pytest.mark.parametrize("head_bytes, bits", [(None, 27), (0, 27), (4000, 27), (4000, 7)])
+def test_documents(spark, odd, library, monkeypatch, head_bytes, bits):
     from termloom.llm import sentencepiece_table
 
+    monkeypatch.setattr(sentencepiece_table, "BITS", bits)  # few bits: single chunks come by the join too
     if head_bytes is not None:  # all chunks, or most, come by the join
         monkeypatch.setattr(sentencepiece_table, "HEAD_BYTES", head_bytes)
     out = sentencepiece_table.encode_decode(odd, FILE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
