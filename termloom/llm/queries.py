@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, hard_negatives, licenses, lsh_forest, metric_join, mixing, sentence_spans, sentencepiece_table, suffix_dedup, token_counts, toxicity, transport_stream
+from termloom.llm import bpe, hard_negatives, licenses, lsh_forest, metric_join, mixing, sentence_spans, sentencepiece_table, suffix_dedup, token_counts, toxicity, transport_stream, turn_repair
 from termloom.llm.common import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,50 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_turn_repair", r"""
+WITH RECURSIVE
+t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+k AS (SELECT DISTINCT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT conv_id, turn, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) % 256 AS INT) + 1])), 4294967295) % 20 AS h
+  FROM k, t),
+d AS (
+  SELECT c.conv_id AS conv, c.turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(CASE WHEN h = 0 THEN [] WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM conversations c JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id AND h.turn IS NOT DISTINCT FROM c.turn),
+o AS (SELECT *, row_number() OVER w AS p, lag(left(role, 1)) OVER w AS was FROM d WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text)),
+r AS (
+  SELECT conv, turn, role, text, p, left(role, 1) AS i, was, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut,
+    CASE WHEN cut = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM o),
+m(s, e, i, s2) AS (VALUES ('', 'K', 's', 's'), ('', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'), ('a', 'K', 'u', 'u'), ('', 'R', '', 'u'), ('s', 'R', '', 'u'), ('u', 'R', '', 'a'), ('a', 'R', '', 'u'), ('', 'D', '', ''), ('s', 'D', '', 's'), ('u', 'D', '', 'u'), ('a', 'D', '', 'a')),
+n(s, s2, l) AS (VALUES ('', '', ''), ('s', 's', ''), ('u', 'u', ''), ('a', 'a', ''), ('', 'u', 'I'), ('s', 'u', 'I'), ('u', 'a', 'I'), ('a', 'u', 'I'), ('', 'a', 'II'), ('s', 'a', 'II')),
+z AS (
+  SELECT conv, CAST(0 AS BIGINT) AS p, n.s2 AS s, {'cost': CAST(2 * length(l) AS BIGINT), 'audit': l} AS v FROM (SELECT DISTINCT conv FROM r), n WHERE n.s = ''
+  UNION ALL
+  SELECT z.conv, r.p, n.s2, min({'cost': CAST(z.v.cost + CASE m.e WHEN 'K' THEN 0 WHEN 'R' THEN 2 ELSE 3 END + CASE WHEN m.e <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END + 2 * length(n.l) AS BIGINT), 'audit': z.v.audit || m.e || n.l})
+  FROM z JOIN r ON r.conv IS NOT DISTINCT FROM z.conv AND r.p = z.p + 1
+  JOIN m ON m.s = z.s AND (m.e <> 'K' OR m.i = r.i) AND (m.e = 'D' OR r.fault NOT IN ('blank', 'duplicate')) JOIN n ON n.s = m.s2
+  GROUP BY ALL),
+f AS (SELECT conv, min(v) AS v FROM (SELECT * FROM z QUALIFY p = max(p) OVER (PARTITION BY conv)) WHERE s IN ('', 'a') GROUP BY conv),
+l AS (SELECT conv, v.audit AS audit, unnest(range(1, length(v.audit) + 1)) AS k FROM f),
+x AS (SELECT conv, k, substr(audit, k, 1) AS e, sum(CASE WHEN substr(audit, k, 1) = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv ORDER BY k) AS p FROM l),
+y AS (
+  SELECT x.conv, k, e, r.role, r.text, row_number() OVER q AS place, first_value(e = 'K' AND r.i = 's') OVER q AS system
+  FROM x LEFT JOIN r ON r.conv IS NOT DISTINCT FROM x.conv AND r.p = x.p AND e <> 'I' WHERE e <> 'D' WINDOW q AS (PARTITION BY x.conv ORDER BY k)),
+g AS (
+  SELECT conv, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (place - CAST(system AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS sha
+  FROM y GROUP BY conv),
+c AS (
+  SELECT conv, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (p > 1 AND was || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(f.v.cost, 0) AS cost, coalesce(f.v.audit, '') AS audit, coalesce(g.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv IS NOT DISTINCT FROM a.conv_id LEFT JOIN f ON f.conv IS NOT DISTINCT FROM a.conv_id LEFT JOIN g ON g.conv IS NOT DISTINCT FROM a.conv_id
+""")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damage(turns), turns)
