@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from math import inf
 from zlib import crc32
 
 import numpy as np
@@ -37,8 +38,12 @@ from pyspark.sql import functions as F
 from termloom.llm.common import materialize, salted_join, text_keys, text_of
 
 MARKER = "▁"
-#: Bytes of the most used chunks and their ids that every task looks up on the spot, and what an entry costs besides its strings.
-HEAD_BYTES, ENTRY_BYTES = 40 << 20, 150
+#: Bytes of the most used chunks and their ids that every task can look up, packed, with what an entry takes besides its strings.
+HEAD_BYTES, ENTRY_BYTES = 64 << 20, 13
+#: So many of the most used of them are kept in a dictionary as well, if they aren't long.
+QUICK, QUICK_CHUNK = 150_000, 64
+#: Up to so many characters pairs are looked through instead of queued.
+SHORT = 48
 #: Chunks longer than this go straight to the shuffle; of shorter ones a task counts this many before it hands them on.
 LONG_CHUNK, MOST_HELD = 256, 200_000
 #: Bits of the bitmap of chunks that the table holds beyond the head, as a power of two (16 MB).
@@ -68,7 +73,9 @@ class PieceModel:
         self.marked = frozenset(str(i) for p, i in self.id_of.items() if p[0] == MARKER)
 
     def merge(self, chunk: str) -> list[str]:
-        """The pieces of a chunk: of all adjacent pairs that form a piece the best scored is joined, the leftmost first, until none is left."""
+        """The pieces of a chunk: of all adjacent pairs that form a piece the best scored is joined, the leftmost first, until none is left. Short chunks look through the scores of their pairs, long ones keep them in a queue."""
+        if len(chunk) <= SHORT:
+            return self._merge_short(chunk)
         symbols: list[str | None] = [*chunk]
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -92,15 +99,26 @@ class PieceModel:
                 heappush(queue, (-s, h, new))
         return [s for s in symbols if s is not None]
 
+    def _merge_short(self, chunk: str) -> list[str]:
+        symbols, score, none = [*chunk], self.score.get, -inf
+        scores = [score(a + b, none) for a, b in zip(chunk, chunk[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            symbols[i : i + 2] = [joined := symbols[i] + symbols[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(symbols[i - 1] + joined, none)
+            if i < len(scores):
+                scores[i] = score(joined + symbols[i + 1], none)
+        return symbols
+
     def ids(self, chunk: str) -> str:
         """The ids of a chunk, joined by commas; characters without a piece are spelled in bytes."""
-        out: list[int] = []
-        for piece in self.merge(chunk.replace(" ", MARKER)):
-            if (one := self.id_of.get(piece)) is not None:
-                out.append(one)
-            else:
-                out += [self.byte_ids[b] for b in piece.encode()]
-        return ",".join(map(str, out))
+        pieces = self.merge(chunk.replace(" ", MARKER))
+        found = list(map(self.id_of.get, pieces))
+        if None in found:
+            found = [i for piece, one in zip(pieces, found, strict=True) for i in ((one,) if one is not None else (self.byte_ids[b] for b in piece.encode()))]
+        return ",".join(map(str, found))
 
     def decode(self, ids: str) -> str:
         """The text of ids joined by commas."""
@@ -223,7 +241,7 @@ def chunk_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
 
 
 def _least_uses(table: DataFrame, most_bytes: int) -> int:
-    """The smallest number of uses whose entries, with all more used ones, fit most_bytes: uses are exact up to 4,096, above that in steps of 1/64 of a power of two, so that a few thousand rows tell."""
+    """The smallest number of uses whose entries, with all more used ones, fit most_bytes: uses are exact up to 4,096, above that in steps of 1/64 of a power of two, so that a few thousand rows tell; 2 or less if all do."""
     step = F.when(F.col("n_uses") <= 4096, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n_uses")) - 6).cast("long"))
     size = F.octet_length("chunk") + F.octet_length("ids") + F.lit(ENTRY_BYTES)
     sizes = table.groupBy((F.floor(F.col("n_uses") / step) * step).cast("long").alias("least")).agg(F.sum(size.cast("long")).alias("bytes")).collect()
@@ -260,42 +278,72 @@ def _columns(rows: list[list], outputs: tuple[str, ...]) -> dict[str, pa.Array]:
     return {o: pa.array([r[k] for r in rows], pa.int64() if o == "n_tokens" else pa.string()) for k, o in enumerate(outputs)}
 
 
+class Head:
+    """The most used chunks and their ids: the first in a dictionary, all in one string of bytes, ordered by crc32."""
+
+    def __init__(self, chunks: list[str], ids: list[str]) -> None:
+        self.quick = {c: i for c, i in zip(chunks[:QUICK], ids[:QUICK], strict=True) if len(c) <= QUICK_CHUNK}
+        entries = sorted((crc32(k := c.encode()), k + b"\xff" + i.encode()) for c, i in zip(chunks, ids, strict=True))  # no text holds the byte 255
+        self.keys = np.array([k for k, _ in entries], np.uint32)
+        self.ends = np.cumsum([0, *(len(e) for _, e in entries)])
+        self.packed = b"".join(e for _, e in entries)
+
+    def find(self, chunks: list[str]) -> dict[str, str]:
+        """The ids of those of the chunks that the head holds."""
+        encoded = [c.encode() + b"\xff" for c in chunks]
+        keys = np.fromiter((crc32(e[:-1]) for e in encoded), np.uint32, len(encoded))
+        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        out = {}
+        for k in np.flatnonzero(first < last).tolist():
+            for at in range(int(first[k]), int(last[k])):
+                entry = self.packed[self.ends[at] : self.ends[at + 1]]
+                if entry.startswith(encoded[k]):
+                    out[chunks[k]] = entry[len(encoded[k]) :].decode()
+        return out
+
+
 class Encoder:
     """Encodes texts as far as the head and what stands once allow; chunks that the table holds beyond the head stay open."""
 
-    def __init__(self, model: PieceModel, head: list[tuple[str, str]], bitmap: bytes) -> None:
+    def __init__(self, model: PieceModel, head: Head, bitmap: bytes | None) -> None:
         self.model, self.cut, self.bitmap = model, Chunks(model).of, bitmap
-        self.shift = 33 - (8 * len(bitmap)).bit_length()
-        code = [chr(i) for i in range(FIRST_CODE, FIRST_CODE + len(head) + 0x800) if not 0xD800 <= i < 0xE000]
-        self.code_of = {c: k for (c, _), k in zip(head, code, strict=False)}
-        self.ids_of = {k: ids for (_, ids), k in zip(head, code, strict=False)}
+        self.shift = 33 - (8 * len(bitmap)).bit_length() if bitmap else 0
+        self.head = head
+        self.codes = {c: chr(k if k < 0xD800 else k + 0x800) for k, c in enumerate(head.quick, FIRST_CODE)} if bitmap else {}
+        self.ids_of = {k: head.quick[c] for c, k in self.codes.items()}
 
     def in_table(self, chunk: str) -> bool:
+        if self.bitmap is None:
+            return False
         bit = crc32(chunk.encode()) >> self.shift
         return bool(self.bitmap[bit >> 3] >> (bit & 7) & 1)
 
+    def settle(self, chunks: list[str]) -> tuple[dict[str, str], list[str]]:
+        """Of distinct chunks that aren't in the dictionary: the ids of those that are in the head or in no table, and those that stay open."""
+        known = self.head.find(chunks)
+        opened = [c for c in chunks if c not in known and self.in_table(c)]
+        out = set(opened)
+        return known | {c: self.model.ids(c) for c in chunks if c not in known and c not in out}, opened
+
     def open_chunks(self, text: str) -> list[str]:
         """The distinct chunks of a text whose ids the table has to tell, by their place in it."""
-        code_of = self.code_of
-        return [c for c in dict.fromkeys(self.cut(text)) if c not in code_of and self.in_table(c)]
+        quick = self.head.quick
+        rest = [c for c in dict.fromkeys(self.cut(text)) if c not in quick]
+        known = self.head.find(rest)
+        return [c for c in rest if c not in known and self.in_table(c)]
 
     def encode(self, text: str) -> tuple[str | None, bytes | None]:
         """The ids of a text, or, if some are open, its coded form."""
         chunks = self.cut(text)
-        codes = list(map(self.code_of.get, chunks))
-        if None not in codes:
-            return ",".join(map(self.ids_of.__getitem__, codes)), None
-        own: dict[str, str] = {}
-        numbers: dict[str, int] = {}
-        for c in dict.fromkeys(c for c, k in zip(chunks, codes, strict=True) if k is None):
-            if self.in_table(c):
-                numbers[c] = len(numbers)
-            else:
-                own[c] = self.model.ids(c)
-        if not numbers:
-            return ",".join([own[c] if k is None else self.ids_of[k] for c, k in zip(chunks, codes, strict=True)]), None
-        coded = "".join([k or (OWN if c in own else OPEN) for c, k in zip(chunks, codes, strict=True)])
-        rest = [(own[c] if c in own else str(numbers[c])) for c, k in zip(chunks, codes, strict=True) if k is None]
+        ids = list(map(self.head.quick.get, chunks))
+        if None not in ids:
+            return ",".join(ids), None
+        own, opened = self.settle(list(dict.fromkeys(c for c, k in zip(chunks, ids, strict=True) if k is None)))
+        if not opened:
+            return ",".join([own[c] if k is None else k for c, k in zip(chunks, ids, strict=True)]), None
+        numbers = {c: str(k) for k, c in enumerate(opened)}
+        coded = "".join([self.codes[c] if k is not None else OPEN if c in numbers else OWN for c, k in zip(chunks, ids, strict=True)])
+        rest = [numbers[c] if c in numbers else own[c] for c, k in zip(chunks, ids, strict=True) if k is None]
         return None, zlib.compress(f"{coded}{END}{';'.join(rest)}".encode(), 1)
 
     def filled(self, coded: bytes, found: dict[int, str]) -> str:
@@ -325,7 +373,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_c
     least = _least_uses(table, HEAD_BYTES)
     top = table.where(F.col("n_uses") >= least).select("chunk", "ids", "n_uses").toArrow().sort_by([("n_uses", "descending"), ("chunk", "ascending")])  # HEAD_BYTES at most
     others = table.where(F.col("n_uses") < least)
-    known = sc.broadcast((list(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)), _bitmap(others)))
+    known = sc.broadcast((Head(top.column(0).to_pylist(), top.column(1).to_pylist()), _bitmap(others) if least > 2 else None))
 
     def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value, *known.value)
@@ -357,10 +405,12 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_c
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | _columns(rows, outputs))
 
     text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_keys(text_col), text.alias("text")).mapInArrow(encode, f"doc_id {kind}, k1 long, k2 long, {asked}, coded binary")
+    if least <= 2:  # the head is the whole table: nothing is open
+        return rows.select("doc_id", *outputs)
     asked_for = docs.select(*text_keys(text_col), text.alias("text")).mapInArrow(open_chunks, "k1 long, k2 long, chunks array<string>").select("k1", "k2", F.posexplode("chunks").alias("place", "chunk"))
     joined = salted_join(asked_for, others, ["chunk"], "n_uses", F.col("k1"), "left")
     answer = F.struct("place", "ids", F.when(F.col("ids").isNull(), F.col("chunk")).alias("chunk"))
     found = joined.groupBy("k1", "k2").agg(F.collect_set(answer).alias("found"))  # the chunks of one text, however many documents have it
-    rows = docs.select(F.col(id_col).alias("doc_id"), *text_keys(text_col), text.alias("text")).mapInArrow(encode, f"doc_id {kind}, k1 long, k2 long, {asked}, coded binary")
     rows = rows.withColumn("k1", F.when(F.col("coded").isNull(), F.monotonically_increasing_id()).otherwise(F.col("k1")))  # finished rows ask for nothing and lie anywhere
     return rows.join(found, ["k1", "k2"], "left").select("doc_id", "coded", *outputs, "found").mapInArrow(fill, f"doc_id {kind}, {asked}")
