@@ -221,12 +221,3 @@ def n24(spark, d):
 @query("n25_funnel_conversion", f"{_S0}, x AS (SELECT d.* FROM dep d JOIN s0 USING (account) WHERE d.ts >= s0.at AND d.ts <= s0.at + INTERVAL 30 DAY), f AS ({_FIRST.format(i=0, src='atom')} UNION ALL {_FIRST.format(i=1, src='x')}) SELECT step, count(DISTINCT account) AS users FROM f GROUP BY step")
 def n25(spark, d):
     return n21(spark, d).groupBy("step").agg(F.countDistinct("account").alias("users"))
-
-
-@query("n26_exact_top_k", "q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, k AS place, round(sim, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS k FROM (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS sim FROM q JOIN embeddings e ON e.vec_id <> q.query_id)) WHERE k <= 5")
-def n26(spark, d):
-    """Exact cosine top-k: a stated query set, packed and broadcast in bounded blocks, against every row; each batch keeps k a query."""
-    from termloom.operators.vectors import top_k
-
-    e = table(spark, d, "embeddings")
-    return top_k(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, k=5)
