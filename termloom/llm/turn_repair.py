@@ -111,6 +111,12 @@ def _database():
     return db
 
 
+def _load(db, name: str, rows: pa.Table) -> None:
+    """rows as a table of the database's own: a recursion reads it once a step."""
+    db.register("given", rows)
+    db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM given")
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with about BATCH_ROWS rows, and the number of each row's group in it; rows come ordered by their first n_keys columns."""
     held: list[pa.RecordBatch] = []
@@ -137,11 +143,15 @@ def _places(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.searchsorted(group, group) + 1
 
 
+def _partitions(df: DataFrame) -> int:
+    """Named, so that small rows with much to do for each aren't put together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _ordered(turns: DataFrame) -> DataFrame:
     """turns with g, their place in the order of conv, turn (null first), role and text; written range by range."""
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc_nulls_first(c) for c in ("conv", "turn", "role", "text")]
-    ranged = turns.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = turns.repartitionByRange(_partitions(turns), *order).sortWithinPartitions(*order)
     placed = materialize(ranged.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "turns", outlives_scope=True)
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     before = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -168,7 +178,7 @@ def _segments(faults: DataFrame, kind: str) -> DataFrame:
         for table, group in _whole_groups(batches, 2):
             shown = np.array(table.column("initial").to_pylist(), object)
             known = np.isin(shown, STATES[1:])
-            db.register("turns", pa.table({"part": group, "place": _places(group), "initial": pa.array(np.where(known, shown, "-"), pa.string()), "bad": table.column("bad"), "truncated": table.column("truncated")}))
+            _load(db, "turns", pa.table({"part": group, "place": _places(group), "initial": pa.array(np.where(known, shown, "-"), pa.string()), "bad": table.column("bad"), "truncated": table.column("truncated")}))
             ways: list[list] = [[] for _ in range(int(group[-1]) + 1)]
             for part, *way in db.execute(SEGMENT_SQL).fetchall():
                 ways[part].append(dict(zip(("entry", "state", "cost", "audit"), way, strict=True)))
@@ -183,7 +193,7 @@ def _segments(faults: DataFrame, kind: str) -> DataFrame:
 
     block = F.floor(F.col("g") / F.lit(SEGMENT)).alias("block")
     rows = faults.select("conv", block, "g", "initial", (F.col("blank") | F.col("duplicate")).alias("bad"), "truncated")
-    dealt = rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "g")
+    dealt = rows.repartition(_partitions(faults), "conv", "block").sortWithinPartitions("conv", "block", "g")
     return dealt.mapInArrow(run, f"conv {kind}, block long, first string, last string, illegal long, ways array<struct<entry string, state string, cost bigint, audit string>>")
 
 
@@ -201,7 +211,7 @@ def _audits(segments: DataFrame, kind: str) -> DataFrame:
             owner = np.repeat(np.arange(len(group)), np.asarray(ways.value_lengths()))
             flat = ways.flatten()
             place = _places(group)
-            db.register("parts", pa.table({"conv": group[owner], "place": place[owner]} | {c: flat.field(c) for c in ("entry", "state", "cost", "audit")}))
+            _load(db, "parts", pa.table({"conv": group[owner], "place": place[owner]} | {c: flat.field(c) for c in ("entry", "state", "cost", "audit")}))
             _, costs, audits = zip(*db.execute(CONVERSATION_SQL).fetchall(), strict=True)
             starts = np.searchsorted(group, np.arange(len(costs)))
             first, last = table.column("first").to_pylist(), table.column("last").to_pylist()
@@ -209,7 +219,7 @@ def _audits(segments: DataFrame, kind: str) -> DataFrame:
             illegal = np.add.reduceat(between + table.column("illegal").to_numpy(), starts)
             yield pa.RecordBatch.from_pydict({"conv": table.column("conv").take(pa.array(starts)).combine_chunks(), "cost": pa.array(costs, pa.int64()), "audit": pa.array(audits, pa.string()), "illegal": pa.array(illegal)})
 
-    return segments.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(run, f"conv {kind}, cost long, audit string, illegal long")
+    return segments.repartition(_partitions(segments), "conv").sortWithinPartitions("conv", "block").mapInArrow(run, f"conv {kind}, cost long, audit string, illegal long")
 
 
 class Repair:
@@ -269,7 +279,7 @@ def _digests(ordered: DataFrame, audits: DataFrame, kind: str) -> DataFrame:
 
     heads = audits.select("conv", F.lit(-1).cast("long").alias("g"), "cost", "audit", "illegal", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
     rows = ordered.select("conv", "g", F.lit(None).cast("long").alias("cost"), F.lit(None).cast("string").alias("audit"), F.lit(None).cast("long").alias("illegal"), "role", "text")
-    together = heads.unionByName(rows).repartition("conv").sortWithinPartitions("conv", "g")
+    together = heads.unionByName(rows).repartition(_partitions(ordered), "conv").sortWithinPartitions("conv", "g")
     return together.mapInArrow(run, f"conv {kind}, cost long, audit string, illegal long, repaired_sha256 string")
 
 
