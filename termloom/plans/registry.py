@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import atoms, behavior, cookbook, envelopes, graph, market, recommend, streams  # noqa: F401  (importing registers)
+from termloom.plans import atoms, behavior, cookbook, envelopes, graph, market, recommend, rollups, streams  # noqa: F401  (importing registers)
 from termloom.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
