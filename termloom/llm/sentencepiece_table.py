@@ -240,17 +240,33 @@ def chunk_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
     return counted.where("n_uses > 1").mapInArrow(segment, "chunk string, n_uses long, ids string")
 
 
-def _least_uses(table: DataFrame, most_bytes: int) -> int:
-    """The smallest number of uses whose entries, with all more used ones, fit most_bytes: uses are exact up to 4,096, above that in steps of 1/64 of a power of two, so that a few thousand rows tell; 2 or less if all do."""
+def _least_uses(table: DataFrame, most_bytes: int, most: int) -> tuple[int, int]:
+    """The smallest numbers of uses whose entries, with all more used ones, fit most_bytes, and are no more than most: uses are exact up to 4,096, above that in steps of 1/64 of a power of two, so that a few thousand rows tell; 1 if all do."""
     step = F.when(F.col("n_uses") <= 4096, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n_uses")) - 6).cast("long"))
     size = F.octet_length("chunk") + F.octet_length("ids") + F.lit(ENTRY_BYTES)
-    sizes = table.groupBy((F.floor(F.col("n_uses") / step) * step).cast("long").alias("least")).agg(F.sum(size.cast("long")).alias("bytes")).collect()
-    total = 0
-    for least, held in sorted(sizes, reverse=True):
-        total += held
-        if total > most_bytes:
-            return least + 1 if least <= 4096 else least + (1 << (least.bit_length() - 7))
-    return 1
+    sizes = table.groupBy((F.floor(F.col("n_uses") / step) * step).cast("long").alias("least")).agg(F.sum(size.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+    out = []
+    for bound, column in ((most_bytes, "bytes"), (most, "n")):
+        total, found = 0, 1
+        for r in sorted(sizes, reverse=True):
+            total += r[column]
+            if total > bound:
+                found = r.least + 1 if r.least <= 4096 else r.least + (1 << (r.least.bit_length() - 7))
+                break
+        out.append(found)
+    return out[0], out[1]
+
+
+def _head(table: DataFrame, least: int, least_quick: int) -> Head:
+    """The entries with at least so many uses (HEAD_BYTES at most), packed where they are; a chunk, the byte 255, which no text holds, and its ids."""
+    top = table.where(F.col("n_uses") >= least)
+    entry = F.concat(F.encode("chunk", "UTF-8"), F.unhex(F.lit("FF")), F.encode("ids", "UTF-8"))
+    found = top.select(F.crc32("chunk").alias("key"), entry.alias("entry")).orderBy("key").toArrow().combine_chunks()
+    entries = found.column(1).combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(entries.buffers()[1], np.int64)[entries.offset : entries.offset + len(entries) + 1] if len(entries) else np.zeros(1, np.int64)
+    packed = entries.buffers()[2].to_pybytes()[: int(ends[-1])] if len(entries) else b""
+    quick = top.where((F.col("n_uses") >= least_quick) & (F.length("chunk") <= QUICK_CHUNK)).select("chunk", "ids").toArrow()
+    return Head(dict(zip(quick.column(0).to_pylist(), quick.column(1).to_pylist(), strict=True)), found.column(0).to_numpy().astype(np.uint32), ends.copy(), packed)
 
 
 def _bitmap(chunks: DataFrame) -> bytes:
@@ -281,12 +297,8 @@ def _columns(rows: list[list], outputs: tuple[str, ...]) -> dict[str, pa.Array]:
 class Head:
     """The most used chunks and their ids: the first in a dictionary, all in one string of bytes, ordered by crc32."""
 
-    def __init__(self, chunks: list[str], ids: list[str]) -> None:
-        self.quick = {c: i for c, i in zip(chunks[:QUICK], ids[:QUICK], strict=True) if len(c) <= QUICK_CHUNK}
-        entries = sorted((crc32(k := c.encode()), k + b"\xff" + i.encode()) for c, i in zip(chunks, ids, strict=True))  # no text holds the byte 255
-        self.keys = np.array([k for k, _ in entries], np.uint32)
-        self.ends = np.cumsum([0, *(len(e) for _, e in entries)])
-        self.packed = b"".join(e for _, e in entries)
+    def __init__(self, quick: dict[str, str], keys: np.ndarray, ends: np.ndarray, packed: bytes) -> None:
+        self.quick, self.keys, self.ends, self.packed = quick, keys, ends, packed
 
     def find(self, chunks: list[str]) -> dict[str, str]:
         """The ids of those of the chunks that the head holds."""
@@ -370,10 +382,9 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_c
     kind = docs.schema[id_col].dataType.simpleString()
     asked = ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)
     table = materialize(chunk_table(docs, model_path, text_col), "piece-table")
-    least = _least_uses(table, HEAD_BYTES)
-    top = table.where(F.col("n_uses") >= least).select("chunk", "ids", "n_uses").toArrow().sort_by([("n_uses", "descending"), ("chunk", "ascending")])  # HEAD_BYTES at most
+    least, least_quick = _least_uses(table, HEAD_BYTES, QUICK)
     others = table.where(F.col("n_uses") < least)
-    known = sc.broadcast((Head(top.column(0).to_pylist(), top.column(1).to_pylist()), _bitmap(others) if least > 2 else None))
+    known = sc.broadcast((_head(table, least, least_quick), _bitmap(others) if least > 2 else None))
 
     def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value, *known.value)
