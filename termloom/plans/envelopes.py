@@ -19,10 +19,11 @@ from termloom.operators import leases
 from termloom.operators import market as M
 from termloom.plans import base
 from termloom.plans.base import AS_OF, query, stamp, table
-from termloom.session import shared_folder, written
+from termloom.session import shared_folder
 from termloom.sources import envelopes as E
 from termloom.sources import ledger as L
 from termloom.sources import sinks
+from termloom.sources.merge_table import MergeTable
 
 
 def _text(x: str) -> str:
@@ -152,14 +153,23 @@ def _vaults(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Buckets of the keyed sinks here; a table of many keys takes more.
+_BUCKETS = 8
+
+
+def _keyed(spark: SparkSession, rows, name: str, keys: list[str]) -> MergeTable:
+    """A keyed sink in which a key's row is what its batches add up to."""
+    return MergeTable(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", rows.schema, keys, {c: "sum" for c in rows.columns if c not in keys}, buckets=_BUCKETS)
+
+
 @query("p5_vault_state_dual", _VAULTS)
 def p5(spark, d):
-    """The same frame into two sinks; what the second one holds is read back."""
-    root = f"{shared_folder(spark)}/dual-{uuid.uuid4().hex}"
-    state = written(_vaults(spark, d), "vault-state")
-    for name in ("market", "graph"):
-        sinks.write_version(state, f"{root}/{name}")
-    return sinks.read_current(spark, f"{root}/graph")
+    """The same frame into two keyed sinks; the second one takes it from the first, and what it holds is read back."""
+    state = _vaults(spark, d)
+    market, graph = (_keyed(spark, state, name, ["term_id", "curve_id"]) for name in ("market", "graph"))
+    market.write(state, 0)
+    graph.write(market.read(), 0)
+    return graph.read()
 
 
 _HOLDERS = "SELECT term_id, CAST(curve AS VARCHAR) AS curve_id, count(*) AS holder_count, CAST(sum(shares) AS BIGINT) AS held FROM held WHERE shares > 0 GROUP BY ALL"
@@ -182,12 +192,14 @@ def p6(spark, d):
 
 @query("p7_vault_holders_dual", _HOLDERS)
 def p7(spark, d):
-    """Into a sink by upsert, a batch twice; what it holds is read back."""
-    root = f"{shared_folder(spark)}/holders-{uuid.uuid4().hex}"
-    batch = written(_holders(spark, d).withColumn("at", F.lit(1)), "holders")
-    for _ in range(2):
-        sinks.upsert(batch, root, ["term_id", "curve_id"], "at")
-    return sinks.read_current(spark, root).drop("at")
+    """Into a keyed sink; the batch comes again after the first was compacted, which changes nothing."""
+    holders = _holders(spark, d)
+    sink = _keyed(spark, holders, "holders", ["term_id", "curve_id"])
+    sink.write(holders, 0)
+    again = sink.read()
+    sink.compact(1)
+    sink.write(again, 0)
+    return sink.read()
 
 
 @query("p10_cap_history", "SELECT term_id, seq, amount * (amount % 500 + 1) AS cap, seq = max(seq) OVER (PARTITION BY term_id) AS latest FROM good WHERE name = 'SharePriceChanged'")
@@ -197,7 +209,7 @@ def p10(spark, d):
     cap = F.expr("(CAST(total_shares AS DECIMAL(18,0)) * CAST(share_price AS DECIMAL(38,0))) div 1000000000000000000").cast("long").alias("cap")
     history = price.select("term_id", "seq", cap)
     last = history.groupBy("term_id").agg(F.max("seq").alias("last"))
-    return history.join(F.broadcast(last), "term_id").select("term_id", "seq", "cap", (F.col("seq") == F.col("last")).alias("latest"))
+    return history.join(last, "term_id").select("term_id", "seq", "cap", (F.col("seq") == F.col("last")).alias("latest"))
 
 
 @query("p11_protocol_totals", """b AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (name = 'AtomCreated') AS atoms, count(*) FILTER (name = 'TripleCreated') AS triples, coalesce(sum(net) FILTER (name = 'Deposited'), 0) AS deposited, coalesce(sum(amount) FILTER (name = 'Redeemed'), 0) AS redeemed, coalesce(sum(fee) FILTER (name = 'ProtocolFeeAccrued'), 0) AS fees FROM good GROUP BY 1)
@@ -286,38 +298,46 @@ def a8(spark, d):
 
 @query("a7_keyed_upsert", "SELECT account, CAST(max(seq) AS BIGINT) AS last_seq, arg_max(amount, seq) AS amount FROM ev GROUP BY account")
 def a7(spark, d):
-    """Three batches, the middle one twice: the last row of each key stays."""
-    root = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
-    ev = L.event_store(spark, d).select("account", F.col("seq").alias("last_seq"), "amount")
-    for part in (0, 1, 1, 2):
-        sinks.upsert(ev.where(F.pmod("last_seq", F.lit(3)) == part), root, ["account"], "last_seq")
-    return sinks.read_current(spark, root)
+    """Three batches, newest first and the middle one twice, with a compaction between: the last row of each key stays."""
+    ev = L.event_store(spark, d)
+    batches = [ev.where(f"ts >= TIMESTAMP_NTZ'{a}' AND ts < TIMESTAMP_NTZ'{b}'").select("account", F.col("seq").alias("last_seq"), "amount") for a, b in (("2024-01-20", "9999-01-01"), ("2024-01-10", "2024-01-20"), ("0001-01-01", "2024-01-10"))]
+    sink = MergeTable(spark, f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}", batches[0].schema, ["account"], {"amount": "latest"}, "last_seq", buckets=_BUCKETS)
+    for number in (0, 1, 1):
+        sink.write(batches[number], number)
+    sink.compact(2)
+    for number in (1, 2):
+        sink.write(batches[number], number)
+    return sink.read()
 
 
 @query("a11_checkpoints", "SELECT name AS projection, sink, CAST(max(seq) AS BIGINT) AS last_seq, CAST(max(seq) * 3 AS BIGINT) AS block FROM good, (VALUES ('market'), ('graph')) s(sink) GROUP BY ALL")
 def a11(spark, d):
     """The last event and block of each projection in each sink; a batch that is applied again moves nothing back."""
-    root = f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}"
     p = _parsed(spark, d).where("kind <> 'Unknown'")
     marks = p.groupBy(F.col("kind").alias("projection")).agg(F.max("seq").alias("last_seq"), F.max("block_number").alias("block"))
     marks = marks.crossJoin(F.broadcast(spark.createDataFrame([("market",), ("graph",)], "sink string"))).select("projection", "sink", "last_seq", "block")
-    sinks.upsert(marks, root, ["projection", "sink"], "last_seq")
-    sinks.upsert(marks.withColumn("last_seq", F.col("last_seq") - 5), root, ["projection", "sink"], "last_seq")
-    return sinks.read_current(spark, root)
+    sink = MergeTable(spark, f"{shared_folder(spark)}/marks-{uuid.uuid4().hex}", marks.schema, ["projection", "sink"], {"last_seq": "max", "block": "max"}, buckets=_BUCKETS)
+    sink.write(marks, 0)
+    sink.write(sink.read().withColumns({"last_seq": F.col("last_seq") - 5, "block": F.col("block") - 15}), 1)
+    return sink.read()
 
 
 @query("m10_account_pnl_state", "SELECT account, CAST(sum(assets_in) AS BIGINT) AS deposited, CAST(sum(assets_out) AS BIGINT) AS withdrawn, CAST(sum(assets_out) - sum(assets_in) AS BIGINT) AS net, CAST(max(seq) AS BIGINT) AS last_seq, 2 AS snapshots FROM chg GROUP BY account")
 def m10(spark, d):
-    """State by upsert and snapshots by append, each batch twice: the state is the last, a snapshot is kept once."""
+    """Sums of what two batches bring, each batch twice, and a snapshot after each: the state is the sum, a snapshot is kept once."""
     root = f"{shared_folder(spark)}/pnl-{uuid.uuid4().hex}"
-    state = L.position_changes(L.event_store(spark, d)).groupBy("account").agg(
-        F.sum("assets_in").alias("deposited"), F.sum("assets_out").alias("withdrawn"), (F.sum("assets_out") - F.sum("assets_in")).alias("net"), F.max("seq").alias("last_seq"))
-    state = written(state, "pnl-state")
-    for at in (1, 1, 2, 2):
-        sinks.upsert(state.withColumn("at", F.lit(at)), f"{root}/state", ["account"], "at")
-        sinks.append(state.select("account", "net", F.lit(at).alias("at")), f"{root}/snapshots", ["account", "at"])
-    taken = sinks.read_current(spark, f"{root}/snapshots").groupBy("account").agg(F.count(F.lit(1)).cast("int").alias("snapshots"))
-    return sinks.read_current(spark, f"{root}/state").drop("at").join(taken, "account")
+    changes = L.position_changes(L.event_store(spark, d))
+    sums = lambda rows: rows.groupBy("account").agg(F.sum("assets_in").alias("deposited"), F.sum("assets_out").alias("withdrawn"), F.max("seq").alias("last_seq"))
+    halves = [sums(changes.where(f"ts {side} TIMESTAMP_NTZ'2024-01-16'")) for side in ("<", ">=")]
+    state = MergeTable(spark, f"{root}/state", halves[0].schema, ["account"], {"deposited": "sum", "withdrawn": "sum", "last_seq": "max"}, buckets=_BUCKETS)
+    taken = None
+    for number in (0, 0, 1, 1):
+        state.write(halves[number], number)
+        snapshot = state.read().select("account", F.lit(number).alias("at"), (F.col("withdrawn") - F.col("deposited")).alias("net"))
+        taken = taken or MergeTable(spark, f"{root}/snapshots", snapshot.schema, ["account", "at"], {"net": "max"}, buckets=_BUCKETS)
+        taken.write(snapshot, number)
+    last = taken.read().groupBy("account").agg(F.max_by("net", "at").alias("net"), (F.max("at") + 1).cast("int").alias("snapshots"))
+    return state.read().join(last, "account").select("account", "deposited", "withdrawn", "net", "last_seq", "snapshots")
 
 
 @query("f_json_merge", """SELECT page_id, '1' AS a, CASE WHEN page_id % 2 = 0 THEN 'new' ELSE 'old' END AS b, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) END AS c FROM pages""")
