@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from termloom.plans.base import query
+from termloom.plans import market  # noqa: F401  (its twins are registered first)
+from termloom.plans.base import ORACLE_SQL, query
+from termloom.sources.ledger import position_changes
 from termloom.streaming import jobs as S
+from termloom.streaming import positions as P
 
 
 @query("s3_tumbling_windows", "w AS (SELECT max(ts) AS top FROM dep) SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket, term, curve, count(*) AS n, CAST(sum(assets) AS BIGINT) AS volume FROM dep, w WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= w.top - INTERVAL 3 HOUR GROUP BY ALL")
@@ -64,6 +67,24 @@ def s5(spark, d):
     return S.merged(spark, f"{folder}/sums", keys, measures)
 
 
+@query("s5_position_state")
+def s5_positions(spark, d):
+    """Order-dependent state: cost basis and realised profit over three arrivals with restarts, some changes out of order, into a keyed table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.STORE)
+    folder = f"{S.shared_folder(spark)}/positions-{uuid.uuid4().hex}"
+    table = P.positions_table(spark.range(0), f"{folder}/table", buckets=8)
+
+    def consume(root: str) -> None:
+        changes = position_changes(S.event_stream(spark, root, 10_000))
+        S.run_to_end(P.standings(changes, "25 days"), P.into(table), "update", folder)
+
+    _arriving(spark, d, consume)
+    return table.read().select("account", "term", "curve", "shares", "deposited", F.round("cost_basis", 6).alias("cost_basis"), F.round("realized_pnl", 4).alias("realized_pnl"), "closed")
+
+
+ORACLE_SQL["s5_position_state"] = ORACLE_SQL["p8_position_tracking"]
+
+
 @query("s6_dedupe_stream", "SELECT event_type, count(*) AS n FROM ev GROUP BY event_type")
 def s6(spark, d):
     out = S.run_to_end(S.first_seen_events(S.event_stream(spark, d)))
