@@ -30,6 +30,8 @@ from termloom.llm.unicode_classes import Classes, library_classes
 
 #: Characters that str.split() takes for white space but Unicode's White_Space does not.
 NOT_WHITE = re.compile("[\x1c-\x1f]")
+#: Longer stretches and words aren't remembered, so that what a task holds is bounded.
+REMEMBERED_LENGTH = 64
 #: Marks that are a word of their own after a word.
 STOPS = frozenset(",.!?;:")
 
@@ -107,13 +109,15 @@ class WordBpe:
         self.most_chunks, self.most_pieces, self.chunks, self.pieces = most_chunks, most_pieces, {}, {}
 
     def piece_ids(self, piece: str) -> str:
-        """The ids of one pre-token, joined by spaces; remembered up to a bound."""
+        """The ids of one pre-token, joined by spaces; short ones are remembered, up to a bound."""
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
             symbols = self.symbols
-            found = self.pieces[piece] = " ".join(map(str, self.table.word_ids([symbols[b] for b in piece.encode()])))
+            found = " ".join(map(str, self.table.word_ids([symbols[b] for b in piece.encode()])))
+            if len(piece) <= REMEMBERED_LENGTH:
+                if len(self.pieces) >= self.most_pieces:
+                    self.pieces.clear()
+                self.pieces[piece] = found
         return found
 
     def chunk_ids(self, chunk: str) -> str:
@@ -128,7 +132,7 @@ class WordBpe:
             found = f"{self.piece_ids(low[:-1])} {self.piece_ids(low[-1])}"
         else:
             found = " ".join(x for x in map(self.piece_ids, (self.ascii_words if low.isascii() else self.words).findall(low)) if x)
-        if len(chunk) <= 64:
+        if len(chunk) <= REMEMBERED_LENGTH:
             if len(self.chunks) >= self.most_chunks:
                 self.chunks.clear()
             self.chunks[chunk] = found

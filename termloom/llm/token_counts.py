@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, text_of
+from termloom.llm.common import materialize, salted_join, text_of
 from termloom.llm.unicode_classes import Classes, library_classes
 
 #: How the byte-level tokenizer cuts a text (a public pattern; fixed value).
@@ -32,6 +32,8 @@ ODD_SPACE = r" (?=\s|\Z)"
 HEAD_ENTRIES, HEAD_BYTES = 250_000, 32
 #: Stretches whose sums a task remembers, and distinct stretches it holds before it hands them to the shuffle.
 REMEMBERED, MOST_HELD = 250_000, 400_000
+#: Longer stretches are cut at once and longer pre-tokens go straight to the shuffle, so that what a task holds is bounded in bytes too.
+LONG = 256
 
 
 class PreTokens:
@@ -44,7 +46,7 @@ class PreTokens:
 
     def stretches(self, text: str) -> tuple[list[str], list[str], int]:
         """Stretches that follow a space, pre-tokens of the rest, and the number of special strings (a token each)."""
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+        parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
         spaced: list[str] = []
         loose: list[str] = []
         special = 0
@@ -118,18 +120,25 @@ def pre_token_dictionary(docs: DataFrame, tokenizer_path: str, text_col: str = "
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, units, seen = PreTokens(_special(model.value), classes.value), Counter(), Counter()
+        table = lambda found: pa.RecordBatch.from_pydict({"token": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
         def give() -> pa.RecordBatch:
             for stretch, n in units.items():
                 for t in cutter.tokens(stretch):
                     seen[t] += n
-            out = pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            out = table(seen)
             units.clear(), seen.clear()
             return out
 
         for batch in batches:
             for t in batch.column(0):
                 spaced, loose, _ = cutter.stretches(t.as_py())
+                if spaced and len(max(spaced, key=len)) > LONG:
+                    loose += [x for s in spaced if len(s) > LONG for x in cutter.tokens(s)]
+                    spaced = [s for s in spaced if len(s) <= LONG]
+                if loose and len(max(loose, key=len)) > LONG:
+                    yield table(Counter(x for x in loose if len(x) > LONG))
+                    loose = [x for x in loose if len(x) <= LONG]
                 units.update(spaced)
                 seen.update(loose)
                 if len(units) + len(seen) > MOST_HELD:
@@ -202,6 +211,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", i
     rows = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, head_tokens long, tokens array<string>, counts array<int>")
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "token-frequencies")
     tail = rows.select("row_id", F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select("row_id", F.col("x.tokens").alias("token"), F.col("x.counts").alias("n"))
-    sums = tail.join(dictionary.select("token", "n_pieces"), "token").groupBy("row_id").agg(F.sum(F.col("n") * F.col("n_pieces")).alias("tail_tokens"))
+    sums = salted_join(tail, dictionary, ["token"], "n_uses", F.col("row_id")).groupBy("row_id").agg(F.sum(F.col("n") * F.col("n_pieces")).alias("tail_tokens"))
     total = (F.col("head_tokens") + F.coalesce(F.col("tail_tokens"), F.lit(0))).cast("long")
     return rows.select("row_id", "doc_id", "n_bytes", "head_tokens").join(sums, "row_id", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -54,7 +54,7 @@ _TABLE = str.maketrans(HOMOGLYPHS)
 _MIXED = regex.compile(r"[a-z0-9@$!|]*(?:[a-z][0-9@$!|]+[a-z]|(?<![a-z0-9@$!|])[0-9@$]+[a-z]{2})[a-z0-9@$!|]*")
 _SPELLED = regex.compile(r"(?<![a-z])(?:[a-z][.\-_*]){3,}[a-z](?![a-z])")
 _RUNS = regex.compile(r"([a-z])\1{2,}")
-_SIGNS = str.maketrans(SUBSTITUTES)
+_SIGNS, _SIGN = str.maketrans(SUBSTITUTES), regex.compile("[" + "".join(map(regex.escape, SUBSTITUTES)) + "]")
 _MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
 
 
@@ -63,7 +63,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_TABLE)
-    if any(c in text for c in "0134578@$"):
+    if _SIGN.search(text):
         text = _MIXED.sub(lambda m: m[0].rstrip("!|").translate(_SIGNS) + m[0][len(m[0].rstrip("!|")) :], text)
     text = _SPELLED.sub(lambda m: m[0][::2], text)
     return _RUNS.sub(r"\1", text).replace("l", "i")
@@ -272,13 +272,13 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that score at or above threshold; all columns stay."""
+    """docs without the rows that score at or above threshold; all columns stay. Null and empty texts, which say nothing, stay whatever a text without words scores."""
     known = docs.sparkSession.sparkContext.broadcast(lexicon)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value.matcher()
         for b in batches:
-            yield b.filter(pa.array([m.score(t.as_py() or "")[0] < threshold for t in b.column(place)], pa.bool_()))
+            yield b.filter(pa.array([not (text := t.as_py()) or m.score(text)[0] < threshold for t in b.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -126,6 +126,7 @@ class Stream:
     stamps: list[int | None] = field(default_factory=list)
     decode_stamps: list[int | None] = field(default_factory=list)
     random_access: list[int] = field(default_factory=list)
+    payloads: dict[int, bytes] = field(default_factory=dict)
     truncated_units: int = 0
 
     def feature(self) -> str:
@@ -133,21 +134,25 @@ class Stream:
         return f"packets={self.packets};pids={self.pids};programmes={len(self.programmes)};streams={len(self.stream_types)};units={len(self.stamps)};pts={first}-{last};random_access={len(self.random_access)};continuity_errors={self.continuity_errors};crc_errors={self.crc_errors};truncated={self.truncated_units}"
 
 
+#: Stream ids whose packets have no optional header (program map, padding, private 2, ECM, EMM, DSM-CC, H.222.1 type E, directory); padding has no payload either.
+BARE_STREAMS, PADDING_STREAM = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+
+
 def _ticks(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
 
 
 def _sections(chunks: list[tuple[bool, bytes]]) -> Iterator[bytes]:
-    """Whole sections from the payloads of one table PID (a start packet has a pointer field)."""
-    held = b""
+    """Whole sections from the payloads of one table PID: the pointer field of a start packet says where a section begins, and what stands before that ends the one in hand."""
+    held, begun = b"", False
     for starts, data in chunks:
-        if starts:
-            held = data[1 + data[0] :] if data else b""
-        else:
-            held += data
-        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (n := 3 + ((held[1] & 15) << 8 | held[2])):
-            yield held[:n]
-            held = held[n:]
+        pieces = [(False, data[1 : 1 + data[0]]), (True, data[1 + data[0] :])] if starts and data else [(False, data)]
+        for anew, piece in pieces:
+            begun = begun or anew
+            held = piece if anew else held + piece if begun else b""
+            while len(held) >= 3 and held[0] != 0xFF and len(held) >= (n := 3 + ((held[1] & 15) << 8 | held[2])):
+                yield held[:n]
+                held = held[n:]
 
 
 def read_stream(media: bytes) -> Stream:
@@ -195,25 +200,30 @@ def read_stream(media: bytes) -> Stream:
         out.continuity_errors += int(((step != 1) & (step != 0) & ~announced).sum())
         if one in out.stream_types:
             repeats = np.concatenate([[False], (step == 0) & ~announced])  # a packet may be sent twice
-            _reassemble(out, p, at[~repeats], offset, starts, flags)
+            out.payloads[int(one)] = _reassemble(out, p, at[~repeats], offset, starts, flags)
+    out.payload = b"".join(out.payloads.values())
     return out
 
 
-def _reassemble(out: Stream, p: np.ndarray, at: np.ndarray, offset: np.ndarray, starts: np.ndarray, flags: np.ndarray) -> None:
-    """Append the PES packets of one elementary stream to out."""
+def _reassemble(out: Stream, p: np.ndarray, at: np.ndarray, offset: np.ndarray, starts: np.ndarray, flags: np.ndarray) -> bytes:
+    """The payload of one elementary stream; its stamps and random-access points are appended to out."""
     rows, places = p[at], np.arange(PACKET)
     data = rows[places >= offset[at][:, None]].tobytes()
     ends = np.cumsum(PACKET - offset[at])
     first = np.flatnonzero(starts[at])
     begins = (ends[first] - (PACKET - offset[at][first])).tolist()
     entries = (flags[at][first] & 0x40 > 0).tolist()
-    parts = [out.payload]
+    parts = []
     for begin, end, entry in zip(begins, [*begins[1:], len(data)], entries, strict=True):
         head = data[begin : begin + 19]
         if len(head) < 9 or head[:3] != b"\0\0\1":
             out.truncated_units += 1
             continue
+        if head[3] == PADDING_STREAM:
+            continue
         declared, marks, extra = head[4] << 8 | head[5], head[7], head[8]
+        if head[3] in BARE_STREAMS:  # their payload follows the length, with no header that has stamps
+            marks, extra = 0, -3
         if declared and begin + 6 + declared > end:
             out.truncated_units += 1
         if entry:
@@ -222,7 +232,7 @@ def _reassemble(out: Stream, p: np.ndarray, at: np.ndarray, offset: np.ndarray,
         out.stamps.append(stamp)
         out.decode_stamps.append(_ticks(head[14:19]) if marks & 0xC0 == 0xC0 else stamp)
         parts.append(data[begin + 9 + extra : min(end, begin + 6 + declared) if declared else end])
-    out.payload = b"".join(parts)
+    return b"".join(parts)
 
 
 def padded(text: str, multiple: int = 192) -> bytes:
@@ -262,7 +272,7 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def digest_media(media: DataFrame) -> DataFrame:
-    """From store_texts(): digests of the stored form and of what is read back from it."""
+    """From store_texts(): digests of the stored form and of what is read back from it, with its timestamps and random-access points (places in these)."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +283,7 @@ def digest_media(media: DataFrame) -> DataFrame:
                 "doc_id": batch.column(0), "n_bytes": batch.column(1), "payload_bytes": pa.array([len(s.payload) for s in found], pa.int64()),
                 "payload_sha256": pa.array([hashlib.sha256(s.payload).hexdigest() for s in found]), "tail_crc32": pa.array([zlib.crc32(s.payload[-16:]) for s in found], pa.int64()),
                 "media_bytes": pa.array([len(m) for m in stored], pa.int64()), "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in stored]), "feature": pa.array([s.feature() for s in found], pa.string()),
+                "timestamps": pa.array([s.stamps for s in found], pa.list_(pa.int64())), "random_access": pa.array([s.random_access for s in found], pa.list_(pa.int32())),
             })
 
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<bigint>, random_access array<int>")

@@ -498,9 +498,62 @@ def test_damaged_streams():
     assert read_stream(b"").packets == 0 and read_stream(b"\x00" * 1000).packets == 0
 
 
+def table_packets(pid, data, starts):
+    """Packets of a table PID that carry data, with a pointer field in each packet in which a section starts (places in data)."""
+    out, at, counter = [], 0, 0
+    while at < len(data):
+        first = next((s for s in starts if at <= s < at + 183), None)
+        room = 184 if first is None else 183
+        chunk = data[at : at + room]
+        head = bytes([0x47, (0x40 if first is not None else 0) | pid >> 8, pid & 255, 0x10 | counter]) + (b"" if first is None else bytes([first - at]))
+        out.append((head + chunk).ljust(188, b"\xff"))
+        at, counter = at + room, counter + 1 & 15
+    return out
+
+
+def one_stream(pid, stream_id, data):
+    """A PES packet of one packet each: with the optional header, or bare."""
+    body = data if stream_id == 0xBF else bytes([0x80, 0, 0]) + data
+    pes = b"\0\0\1" + bytes([stream_id, len(body) >> 8, len(body) & 255]) + body
+    stuffing = 184 - len(pes)
+    return bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x30, stuffing - 1]) + (b"\0" + b"\xff" * (stuffing - 2)) + pes
+
+
+def test_tables_that_span_packets_and_several_programmes():
+    from termloom.llm import transport_stream as ts
+
+    pat = ts._section(0, 1, b"".join(bytes([0, n, 0xE0 | 0x200 + n >> 8, n]) for n in range(1, 61)))  # 252 bytes: 60 programmes
+    again = ts._section(0, 1, bytes([0, 77, 0xE2, 77]))
+    packets = table_packets(0, pat + again, [0, len(pat)])  # the first section ends in the packet that the second one starts in
+    assert len(packets) == 2
+    for n in (1, 2):
+        packets += table_packets(0x200 + n, ts._section(2, n, bytes([0xE3, n, 0xF0, 0, 6, 0xE3, n, 0xF0, 0])), [0])
+    packets += [one_stream(0x302, 0xBD, b"second"), one_stream(0x301, 0xBF, b"a bare one"), one_stream(0x302, 0xBE, b"padding")]
+    found = ts.read_stream(b"".join(packets))
+    assert len(found.programmes) == 61 and found.programmes[60] == 0x200 + 60 and found.programmes[77] == 0x24D and found.crc_errors == 0
+    assert found.payloads == {0x301: b"a bare one", 0x302: b"second"} and found.payload == b"a bare onesecond"
+    assert found.stamps == [None, None]
+
+
 # --- 8: toxicity ------------------------------------------------------------
 
 
+def test_folding_of_a_word_depends_on_the_word_alone():
+    from termloom.llm.toxicity import fold
+
+    for word in ("id!ot", "idi|ot", "fa99ot", "1d!0t", "idi0t", "m0r0n", "$tup!d"):
+        for around in ("{}", "a {} b", "7 {} @ 5!", "what? {}, 100 | 20"):
+            assert fold(word) in fold(around.format(word)).replace(",", " ").split(" "), (word, around)
+    assert fold("id!ot") == fold("id|ot") == fold("idiot") and fold("fa99ot") == fold("faggot")
+
+
+def test_null_and_empty_texts_are_never_rejected(spark):
+    from termloom.llm.toxicity import Lexicon, reject
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "an idiot"), (4, "fine")], "doc_id long, text string")
+    assert {r.doc_id for r in reject(df, Lexicon({"idiot": 5.0}, bias=3.0)).collect()} == {1, 2}
+
+
 def test_toxicity_folding_and_exceptions():
     from termloom.llm.toxicity import EXCEPTIONS, Lexicon, fold
 
