@@ -41,25 +41,30 @@ def profiles(daily: DataFrame, as_of: str, windows: tuple[int, ...] = (7, 30, 90
 def rfm(profile: DataFrame, as_of: str, least_population: int = 50) -> DataFrame:
     """account and its three quintile scores over the active population (3 each if that is small, null if inactive).
 
-    Quintiles need a total order; ties go by account. Each order is a distributed sort with
-    prefix-summed partition sizes, so no task sees more than its range.
+    Quintiles need a total order; ties go by account. The three orders are one distributed
+    sort by measure, value and account with prefix-summed partition sizes, so no task sees
+    more than its range; a place among all is one among its measure's, which all have as many rows.
     """
     days = F.datediff(F.lit(as_of).cast("date"), F.col("last_day"))
     active = profile.where("is_active").select("account", days.alias("recency"), "frequency", F.log1p(F.col("volume").cast("double")).alias("monetary"))
     population = active.agg(F.count(F.lit(1)).alias("population"))
-    for measure, place in (("recency", "r"), ("frequency", "f"), ("monetary", "m")):
-        active = with_position(active, [measure, "account"], place)
-    score = lambda c: F.when(F.col("population") < least_population, 3).otherwise(tile_of(F.col(c), F.col("population"), 5)).cast("long")
-    scored = active.crossJoin(F.broadcast(population)).select("account", *[score(c).alias(c) for c in ("r", "f", "m")])  # the population is one row
+    measures = ("recency", "frequency", "monetary")
+    rows = active.select("account", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(c).cast("double").alias("value")) for k, c in enumerate(measures)])).alias("x")).select("account", "x.*")
+    placed = with_position(rows, ["measure", "value", "account"]).crossJoin(F.broadcast(population))  # the population is one row
+    place = F.col("position") - F.col("measure") * F.col("population")
+    score = F.when(F.col("population") < least_population, 3).otherwise(tile_of(place, F.col("population"), 5)).cast("long")
+    scored = placed.withColumn("score", score).groupBy("account").agg(*[F.max(F.when(F.col("measure") == k, F.col("score"))).alias(c) for k, c in enumerate(("r", "f", "m"))])
     return profile.select("account").join(scored, "account", "left")
 
 
 def segments(profile: DataFrame, first_seen: DataFrame, as_of: str) -> DataFrame:
     """account, segment: the ladder from whale down to dormant; thresholds are one row."""
-    active = profile.where("is_active").select("account", "volume", "frequency")
-    rows = profile.join(first_seen.select("account", "first_seen"), "account", "left")
-    for cut in (exact_quantiles(active, "volume", "account", {"whale": 0.99}), exact_quantiles(active, "frequency", "account", {"power": 0.9, "median": 0.5})):
-        rows = rows.join(F.broadcast(cut), F.lit(True), "left")  # one row, or none if nobody is active
+    pair = lambda c: F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
+    active = profile.where("is_active").select("account", F.explode(F.array(pair("volume"), pair("frequency"))).alias("x")).select("account", "x.*")
+    cuts = exact_quantiles(active, "value", "account", {"whale": 0.99, "power": 0.9, "median": 0.5}, by="measure")
+    of = lambda measure, c: F.max(F.when(F.col("measure") == measure, F.col(c))).alias(c)
+    cut = cuts.agg(of("volume", "whale"), of("frequency", "power"), of("frequency", "median"))
+    rows = profile.join(first_seen.select("account", "first_seen"), "account", "left").join(F.broadcast(cut), F.lit(True), "left")  # one row
     ladder = (
         F.when(F.col("volume") >= F.greatest("whale", F.lit(1.0)), "whale")
         .when((F.col("frequency") >= F.col("power")) & F.col("ratio").between(0.2, 0.8), "power_user")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termloom.operators.scans import running_sums
+
 POSITION = ("account", "term", "curve")
 VAULT = ("term", "curve")
 SORT_KEYS = ("total_pnl", "realized_pnl", "unrealized_pnl", "pnl_pct", "win_rate", "total_volume")
@@ -42,9 +44,9 @@ MEASURES = {"shares_delta": "cum_shares", "assets_in": "cum_assets_in", "assets_
 
 
 def cumulative(rollup: DataFrame) -> DataFrame:
-    """Running sums per position over its buckets."""
-    running = W.partitionBy(*POSITION).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    return rollup.select("bucket", *POSITION, *[F.sum(c).over(running).alias(n) for c, n in MEASURES.items()])
+    """Running sums per position over its buckets, a month of a position at a time."""
+    summed = running_sums(rollup, list(POSITION), ["bucket"], {n: F.col(c) for c, n in MEASURES.items()}, trunc("month", "bucket"))
+    return summed.select("bucket", *POSITION, *MEASURES.values())
 
 
 def cumulative_refresh(snapshot: DataFrame, rollup: DataFrame) -> DataFrame:
@@ -168,10 +170,11 @@ def fold_positions(changes: DataFrame) -> DataFrame:
 
     The cost basis only moves with deposits, so it is a ratio of two running sums; a
     redemption realizes what it returns less its shares at the basis of that moment (all of
-    it before any deposit).
+    it before any deposit). A day of a position is summed at a time.
     """
-    running = W.partitionBy(*POSITION).orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    acquired = F.sum(F.greatest("shares_delta", F.lit(0))).over(running)
-    basis = F.coalesce(F.sum("assets_in").over(running) / F.nullif(acquired.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return changes.withColumns({"shares_after": F.sum("shares_delta").over(running), "cost_basis": basis}).withColumn(
+    zero = F.lit(0).cast("long")
+    sums = {"shares_after": F.col("shares_delta"), "_came": F.col("assets_in"), "_acquired": F.greatest("shares_delta", zero)}
+    summed = running_sums(changes, list(POSITION), ["ts", "seq"], sums, trunc("day"))
+    basis = F.coalesce(F.col("_came") / F.nullif(F.col("_acquired").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return summed.withColumn("cost_basis", basis).drop("_came", "_acquired").withColumn(
         "realized", F.when(F.col("shares_delta") < 0, F.col("assets_out") + F.col("shares_delta") * F.col("cost_basis")).otherwise(0.0))
