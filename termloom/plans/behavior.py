@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termloom.operators import behavior as B
 from termloom.operators.market import trunc
 from termloom.plans.base import AS_OF, query, stamp, table
+from termloom.session import shared_folder
 from termloom.sources import ledger as L
+from termloom.sources.history import History, Marks
+from termloom.sources.merge_table import MergeTable
 
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -48,6 +55,33 @@ def n3(spark, d):
     return _profile(spark, d).withColumns({"ratio": F.round("ratio", 6), "last_day": stamp("last_day")})
 
 
+#: What came last, after the stored profiles were made.
+_NEWEST = "ts >= TIMESTAMP_NTZ'2024-01-30 12:00:00'"
+
+
+def _refreshed(spark, d, changed) -> tuple[DataFrame, DataFrame, History]:
+    """Profiles by account, the accounts that changed made anew from their own history; these accounts; and the history, in buckets by account.
+
+    The other accounts' profiles, whose other events are in the newest batch too, are brought up with the batch that
+    they came in; which accounts a refresh is asked for is the caller's.
+    """
+    root, ev = f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}", L.event_store(spark, d)
+    history = History(spark, f"{root}/events", ev.schema, ["account"], buckets=16)
+    marks = Marks(spark, f"{root}/dirty", StructType([ev.schema["account"]]))
+    profile = lambda rows: B.profiles(B.daily_activity(rows), AS_OF, windows=(7, 14, 30), active_days=20)
+    history.append(ev.where(f"NOT ({_NEWEST})"), 0)
+    first = profile(history.read()).withColumn("made", F.lit(0))
+    store = MergeTable(spark, f"{root}/profiles", first.schema, ["account"], {c: "latest" for c in first.columns if c not in ("account", "made")}, "made", buckets=16)
+    store.write(first, 0)
+    newest = ev.where(_NEWEST)
+    history.append(newest, 1)
+    marks.mark(newest.select("account"), 1)
+    every = marks.claim("refresh")
+    store.write(profile(history.lookup(every)).withColumn("made", F.lit(1)), 1)
+    marks.done("refresh")
+    return store.read().drop("made"), changed(newest).select("account").distinct(), history
+
+
 _RFM = f"a AS (SELECT account, date_diff('day', last_day, {NOW}) AS rec, frequency, ln(1.0 + CAST(volume AS DOUBLE)) AS mon FROM scope WHERE is_active), s AS (SELECT account, ntile(5) OVER (ORDER BY rec, account) AS r, ntile(5) OVER (ORDER BY frequency, account) AS f, ntile(5) OVER (ORDER BY mon, account) AS m, count(*) OVER () AS n FROM a), z AS (SELECT scope.account, CASE WHEN n < 50 THEN 3 ELSE r END AS r, CASE WHEN n < 50 THEN 3 ELSE f END AS f, CASE WHEN n < 50 THEN 3 ELSE m END AS m FROM scope LEFT JOIN s USING (account))"
 
 
@@ -56,11 +90,11 @@ def n4(spark, d):
     return B.rfm(_profile(spark, d), AS_OF)
 
 
-@query("n5_rfm_for_accounts", f"{_RFM} SELECT z.* FROM z WHERE account IN (SELECT DISTINCT account FROM dep WHERE seq % 20 = 0)")
+@query("n5_rfm_for_accounts", f"{_RFM} SELECT z.* FROM z WHERE account IN (SELECT account FROM dep WHERE ts >= TIMESTAMP '2024-01-30 12:00:00')")
 def n5(spark, d):
-    """Quintiles over everybody, rows of the changed accounts only."""
-    dirty = L.deposits(L.event_store(spark, d)).where("seq % 20 = 0").select("account").distinct()
-    return B.rfm(_profile(spark, d), AS_OF).join(dirty, "account", "left_semi")
+    """Quintiles over everybody, rows of the changed accounts only; of these alone the history is read again."""
+    profiles, dirty, _ = _refreshed(spark, d, L.deposits)
+    return B.rfm(profiles, AS_OF).join(dirty, "account", "left_semi")
 
 
 _SEG = f"t AS (SELECT quantile_cont(volume, 0.99) AS whale, quantile_cont(frequency, 0.9) AS power, quantile_cont(frequency, 0.5) AS median FROM scope WHERE is_active), g AS (SELECT scope.account, scope.frequency, scope.atoms_30d, scope.triples_30d, scope.deposit_volume_30d, scope.redemption_volume_30d, CASE WHEN volume >= greatest(whale, 1) THEN 'whale' WHEN frequency >= power AND ratio BETWEEN 0.2 AND 0.8 THEN 'power_user' WHEN is_active AND first_seen > {NOW} - INTERVAL 14 DAY THEN 'new' WHEN is_active AND frequency >= median THEN 'active' WHEN is_active THEN 'casual' ELSE 'dormant' END AS segment FROM scope JOIN seen USING (account) CROSS JOIN t)"
@@ -71,10 +105,11 @@ def n6(spark, d):
     return B.segments(_profile(spark, d), _seen(spark, d), AS_OF)
 
 
-@query("n7_segments_for_accounts", f"{_SEG} SELECT account, segment FROM g WHERE account IN (SELECT account FROM red WHERE seq % 20 = 0)")
+@query("n7_segments_for_accounts", f"{_SEG} SELECT account, segment FROM g WHERE account IN (SELECT account FROM red WHERE ts >= TIMESTAMP '2024-01-30 12:00:00')")
 def n7(spark, d):
-    dirty = L.redemptions(L.event_store(spark, d)).where("seq % 20 = 0").select("account").distinct()
-    return n6(spark, d).join(dirty, "account", "left_semi")
+    profiles, dirty, history = _refreshed(spark, d, L.redemptions)
+    seen = history.lookup(dirty).where("event_type <> 'click'").groupBy("account").agg(F.min("ts").alias("first_seen"))
+    return B.segments(profiles, seen, AS_OF).join(dirty, "account", "left_semi")
 
 
 _SCORE = f"round(ln(1.0 + interactions) * ln(1.0 + CAST(capital AS DOUBLE)) * CASE WHEN last_at > {NOW} - INTERVAL {{0}} DAY THEN 1.0 ELSE 0.5 END, 6)"

@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termloom.operators import market as M
+from termloom.operators.ranking import with_position
 from termloom.plans.base import AS_OF, query, stamp, table
 from termloom.session import shared_folder
 from termloom.sources import ledger as L
 from termloom.sources import sinks
+from termloom.sources.history import Marks
+from termloom.sources.merge_table import MergeTable
 
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 START, END = "2024-01-10 00:00:00", "2024-01-24 12:00:00"
@@ -25,11 +29,12 @@ def _ev(spark: SparkSession, d: str) -> DataFrame:
 # --- A: sources and sinks ---------------------------------------------------
 
 
-@query("a3_bulk_insert_dedupe", "SELECT count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM (SELECT DISTINCT seq, account, event_type FROM (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE seq % 3 = 0))")
+@query("a3_bulk_insert_dedupe", "SELECT seq, account, event_type, row_number() OVER (ORDER BY ts, seq) AS number FROM ev")
 def a3(spark, d):
+    """Two deliveries, the second half of the events in both: each event once, numbered without gaps in the order of time."""
     ev = _ev(spark, d)
-    twice = ev.unionByName(ev.where("seq % 3 = 0"))
-    return twice.dropDuplicates(["seq", "account", "event_type"]).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+    twice = ev.unionByName(ev.where("ts >= TIMESTAMP_NTZ'2024-01-15'")).select("ts", "seq", "account", "event_type")
+    return with_position(twice.dropDuplicates(["seq", "account", "event_type"]), ["ts", "seq"], "number").select("seq", "account", "event_type", "number")
 
 
 @query("a4_sequence_lookup", "SELECT CAST(u.pos AS BIGINT) AS pos, ev.seq, ev.account FROM (SELECT unnest([977, 5, 400, 123, 5]) AS seq, generate_subscripts([977, 5, 400, 123, 5], 1) - 1 AS pos) u JOIN ev ON ev.seq = u.seq")
@@ -102,14 +107,29 @@ def p12(spark, d):
     ).withColumn("last_activity", stamp("last_activity"))
 
 
+def _summed(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(*M.POSITION).agg(F.sum("shares_delta").alias("shares"), F.sum("assets_in").alias("assets_in"), F.sum("assets_out").alias("assets_out"))
+
+
+def _positions(spark: SparkSession, root: str, changes: DataFrame, by: list[str]) -> MergeTable:
+    """Positions as sums of batches, in buckets by some of their keys."""
+    schema = _summed(changes).schema
+    return MergeTable(spark, root, schema, list(M.POSITION), {c: "sum" for c in schema.names if c not in M.POSITION}, buckets=16, bucket_by=by)
+
+
 @query("p20_leaderboard_refresh", "dirty AS (SELECT DISTINCT term, curve FROM red WHERE ts >= TIMESTAMP '2024-01-25'), h AS (SELECT DISTINCT p.account FROM pos p JOIN dirty USING (term, curve) WHERE p.shares > 0) SELECT pos.account, CAST(sum(shares) AS BIGINT) AS shares, CAST(sum(assets_in - assets_out) AS BIGINT) AS net_in FROM pos JOIN h USING (account) GROUP BY pos.account")
 def p20(spark, d):
-    """Dirty vaults, expanded to their holders (M11), then one set-based recomputation."""
-    ev = _ev(spark, d)
-    pos = L.position_changes(ev).groupBy(*M.POSITION).agg(F.sum("shares_delta").alias("shares"), F.sum("assets_in").alias("a"), F.sum("assets_out").alias("b"))
-    dirty = L.redemptions(ev).where("ts >= TIMESTAMP_NTZ'2024-01-25'").select("term", "curve").distinct()
-    holders = pos.where("shares > 0").join(dirty, ["term", "curve"], "left_semi").select("account").distinct()
-    return pos.join(holders, "account", "left_semi").groupBy("account").agg(F.sum("shares").alias("shares"), F.sum(F.col("a") - F.col("b")).alias("net_in"))
+    """Dirty vaults of the newest batch, expanded to their holders (M11); of the positions, kept by vault and by account, only their buckets are read."""
+    root, changes = f"{shared_folder(spark)}/board-{uuid.uuid4().hex}", L.position_changes(_ev(spark, d))
+    by_vault, by_account = (_positions(spark, f"{root}/{name}", changes, by) for name, by in (("vaults", ["term", "curve"]), ("accounts", ["account"])))
+    marks = Marks(spark, f"{root}/dirty", StructType.fromDDL("term long, curve long"))
+    for number, batch in enumerate((changes.where("ts < TIMESTAMP_NTZ'2024-01-25'"), changes.where("ts >= TIMESTAMP_NTZ'2024-01-25'"))):
+        for kept in (by_vault, by_account):
+            kept.write(_summed(batch), number)
+    marks.mark(batch.where("shares_delta <= 0 AND assets_in = 0").select("term", "curve"), 1)
+    dirty = marks.claim("refresh")
+    holders = by_vault.lookup(dirty).where("shares > 0").select("account").distinct()
+    return by_account.lookup(holders).groupBy("account").agg(F.sum("shares").alias("shares"), F.sum(F.col("assets_in") - F.col("assets_out")).alias("net_in"))
 
 
 # --- M: market --------------------------------------------------------------
@@ -194,9 +214,10 @@ def m7(spark, d):
     return sinks.read_current(spark, root)
 
 
-@query("m8_leaderboard_current", "v AS (SELECT seq % 3 AS version, account, assets FROM dep), a AS (SELECT max(version) AS version FROM v) SELECT v.account, CAST(sum(v.assets) AS BIGINT) AS assets FROM v JOIN a USING (version) GROUP BY v.account")
+@query("m8_leaderboard_current", "v AS (SELECT date_trunc('week', ts) AS version, account, assets FROM dep), a AS (SELECT max(version) AS version FROM v) SELECT v.account, CAST(sum(v.assets) AS BIGINT) AS assets FROM v JOIN a USING (version) GROUP BY v.account")
 def m8(spark, d):
-    rows = L.deposits(_ev(spark, d)).select((F.col("seq") % 3).alias("version"), "account", "assets")
+    """A board is written anew each week, under its week as version; readers take the newest."""
+    rows = L.deposits(_ev(spark, d)).select(M.trunc("week").alias("version"), "account", "assets")
     return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").groupBy("account").agg(F.sum("assets").alias("assets"))  # the active version is one row
 
 

@@ -24,15 +24,16 @@ BUCKET = "_bucket"
 
 
 class MergeTable:
-    """merge tells for each column that isn't a key how rows of one key become one: sum, min, max, or latest (by the column order, which is kept as its maximum)."""
+    """Buckets go by the keys, or by some of them. merge tells for each column that isn't a key how rows of one key become one: sum, min, max, or latest (by the column order, which is kept as its maximum)."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str], merge: dict[str, str], order: str | None = None, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str], merge: dict[str, str], order: str | None = None, buckets: int = 64, bucket_by: list[str] | None = None) -> None:
         if set(schema.names) != {*keys, *merge, *([order] if order else [])} or ("latest" in merge.values() and not order):
             raise ValueError("every column is a key, merged, or the order")
         self.spark, self.root, self.schema, self.keys, self.merge, self.order, self.buckets = spark, root, schema, keys, merge, order, buckets
+        self.bucket_by = bucket_by or keys
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
 
     def _merged(self, rows: DataFrame, *also: str) -> DataFrame:
         """A row for each key."""
@@ -93,9 +94,10 @@ class MergeTable:
         return self._merged(self._rows(self.live()))
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """The rows of some keys; only their buckets are read. There are no more bucket numbers than buckets."""
+        """The rows of some keys, or values of the columns that buckets go by; only their buckets are read. There are no more bucket numbers than buckets."""
+        on = [k for k in self.keys if k in keys.columns]
         found = {r[0] for r in keys.select(self.bucket().alias(BUCKET)).distinct().collect()}
-        return self._merged(self._rows(self.live(found)).join(keys.select(*self.keys).distinct(), self.keys, "left_semi"))
+        return self._merged(self._rows(self.live(found)).join(keys.select(*on).distinct(), on, "left_semi"))
 
     def compact(self, least_deltas: int = 8) -> list[int]:
         """Make one base of each bucket with so many deltas or more; returns these buckets."""
