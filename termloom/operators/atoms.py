@@ -71,12 +71,23 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
-def meta_content(html: Column, key: str) -> Column:
-    """The content of the first meta tag whose property or name is key, attributes in either order; null if there is none."""
-    k = key.replace(".", r"\.")
-    a = F.regexp_extract(html, rf"(?i)<meta\s+[^>]*(?:property|name)\s*=\s*[\"']{k}[\"'][^>]*content\s*=\s*[\"']([^\"']*)[\"']", 1)
-    b = F.regexp_extract(html, rf"(?i)<meta\s+[^>]*content\s*=\s*[\"']([^\"']*)[\"'][^>]*(?:property|name)\s*=\s*[\"']{k}[\"']", 1)
-    return F.nullif(F.coalesce(F.nullif(a, F.lit("")), b), F.lit(""))
+def meta_tags(html: Column) -> Column:
+    """The meta tags of a page that have a key (property, else name, in lower case) and content, in their order: array of struct(key, content). Values stand in either kind of quotes and may hold the other."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
+    pair = r"([:\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+
+    def read(tag: Column) -> Column:
+        names, double, single = (F.regexp_extract_all(tag, F.lit(pair), F.lit(k)) for k in (1, 2, 3))
+        attributes = F.arrays_zip(F.transform(names, F.lower).alias("name"), double.alias("a"), single.alias("b"))
+        last = lambda all_of, name: F.try_element_at(F.transform(F.filter(all_of, lambda x: x["name"] == name), lambda x: F.concat(F.coalesce(x["a"], F.lit("")), F.coalesce(x["b"], F.lit("")))), F.lit(-1))
+        return let(attributes, lambda t: F.struct(F.lower(F.coalesce(last(t, "property"), last(t, "name"))).alias("key"), last(t, "content").alias("content")))
+
+    return F.filter(F.transform(tags, read), lambda t: (t["key"] != "") & (t["content"] != ""))
+
+
+def meta_content(tags: Column, key: str) -> Column:
+    """The content of the last of meta_tags() with a key; null if there is none."""
+    return F.try_element_at(F.filter(tags, lambda t: t["key"] == key), F.lit(-1))["content"]
 
 
 def title_tag(html: Column) -> Column:
@@ -84,13 +95,16 @@ def title_tag(html: Column) -> Column:
 
 
 def open_graph(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """df with title, description, image, og_url, site_name, type, locale and audio of a page."""
-    h = F.col(html)
-    audio = F.coalesce(*[meta_content(h, k) for k in ("og:audio:secure_url", "og:audio:url", "og:audio", "twitter:player:stream", "music:preview_url:url", "music:preview_url")])
-    return df.withColumns({
-        "title": F.coalesce(meta_content(h, "og:title"), title_tag(h)), "description": meta_content(h, "og:description"), "image": meta_content(h, "og:image"), "og_url": F.coalesce(meta_content(h, "og:url"), F.col(url)),
-        "site_name": meta_content(h, "og:site_name"), "type": meta_content(h, "og:type"), "locale": meta_content(h, "og:locale"), "audio": audio,
-    })
+    """df with title, description, image, og_url, site_name, type, locale, audio and audio_type of a page; of several tags of a key the last counts."""
+    tags = F.col("_tags")
+    first = lambda *keys: F.coalesce(*[meta_content(tags, k) for k in keys])
+    found = {
+        "title": F.coalesce(meta_content(tags, "og:title"), title_tag(F.col(html))), "description": meta_content(tags, "og:description"), "image": meta_content(tags, "og:image"), "og_url": F.coalesce(meta_content(tags, "og:url"), F.col(url)),
+        "site_name": meta_content(tags, "og:site_name"), "type": meta_content(tags, "og:type"), "locale": meta_content(tags, "og:locale"),
+        "audio": first("og:audio:secure_url", "og:audio:url", "og:audio", "twitter:player:stream", "music:preview_url:url", "music:preview_url"),
+        "audio_type": first("og:audio:type", "twitter:player:stream:content_type", "music:preview_url:type"),
+    }
+    return df.withColumn("_tags", meta_tags(F.col(html))).withColumns(found).drop("_tags")
 
 
 def fnv1a32(c: Column) -> Column:

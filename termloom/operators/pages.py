@@ -89,19 +89,35 @@ def structured(df: DataFrame, text: str) -> DataFrame:
     })
 
 
-def json_ld_nodes(html: Column, url: Column | None = None) -> Column:
-    """The entity nodes of a page's JSON-LD blocks, as JSON texts: comment guards and escaped ampersands undone, broken blocks left out, lists and @graph unwrapped (three levels deep, those further out first); none for shells of platforms."""
-    raw = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    clean = F.transform(raw, lambda b: F.replace(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"^\s+|\s+$", ""), r"^/\*\s*<!\[CDATA\[\s*\*/", ""), r"/\*\s*\]\]>\s*\*/$", "")), F.lit("&amp;"), F.lit("&")))
-    blocks = F.filter(clean, lambda b: F.try_parse_json(b).isNotNull())
-    none = F.array().cast("array<string>")
-    as_list = lambda x: F.coalesce(F.from_json(x, "array<string>"), none)
+#: What follows a tag's name: its attributes, whose values may hold brackets, and what stands after the tag.
+TAG_REST = r"(?s)^((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(.*)"
+#: Blanks around a block, and the comment guard that may stand at either end of it.
+WHITE = " \t\n\r\f"
+COMMENT_GUARD = r"^/\*\s*<!\[CDATA\[\s*\*/|/\*\s*\]\]>\s*\*/$"
+
+
+def _unwrapped(block: Column) -> Column:
+    """The objects of a JSON text, level by level: a list is its items, a list under @graph joins the next level, and what holds one counts itself only if it has a type. There are no more levels than opening braces."""
+    listed = lambda x: F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))
     graph = lambda x: F.when(F.get_json_object(x, "$['@graph']").startswith("["), F.get_json_object(x, "$['@graph']"))
     objects = lambda items: F.filter(items, lambda x: x.startswith("{"))
-    inner = lambda items: objects(F.flatten(F.transform(items, lambda x: F.coalesce(as_list(graph(x)), none))))
-    kept = lambda items: F.filter(items, lambda x: graph(x).isNull() | F.get_json_object(x, "$['@type']").isNotNull())
-    top = objects(F.flatten(F.transform(blocks, lambda b: F.when(b.startswith("["), as_list(b)).otherwise(F.array(b)))))
-    nodes = let(top, lambda a: let(inner(a), lambda b: let(inner(b), lambda c: F.concat(kept(a), kept(b), kept(c)))))
+    below = lambda level: objects(F.flatten(F.transform(level, lambda x: listed(graph(x)))))
+    own = lambda level: F.filter(level, lambda x: graph(x).isNull() | F.get_json_object(x, "$['@type']").isNotNull())
+    start = F.struct(objects(F.when(block.startswith("["), listed(block)).otherwise(F.array(block))).alias("level"), F.array().cast("array<string>").alias("found")).cast("struct<level:array<string>,found:array<string>>")
+    step = lambda s, _: F.struct(below(s["level"]).alias("level"), F.concat(s["found"], own(s["level"])).alias("found")).cast("struct<level:array<string>,found:array<string>>")
+    levels = F.sequence(F.lit(0), F.regexp_count(block, F.lit(r"\{")))
+    return F.aggregate(levels, start, step, lambda s: s["found"])
+
+
+def json_ld_nodes(html: Column, url: Column | None = None) -> Column:
+    """The entity nodes of a page's JSON-LD blocks, as JSON texts: comment guards and escaped ampersands undone, broken blocks left out, lists and @graph unwrapped, block by block, to any depth, nodes further out first; none for shells of platforms."""
+    none = F.array().cast("array<string>")
+    after = F.filter(F.slice(F.split(html, r"(?i)<script\b"), 2, 1 << 30), lambda s: s.rlike("(?i)</script"))
+    ours = F.filter(after, lambda s: F.regexp_extract(s, TAG_REST, 1).rlike(r"(?i)\btype\s*=\s*[\"']application/ld\+json[\"']"))
+    inside = F.transform(ours, lambda s: F.split(F.regexp_extract(s, TAG_REST, 2), "(?i)</script")[0])
+    texts = F.transform(inside, lambda b: F.replace(F.btrim(F.regexp_replace(F.btrim(b, F.lit(WHITE)), COMMENT_GUARD, ""), F.lit(WHITE)), F.lit("&amp;"), F.lit("&")))
+    blocks = F.filter(texts, lambda b: F.try_parse_json(b).isNotNull())
+    nodes = F.flatten(F.transform(blocks, _unwrapped))
     if url is None:
         return nodes
     shell = let(address(url), lambda u: u.isNull() | bare_host(u).rlike(r"(^|\.)(?:" + "|".join(h.replace(".", r"\.") for h in SHELL_HOSTS) + ")$") | (bare_host(u).rlike(r"(^|\.)google\.com$") & u["path"].startswith("/maps")))

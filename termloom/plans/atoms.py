@@ -280,7 +280,7 @@ def t21(spark, d):
 
 
 @query("t21_page_tags", r"""SELECT page_id, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')), '') AS title, url AS og_url,
- nullif(regexp_extract(html, '(?i)<meta\s+[^>]*(?:property|name)\s*=\s*["'']og:description["''][^>]*content\s*=\s*["'']([^"'']*)["'']', 1), '') AS description FROM pages""")
+ nullif(list_extract(regexp_extract_all(html, '(?i)<meta\s+[^>]*(?:property|name)\s*=\s*["'']og:description["''][^>]*content\s*=\s*["'']([^"'']*)["'']', 1), -1), '') AS description FROM pages""")
 def t21b(spark, d):
     return A.open_graph(table(spark, d, "pages")).select("page_id", "title", "og_url", "description")
 
@@ -307,6 +307,18 @@ def t22(spark, d):
     return _linked(spark, d).select("page_id", F.concat_ws(",", F.transform("nodes", item)).alias("items"), P.primary_type(F.col("nodes")).alias("main_type"), P.primary_image(F.col("nodes")).alias("image"))
 
 
+@query("t22_any_depth", "SELECT page_id, array_to_string(list_transform(range(0, length(html) % 12 + 1), lambda i: 'L' || i), ',') || ',Leaf:' || url || ',After' AS items FROM pages")
+def t22_deep(spark, d):
+    """Two blocks a page; the first nests as deep as the page's length says, each level with a type of its own, and ends in a node named by the address."""
+    pages = table(spark, d, "pages").withColumn("depth", F.length("html") % 12)
+    leaf = F.concat(F.lit('{"@type": "Leaf", "name": '), F.to_json(F.array("url")).substr(F.lit(2), F.length(F.to_json(F.array("url"))) - 2), F.lit("}"))
+    nested = F.aggregate(F.sequence(F.lit(0), F.col("depth")), leaf, lambda inner, i: F.concat(F.lit('{"@type": "L'), (F.col("depth") - i).cast("string"), F.lit('", "@graph": ['), inner, F.lit("]}")))
+    block = lambda x: F.concat(F.lit('<script id="a > b" type="application/ld+json">'), x, F.lit("</script>"))
+    nodes = P.json_ld_nodes(F.concat("html", block(nested), block(F.lit('{"@type": "After"}'))), F.lit("https://shop.example/"))
+    item = lambda n: F.concat_ws(":", F.concat_ws("+", P.node_types(n)), F.get_json_object(n, "$.name"))
+    return pages.select("page_id", F.array_join(F.transform(nodes, item), ",").alias("items"))
+
+
 @query("t22_skipped_hosts", "SELECT page_id, CASE page_id % 4 WHEN 3 THEN 1 ELSE 0 END AS n FROM pages")
 def t22b(spark, d):
     url = F.expr(shaped(["https://open.spotify.com/track/#n#", "https://www.google.com/maps/place/#n#", "no address", "https://google.example/maps"]))

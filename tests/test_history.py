@@ -1,10 +1,10 @@
 """Bucketed history and marks: what is read shrinks with the keys, replays change nothing, claims survive a retry."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from termloom.sources.history import History, Marks
 
-SCHEMA = StructType.fromDDL("k long, n long")
+SCHEMA = StructType([StructField("k", LongType()), StructField("n", LongType())])
 
 
 def frame(spark, rows):
