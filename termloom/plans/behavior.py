@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from termloom.operators import behavior as B
+from termloom.operators.activity_batch import ActivityBatch
 from termloom.operators.market import trunc
 from termloom.plans.base import AS_OF, query, stamp, table
 from termloom.session import shared_folder
@@ -256,3 +258,15 @@ def n24(spark, d):
 @query("n25_funnel_conversion", f"{_S0}, x AS (SELECT d.* FROM dep d JOIN s0 USING (account) WHERE d.ts >= s0.at AND d.ts <= s0.at + INTERVAL 30 DAY), f AS ({_FIRST.format(i=0, src='atom')} UNION ALL {_FIRST.format(i=1, src='x')}) SELECT step, count(DISTINCT account) AS users FROM f GROUP BY step")
 def n25(spark, d):
     return n21(spark, d).groupBy("step").agg(F.countDistinct("account").alias("users"))
+
+
+@query("p22_activity_batch", f"{_SEG}, {_RFM} SELECT z.account, z.r, z.f, z.m, g.segment, scope.frequency, scope.volume FROM z JOIN g ON g.account = z.account JOIN scope ON scope.account = z.account")
+def p22(spark, d):
+    """Three cycles: a first one, one later that day, and one days afterwards that fills the days between; what is stored equals a computation over all events."""
+    ev = L.event_store(spark, d)
+    batch = ActivityBatch(spark, f"{shared_folder(spark)}/activity-{uuid.uuid4().hex}", ev.schema, windows=(7, 14, 30), active_days=20, buckets=8)
+    ends = ("0001-01-01 00:00:00", "2024-01-20 06:00:00", "2024-01-20 18:00:00", AS_OF)
+    for since, until in zip(ends, ends[1:], strict=False):
+        new = ev.where(f"ts >= TIMESTAMP_NTZ'{since}' AND ts < TIMESTAMP_NTZ'{until}'")
+        batch.run(new, datetime.datetime.fromisoformat(until))
+    return batch.scores.read().drop("made").join(batch.profiles().select("account", "frequency", "volume"), "account")
