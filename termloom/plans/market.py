@@ -37,10 +37,11 @@ def a3(spark, d):
     return with_position(twice.dropDuplicates(["seq", "account", "event_type"]), ["ts", "seq"], "number").select("seq", "account", "event_type", "number")
 
 
-@query("a4_sequence_lookup", "SELECT CAST(u.pos AS BIGINT) AS pos, ev.seq, ev.account FROM (SELECT unnest([977, 5, 400, 123, 5]) AS seq, generate_subscripts([977, 5, 400, 123, 5], 1) - 1 AS pos) u JOIN ev ON ev.seq = u.seq")
+@query("a4_sequence_lookup", "SELECT o_orderkey AS pos, ev.seq, ev.account FROM orders JOIN ev ON ev.seq = o_custkey")
 def a4(spark, d):
-    wanted = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in (977, 5, 400, 123, 5)])).alias("pos", "seq"))
-    return F.broadcast(wanted).join(_ev(spark, d), "seq").select(F.col("pos").cast("long"), "seq", "account").orderBy("pos")
+    """A whole batch of lookups by number: the orders' customer keys stand for the numbers asked for, with repeats and some that no event has."""
+    wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("seq"))
+    return wanted.join(_ev(spark, d), "seq").select("pos", "seq", "account")
 
 
 @query("a5_raw_event_scan", "SELECT seq, account, event_type FROM ev WHERE event_type IN ('purchase', 'error') AND seq > 2000 ORDER BY seq LIMIT 500")
@@ -53,9 +54,18 @@ def a13(spark, d):
     return M.price_stats(L.price_ticks(_ev(spark, d)).where("term = 3")).orderBy(F.desc("bucket"), "curve").limit(100).select(stamp("bucket"), "term", "curve", "close_price")
 
 
-@query("a15_artifact_writer", "SELECT DISTINCT sha256(url || '|' || coalesce(html, '')) AS content_hash FROM pages")
+@query("a15_artifact_writer", """SELECT 'artifact:' || sha256(CAST(to_json({'artifactKind': 'webpage', 'artifactVersion': '1', 'nodeId': CAST(page_id AS VARCHAR), 'sourceHash': sha256(coalesce(html, '')), 'sourceUri': url}) AS VARCHAR)) AS id,
+CAST(page_id AS VARCHAR) AS node_id, 'webpage' AS kind, url AS source_uri, sha256(coalesce(html, '')) AS source_hash, 2 AS written FROM pages""")
 def a15(spark, d):
-    return table(spark, d, "pages").select(F.sha2(F.concat_ws("|", "url", F.coalesce("html", F.lit(""))), 256).alias("content_hash")).distinct()
+    """Artifact rows whose id is a hash of what they are made from, in order of the names: the same artifact written by two batches, one of which comes twice, is one row."""
+    text = lambda c: c.cast("string")
+    made = table(spark, d, "pages").select(text(F.col("page_id")).alias("node_id"), F.lit("webpage").alias("kind"), F.col("url").alias("source_uri"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("source_hash"))
+    material = F.to_json(F.struct(F.col("kind").alias("artifactKind"), F.lit("1").alias("artifactVersion"), F.col("node_id").alias("nodeId"), F.col("source_hash").alias("sourceHash"), F.col("source_uri").alias("sourceUri")), {"ignoreNullFields": "false"})
+    rows = made.select(F.concat(F.lit("artifact:"), F.sha2(material, 256)).alias("id"), "*", F.lit(1).alias("written"))
+    sink = MergeTable(spark, f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}", rows.schema, ["id"], {"node_id": "max", "kind": "max", "source_uri": "max", "source_hash": "max", "written": "sum"}, buckets=8)
+    for batch in (0, 0, 1):
+        sink.write(rows, batch)
+    return sink.read()
 
 
 # --- P: projections ---------------------------------------------------------

@@ -93,14 +93,11 @@ def s6(spark, d):
 
 @query("s8_retention", "SELECT count(*) AS kept, strftime(min(ts), '%Y-%m-%d') >= '2024-01-17' AS fresh FROM ev WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY")
 def s8(spark, d):
-    """A new version of the table without what is too old replaces it; the range on the time column prunes files and row groups."""
-    from termloom.operators.behavior import since
-    from termloom.plans.base import AS_OF
+    """A table in partitions of a day: those that are too old go, the others stay as they are."""
     from termloom.sources import sinks
     from termloom.sources.ledger import event_store
 
     root = f"{S.shared_folder(spark)}/retained-{uuid.uuid4().hex}"
-    sinks.write_version(event_store(spark, d).select("seq", "ts"), root, keep=1)
-    sinks.write_version(sinks.read_current(spark, root).where(F.col("ts") >= since(AS_OF, 14)), root, keep=1)
-    kept = sinks.read_current(spark, root)
-    return kept.agg(F.count(F.lit(1)).alias("kept"), (F.date_format(F.min("ts"), "yyyy-MM-dd") >= "2024-01-17").alias("fresh"))
+    event_store(spark, d).select("seq", "ts", F.date_format("ts", "yyyy-MM-dd").alias("_day")).repartition("_day").write.partitionBy("_day").parquet(root)
+    sinks.drop_partitions(spark, root, "_day", "2024-01-17")
+    return spark.read.parquet(root).agg(F.count(F.lit(1)).alias("kept"), (F.date_format(F.min("ts"), "yyyy-MM-dd") >= "2024-01-17").alias("fresh"))

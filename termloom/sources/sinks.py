@@ -28,6 +28,17 @@ def write_version(df: DataFrame, root: str, keep: int = 2) -> int:
     return new
 
 
+def drop_partitions(spark: SparkSession, root: str, column: str, before: str) -> list[str]:
+    """Delete the partitions of the table at root (written by partitionBy of one column) whose value sorts before another; returns their values. Nothing else is read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().getName().partition("=")[2]: s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{column}=")}
+    old = sorted(v for v in found if v < before)
+    for v in old:
+        fs.delete(found[v], True)
+    return old
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The newest complete version of the table at root."""
     have = numbered(spark, root)

@@ -61,3 +61,19 @@ def test_meta_tags(spark):
     assert (got.title, got.description, got.image, got.type, got.locale, got.audio_type, got.site_name, got.og_url) == ('It is "new"', "It's a day > night", None, None, "de", "audio/mpeg", "two", "https://u.example/")
     empty = A.open_graph(spark.createDataFrame([("", "u"), (None, "v")], "html string, url string")).collect()
     assert [r.title for r in empty] == [None, None] and [r.audio for r in empty] == [None, None]
+
+
+def test_published_hash_values(spark):
+    df = spark.createDataFrame([("", "811c9dc5"), ("a", "e40c292c"), ("foobar", "bf9cf968")], "text string, hash string")
+    assert df.where(A.fnv1a32(F.col("text")) != F.col("hash")).count() == 0
+
+
+def test_dropped_partitions(spark, tmp_path):
+    from termloom.sources import sinks
+
+    root = str(tmp_path / "t")
+    spark.range(40).select("id", F.concat(F.lit("2024-01-1"), (F.col("id") % 4).cast("string")).alias("day")).write.partitionBy("day").parquet(root)
+    kept = {p.name for p in (tmp_path / "t" / "day=2024-01-13").iterdir()}
+    assert sinks.drop_partitions(spark, root, "day", "2024-01-12") == ["2024-01-10", "2024-01-11"]
+    assert spark.read.parquet(root).count() == 20 and {p.name for p in (tmp_path / "t" / "day=2024-01-13").iterdir()} == kept
+    assert sinks.drop_partitions(spark, root, "day", "2024-01-12") == []
