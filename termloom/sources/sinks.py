@@ -58,21 +58,3 @@ def quarantine(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
 def discard(df: DataFrame) -> None:
     """Run df in full and keep nothing."""
     df.write.format("noop").mode("overwrite").save()
-
-
-def upsert(df: DataFrame, root: str, keys: list[str], order: str) -> int:
-    """Merge df into the versioned table at root: of the rows that agree in keys the one with the highest order stays, so a batch that comes twice changes nothing; returns the version."""
-    from pyspark.sql import functions as F
-
-    whole = df if not numbered(df.sparkSession, root) else read_current(df.sparkSession, root).unionByName(df)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    merged = whole.groupBy(*keys).agg(F.max_by(row, order).alias("row")).select("row.*")
-    return write_version(merged.select(*df.columns), root)
-
-
-def append(df: DataFrame, root: str, keys: list[str]) -> int:
-    """Add df's rows to the versioned table at root, those whose keys it has already left out; returns the version."""
-    if not numbered(df.sparkSession, root):
-        return write_version(df.dropDuplicates(keys), root)
-    have = read_current(df.sparkSession, root)
-    return write_version(have.unionByName(df.dropDuplicates(keys).join(have.select(*keys), keys, "left_anti").select(*have.columns)), root)
