@@ -16,6 +16,7 @@ from termloom.functions.keccak import checksum_of
 from termloom.operators import atoms as A
 from termloom.operators import decisions as D
 from termloom.operators import pages as P
+from termloom.operators import resolution as R
 from termloom.operators import sites as S
 from termloom.plans.base import query, table
 
@@ -234,16 +235,48 @@ def t16(spark, d):
     return S.with_profile(kinds).select("schema_type", "profile_category", F.concat_ws(",", "recommended").alias("recommended"), F.concat_ws(",", "identity").alias("identity"), "n")
 
 
-@query("t17_rank_and_dedupe", f"""c AS (SELECT page_id, {shaped([s[3] for s in SHAPES])} AS class, CAST({shaped([s[4] for s in SHAPES])} AS DOUBLE) AS confidence, {shaped([s[5] for s in SHAPES])} AS canonical FROM pages)
-SELECT class, canonical, confidence, row_number() OVER (PARTITION BY class ORDER BY confidence DESC, lower(canonical)) AS place FROM (SELECT DISTINCT class, canonical, confidence FROM c WHERE canonical IS NOT NULL AND class IS NOT NULL AND NOT starts_with(canonical, 'ipfs:'))""")
-def t17(spark, d):
-    """Of entities that agree in canonical id, type and title one stays; within a class the surest comes first, then the smaller id."""
-    from pyspark.sql import Window as W
+#: Atoms of hosts, from pages: one resolver knows their titles, another their addresses only; pages of a host with the same title and language are the same atom to the first.
+_ATOMS = r"""p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang, url, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)) AS title, length(html) AS size FROM pages),
+a AS (SELECT host, 0 AS resolver_order, 'titles' AS resolver, (size % 100) / 100.0 AS confidence, CAST(NULL AS VARCHAR) AS canonical, [lang, host] AS same_as, 'WebPage' AS schema_type, title, url FROM p WHERE title <> ''
+  UNION ALL SELECT host, 1, 'addresses', (size % 7) / 7.0, url, [], 'WebPage', '', url FROM p),
+o AS (SELECT *, lower(coalesce(canonical, '')) || '::' || array_to_string(list_sort(list_transform(same_as, lambda x: lower(x))), '|') || '::webpage::' || lower(title) AS signature FROM a),
+f AS (SELECT *, row_number() OVER (PARTITION BY host, signature ORDER BY resolver_order, confidence DESC, lower(coalesce(canonical, '')), title, url) AS k FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY resolver_order, confidence DESC, lower(coalesce(canonical, '')), title, signature) AS place FROM f WHERE k = 1)"""
+
+
+def _atoms(spark: SparkSession, d: str) -> DataFrame:
+    url, size, none = F.col("url"), F.length("html"), F.array().cast("array<string>")
+    host, lang = F.regexp_extract(url, "^[a-z]+://([^/]+)", 1), F.regexp_extract(url, "/(en|fr|de|es)/", 1)
+    title = F.trim(F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)", 1))
+    atom = lambda order, name, sure, canonical, same, text: F.struct(F.lit(order).alias("resolver_order"), F.lit(name).alias("resolver"), sure.alias("confidence"), canonical.alias("canonical"), same.alias("same_as"), F.lit("WebPage").alias("schema_type"), text.alias("title"), url.alias("url"))
+    both = F.array(atom(0, "titles", (size % 100) / 100.0, F.lit(None).cast("string"), F.array(lang, host), title), atom(1, "addresses", (size % 7) / 7.0, url, none, F.lit("")))
+    return table(spark, d, "pages").select(host.alias("host"), F.explode(both).alias("atom")).select("host", "atom.*").where("resolver = 'addresses' OR title <> ''")
 
-    found = _classified(spark, d).where("canonical IS NOT NULL AND class IS NOT NULL AND NOT startswith(canonical, 'ipfs:')")
-    once = found.dropDuplicates(["class", "canonical"])
-    place = F.row_number().over(W.partitionBy("class").orderBy(F.desc("confidence"), F.lower("canonical")))
-    return once.select("class", "canonical", "confidence", place.cast("long").alias("place"))
+
+@query("t17_rank_and_dedupe", f"{_ATOMS} SELECT host, place, resolver, title, canonical, round(confidence, 6) AS confidence FROM r")
+def t17(spark, d):
+    """The atoms of each host, those that are the same once, in order of resolver, confidence and canonical id."""
+    return R.ranked_atoms(_atoms(spark, d), ["host"]).select("host", "place", "resolver", "title", "canonical", F.round("confidence", 6).alias("confidence"))
+
+
+@query("t11_merged_fields", f"""{_ATOMS}, v AS (SELECT host, place, resolver, unnest([{{'field': 'title', 'value': nullif(title, '')}}, {{'field': 'canonical', 'value': nullif(canonical, '')}}]) AS x FROM r)
+SELECT host, x.field AS field, arg_min(x.value, place) AS value, arg_min(resolver, place) AS source FROM v WHERE x.value IS NOT NULL GROUP BY host, x.field""")
+def t11_merged(spark, d):
+    """One entity a host: each field from the first atom that has it, with the resolver that it comes from."""
+    ranked = R.ranked_atoms(_atoms(spark, d), ["host"])
+    return R.merged_fields(ranked, ["host"], {"title": F.col("title"), "canonical": F.col("canonical")}, "resolver")
+
+
+@query("t11_candidates", r"""c AS (SELECT page_id, 'web:secure' AS class, 0.8 AS confidence, 1 AS priority, 0 AS registered FROM pages WHERE starts_with(url, 'https://')
+  UNION ALL SELECT page_id, 'web:blog', 0.8, 0, 1 FROM pages WHERE url LIKE '%://blog.%' UNION ALL SELECT page_id, 'web:mobile', 0.9, 5, 2 FROM pages WHERE url LIKE '%://m.%' UNION ALL SELECT page_id, 'web:page', 0.5, 9, 3 FROM pages)
+SELECT page_id, string_agg(class, ',' ORDER BY confidence DESC, priority, registered) AS classes, first(class ORDER BY confidence DESC, priority, registered) AS winner FROM c GROUP BY page_id""")
+def t11_candidates(spark, d):
+    """Every class that a page's address suggests, the winner first: by confidence, then priority, then registration."""
+    u = F.col("url")
+    rules = ((u.startswith("https://"), "web:secure", 0.8, 1), (u.contains("://blog."), "web:blog", 0.8, 0), (u.contains("://m."), "web:mobile", 0.9, 5), (F.lit(True), "web:page", 0.5, 9))
+    made = F.array(*[F.when(fits, F.struct(F.lit(name).alias("class"), F.lit(sure).alias("confidence"), F.lit(priority).alias("priority"), F.lit(k).alias("registered"))) for k, (fits, name, sure, priority) in enumerate(rules)])
+    found = R.best_first(table(spark, d, "pages").select("page_id", F.explode(F.array_compact(made)).alias("c")).select("page_id", "c.*"), ["page_id"])
+    return found.select("page_id", F.array_join(F.transform("classes", lambda c: c["class"]), ",").alias("classes"), F.col("classes")[0]["class"].alias("winner"))
 
 
 @query("t18_slugs", r"SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
