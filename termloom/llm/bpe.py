@@ -159,11 +159,12 @@ class WordBpe:
         return " ".join(map(self.string_of.__getitem__, ids.split(" "))) if ids else ""
 
 
-def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded"), most_remembered: int = 500_000) -> DataFrame:
     """One row per document: doc_id and the outputs asked for, in that order, of ids (decimal, joined by one space), decoded, n_tokens, ids_sha256 and decoded_sha256.
 
     The model file (under 2 MB) is read by the driver and broadcast. No shuffle; only what
-    is asked for leaves a task.
+    is asked for leaves a task. A task remembers the ids of most_remembered stretches and
+    words at most, which changes its speed and memory only.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((open(model_path, encoding="utf-8").read(), library_classes()))
@@ -171,7 +172,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", id_c
     schema = ", ".join([f"doc_id {docs.schema[id_col].dataType.simpleString()}", *(f"{o} {kinds[o]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordBpe(*model.value)
+        coder = WordBpe(*model.value, most_remembered * 2 // 5, most_remembered * 3 // 5)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             out: dict[str, list] = {o: [] for o in outputs}
