@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests by operator 6."""
-    return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), most_remembered=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
