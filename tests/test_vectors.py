@@ -54,6 +54,18 @@ def test_exact_searches(spark, monkeypatch, block):
         X.search(X.build(e), q, 5, exact=True)
 
 
+def test_blocks_meet_when_partitions_are_not_coalesced(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 60)
+    rows = clustered(600)
+    e, q = frames(spark, rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = places(V.top_k(q, e, 5))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == brute(rows, {i for i, _ in rows if i % 29 == 0 or i >= 9000}, 5)
+
+
 def test_recall_and_half_precision(spark):
     rows = clustered(4000, dims=32, clusters=25, seed=2)
     e, q = frames(spark, rows)
