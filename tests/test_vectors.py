@@ -79,6 +79,21 @@ def test_recall_and_half_precision(spark):
     assert X.recall(X.search(index, q, 10, len(index.centres)), wanted).first().recall >= 0.995  # what half precision costs
 
 
+def test_recall_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 60)
+    e, q = frames(spark, clustered(600))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        truth = V.top_k(q, e, 10)
+        others = e.where("vec_id % 29 = 7").select(F.col("vec_id").alias("query_id"), "embedding")
+        index = X.build(e)
+        found = X.recall(X.search(index, q, 10, X.probes_for(index, others, V.top_k(others, e, 10), 0.99)), truth).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.n == 10 * q.where("query_id < 9000").count()  # all but those without a usable vector
+    assert found.recall >= 0.95
+
+
 def test_an_index_of_nothing(spark):
     e, q = frames(spark, [(9001, None), (9002, [0.0])])
     index = X.build(e, precision="full")
