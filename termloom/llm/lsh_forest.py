@@ -45,6 +45,8 @@ from termloom.llm.rolling import Hashes, mixed
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 18, 8, 0.999
+#: Trees whose nodes every document joins; the others' are joined by what hangs together after them.
+FIRST_TREES = 4
 #: A node with more members than ROOMY is crowded; comparing signatures, a task takes at most NODE_MEMBERS of a node on either side.
 ROOMY, NODE_MEMBERS = 256, 2048
 #: Bytes hashed at a time; members and shingles of a block; shingles that a call with small components should have; bytes up to which lists of documents are broadcast (summed first).
@@ -290,29 +292,41 @@ def _in_parts(rows: DataFrame, group: str) -> DataFrame:
     return met.withColumn("side", F.when(F.col("part") <= F.col("other"), 0).otherwise(1)).withColumn("call", F.concat_ws(".", group, F.least("part", "other"), F.greatest("part", "other")))
 
 
+def _hung(met: DataFrame) -> DataFrame:
+    """(rid, dst, roots): what each rid hangs on, the smallest root of its nodes, and all of their roots; met has a row (rid, root) for each of its nodes."""
+    return met.groupBy("rid").agg(F.min("root").alias("dst"), F.collect_set("root").alias("roots"))
+
+
+def _star(hung: DataFrame) -> DataFrame:
+    """(src, dst): a document hangs on the smallest root of its nodes, and so do their other roots: of the many links of a group a few are left."""
+    return hung.select(F.explode(F.array_union(F.array("rid"), F.col("roots"))).alias("src"), "dst").where("src <> dst")
+
+
 def _parted(reps: DataFrame, threshold: float, target: float, depth: int) -> DataFrame:
     """(rid, component) of the members of large components that stay connected when each document shortens its own prefixes and signatures are compared."""
     levels, roomy = tuple(sorted({max(1, depth - 1), depth, MAX_DEPTH})), ROOMY
     level_at = np.searchsorted(levels, np.arange(MAX_DEPTH + 1))
     nodes = _nodes(reps, levels)
     sizes = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "forest-populations")
-    by_document = nodes.join(sizes, "node").groupBy("rid").agg(F.collect_list(F.struct("place", "members", "node")).alias("nodes"))
+    # the choice tells crowded nodes apart by their members and takes all others alike, and never asks for those of the deepest level: only crowded ones above it go back to their documents
+    crowded = _nodes(reps, levels[:-1]).join(sizes.where(F.col("members") > roomy), "node").groupBy("rid").agg(F.collect_list(F.struct("place", "members")).alias("crowded"))
+    by_document = reps.select("rid", "keys").join(crowded, "rid", "left").select("keys", F.coalesce("crowded", F.array().cast(crowded.schema["crowded"].dataType)).alias("crowded"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The nodes in which a document looks for others."""
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                listed = b.column(0).slice(k, 256)
+                part = b.slice(k, 256)
+                signed, listed = _signed(part.column(0)), part.column(1)
                 row = np.repeat(np.arange(len(listed)), np.asarray(listed.value_lengths()))
-                place, members, node = (np.asarray(x) for x in listed.flatten().flatten())
-                known, named = np.ones((len(listed), TREES, len(levels)), np.int64), np.zeros((len(listed), TREES, len(levels)), np.int64)
-                tree, level = place // MAX_DEPTH, level_at[place % MAX_DEPTH + 1]
-                known[row, tree, level], named[row, tree, level] = members, node
+                place, members = (np.asarray(x) for x in listed.flatten().flatten())
+                known = np.ones((len(listed), TREES, len(levels)), np.int64)
+                known[row, place // MAX_DEPTH, level_at[place % MAX_DEPTH + 1]] = members
+                named = np.stack([nodes_of(signed, d) for d in levels], axis=2)
                 chosen = own_depths(known, threshold, target, levels, roomy)
-                take = np.arange(len(listed))[:, None], np.arange(TREES), chosen
-                yield pa.RecordBatch.from_pydict({"node": pa.array(named[take][known[take] > 1])})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(named[np.arange(len(listed))[:, None], np.arange(TREES), chosen].ravel())})
 
-    chosen = by_document.select("nodes").mapInArrow(choose, "node long").distinct().join(sizes, "node")
+    chosen = by_document.mapInArrow(choose, "node long").distinct().join(sizes, "node")
     parts = F.ceil(F.col("members") / F.lit(NODE_MEMBERS)).cast("int")
     chosen = materialize(chosen.select("node", parts.alias("parts")), "forest-chosen")
     met = _in_parts(nodes.join(chosen, "node").join(reps.select("rid", "keys"), "rid").select("rid", "keys", "node", "parts"), "node")
@@ -334,11 +348,14 @@ def _found(docs: DataFrame, text_col: str, id_col: str, threshold: float, target
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1")
     reps = rows.where("s1 IS NOT NULL").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "forest-reps")
-    nodes = _nodes(reps, (depth,)).select("rid", "node")
+    nodes = _nodes(reps, (depth,))
     roots = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("shared_by"), F.min("rid").alias("root")).where("shared_by > 1"), "forest-nodes")
-    # a document hangs on the smallest root of its nodes, and so do their other roots: of the many links of a group a few are left
-    near = nodes.join(roots.select("node", "root"), "node").groupBy("rid").agg(F.min("root").alias("dst"), F.collect_set("root").alias("roots"))
-    star = near.select(F.explode(F.array_union(F.array("rid"), F.col("roots"))).alias("src"), "dst").where("src <> dst").distinct()
+    # the first trees gather most of a group; in the others a document stands for all that hang on the same root, and only nodes of several roots link anything
+    first = materialize(_hung(nodes.where(F.col("place") < FIRST_TREES * MAX_DEPTH).join(roots.select("node", "root"), "node")), "forest-first")
+    hung = reps.join(first.select("rid", "dst"), "rid", "left").select(F.coalesce("dst", "rid").alias("rid"), "keys")
+    later = _nodes(hung, (depth,)).where(F.col("place") >= FIRST_TREES * MAX_DEPTH).select("rid", "node").distinct()
+    mixed_nodes = later.groupBy("node").agg(F.min("rid").alias("root"), F.max("rid").alias("last")).where("root < last").select("node", "root")
+    star = _star(first).unionByName(_star(_hung(later.join(mixed_nodes, "node")))).distinct()
     candidates = connected_components(star).withColumnRenamed("node", "rid")
     detail = ("rid", "component", "n", "first", "n_shingles", "keys")
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))

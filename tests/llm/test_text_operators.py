@@ -241,6 +241,18 @@ def test_depth_reaches_the_target_recall():
     assert not (nodes_of(a[1:], d) == nodes_of(b[:-1], d)).any()
 
 
+def test_a_group_of_near_copies_is_joined_by_few_trees(spark, monkeypatch):
+    from termloom.llm import lsh_forest
+
+    met, hung = [], lsh_forest._hung
+    monkeypatch.setattr(lsh_forest, "_hung", lambda rows: met.append(rows.count()) or hung(rows))
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[:k] + [f"other{k}"] + words[k + 1 :]) for k in range(100)]
+    found = lsh_forest.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.class_id for r in found} == {0} and {r.n_links for r in found} == {99}
+    assert sum(met) <= 100 * lsh_forest.TREES / 3  # every tree's nodes were met by every document before
+
+
 def test_own_depths_reach_the_target_recall():
     from termloom.llm.lsh_forest import MAX_DEPTH, TREES, own_depths, shortened_depth
 
