@@ -143,8 +143,8 @@ def primary_image(nodes: Column) -> Column:
 
 def primary_type(nodes: Column) -> Column:
     """The type of the page's nodes that comes first in PAGE_TYPES."""
-    present = F.flatten(F.transform(nodes, node_types))
-    return F.get(F.filter(F.array(*[F.lit(t) for t, _ in PAGE_TYPES]), lambda t: F.array_contains(present, t)), F.lit(0))
+    first = lambda present: F.get(F.filter(F.array(*[F.lit(t) for t, _ in PAGE_TYPES]), lambda t: F.array_contains(present, t)), F.lit(0))
+    return let(F.flatten(F.transform(nodes, node_types)), first)  # read once, not for each type
 
 
 def favicon(url: Column, size: int = 128) -> Column:
