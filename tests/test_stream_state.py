@@ -53,3 +53,18 @@ def test_batches_and_restarts(spark, tmp_path, lateness):
     stream = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
     jobs.run_to_end(positions.standings(stream, lateness), positions.into(table), "update", str(tmp_path / "job"))
     assert table.read().where(F.col("account") == 1).first().changes == len([r for b in batches for r in b if r[0] == 1]) + (lateness == "10 days")
+
+
+def test_many_positions_are_folded_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    changes = np.column_stack([np.zeros((400, 1), int), rng.integers(0, 9, (400, 1)), rng.integers(0, 2, (400, 2)), rng.integers(0, 50, (400, 1)), np.arange(400), rng.integers(-9, 10, 400), rng.integers(0, 99, (400, 2))])
+    held = np.zeros((0, len(positions.HELD)), np.int64)
+    for part in np.array_split(changes[np.argsort(changes[:, 4], kind="stable")], 3):
+        held = positions.fold_all(held, part)
+    by_key = {}
+    for r in changes.tolist():
+        by_key.setdefault(tuple(r[:4]), []).append(tuple(r[4:]))
+    got = {tuple(r[:4].tolist()): (*r[4:7].tolist(), *r[7:9].copy().view(np.float64).tolist(), *r[9:].tolist()) for r in held}
+    assert got == {k: positions.fold(positions.NEW, v) for k, v in by_key.items()}
