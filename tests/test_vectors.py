@@ -119,6 +119,19 @@ def test_interest_vectors(spark):
     assert got[3].vector == [0.0, 0.0]  # what cancels out has no direction
 
 
+@pytest.mark.parametrize("piece", [64, 3])
+def test_components_are_summed_side_by_side(spark, monkeypatch, piece):
+    monkeypatch.setattr(V, "PIECE", piece)
+    now = datetime.datetime(2024, 1, 31)
+    items = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(4)]
+    events = spark.createDataFrame([(a, i, "view", now) for a in range(5) for i in range(4) for _ in range(a * i + 1)], "account long, item long, event_type string, ts timestamp_ntz")
+    df = V.interest_vectors(events, spark.createDataFrame(items, "item long, vector array<double>"), {"view": 1.0}, "2024-01-31 00:00:00")
+    for r in df.collect():
+        whole = sum((r.account * i + 1) * np.array(v) for i, v in items)
+        assert np.allclose(r.vector, whole / np.linalg.norm(whole)) and r.event_count == sum(r.account * i + 1 for i in range(4))
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()  # else sums are kept for each account and component
+
+
 def test_experiment_arms(spark):
     arms = spark.createDataFrame([("x", "a", 1), ("x", "b", 3), ("y", "only", 5)], "experiment string, variant string, share long")
     people = spark.range(4000).select(F.col("id").alias("account"))
