@@ -1,7 +1,7 @@
 """An inverted-file vector index: every row lies in the cell of its nearest centre; searches look into the nearest cells, or, exactly, into all that may hold a better row.
 
-Centres come from a bounded sample (SAMPLED rows by a hash of their ids) by k-means; all
-rows are then dealt to them. Cells are sorted into the files, so that a scan for a few
+Centres come from a bounded sample (SAMPLED rows by a hash of their ids, in its order, so that
+reruns agree however the rows arrive) by k-means; all rows are then dealt to them. Cells are sorted into the files, so that a scan for a few
 cells skips the others; a cell with more than a block of rows is several parts. Vectors are
 stored at length 1, at half precision (2 bytes a number) or full.
 
@@ -98,8 +98,9 @@ def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     packed = V.pack(rows.select(F.col(id_col).cast("long").alias("vec_id"), vector_col), vector_col)
     total = packed.count()
     n = min(MOST_CELLS, cells or max(1, round(total**0.5)))
-    sample = packed.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // SAMPLED))) == 0).select("packed").limit(2 * SAMPLED).toArrow()
-    centres = centres_of(V.unpacked(sample.column(0), "full"), n) if sample.num_rows else np.zeros((1, 1))
+    drawn = packed.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total // SAMPLED))) == 0)
+    sample = drawn.select("vec_id", "packed").orderBy(F.xxhash64("vec_id"), "vec_id", "packed").limit(2 * SAMPLED).toArrow()
+    centres = centres_of(V.unpacked(sample.column(1), "full"), n) if sample.num_rows else np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centres)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,8 @@ def probes_for(index: VectorIndex, queries: DataFrame, truth: DataFrame, target:
 
     Each true row's cell has a rank in its query's order of cells; the ranks are counted, a row
     a rank, and the smallest that covers the target is the answer. The queries should be
-    others than those that the answer is for, and a few hundred are enough.
+    others than those that the answer is for, and a few hundred are enough; where there are
+    none, nothing is known, and the answer is all cells.
     """
     packed = V.pack(queries.select(F.col(query_col).cast("long").alias("query_id"), vector_col), vector_col)
     asked = _ask(index, packed, lambda i, b: i.probes(V.unpacked(pa.chunked_array([b.column(1)]), "full"), len(i.centres)), "posexplode")
@@ -195,7 +197,7 @@ def probes_for(index: VectorIndex, queries: DataFrame, truth: DataFrame, target:
         held += r["count"]
         if held >= target * total:
             return r["rank"] + 1
-    return 1
+    return len(index.centres)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

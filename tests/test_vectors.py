@@ -94,6 +94,22 @@ def test_recall_of_several_blocks(spark, monkeypatch):
     assert found.recall >= 0.95
 
 
+def test_an_index_does_not_depend_on_the_order_of_rows(spark):
+    e, q = frames(spark, clustered(300))
+    other = e.repartition(5).sortWithinPartitions(F.desc("vec_id"))
+    one, two = X.build(e, cells=9), X.build(other, cells=9)
+    assert (one.centres == two.centres).all()
+    cells = [{(r.vec_id, r.cell) for r in i.rows(spark).collect()} for i in (one, two)]
+    assert cells[0] == cells[1]
+
+
+def test_without_other_queries_all_cells_are_searched(spark):
+    e, q = frames(spark, clustered(300))
+    none = q.where("query_id < 0")
+    index = X.build(e, cells=9)
+    assert X.probes_for(index, none, V.top_k(none, e, 10), 0.99) == 9
+
+
 def test_an_index_of_nothing(spark):
     e, q = frames(spark, [(9001, None), (9002, [0.0])])
     index = X.build(e, precision="full")
